@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import quality_rules
 from .runtime import table
 from .substring_dedup import dedup_substrings
 
@@ -13,7 +14,15 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES = {
     "op6_substring_dedup": op6_substring_dedup,
+    "op8_quality_rules": op8_quality_rules,
+}
+ORACLES: dict[str, str] = {
+    "op8_quality_rules": quality_rules.ORACLE,
 }
-ORACLES: dict[str, str] = {}
