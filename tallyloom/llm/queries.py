@@ -10,7 +10,7 @@ from .substring_dedup import dedup_substrings
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_substrings(table(spark, sf_dir, "documents"), window=35)
+    out = dedup_substrings(table(spark, sf_dir, "documents"), window=35, with_text=False)
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 

@@ -25,6 +25,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,9 +108,10 @@ def _anchors(buckets: int, block: int):
 
 
 def _near(window: int, block: int):
-    """Rows (h, d, t, word): windows that hold an anchor."""
+    """A row for each slice of documents: the hashes of its windows that hold an anchor, with their rows and start words."""
 
     def run(batches):
+        part, seq = TaskContext.get().partitionId(), 0
         for batch in batches:
             d, t = batch.column("d").to_numpy(zero_copy_only=False), batch.column("t").to_numpy(zero_copy_only=False)
             words = batch.column("words")
@@ -123,16 +125,75 @@ def _near(window: int, block: int):
                     np.add.at(anchor, p + 1, -1)
                 keep = np.cumsum(anchor)[at] > 0
                 at, h = at[keep], h[keep]
-                row = w.doc[at] + a
+                row = w.doc[at]
+                packed = h, row.astype(np.uint32), (at - w.first[row]).astype(np.uint32), d[a:b].astype(np.int64), t[a:b].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + seq], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in packed)], names=["slice", "h", "row", "word", "d", "t"])
+                seq += 1
+
+    return run
+
+
+def _count(buckets: int):
+    """Each hash once a slice, with the hashes that the slice has more than once apart."""
+
+    def run(batches):
+        for batch in batches:
+            for name, h in zip(batch.column("slice").to_pylist(), batch.column("h"), strict=True):
+                h, n = np.unique(np.frombuffer(h.as_py(), np.uint64), return_counts=True)
+                b = ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(b, kind="stable")
+                b, h, many = b[order], h[order], n[order] > 1
+                edges = np.flatnonzero(np.diff(b, prepend=-1, append=buckets))
+                parts = list(zip(edges[:-1], edges[1:], strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(d[row], pa.int64()), pa.array(t[row], pa.int32()), pa.array((at - w.first[w.doc[at]]).astype(np.int32))],
-                    names=["h", "d", "t", "word"],
+                    [
+                        pa.array([int(b[i]) for i, _ in parts], pa.int32()),
+                        pa.array([name] * len(parts), pa.int64()),
+                        pa.array([h[i:j].tobytes() for i, j in parts], pa.binary()),
+                        pa.array([np.packbits(many[i:j]).tobytes() for i, j in parts], pa.binary()),
+                    ],
+                    names=["b", "slice", "h", "many"],
                 )
 
     return run
 
 
-def _cover(window: int):
+def _again(table: pa.Table) -> pa.Table:
+    """For each slice of one bucket, a bit for each of its hashes that occurs elsewhere, or twice in it; null where none does."""
+    name = table.column("slice").to_pylist()
+    hs = [np.frombuffer(x, np.uint64) for x in table.column("h").to_pylist()]
+    many = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(h)).astype(bool) for x, h in zip(table.column("many").to_pylist(), hs, strict=True)]
+    all_h, n = np.unique(np.concatenate([*hs, *(h[m] for h, m in zip(hs, many, strict=True))]) if hs else np.zeros(0, np.uint64), return_counts=True)
+    all_h = all_h[n > 1]
+    out_name, out = [], []
+    for s, h in zip(name, hs, strict=True):
+        got = h[np.isin(h, all_h, assume_unique=True)]
+        if len(got):
+            out_name.append(s)
+            out.append(got.tobytes())
+    return pa.table({"slice": pa.array(out_name, pa.int64()), "again": pa.array(out, pa.binary())})
+
+
+def _starts(batches):
+    """Rows (d, t, starts): the start words of the repeated windows of each document."""
+    for batch in batches:
+        out_d, out_t, out = [], [], []
+        col = {k: batch.column(k) for k in batch.schema.names}
+        for r in range(batch.num_rows):
+            h, row, word, d, t = (np.frombuffer(col[k][r].as_py(), kind) for k, kind in (("h", np.uint64), ("row", np.uint32), ("word", np.uint32), ("d", np.int64), ("t", np.int32)))
+            again = np.sort(np.frombuffer(b"".join(col["again"][r].as_py()), np.uint64))
+            at = np.minimum(np.searchsorted(again, h), len(again) - 1)
+            hit = again[at] == h
+            row, word = row[hit], word[hit]
+            edges = np.flatnonzero(np.diff(row.astype(np.int64), prepend=-1, append=len(d)))
+            for i, j in zip(edges[:-1], edges[1:], strict=True):
+                out_d.append(int(d[row[i]]))
+                out_t.append(int(t[row[i]]))
+                out.append(word[i:j].tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(out_d, pa.int64()), pa.array(out_t, pa.int32()), pa.array(out, pa.binary())], names=["d", "t", "starts"])
+
+
+def _cover(window: int, with_text: bool):
     """Rows of the result from (doc_id, text, starts of repeated windows)."""
 
     def run(batches):
@@ -142,13 +203,13 @@ def _cover(window: int):
             for a, b, w in slices(batch.column("text")):
                 for r in range(a, b):
                     i, j = int(w.first[r - a]), int(w.first[r - a + 1])
-                    s = starts[r].values
+                    s = starts[r].as_py()
                     raw = w.data[w.offsets[r - a] : w.offsets[r - a + 1]].tobytes()
                     words = raw.split()
                     gone = 0
-                    if s is not None and len(s):
+                    if s:
                         mark = np.zeros(j - i + 1, np.int32)
-                        at = s.to_numpy(zero_copy_only=False).astype(np.int64)
+                        at = np.frombuffer(s, np.uint32).astype(np.int64)
                         np.add.at(mark, at, 1)
                         np.add.at(mark, at + window, -1)
                         keep = np.cumsum(mark)[: j - i] == 0
@@ -158,7 +219,7 @@ def _cover(window: int):
                     n_words.append(j - i)
                     n_removed.append(gone)
                     sha.append(hashlib.sha256(kept).hexdigest())
-                    kept_text.append(kept)
+                    kept_text.append(kept if with_text else None)
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept_text, pa.binary()).cast(pa.string())],
                 names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"],
@@ -168,27 +229,29 @@ def _cover(window: int):
 
 
 def repeated_windows(docs: DataFrame, window: int = 35) -> DataFrame:
-    """(d, t, word): start words of all windows whose word sequence occurs elsewhere; d and t are ``row_key()``."""
+    """(d, t, starts): for each document with a repeat, the packed start words of all its windows whose word sequence occurs elsewhere; d and t are ``row_key()``."""
     block = (window + 1) // 2
     _, size = text_bytes(docs)
     buckets = max(24, size // BUCKET_TEXT_BYTES)
     keyed = docs.select(*row_key(), "text")
     sent = docs.select("text").mapInArrow(_send(buckets, block), "b int, single binary, many binary, blocks binary")
     anchors = sent.groupBy("b").applyInArrow(_meet, "key long")
-    # A row of docs gives each of its anchors once, so rows that repeat in full repeat their anchors too.
     held = keyed.mapInArrow(_anchors(buckets, block), "key long, d long, t int, word int")
     hits = materialize(held.join(anchors, "key", "left_semi").select("d", "t", "word"), "anchors")
     release(docs.sparkSession)
     at = hits.groupBy("d", "t").agg(F.collect_set("word").alias("words"))
-    near = keyed.join(at, ["d", "t"]).select("d", "t", "text", "words").mapInArrow(_near(window, block), "h long, d long, t int, word int")
-    near = materialize(near, "near")
+    packed = "slice long, h binary, row binary, word binary, d binary, t binary"
+    near = materialize(keyed.join(at, ["d", "t"]).select("d", "t", "text", "words").mapInArrow(_near(window, block), packed), "near")
+    release(docs.sparkSession)
+    again = near.select("slice", "h").mapInArrow(_count(buckets), "b int, slice long, h binary, many binary").groupBy("b").applyInArrow(_again, "slice long, again binary")
+    again = again.groupBy("slice").agg(F.collect_list("again").alias("again"))
+    starts = materialize(near.join(again, "slice").mapInArrow(_starts, "d long, t int, starts binary"), "starts")
     release(docs.sparkSession)
-    again = near.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    return near.join(again, "h", "left_semi").select("d", "t", "word")
+    return starts.dropDuplicates(["d", "t"])  # rows that repeat in full have the same starts
 
 
-def dedup_substrings(docs: DataFrame, window: int = 35) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and kept_text of every row of ``docs`` (doc_id, text)."""
-    starts = repeated_windows(docs, window).groupBy("d", "t").agg(F.collect_set("word").alias("starts"))
+def dedup_substrings(docs: DataFrame, window: int = 35, with_text: bool = True) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and kept_text (null unless ``with_text``) of every row of ``docs`` (doc_id, text)."""
+    starts = repeated_windows(docs, window)
     joined = docs.select("doc_id", *row_key(), "text").join(starts, ["d", "t"], "left").select("doc_id", "text", "starts")
-    return joined.mapInArrow(_cover(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return joined.mapInArrow(_cover(window, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
