@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import mixing, quality_rules, sharding, url_filter
 from .runtime import table
 from .substring_dedup import dedup_substrings
 
@@ -19,10 +19,27 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), 24)
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op4_sharding": op4_sharding,
     "op6_substring_dedup": op6_substring_dedup,
     "op8_quality_rules": op8_quality_rules,
+    "op9_mixing": op9_mixing,
+    "op10_url_filter": op10_url_filter,
 }
 ORACLES: dict[str, str] = {
     "op8_quality_rules": quality_rules.ORACLE,
+    "op9_mixing": mixing.ORACLE,
+    "op10_url_filter": url_filter.ORACLE,
 }
