@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality_rules, sharding, url_filter
+from . import license_scan, mixing, pii, quality_rules, sharding, url_filter
 from .runtime import table
 from .substring_dedup import dedup_substrings
 
@@ -19,6 +19,14 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), 24)
 
@@ -32,6 +40,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_license_scan": op2_license_scan,
+    "op3_pii": op3_pii,
     "op4_sharding": op4_sharding,
     "op6_substring_dedup": op6_substring_dedup,
     "op8_quality_rules": op8_quality_rules,
@@ -39,6 +49,7 @@ QUERIES = {
     "op10_url_filter": op10_url_filter,
 }
 ORACLES: dict[str, str] = {
+    "op2_license_scan": license_scan.oracle(),
     "op8_quality_rules": quality_rules.ORACLE,
     "op9_mixing": mixing.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
