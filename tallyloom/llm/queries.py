@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, mixing, pii, quality_rules, sharding, url_filter
+from . import license_scan, mixing, pii, quality_rules, sharding, toxicity, url_filter
 from .runtime import table
 from .substring_dedup import dedup_substrings
 
@@ -19,6 +19,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.tag(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), spans=False)
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_license_scan": op2_license_scan,
     "op3_pii": op3_pii,
     "op4_sharding": op4_sharding,

@@ -91,7 +91,14 @@ class Words:
         up, down = _CHARS.to(n + 1)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE[fold[data]] * up[:n], out=sums[1:])
-        self.hash = mix((sums[self.end] - sums[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
+        self._sums = sums
+        self.hash = self.prefixes(n)
+
+    def prefixes(self, size: int) -> np.ndarray:
+        """Hash of each word's first ``size`` bytes (of the whole word, where it is shorter)."""
+        _, down = _CHARS.to(len(self.data) + 1)
+        end = np.minimum(self.end, self.start + size)
+        return mix((self._sums[end] - self._sums[self.start]) * down[self.start] + (end - self.start).astype(np.uint64))
 
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Start word and hash of every run of ``k`` words within one row."""
