@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, license_scan, mixing, pii, quality_rules, sharding, toxicity, url_filter
+from . import decontaminate, license_scan, mixing, ngram_join, pii, quality_rules, sharding, toxicity, url_filter
 from .runtime import table
 from .substring_dedup import dedup_substrings
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = ngram_join.join_components(table(spark, sf_dir, "documents").select("doc_id", "text"), k=4, percent=85)
+    return joined.select("doc_id", "n_shingles", "component_id")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_substrings(table(spark, sf_dir, "documents"), window=35, with_text=False)
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -52,6 +57,7 @@ QUERIES = {
     "op2_license_scan": op2_license_scan,
     "op3_pii": op3_pii,
     "op4_sharding": op4_sharding,
+    "op5_ngram_join": op5_ngram_join,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_decontaminate": op7_decontaminate,
     "op8_quality_rules": op8_quality_rules,
