@@ -31,15 +31,15 @@ RANGE_ROWS = 20_000
 SEED = "mix-1"
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words), key: the only pass over the texts."""
+def measures() -> dict:
+    """size (words) and key of a document."""
     text = F.coalesce("text", F.lit(""))
     size = F.expr(r"size(array_remove(split(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), '')) ").cast("long")
     # quality weight: from 1 for clean text down to 1/4 where a sixth or more of its characters are litter
     litter = F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]", ""))
     weight = F.greatest(F.lit(0.25), F.lit(1.0) - F.lit(4.5) * litter / F.greatest(F.length(text), F.lit(1)))
     draw = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":" + SEED))), 1, 13), 16, 10).cast("double")
-    return docs.select("doc_id", "source", size.alias("size"), (-F.log((draw + F.lit(0.5)) / F.lit(float(1 << 52))) / weight).alias("key"))
+    return {"size": size, "key": -F.log((draw + F.lit(0.5)) / F.lit(float(1 << 52))) / weight}
 
 
 def targets(m: DataFrame, weights: list[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -59,27 +59,44 @@ def targets(m: DataFrame, weights: list[int] = WEIGHTS, max_epochs: int = MAX_EP
     return s.select("source", "sid", "source_size", target.alias("target"), "n")
 
 
-def mix(docs: DataFrame, weights: list[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken of every row of ``docs`` (doc_id, text, source)."""
-    m = materialize(measured(docs), "mix")
+def _fill(rows: DataFrame, m: DataFrame, weights: list[int], max_epochs: int) -> DataFrame:
+    """``rows`` with source_size, target and copies; ``m`` has the same rows' source, size and key, written."""
     t = targets(m, weights, max_epochs)
     t = t.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
     t = t.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")).withColumn("ranges", F.ceil(F.col("n") / RANGE_ROWS))
-    t = materialize(t, "mix-sources")
-    d = m.join(t, m["source"].eqNullSafe(t["source"])).drop(t["source"])
-    d = d.withColumn("r", F.floor((1 - F.exp(-F.col("key"))) * F.col("ranges")))
-    sums = d.groupBy("sid", "r").agg(F.sum("size").alias("range_size"))
+    t = materialize(t.withColumnRenamed("source", "_source"), "mix-sources")
+
+    def placed(d: DataFrame) -> DataFrame:
+        d = d.join(t, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+        return d.withColumn("r", F.floor((1 - F.exp(-F.col("key"))) * F.col("ranges")))
+
+    sums = placed(m).groupBy("sid", "r").agg(F.sum("size").alias("range_size"))
     up = F.sum("range_size").over(Window.partitionBy("sid").orderBy("r").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    sums = sums.withColumn("upto", up).withColumn("start", F.col("upto") - F.col("range_size")).select("sid", "r", "upto", "start")
-    d = d.join(sums, ["sid", "r"])
+    sums = materialize(sums.withColumn("upto", up).withColumn("start", F.col("upto") - F.col("range_size")).select("sid", "r", "upto", "start"), "mix-ranges")
+    d = placed(rows).join(sums, ["sid", "r"])
     split = (F.col("start") < F.col("rest")) & (F.col("upto") > F.col("rest"))
     run = F.col("start") + F.sum("size").over(Window.partitionBy("sid", "r").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     parts = d.where(split).withColumn("more", (2 * run - F.col("size") <= 2 * F.col("rest")).cast("int"))
     whole = d.where(~split).withColumn("more", (F.col("upto") <= F.col("rest")).cast("int"))
-    d = parts.unionByName(whole).withColumn("copies", F.col("epochs") + F.col("more"))
+    return parts.unionByName(whole).withColumn("copies", F.col("epochs") + F.col("more"))
+
+
+def mix(docs: DataFrame, weights: list[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies and taken of every row of ``docs`` (doc_id, text, source). One pass over the texts."""
+    m = materialize(docs.select("doc_id", "source", "text").withColumns(measures()).drop("text"), "mix")
+    d = _fill(m, m, weights, max_epochs)
     return d.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
+def mixed(docs: DataFrame, weights: list[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is taken, with its own columns. Texts stay where they are: only small tables are joined to them."""
+    own = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(*(F.col(c).alias(n) for c, n in own.items()), *(c for c in ("doc_id", "source", "text"))).withColumns(measures()).drop("text")
+    m = materialize(docs.select("doc_id", "source", "text").withColumns(measures()).drop("text"), "mix")
+    d = _fill(rows, m, weights, max_epochs).where("copies > 0")
+    return d.select(*(F.col(n).alias(c) for c, n in own.items()), F.explode(F.sequence(F.lit(1), "copies")).alias("_copy")).drop("_copy")
+
+
 ORACLE = r"""
 WITH m AS (
   SELECT doc_id, source, size, -ln((draw + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) / greatest(0.25::DOUBLE, 1.0::DOUBLE - 4.5::DOUBLE * litter / greatest(len, 1)) AS key

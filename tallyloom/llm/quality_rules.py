@@ -87,6 +87,13 @@ def judge(docs: DataFrame, max_lost: float = 0.5) -> DataFrame:
     return d.withColumn("kept", F.expr(f"NOT base_failed AND n_lost_words <= {max_lost} * n_words"))
 
 
+def keep(docs: DataFrame, max_lost: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that pass, with their own columns."""
+    # As a generator rather than a filter: a filter would be pushed down with all expressions above unfolded into it.
+    judged = judge(docs, max_lost).select(*docs.columns, F.explode(F.expr("IF(kept, array(1), cast(array() as array<int>))")).alias("_kept"))
+    return judged.select(*docs.columns)
+
+
 #: DuckDB SQL with the counts and the verdict of ``judge`` at its defaults.
 ORACLE = r"""
 WITH d AS (
