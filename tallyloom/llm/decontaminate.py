@@ -12,10 +12,10 @@ and an exact edit distance decides. With 40 tables of 3 samples, a pair that agr
 half of the places of its walk is missed with probability (7/8)^40, under 1 in 200.
 
 Windows have about the item's own length, at every word of every document. Each edit
-spoils two word pairs at most, so a window of n words within e edits of an item holds
-n - 1 - 2e pairs that occur in the benchmark; windows with fewer are not embedded, and
-nothing is lost by that. Two bitmaps of fixed size (the benchmark's word pairs and its
-table keys) let each task drop what cannot match; a large benchmark fills them up and
+spoils q word q-grams at most, so a window of n words within e edits of an item holds
+n + 1 - q - q e of them that occur in the benchmark; windows with fewer (q = 2 or 3) are
+not embedded, and nothing is lost by that. Bitmaps of fixed size (the benchmark's word
+pairs, word triples and table keys) let each task drop what cannot match; a large benchmark fills them up and
 costs time, not results.
 
 Items are a stated query set; documents are never compared with each other. Candidate
@@ -27,6 +27,8 @@ by each id. Empty tables give empty results.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,25 +47,30 @@ _C = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _length_class(n: int) -> int:
-    """Items of n words are looked for with windows of this length: within a twentieth of n, so that few lengths serve all items."""
-    step = max(1, n // 16)
+    """Items of n words are looked for with windows of this length: the item's first words, seven eighths or more of them, so that few lengths serve all items."""
+    step = max(1, n // 8)
     return n - n % step
 
 
 def embed(hashes: np.ndarray, at: np.ndarray, n: int, walk: int, places: np.ndarray) -> np.ndarray:
     """What the walk emits at ``places`` (ascending) for the windows of ``n`` words at ``at``: array (windows, places); 0 past the end."""
-    i = np.zeros(len(at), np.int64)
-    out = np.zeros((len(at), len(places)), np.uint64)
-    want = {int(p): k for k, p in enumerate(places)}
-    for j in range(int(places[-1]) + 1):
-        inside = i < n
-        word = np.where(inside, hashes[np.minimum(at + i, len(hashes) - 1)], np.uint64(0))
+    steps = int(places[-1]) + 1
+    # bit j of a word's coins says whether step j moves on from it
+    with np.errstate(over="ignore"):
+        coins = [mix(hashes ^ (_C * np.uint64(walk * 1009 + k + 1))) for k in range(-(-steps // 64))]
+    p, end = at.copy(), at + n
+    out = np.zeros((len(places), len(at)), np.uint64)
+    want = {int(x): k for k, x in enumerate(places)}
+    for j in range(steps):
+        q = np.minimum(p, len(hashes) - 1)
         if j in want:
-            out[:, want[j]] = word
-        i += (mix(word ^ (_C * np.uint64(walk * 100_003 + j + 1))) & np.uint64(1)).astype(np.int64)
-    return out
+            out[want[j]] = np.where(p < end, hashes[q], np.uint64(0))
+        p += ((coins[j >> 6][q] >> np.uint64(j & 63)) & np.uint64(1)).astype(np.int64)
+        np.minimum(p, end, out=p)
+    return out.T
 
 
+@functools.lru_cache(maxsize=None)
 def _plan(n: int) -> list[tuple[int, np.ndarray]]:
     """(walk, places) of each table for windows of n words; from a seed, so that both sides draw the same."""
     rng = np.random.RandomState(1000 + n)
@@ -74,6 +81,12 @@ def _plan(n: int) -> list[tuple[int, np.ndarray]]:
 def _keys(hashes: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     """(windows, TABLES) keys of the windows of n words at ``at``."""
     plan = _plan(n)
+    # only the words that some window holds
+    mark = np.zeros(len(hashes) + 1, np.int64)
+    np.add.at(mark, at, 1)
+    np.add.at(mark, at + n, -1)
+    held = np.cumsum(mark)[:-1] > 0
+    at, hashes = (np.cumsum(held) - held)[at], hashes[held]
     out = np.empty((len(at), TABLES), np.uint64)
     with np.errstate(over="ignore"):
         for walk in range(WALKS):
@@ -159,46 +172,50 @@ def _slot(h: np.ndarray) -> np.ndarray:
 
 
 def _bitmap_slots(batches):
-    """(kind, slot): places that the items take in the bitmap of word pairs (0) and of keys (1), and their window lengths (2)."""
+    """(kind, slot): places that the items take in the bitmap of keys (1), their window lengths (0), and places in the bitmaps of word pairs (2) and triples (3)."""
     for batch in batches:
-        pairs, keys, lengths = [], [], set()
+        grams, keys, lengths = {2: [], 3: []}, [], set()
         for a, b, w in slices(batch.column("text"), ALNUM, LOWER):
-            pairs.append(_slot(w.windows(2)[1]))
+            for q in grams:
+                grams[q].append(_slot(w.windows(q)[1]))
             for r in range(b - a):
                 h = w.hash[w.first[r] : w.first[r + 1]]
                 if len(h) >= MIN_WORDS:
                     n = _length_class(len(h))
                     lengths.add(n)
                     keys.append(_slot(mix(_keys(h, np.zeros(1, np.int64), n)[0])))
-        for kind, x in ((0, pairs), (1, keys), (2, [np.array(sorted(lengths), np.int64)])):
+        for kind, x in ((0, [np.array(sorted(lengths), np.int64)]), (1, keys), *grams.items()):
             x = np.unique(np.concatenate(x)) if x else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int32)), pa.array(x, pa.int64())], names=["kind", "slot"])
 
 
-def _regions(pairs: bytes, keys: bytes, lengths: list[int], max_edits: float):
+def _regions(maps: dict[int, bytes], lengths: list[int], max_edits: float):
     """(d, t, first, words, keys): runs of windows that share a key with an item, with as many words more on either side as edits can add."""
 
     def run(batches):
-        known, wanted = (np.unpackbits(np.frombuffer(x, np.uint8)).astype(bool) for x in (pairs, keys))
+        bits = {k: np.unpackbits(np.frombuffer(x, np.uint8)).astype(bool) for k, x in maps.items()}
         for batch in batches:
             d, t = batch.column("d").to_numpy(zero_copy_only=False), batch.column("t").to_numpy(zero_copy_only=False)
             out = {k: [] for k in ("d", "t", "first", "words", "keys")}
             for a, _, w in slices(batch.column("text"), ALNUM, LOWER):
-                at2, h2 = w.windows(2)
-                good = np.zeros(len(w.hash) + 1, np.int32)
-                good[at2 + 1] = known[_slot(h2)]
-                good = np.cumsum(good)  # pairs known up to each word
+                good = {}
+                for q in (2, 3):  # q-grams of the benchmark that start before each word
+                    start, h = w.windows(q)
+                    known = np.zeros(len(w.hash) + 1, np.int32)
+                    known[start + 1] = bits[q][_slot(h)]
+                    good[q] = np.cumsum(known)
                 for n in lengths:
-                    longest = n + max(1, n // 15)
+                    longest = n + n // 7 + 1
                     most = int(max_edits * longest)
                     last = len(w.hash) - n
                     if last < 0:
                         continue
-                    at = np.flatnonzero(good[n - 1 : n + last] - good[: last + 1] >= max(1, n - 1 - 2 * most))
+                    at = np.flatnonzero(good[2][n - 1 : n + last] - good[2][: last + 1] >= max(1, n - 1 - 2 * most))
+                    at = at[good[3][at + n - 2] - good[3][at] >= n - 2 - 3 * most]
                     at = at[w.doc[at] == w.doc[at + n - 1]]
                     for at in np.array_split(at, -(-len(at) // 20_000)) if len(at) else ():
                         k = _keys(w.hash, at, n)
-                        hit = wanted[_slot(mix(k))]
+                        hit = bits[1][_slot(mix(k))]
                         some = hit.any(axis=1)
                         at, k, hit = at[some], k[some], hit[some]
                         if not len(at):
@@ -245,14 +262,14 @@ def leaks(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS) -> Da
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
     # at most 2^FILTER_BITS slots of either kind, and the lengths that items have
     slots = items.select("text").mapInArrow(_bitmap_slots, "kind int, slot long").distinct().collect()
-    maps = []
-    for kind in (0, 1):
+    maps = {}
+    for kind in (1, 2, 3):
         bits = np.zeros(1 << FILTER_BITS, bool)
         bits[[r["slot"] for r in slots if r["kind"] == kind]] = True
-        maps.append(np.packbits(bits).tobytes())
-    lengths = sorted(r["slot"] for r in slots if r["kind"] == 2)
+        maps[kind] = np.packbits(bits).tobytes()
+    lengths = sorted(r["slot"] for r in slots if r["kind"] == 0)
     keyed = docs.select(*row_key(), "text")
-    regions = keyed.mapInArrow(_regions(*maps, lengths, max_edits), "d long, t int, first long, words binary, keys array<long>")
+    regions = keyed.mapInArrow(_regions(maps, lengths, max_edits), "d long, t int, first long, words binary, keys array<long>")
     regions = materialize(regions, "regions").dropDuplicates()
     index = items.mapInArrow(_item_rows, "key long, item_id long").distinct()
     pairs = regions.select("d", "t", "first", F.explode("keys").alias("key")).join(index, "key").select("d", "t", "first", "item_id").distinct()
