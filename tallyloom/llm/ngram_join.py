@@ -22,6 +22,10 @@ that follows works on classes, so exact copies cost one.
    (size, position, distance) before any member is looked at.
 5. The rest is compared exactly, and components are joined up.
 
+Comparisons look at histograms of the sets first (a bin for about three members; the
+sum of the smaller counts bounds the overlap), and only pairs that they allow fetch
+their texts.
+
 Nulls: a null text has the empty set, which links with nothing; a null doc_id takes
 part and is never a component's id unless no other is there. Repeated rows share a
 component. Empty tables give empty results.
@@ -97,19 +101,35 @@ def _ordered(s: np.ndarray, heavy: np.ndarray) -> np.ndarray:
     return np.concatenate([s[~late], s[late]])
 
 
+def histogram(s: np.ndarray) -> np.ndarray:
+    """Members of a set by the low bits of their hashes, about three a bin; 255 stands for any more."""
+    bins = 1 << max(3, len(s).bit_length() - 2)
+    return np.minimum(np.bincount((s & np.uint64(bins - 1)).astype(np.int64), minlength=bins), 255).astype(np.uint8)
+
+
+def most_common(x: np.ndarray, y: np.ndarray) -> int:
+    """No two sets with these histograms have more members in common."""
+    if x.max() == 255 or y.max() == 255:
+        return 1 << 40
+    x, y = x.astype(np.int64), y.astype(np.int64)
+    bins = min(len(x), len(y))
+    return int(np.minimum(x.reshape(-1, bins).sum(0), y.reshape(-1, bins).sum(0)).sum())
+
+
 def _prefixes(k: int, percent: int, heavy: np.ndarray):
-    """(c, n, prefix): the packed prefix of each row's set."""
+    """(c, n, prefix, hist): the packed prefix and histogram of each row's set."""
 
     def run(batches):
         for batch in batches:
-            c, n, out = [], [], []
+            c, n, out, hist = [], [], [], []
             for _, _, w in slices(batch.column("text"), NON_SPACE, LOWER):
                 for s in shingle_sets(w, k):
                     if len(s):
                         c.append(class_of(s))
                         n.append(len(s))
                         out.append(_ordered(s, heavy)[: len(s) - (percent * len(s) + 99) // 100 + 1].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(n, pa.int32()), pa.array(out, pa.binary())], names=["c", "n", "prefix"])
+                        hist.append(histogram(s).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(n, pa.int32()), pa.array(out, pa.binary()), pa.array(hist, pa.binary())], names=["c", "n", "prefix", "hist"])
 
     return run
 
@@ -136,25 +156,46 @@ def _full_sets(k: int):
 
 
 def _overlap(batches):
-    """(a, b, inter, na, nb) from the members of both sets."""
+    """(a, b, inter) from the members of both sets."""
     for batch in batches:
         x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
         sets = [(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(x, y, strict=True)]
         inter = [len(p) + len(q) - len(np.unique(np.concatenate([p, q]))) for p, q in sets]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("a"), batch.column("b"), pa.array(inter, pa.int64()), pa.array([len(p) for p, _ in sets], pa.int64()), pa.array([len(q) for _, q in sets], pa.int64())],
-            names=["a", "b", "inter", "na", "nb"],
-        )
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(inter, pa.int64())], names=["a", "b", "inter"])
 
 
-def _compare(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-    """Exact overlaps of ``pairs`` (a, b)."""
+def _bounds(batches):
+    """(a, b, na, nb, most): the bound on the overlap from the histograms of both sets."""
+    for batch in batches:
+        x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
+        most = [most_common(np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8)) for p, q in zip(x, y, strict=True)]
+        most = np.minimum(np.array(most, np.int64), np.minimum(batch.column("na").to_numpy(), batch.column("nb").to_numpy()))
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("a", "b", "na", "nb")), pa.array(most, pa.int64())], names=["a", "b", "na", "nb", "most"])
+
+
+def _compare(pairs: DataFrame, packed: DataFrame, keyed: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b, near, far, linked) of ``pairs`` (a, b): bounds of their distance, exact where their histograms allow a link."""
+    x = packed.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("hist").alias("x"))
+    y = packed.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("hist").alias("y"))
+    bounded = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(_bounds, "a long, b long, na int, nb int, most long")
+    bounded = materialize(bounded, "bounded")
+    hopeful = bounded.where(f"{100 + percent} * most >= {percent} * (na + nb)").select("a", "b")
+    wanted = reps.join(hopeful.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "c").select("c", "r.d", "r.t")
+    sets = keyed.join(wanted, ["d", "t"]).dropDuplicates(["c"]).select("c", "text").mapInArrow(_full_sets(k), "c long, members binary")
+    sets = materialize(sets, "sets")
+    release(keyed.sparkSession)
     x, y = sets.select(F.col("c").alias("a"), F.col("members").alias("x")), sets.select(F.col("c").alias("b"), F.col("members").alias("y"))
-    return materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_overlap, "a long, b long, inter long, na long, nb long"), name)
-
-
-def _linked(p: int) -> str:
-    return f"100 * inter >= {p} * (na + nb - inter)"
+    exact = hopeful.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_overlap, "a long, b long, inter long")
+    out = bounded.join(exact, ["a", "b"], "left")
+    distance = "1 - {0} / (na + nb - {0})"
+    out = out.select(
+        "a",
+        "b",
+        F.expr(f"CASE WHEN inter IS NULL THEN {distance.format('most')} ELSE {distance.format('inter')} END").alias("near"),
+        F.expr(f"CASE WHEN inter IS NULL THEN 1D ELSE {distance.format('inter')} END").alias("far"),
+        F.expr(f"coalesce(100 * inter >= {percent} * (na + nb - inter), false)").alias("linked"),
+    )
+    return materialize(out, "answers")
 
 
 def link(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
@@ -167,43 +208,38 @@ def link(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[DataFrame, Dat
     heavy = sketch.where("token IS NOT NULL").groupBy("token").agg(F.sum("heavy").alias("n")).where(F.col("n") >= max(8, n_rows // (2 * HEAVY_SHARE)))
     heavy = np.sort(np.array([r["token"] for r in heavy.orderBy(F.desc("n"), "token").limit(MAX_HEAVY).collect()], np.int64).view(np.uint64))
 
-    packed = docs.select("text").mapInArrow(_prefixes(k, percent, heavy), "c long, n int, prefix binary").dropDuplicates(["c"])
-    lists = packed.mapInArrow(_entries, "token long, c long, n int, pos int")
+    packed = docs.select("text").mapInArrow(_prefixes(k, percent, heavy), "c long, n int, prefix binary, hist binary").dropDuplicates(["c"])
+    packed = materialize(packed, "packed")
+    release(spark)
+    lists = packed.select("c", "n", "prefix").mapInArrow(_entries, "token long, c long, n int, pos int")
     inlist = Window.partitionBy("token").orderBy("n", "c")
-    whole = inlist.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     # only neighbours are looked at, so lists of one fall out as the sorted rows stream by
-    lists = lists.withColumns({"before": F.lag("c").over(inlist), "before_n": F.lag("n").over(inlist), "after": F.lead("c").over(inlist)}).where("before IS NOT NULL OR after IS NOT NULL")
-    lists = materialize(lists.withColumns({"head": F.first("c").over(whole), "head_n": F.first("n").over(whole)}).drop("after"), "lists")
+    lists = lists.withColumns({"before": F.lag(F.struct("c", "n", "pos")).over(inlist), "after": F.lead("c").over(inlist), "head": F.first(F.struct("c", "n", "pos")).over(inlist)})
+    lists = materialize(lists.where("before IS NOT NULL OR after IS NOT NULL").drop("after"), "lists")
     release(spark)
 
-    # the sets of all classes that stand in a list
     reps = rows.where("n > 0").groupBy("c").agg(F.min(F.struct("d", "t")).alias("r"))
-    wanted = reps.join(lists.select("c").distinct(), "c").select("c", "r.d", "r.t")
-    sets = materialize(keyed.join(wanted, ["d", "t"]).dropDuplicates(["c"]).select("c", "text").mapInArrow(_full_sets(k), "c long, members binary"), "sets")
-    release(spark)
-
-    fits = f"100 * {{0}} >= {percent} * n"  # sizes alone allow a link
-    first = lists.where(F.expr(fits.format("head_n")) & (F.col("head") != F.col("c"))).select(F.col("head").alias("a"), F.col("c").alias("b"))
-    first = first.unionByName(lists.where(F.expr(fits.format("before_n")) & F.col("before").isNotNull()).select(F.col("before").alias("a"), F.col("c").alias("b"))).distinct()
-    answers = _compare(first, sets, "answers")
-    links = answers.where(_linked(percent)).select("a", "b")
+    may = f"""100 * {{0}}.n >= {percent} * n AND {100 + percent} * (least({{0}}.pos, pos) + least({{0}}.n - {{0}}.pos, n - pos)) >= {percent} * ({{0}}.n + n)"""
+    first = [lists.where(F.expr(f"{x}.c <> c AND " + may.format(x))).select(F.col(f"{x}.c").alias("a"), F.col("c").alias("b")) for x in ("head", "before")]
+    answers = _compare(first[0].unionByName(first[1]).distinct(), packed, keyed, reps, k, percent)
+    links = answers.where("linked").select("a", "b")
     roots = components(links)
 
     # what the answers so far leave open
-    near = answers.select(F.col("a").alias("head"), F.col("b").alias("c"), (1 - F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("dist"))
-    e = lists.select("token", "c", "n", "pos", "head").join(roots.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    known = answers.select(F.col("a").alias("head"), F.col("b").alias("c"), "near", "far")
+    e = lists.select("token", "c", "n", "pos", F.col("head.c").alias("head")).join(roots.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     open_lists = e.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    e = e.join(open_lists, "token", "left_semi").join(near, ["head", "c"], "left").withColumn("dist", F.when(F.col("head") == F.col("c"), 0.0).otherwise(F.col("dist")))
+    e = e.join(open_lists, "token", "left_semi").join(known, ["head", "c"], "left")
+    itself = F.col("head") == F.col("c")
+    e = e.withColumns({"near": F.when(itself, 0.0).otherwise(F.coalesce("near", F.lit(0.0))), "far": F.when(itself, 0.0).otherwise(F.coalesce("far", F.lit(1.0)))})
     order = Window.partitionBy("token", "root").orderBy("n", "pos", "c")
     e = e.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK))
     blocks = e.groupBy("token", "root", "block").agg(
-        F.collect_list(F.struct("c", "n", "pos", "dist")).alias("m"),
+        F.collect_list(F.struct("c", "n", "pos", "near", "far")).alias("m"),
         F.min("n").alias("n0"),
         F.max("n").alias("n1"),
-        F.min("dist").alias("d0"),
-        F.max("dist").alias("d1"),
-        F.max(F.col("dist").isNull()).alias("d_open"),
-        F.min(F.col("n") - F.col("pos")).alias("left0"),
+        F.min("near").alias("near0"),
+        F.max("far").alias("far1"),
         F.max(F.col("n") - F.col("pos")).alias("left1"),
         F.max("pos").alias("pos1"),
     )
@@ -212,18 +248,18 @@ def link(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[DataFrame, Dat
     limit = 1 - percent / 100 + 1e-9
     sizes = f"100 * x.n1 >= {percent} * y.n0 AND 100 * y.n1 >= {percent} * x.n0"
     places = f"{100 + percent} * (least(x.pos1, y.pos1) + least(x.left1, y.left1)) >= {percent} * (x.n0 + y.n0)"
-    far = f"x.d_open OR y.d_open OR (x.d0 - y.d1 <= {limit} AND y.d0 - x.d1 <= {limit})"
-    # every pair of components of a list once; blocks of one component never meet
-    pairs = x.join(y, F.expr(f"x.token = y.token AND x.root < y.root AND ({sizes}) AND ({places}) AND ({far})"))
+    apart = f"x.near0 - y.far1 <= {limit} AND y.near0 - x.far1 <= {limit}"
+    # every two components of a list once; blocks of one component never meet
+    pairs = x.join(y, F.expr(f"x.token = y.token AND x.root < y.root AND ({sizes}) AND ({places}) AND ({apart})"))
     pairs = pairs.select(F.explode("x.m").alias("p"), F.col("y.m").alias("q")).select("p", F.explode("q").alias("q"))
     pairs = pairs.where(
         f"""100 * least(p.n, q.n) >= {percent} * greatest(p.n, q.n)
             AND {100 + percent} * (least(p.pos, q.pos) + least(p.n - p.pos, q.n - q.pos)) >= {percent} * (p.n + q.n)
-            AND coalesce(abs(p.dist - q.dist) <= {limit}, true)"""
+            AND p.near - q.far <= {limit} AND q.near - p.far <= {limit}"""
     ).select(F.least("p.c", "q.c").alias("a"), F.greatest("p.c", "q.c").alias("b")).distinct()
     done = answers.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = _compare(pairs.join(done, ["a", "b"], "left_anti"), sets, "rest")
-    return rows, links.unionByName(rest.where(_linked(percent)).select("a", "b"))
+    rest = _compare(pairs.join(done, ["a", "b"], "left_anti"), packed, keyed, reps, k, percent)
+    return rows, links.unionByName(rest.where("linked").select("a", "b"))
 
 
 def join_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
