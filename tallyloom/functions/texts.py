@@ -1,0 +1,195 @@
+"""Completions and program text: fences, code extraction, cut points, id specs. Row functions never raise and never run corpus code."""
+
+from __future__ import annotations
+
+import ast
+import io
+import re
+import textwrap
+import tokenize
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+_FENCE = re.compile(r"```([A-Za-z0-9_+-]*)")
+_STATEMENT = re.compile(r"^(?:import |from |@|def |class )", re.M)
+#: Lines dropped at most while looking for a text that parses or tokenizes.
+MAX_TRIMS, MAX_LIVE_TRIMS = 60, 64
+
+
+def parse_int_spec(spec: str) -> list[int]:
+    """'1-3,7' as [1, 2, 3, 7]; order and repeats stay."""
+    out: list[int] = []
+    for piece in filter(None, (p.strip() for p in spec.split(","))):
+        lo, dash, hi = piece.partition("-")
+        out += range(int(lo), int(hi) + 1) if dash else [int(lo)]
+    return out
+
+
+def int_spec(spec: Column) -> Column:
+    """The same as an array column."""
+    parts = F.filter(F.transform(F.split(spec, ","), F.trim), lambda p: p != "")
+    ends = lambda p: F.transform(F.split(p, "-"), lambda x: F.trim(x).cast("int"))
+    return F.flatten(F.transform(parts, lambda p: F.sequence(F.get(ends(p), F.lit(0)), F.element_at(ends(p), -1), F.lit(1))))
+
+
+def fence_spans(text: str) -> list[tuple[int, int]]:
+    """Bodies of fenced blocks. Only a fence with a tag opens one; any fence closes it; a tagged one opens the next; an open block runs to the end."""
+    spans, start = [], None
+    for m in _FENCE.finditer(text or ""):
+        if start is not None:
+            spans.append((start, m.start()))
+        start = m.end() if m.group(1) else None
+    if start is not None:
+        spans.append((start, len(text)))
+    return spans
+
+
+def unterminated(text: str) -> bool:
+    spans = fence_spans(text)
+    return bool(spans) and spans[-1][1] == len(text)
+
+
+def fenced_blocks(text: str) -> list[str]:
+    bodies = (textwrap.dedent(text[a:b]).strip("\n").strip() for a, b in fence_spans(text))
+    return [b for b in bodies if b]
+
+
+def parses(src: str) -> bool:
+    try:
+        ast.parse(src)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return False
+    return True
+
+
+def compiles(src: str) -> bool:
+    try:
+        compile(src, "<candidate>", "exec", dont_inherit=True)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return False
+    return True
+
+
+def defines(src: str, entry: str) -> bool:
+    try:
+        return any(isinstance(n, ast.ClassDef) and n.name == entry for n in ast.parse(src).body)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return False
+
+
+def largest_parseable_prefix(src: str) -> str:
+    """``src`` without the lines from its first syntax error on, again and again; '' if nothing is left."""
+    lines = src.split("\n")
+    for _ in range(MAX_TRIMS):
+        try:
+            ast.parse("\n".join(lines))
+            return "\n".join(lines).strip()
+        except SyntaxError as e:
+            lines = lines[: min(len(lines) - 1, max(0, (e.lineno or len(lines)) - 1))]
+        except (ValueError, RecursionError, MemoryError):
+            return ""
+        if not lines:
+            return ""
+    return ""
+
+
+def extract_code(text: str, entry: str = "ModelNew") -> str:
+    """The best block of a completion: compiling with the entry class, then parsing with it, then naming it, then compiling, parsing, any; the last of the best tier. Without fences: the text from its first statement, cut to what parses."""
+    blocks = fenced_blocks(text or "")
+    if blocks:
+        tiers = [lambda b: compiles(b) and defines(b, entry), lambda b: defines(b, entry), lambda b: f"class {entry}" in b, compiles, parses]
+        for tier in tiers:
+            best = [b for b in blocks if tier(b)]
+            if best:
+                return best[-1]
+        return blocks[0]
+    m = _STATEMENT.search(text or "")
+    if not m:
+        return (text or "").strip() if parses(text or "") else ""
+    body = text[m.start() :].strip()
+    return body if parses(body) else largest_parseable_prefix(body)
+
+
+def _code_lines(src: str) -> list[int] | None:
+    """Offsets after each logical line; None if the code does not tokenize."""
+    starts = [0]
+    for line in src.splitlines(keepends=True):
+        starts.append(starts[-1] + len(line))
+    try:
+        tokens = list(tokenize.generate_tokens(io.StringIO(src).readline))
+    except (tokenize.TokenError, SyntaxError, IndentationError, ValueError):
+        return None
+    return [starts[t.end[0] - 1] + t.end[1] if t.string == "\n" else starts[t.start[0]] for t in tokens if t.type == tokenize.NEWLINE and t.string]
+
+
+def cut_points(text: str, prose_every: int = 1, code_every: int = 1) -> list[tuple[int, str, int]] | None:
+    """(offset, prose or code, index): ends of logical lines in code, of lines with text in prose, every n-th of each kind; None if some code does not tokenize."""
+    text = text or ""
+    cuts, at = [], 0
+    for a, b in [*fence_spans(text), (len(text), len(text))]:
+        run = at
+        for line in text[at:a].splitlines(keepends=True):
+            run += len(line)
+            if line.strip() and line.endswith("\n"):
+                cuts.append((run, "prose"))
+        if b > a:
+            lines = _code_lines(text[a:b])
+            if lines is None:
+                return None
+            cuts += [(a + x, "code") for x in lines if x <= b - a]
+        at = b
+    seen = {"prose": 0, "code": 0}
+    out = []
+    for pos, kind in cuts:
+        seen[kind] += 1
+        if seen[kind] % (prose_every if kind == "prose" else code_every) == 0:
+            out.append((pos, kind, len(out)))
+    return out
+
+
+def live_cuts(text: str) -> list[tuple[int, str, int]]:
+    """Cut points of an unfinished text: trailing lines go until it tokenizes."""
+    for _ in range(MAX_LIVE_TRIMS):
+        cuts = cut_points(text)
+        if cuts is not None:
+            return cuts
+        text, newline, _ = text.rstrip("\n").rpartition("\n")
+        text += newline
+    return []
+
+
+_SPAN = T.ArrayType(T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())]))
+_CUT = T.ArrayType(T.StructType([T.StructField("char", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("index", T.IntegerType())]))
+fence_spans_udf = F.udf(fence_spans, _SPAN, useArrow=True)
+extract_code_udf = F.udf(extract_code, T.StringType(), useArrow=True)
+cut_points_udf = F.udf(cut_points, _CUT, useArrow=True)
+
+
+def prose_cuts(df: DataFrame, key: list[str], text: str) -> DataFrame:
+    """(key, char, index) after each line with text that a newline ends; folded within the row, no shuffle."""
+    lines = F.split(F.col(text), "\n", -1)
+    d = df.select(*key, F.slice(lines, 1, F.size(lines) - 1).alias("_l"))
+    ends = F.aggregate("_l", F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("cuts")), lambda a, x: F.struct((a["at"] + F.length(x) + 1).alias("at"), F.when(F.trim(F.translate(x, "\t\r\v\f", "    ")) != "", F.concat(a["cuts"], F.array(a["at"] + F.length(x) + 1))).otherwise(a["cuts"]).alias("cuts")))
+    return d.select(*key, F.posexplode(ends["cuts"]).alias("index", "char"))
+
+
+def common_prefix(a: Column, b: Column, limit: int = 256) -> Column:
+    """Length of the longest common prefix of two heads: the place of the first character that differs."""
+    a, b = F.substring(a, 1, limit), F.substring(b, 1, limit)
+    same = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.coalesce(x == y, F.lit(False)))
+    at = F.array_position(same, False)
+    return F.when(at > 0, at - 1).otherwise(F.length(a))
+
+
+def problem_id_from_name(name: Column, fallback: Column) -> Column:
+    return F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(name, r"(?:^|/)(\d+)[^/]*$", 1), F.lit("")), F.lit("999999999")).cast("long"), fallback)
+
+
+def keep_last(ids: Column, n: int) -> Column:
+    return F.when(F.size(ids) > n, F.slice(ids, -n, n)).otherwise(ids)
+
+
+def pad_right(ids: Column, width: Column, pad: int) -> Column:
+    return F.concat(ids, F.array_repeat(F.lit(pad), F.greatest(width - F.size(ids), F.lit(0))))

@@ -1,5 +1,6 @@
 """Names of the queries and their DuckDB counterparts."""
 
-QUERIES = {}
-ORACLES = {}
+from .queries import ORACLES, QUERIES
+
 FLAGSHIP = "fastp_report"
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
