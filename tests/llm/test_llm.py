@@ -120,6 +120,16 @@ def test_ngram_join(spark):
     assert ngram_join.join_components(empty_docs(spark)).count() == 0
 
 
+@pytest.mark.parametrize("small", [0, 1 << 18])
+def test_components(spark, small):
+    from tallyloom.llm.components import components
+
+    edges = [(i, i + 1) for i in range(1, 30)] + [(100, 90), (90, 95), (7, 7), (200, 201), (201, 200)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long"), small).collect()}
+    assert got == {**{i: 1 for i in range(1, 31)}, 90: 90, 95: 90, 100: 90, 200: 200, 201: 200}
+    assert components(spark.createDataFrame([], "a long, b long"), small).count() == 0
+
+
 def test_histograms_bound_overlaps():
     rng = np.random.RandomState(0)
     for _ in range(50):
