@@ -3,11 +3,10 @@
 A document's set holds its distinct ``k``-word shingles. Equal sets form a class; all
 that follows works on classes, so exact copies cost one.
 
-1. Order. Shingles that very many documents share go last, all others by hash. The
-   very frequent ones come from counting all documents (a batch reports a shingle it
-   holds in over one document of ``HEAVY_SHARE``; the counts are summed). They only
-   shape the order, so the list may stop at ``MAX_HEAVY`` entries and results stay
-   exact.
+1. Order. Shingles that many documents share go last, all others by hash. Batches
+   report the shingles that they hold twice or more; the counts are summed, and the
+   ``MAX_HEAVY`` most frequent of ``HEAVY`` or more are late. They only shape the
+   order: any choice gives the same result.
 2. Lists. Two sets that link share a shingle in their prefixes (the first
    n - ceil(0.85 n) + 1 in this order), so prefixes make the inverted lists. Lists of
    one are dropped.
@@ -18,8 +17,9 @@ that follows works on classes, so exact copies cost one.
    a component need no comparison with each other. A pair whose distances from the
    list's head are known and differ by over 0.15 cannot link (Jaccard distance is a
    metric): the answers of a set are derived from those of its head. Lists are cut into
-   blocks by component, distance and place; whole blocks are skipped on their bounds
-   (size, position, distance) before any member is looked at.
+   blocks in order of component and size; pairs of blocks are skipped whole on their
+   bounds (component, size, position, distance) before any member is looked at, and
+   what is left of two blocks is looked at in one task.
 5. The rest is compared exactly, and components are joined up.
 
 Comparisons look at histograms of the sets first (a bin for about three members; the
@@ -42,7 +42,7 @@ from .components import components
 from .runtime import materialize, release, row_key
 from .textscan import LOWER, NON_SPACE, Words, mix, slices
 
-HEAVY_SHARE, MAX_HEAVY = 1000, 1 << 18
+HEAVY, MAX_HEAVY = 12, 1 << 19
 #: Members of a block of an inverted list.
 BLOCK = 64
 
@@ -82,7 +82,7 @@ def _sketch(k: int):
             )
             if rows:
                 every, count = np.unique(np.concatenate(sets), return_counts=True)
-                often = count >= max(3, rows // HEAVY_SHARE)
+                often = count > 1
                 every, count = every[often], count[often]
                 m = len(every)
                 yield pa.RecordBatch.from_arrays(
@@ -164,6 +164,29 @@ def _overlap(batches):
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(inter, pa.int64())], names=["a", "b", "inter"])
 
 
+def _open_pairs(percent: int):
+    """(a, b) of two blocks' members that no rule settles: other components, fitting sizes and places, no distance from the head that forbids a link."""
+    limit = 1 - percent / 100 + 1e-9
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            p, q = ([{k: np.asarray(v.values.field(k)) for k in ("c", "root", "n", "pos", "near", "far")} for v in batch.column(name)] for name in ("p", "q"))
+            for x, y in zip(p, q, strict=True):
+                n, m = x["n"][:, None].astype(np.int64), y["n"][None, :].astype(np.int64)
+                i, j = x["pos"][:, None], y["pos"][None, :]
+                keep = (x["root"][:, None] != y["root"][None, :]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+                keep &= (100 + percent) * (np.minimum(i, j) + np.minimum(n - i, m - j)) >= percent * (n + m)
+                keep &= (x["near"][:, None] - y["far"][None, :] <= limit) & (y["near"][None, :] - x["far"][:, None] <= limit)
+                r, s = np.nonzero(keep)
+                a, b = x["c"][r], y["c"][s]
+                out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+            ab = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0].astype(np.int64)), pa.array(ab[:, 1].astype(np.int64))], names=["a", "b"])
+
+    return run
+
+
 def _bounds(batches):
     """(a, b, na, nb, most): the bound on the overlap from the histograms of both sets."""
     for batch in batches:
@@ -204,8 +227,7 @@ def link(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[DataFrame, Dat
     keyed = docs.select(*row_key(), "doc_id", "text")
     sketch = materialize(keyed.select("d", "t", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketch(k), "d long, t int, doc_id long, n int, c long, token long, heavy long"), "sketch")
     rows = sketch.where("token IS NULL").select("d", "t", "doc_id", "n", "c")
-    n_rows = rows.count()
-    heavy = sketch.where("token IS NOT NULL").groupBy("token").agg(F.sum("heavy").alias("n")).where(F.col("n") >= max(8, n_rows // (2 * HEAVY_SHARE)))
+    heavy = sketch.where("token IS NOT NULL").groupBy("token").agg(F.sum("heavy").alias("n")).where(F.col("n") >= HEAVY)
     heavy = np.sort(np.array([r["token"] for r in heavy.orderBy(F.desc("n"), "token").limit(MAX_HEAVY).collect()], np.int64).view(np.uint64))
 
     packed = docs.select("text").mapInArrow(_prefixes(k, percent, heavy), "c long, n int, prefix binary, hist binary").dropDuplicates(["c"])
@@ -232,10 +254,12 @@ def link(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[DataFrame, Dat
     e = e.join(open_lists, "token", "left_semi").join(known, ["head", "c"], "left")
     itself = F.col("head") == F.col("c")
     e = e.withColumns({"near": F.when(itself, 0.0).otherwise(F.coalesce("near", F.lit(0.0))), "far": F.when(itself, 0.0).otherwise(F.coalesce("far", F.lit(1.0)))})
-    order = Window.partitionBy("token", "root").orderBy("n", "pos", "c")
+    order = Window.partitionBy("token").orderBy("root", "n", "pos", "c")
     e = e.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK))
-    blocks = e.groupBy("token", "root", "block").agg(
-        F.collect_list(F.struct("c", "n", "pos", "near", "far")).alias("m"),
+    blocks = e.groupBy("token", "block").agg(
+        F.collect_list(F.struct("c", "root", "n", "pos", "near", "far")).alias("m"),
+        F.min("root").alias("root0"),
+        F.max("root").alias("root1"),
         F.min("n").alias("n0"),
         F.max("n").alias("n1"),
         F.min("near").alias("near0"),
@@ -246,17 +270,12 @@ def link(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[DataFrame, Dat
     blocks = materialize(blocks, "blocks")
     x, y = blocks.alias("x"), blocks.alias("y")
     limit = 1 - percent / 100 + 1e-9
+    mixed = "x.root0 <> x.root1 OR y.root0 <> y.root1 OR x.root0 <> y.root0"
     sizes = f"100 * x.n1 >= {percent} * y.n0 AND 100 * y.n1 >= {percent} * x.n0"
     places = f"{100 + percent} * (least(x.pos1, y.pos1) + least(x.left1, y.left1)) >= {percent} * (x.n0 + y.n0)"
     apart = f"x.near0 - y.far1 <= {limit} AND y.near0 - x.far1 <= {limit}"
-    # every two components of a list once; blocks of one component never meet
-    pairs = x.join(y, F.expr(f"x.token = y.token AND x.root < y.root AND ({sizes}) AND ({places}) AND ({apart})"))
-    pairs = pairs.select(F.explode("x.m").alias("p"), F.col("y.m").alias("q")).select("p", F.explode("q").alias("q"))
-    pairs = pairs.where(
-        f"""100 * least(p.n, q.n) >= {percent} * greatest(p.n, q.n)
-            AND {100 + percent} * (least(p.pos, q.pos) + least(p.n - p.pos, q.n - q.pos)) >= {percent} * (p.n + q.n)
-            AND p.near - q.far <= {limit} AND q.near - p.far <= {limit}"""
-    ).select(F.least("p.c", "q.c").alias("a"), F.greatest("p.c", "q.c").alias("b")).distinct()
+    pairs = x.join(y, F.expr(f"x.token = y.token AND x.block <= y.block AND ({mixed}) AND ({sizes}) AND ({places}) AND ({apart})"))
+    pairs = pairs.select(F.col("x.m").alias("p"), F.col("y.m").alias("q")).mapInArrow(_open_pairs(percent), "a long, b long").distinct()
     done = answers.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = _compare(pairs.join(done, ["a", "b"], "left_anti"), packed, keyed, reps, k, percent)
     return rows, links.unionByName(rest.where("linked").select("a", "b"))
