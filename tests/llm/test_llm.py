@@ -221,7 +221,7 @@ def test_em_trusts_the_reliable_labeler():
 
 
 def test_license_scan(spark):
-    docs = edge_docs(spark).select("doc_id", "text").unionByName(spark.createDataFrame([(60, "Use UNDER the mit-license. under the mit license"), (61, "licensed under gnu general public license, version 3 ok"), (62, "Cc BY nc by nc")], "doc_id long, text string"))
+    docs = edge_docs(spark).select("doc_id", "text").unionByName(spark.createDataFrame([(60, "Use UNDER the mit-license. under the mit license"), (61, "This work is licensed under gnu general public license, version 3 ok"), (62, "Cc BY nc by nc")], "doc_id long, text string"))
     got = {r["doc_id"]: r for r in license_scan.scan(docs).collect()}
     assert (got[60]["n_base"], got[60]["first_word"], got[60]["last_word"], got[60]["base_labels"]) == (2, 1, 5, "mit")
     assert got[61]["labels"] == "gpl-3" and got[61]["n_base"] == 0 and got[62]["base_labels"] == "cc-by-nc"
