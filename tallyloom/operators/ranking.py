@@ -123,3 +123,29 @@ def fast_p(df: DataFrame, problem: list[str], speed: str, thresholds: list[float
     one = df.groupBy(*problem).agg(F.max(speed).alias("s"))
     rows = one.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col("s") > p).alias(f"n{i}") for i, p in enumerate(thresholds)))
     return rows.select("n", F.explode(F.array(*(F.struct(F.lit(p).alias("p"), (F.col(f"n{i}") / F.col("n")).alias("fast")) for i, p in enumerate(thresholds)))).alias("x")).select("n", "x.p", "x.fast")
+
+
+def diversify(kept: list[tuple[str, str, float]], rest: list[tuple[str, str, float]], floor: int) -> list[str]:
+    """Ids of a beam with at least ``floor`` parents where that can be had: the best unrepresented parent comes in for the weakest member that has a sibling. Members are (id, parent, score)."""
+    beam = sorted(kept, key=lambda c: (-c[2], c[0]))
+    pool = sorted(rest, key=lambda c: (-c[2], c[0]))
+    while True:
+        parents = [p for _, p, _ in beam]
+        fresh = next((c for c in pool if c[1] not in parents), None)
+        spare = next((c for c in reversed(beam) if parents.count(c[1]) > 1), None)
+        if len(set(parents)) >= floor or fresh is None or spare is None:
+            return [c[0] for c in sorted(beam, key=lambda c: (-c[2], c[0]))]
+        beam[beam.index(spare)] = fresh
+        pool.remove(fresh)
+        beam.sort(key=lambda c: (-c[2], c[0]))
+
+
+def diverse_beam(df: DataFrame, problem: list[str], score: str, cid: str, parent: str, width: int, floor: int) -> DataFrame:
+    """(problem, cid) of a diversified beam for each problem. A problem's candidates are one step's children: tens."""
+    g = df.groupBy(*problem).agg(F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("s"), F.col(cid).cast("string").alias("c"), F.col(parent).cast("string").alias("p")))).alias("m"))
+
+    def pick(members):
+        rows = [(m["c"], m["p"], -m["s"]) for m in members]
+        return diversify(rows[:width], rows[width:], floor)
+
+    return g.select(*problem, F.explode(F.udf(pick, "array<string>")("m")).alias(cid))

@@ -331,3 +331,9 @@ def extract_code(spark, sf_dir):
     inline = spark.createDataFrame([(-1, "Plan.\n```python\nimport torch\nclass ModelNew:\n    pass\n```\nDone.\n"), (-2, "```py\nx = (\n"), (-3, "no code here\n")], "conv_id long, text string")
     d = table(spark, sf_dir, "conversations").select("conv_id", "text").unionByName(inline)
     return d.select("conv_id", F.size(X.fence_spans_udf("text")).alias("fences"), F.length(X.extract_code_udf("text")).alias("code_chars"), F.size(X.cut_points_udf("text")).alias("cuts"))
+
+
+@query()
+def diverse_beam(spark, sf_dir):
+    """Beams of three with at least two parents (runs) where a problem has them."""
+    return R.diverse_beam(candidates(spark, sf_dir), P, "prm", "sample_id", "run_name", 3, 2)
