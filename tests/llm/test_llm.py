@@ -275,7 +275,7 @@ def test_url_filter_edge_cases(spark):
 
 def test_pipeline_against_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    kept = {r["doc_id"] for r in quality_rules.judge(docs).where("kept").collect()}
+    kept = {r["doc_id"] for r in quality_rules.judge(docs).select("doc_id", "kept").collect() if r["kept"]}
     rows = [(r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] in kept]
     leads = {c for _, n, c in brute_components(rows, 5, 80)}
     items = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r["text"].lower()) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
