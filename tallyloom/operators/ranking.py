@@ -41,6 +41,22 @@ def ordered_pairs(df: DataFrame, group: list[str], key: str, cols: list[str]) ->
     return a.join(b, group).where(F.col(f"{key}_a") < F.col(f"{key}_b"))
 
 
+def longest_shared_prefix(df: DataFrame, group: str, key: str, text: str) -> DataFrame:
+    """(group, n, longest) over all pairs of a group with different keys, without making pairs: n from counts; longest, up to 256 characters, in four rounds, as a prefix that two rows share is shared at every shorter length."""
+    df = df.where(F.col(group).isNotNull() & F.col(key).isNotNull())
+    c = df.groupBy(group, key).agg(F.count(F.lit(1)).alias("c")).groupBy(group).agg(F.expr("(sum(c) * sum(c) - sum(c * c)) div 2").alias("n"))
+    heads = df.groupBy(group, text).agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))
+    best = c.where("n > 0").withColumn("longest", F.lit(0))
+    for step, top in ((64, 4), (16, 3), (4, 3), (1, 3)):
+        # the length found so far stays a row of its own, for groups without a longer one
+        d = heads.join(F.broadcast(best), group).withColumn("_n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(top)), lambda i: F.col("longest") + i * step)))
+        d = d.where((F.col("_n") == F.col("longest")) | (F.length(text) >= F.col("_n")))
+        d = d.withColumn("_p", F.when(F.col("_n") > F.col("longest"), F.col(text).substr(F.lit(1), F.col("_n"))))
+        p = d.groupBy(group, "n", "longest", "_n", "_p").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+        best = p.groupBy(group, "n").agg(F.max(F.when((F.col("_p").isNull()) | (F.col("_lo") < F.col("_hi")), F.col("_n"))).cast("int").alias("longest"))
+    return best
+
+
 def pair_accuracy(df: DataFrame, group: list[str], key: str, score: str, rel: str) -> DataFrame:
     """Pooled over all lists: pairs of different rel that the score orders strictly right (a tie is wrong)."""
     p = ordered_pairs(df, group, key, [score, rel]).where(F.col(f"{rel}_a") != F.col(f"{rel}_b"))

@@ -214,10 +214,9 @@ def prose_cuts(spark, sf_dir):
 
 @query("""WITH h AS (SELECT doc_id, source, left(text, 256) AS t FROM documents WHERE doc_id % 7 = 0 AND text IS NOT NULL) SELECT a.source, count(*) AS n, max(len(list_filter(range(1, 257), lambda i: i <= least(length(a.t), length(b.t)) AND left(a.t, i) = left(b.t, i))))::INT AS longest FROM h a JOIN h b ON a.source = b.source AND a.doc_id < b.doc_id GROUP BY a.source""")
 def sibling_lcp(spark, sf_dir):
-    """Siblings are a stated slice of each source (every seventh id): the reference compares samples of one problem, never whole sources."""
-    d = table(spark, sf_dir, "documents").where("doc_id % 7 = 0 AND text IS NOT NULL").select("source", "doc_id", F.substring("text", 1, 256).alias("t"))
-    p = R.ordered_pairs(d, ["source"], "doc_id", ["t"])
-    return p.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.max(X.common_prefix(F.col("t_a"), F.col("t_b"))).cast("int").alias("longest"))
+    """Pairs of a source's documents with different ids, and the longest common prefix of two heads."""
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("source", "doc_id", F.substring("text", 1, 256).alias("t"))
+    return R.longest_shared_prefix(d, "source", "doc_id", "t")
 
 
 _TOK = """tok AS (SELECT vec_id, label, [ln(exp(x::DOUBLE) / z) for x in e] AS lp FROM (SELECT vec_id, label, embedding AS e, list_sum([exp(x::DOUBLE) for x in embedding]) AS z FROM embeddings))"""

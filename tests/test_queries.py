@@ -1,5 +1,8 @@
 """Every query of the registry against its DuckDB counterpart, and those without one for shape and reruns."""
 
+import itertools
+import os
+
 import pytest
 from oracle import assert_same
 
@@ -21,3 +24,18 @@ def test_entry(spark):
     import __spark_entry__
 
     assert FLAGSHIP in QUERIES and __spark_entry__.entry(spark).count() > 0
+
+
+def test_sibling_lcp_takes_all_documents(spark, tmp_path):
+    """Every pair of a source counts, whatever the ids; null and repeated ids pair as the join a.doc_id < b.doc_id has them."""
+    rows = [(1, "s", "abcde"), (2, "s", "abcdx"), (3, "s", "b"), (7, "s", "abz"), (8, "u", "x" * 300), (9, "u", "x" * 299 + "y"), (10, "v", "one"), (11, "w", ""), (12, "w", "q"), (13, "z", None), (14, "z", "only")]
+    rows += [(20, "r", "same text"), (20, "r", "same text"), (21, "r", "same"), (None, "r", "same text"), (22, None, "k"), (23, None, "k"), (30, "e", "\u00e9\U0001f600a"), (31, "e", "\u00e9\U0001f600b")]
+    rows += [(100 + i, "m", "m" * i) for i in range(1, 258, 3)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {}
+    for (i, s, x), (j, u, y) in itertools.permutations(rows, 2):
+        if s is not None and s == u and None not in (i, j, x, y) and i < j:
+            n, best = want.get(s, (0, 0))
+            want[s] = n + 1, max(best, len(os.path.commonprefix([x[:256], y[:256]])))
+    got = QUERIES["sibling_lcp"](spark, str(tmp_path))
+    assert {r["source"]: (r["n"], r["longest"]) for r in got.collect()} == want
