@@ -148,13 +148,24 @@ def sampled_depths(c: DataFrame, n_strata: int, lo: float, hi: float, seed: int)
 
 
 def null_spreads(scores: DataFrame, list_key: list[str], item: str, score: str, rounds: int, seed: int) -> DataFrame:
-    """Bootstrap null of each list's spread: every item redraws its scores from the list's pool, by hash; spread is half the range of item means."""
-    pool = scores.groupBy(*list_key).agg(F.array_sort(F.collect_list(score)).alias("pool"))  # a list is bounded by its builder
-    items = scores.groupBy(*list_key, item).agg(F.count(F.lit(1)).alias("n")).join(pool, list_key)
-    d = items.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("draw", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
-    at = F.floor(L.hash_uniform(seed, *map(F.col, list_key), F.col(item), F.col("round"), F.col("draw")) * F.size("pool")).cast("int")
-    means = d.withColumn("v", F.get("pool", at)).groupBy(*list_key, "round", item).agg(F.avg("v").alias("m"))
-    return means.groupBy(*list_key, "round").agg(((F.max("m") - F.min("m")) / 2).alias("spread"))
+    """Bootstrap null of each list's spread (list_key, spreads: one for each round): every item redraws its scores from the list's pool, by hash; a spread is the range of item means, on the scale of the scores. A list stays in its row, as its builder bounds it."""
+    items = scores.groupBy(*list_key, item).agg(F.count(F.lit(1)).cast("int").alias("n"), F.collect_list(score).alias("s"))
+    d = items.groupBy(*list_key).agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("pool"), F.collect_list(F.struct(F.col(item).alias("i"), "n")).alias("items"))
+
+    def mean(x, r):
+        draw = lambda k: F.get("pool", F.floor(L.hash_uniform(seed, *map(F.col, list_key), x["i"], r, k) * F.size("pool")).cast("int"))
+        return F.aggregate(F.transform(F.sequence(F.lit(0), x["n"] - 1), draw), F.lit(0.0), lambda a, v: a + v) / x["n"]
+
+    def spread(r):
+        means = F.array(F.transform("items", lambda x: mean(x, r)))
+        return F.transform(means, lambda m: F.array_max(m) - F.array_min(m))[0]
+
+    return d.select(*list_key, F.transform(F.sequence(F.lit(0), F.lit(rounds - 1)), spread).alias("spreads"))
+
+
+def quantile(xs: Column, q: float) -> Column:
+    """The q-th quantile of an array by nearest rank, without interpolation: place min(floor(q n), n - 1) of the sorted values."""
+    return F.get(F.array_sort(xs), F.least(F.floor(F.lit(q) * F.size(xs)), F.size(xs) - 1).cast("int"))
 
 
 def expectations(df: DataFrame, checks: list[tuple[str, Column]]) -> DataFrame:

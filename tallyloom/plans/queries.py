@@ -17,6 +17,7 @@ from ..sources.adapters import CANDIDATES_SQL, candidates, table, target_sql
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 P = ["level", "problem_id"]
+NULL_REPLICATES = 200
 WITH = f"WITH {CANDIDATES_SQL}"
 
 
@@ -278,9 +279,11 @@ def imputed_values(spark, sf_dir):
 
 @query()
 def null_bootstrap(spark, sf_dir):
-    s = _anchors(spark, sf_dir).where("problem_id % 20 = 0").select(*P, "sample_id", "target")
-    n = B.null_spreads(s, P, "sample_id", "target", 20, 11)
-    return n.groupBy(*P).agg(F.element_at(F.array_sort(F.collect_list("spread")), 20).alias("q95"), F.avg("spread").alias("mean"))
+    """q95 and mean of the null of every list, over as many replicates as the reference draws."""
+    s = _anchors(spark, sf_dir).select(*P, "sample_id", "target")
+    n = B.null_spreads(s, P, "sample_id", "target", NULL_REPLICATES, 11)
+    mean = F.aggregate("spreads", F.lit(0.0), lambda a, x: a + x) / F.size("spreads")
+    return n.select(*P, B.quantile(F.col("spreads"), 0.95).alias("q95"), mean.alias("mean"))
 
 
 @query(f"""{WITH}, d AS (SELECT level, problem_id, quantile_disc(line, 0.5) AS ruler FROM candidates GROUP BY ALL), s AS (SELECT level, problem_id, ruler::INT AS ruler, r.range AS s, ('0x' || substr(md5('5:' || level || ':' || problem_id || ':' || r.range), 1, 12))::BIGINT::DOUBLE / 281474976710656.0::DOUBLE AS u FROM d, range(3) r)

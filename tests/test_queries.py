@@ -1,11 +1,14 @@
 """Every query of the registry against its DuckDB counterpart, and those without one for shape and reruns."""
 
+import hashlib
 import itertools
 import os
 
 import pytest
 from oracle import assert_same
 
+from tallyloom.operators import build as B
+from tallyloom.plans import queries as Q
 from tallyloom.plans.registry import FLAGSHIP, ORACLES, QUERIES
 
 
@@ -39,3 +42,32 @@ def test_sibling_lcp_takes_all_documents(spark, tmp_path):
             want[s] = n + 1, max(best, len(os.path.commonprefix([x[:256], y[:256]])))
     got = QUERIES["sibling_lcp"](spark, str(tmp_path))
     assert {r["source"]: (r["n"], r["longest"]) for r in got.collect()} == want
+
+
+def null_of(key, items, rounds, seed):
+    """Spreads of the null of a list {item: its scores}, drawn by the same hashes."""
+    pool = sorted(x for s in items.values() for x in s)
+    u = lambda *k: int(hashlib.md5(":".join(map(str, (seed, *key, *k))).encode()).hexdigest()[:12], 16) / 2**48
+    means = [[sum(pool[int(u(i, r, k) * len(pool))] for k in range(len(s))) / len(s) for i, s in items.items()] for r in range(rounds)]
+    return [max(m) - min(m) for m in means]
+
+
+def test_null_bootstrap_takes_all_lists(spark, sf):
+    """Every problem with a target has its null, of 200 replicates, and q95 is the value at place int(0.95 n) of the sorted spreads."""
+    lists = {}
+    for r in Q._anchors(spark, sf).collect():
+        lists.setdefault((r["level"], r["problem_id"]), {})[r["sample_id"]] = [r["target"]]
+    got = {(r["level"], r["problem_id"]): (r["q95"], r["mean"]) for r in QUERIES["null_bootstrap"](spark, sf).collect()}
+    assert got.keys() == lists.keys() and any(p % 20 for _, p in got)
+    for key in sorted(lists)[::25]:
+        x = null_of(key, lists[key], 200, 11)
+        assert got[key] == pytest.approx((sorted(x)[190], sum(x) / 200))
+
+
+def test_null_spreads(spark):
+    """Items of several scores redraw as many as they have; the spread is on the scale of the scores."""
+    rows = [(1, "a", 0.0), (1, "a", 1.0), (1, "b", 0.25), (1, "c", 0.5), (1, "c", 0.75), (1, "c", 1.0), (2, "a", 0.5)]
+    got = {r["p"]: r["spreads"] for r in B.null_spreads(spark.createDataFrame(rows, "p long, i string, v double"), ["p"], "i", "v", 7, 3).collect()}
+    assert got[1] == pytest.approx(null_of((1,), {"a": [0.0, 1.0], "b": [0.25], "c": [0.5, 0.75, 1.0]}, 7, 3)) and got[2] == [0.0] * 7
+    d = spark.createDataFrame([([3.0, 1.0, 2.0],), ([5.0],)], "x array<double>")
+    assert [r[0] for r in d.select(B.quantile(d.x, 0.95)).collect()] == [3.0, 5.0]
