@@ -11,10 +11,12 @@ of ``WALKS`` walks; windows and items that agree on a table's sample are candida
 and an exact edit distance decides. With 40 tables of 3 samples, a pair that agrees in
 half of the places of its walk is missed with probability (7/8)^40, under 1 in 200.
 
-Windows have about the item's own length, at every word of every document. Each edit
-spoils q word q-grams at most, so a window of n words within e edits of an item holds
-n + 1 - q - q e of them that occur in the benchmark; windows with fewer (q = 2 or 3) are
-not embedded, and nothing is lost by that. Bitmaps of fixed size (the benchmark's word
+Windows have about the item's own length, at every word of every document, and run past
+both ends of a document by as many words as edits can take away; a missing word counts
+as the word 0. Each edit spoils q word q-grams at most, so a window of n words within e
+edits of an item holds n + 1 - q - q e of them that occur in the benchmark; windows with
+fewer (q = 2 or 3) are not embedded, and nothing is lost by that: words that are missing
+at an end are edits of the item themselves, so the bound holds there as it is. Bitmaps of fixed size (the benchmark's word
 pairs, word triples and table keys) let each task drop what cannot match; a large benchmark fills them up and
 costs time, not results.
 
@@ -189,6 +191,32 @@ def _bitmap_slots(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int32)), pa.array(x, pa.int64())], names=["kind", "slot"])
 
 
+def reach(n: int, max_edits: float) -> tuple[int, int]:
+    """Words of the longest item that windows of n words stand for, and the most edits that it allows."""
+    longest = n + n // 7 + 1
+    return longest, int(max_edits * longest)
+
+
+def padded(w, lengths: list[int], max_edits: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, place, begin, end): the words with zeros around every row, for windows that run past its ends, where each word stands, and each row's bounds. A row has as many zeros as the windows that it can hold may miss words."""
+    most = np.array([reach(n, max_edits)[1] for n in lengths], np.int64)
+    least = np.maximum.accumulate(np.array(lengths, np.int64) - most) if len(lengths) else most
+    size = np.diff(w.first)
+    need = np.append(0, np.maximum.accumulate(most) if len(lengths) else most)[np.searchsorted(least, size, "right")]
+    shift = np.cumsum(np.maximum(need, np.append(0, need[:-1])))
+    begin = w.first[:-1] + shift
+    place = np.arange(len(w.hash)) + np.repeat(shift, size)
+    hashes = np.zeros(int(begin[-1] + size[-1] + need[-1]), np.uint64)
+    hashes[place] = w.hash
+    return hashes, place, begin, begin + size
+
+
+def _inside(at: np.ndarray, n: int, most: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether the windows hold all but ``most`` of their n words in one row."""
+    row = np.minimum(np.searchsorted(end, at, "right"), len(end) - 1)
+    return np.minimum(end[row], at + n) - np.maximum(begin[row], at) >= n - most
+
+
 def _regions(maps: dict[int, bytes], lengths: list[int], max_edits: float):
     """(d, t, first, words, keys): runs of windows that share a key with an item, with as many words more on either side as edits can add."""
 
@@ -198,36 +226,36 @@ def _regions(maps: dict[int, bytes], lengths: list[int], max_edits: float):
             d, t = batch.column("d").to_numpy(zero_copy_only=False), batch.column("t").to_numpy(zero_copy_only=False)
             out = {k: [] for k in ("d", "t", "first", "words", "keys")}
             for a, _, w in slices(batch.column("text"), ALNUM, LOWER):
+                hashes, place, begin, end = padded(w, lengths, max_edits)
                 good = {}
-                for q in (2, 3):  # q-grams of the benchmark that start before each word
+                for q in (2, 3):  # q-grams of the benchmark that start before each place
                     start, h = w.windows(q)
-                    known = np.zeros(len(w.hash) + 1, np.int32)
-                    known[start + 1] = bits[q][_slot(h)]
+                    known = np.zeros(len(hashes) + 1, np.int32)
+                    known[place[start] + 1] = bits[q][_slot(h)]
                     good[q] = np.cumsum(known)
                 for n in lengths:
-                    longest = n + n // 7 + 1
-                    most = int(max_edits * longest)
-                    last = len(w.hash) - n
+                    longest, most = reach(n, max_edits)
+                    last = len(hashes) - n
                     if last < 0:
                         continue
                     at = np.flatnonzero(good[2][n - 1 : n + last] - good[2][: last + 1] >= max(1, n - 1 - 2 * most))
                     at = at[good[3][at + n - 2] - good[3][at] >= n - 2 - 3 * most]
-                    at = at[w.doc[at] == w.doc[at + n - 1]]
+                    at = at[_inside(at, n, most, begin, end)]
                     for at in np.array_split(at, -(-len(at) // 20_000)) if len(at) else ():
-                        k = _keys(w.hash, at, n)
+                        k = _keys(hashes, at, n)
                         hit = bits[1][_slot(mix(k))]
                         some = hit.any(axis=1)
                         at, k, hit = at[some], k[some], hit[some]
                         if not len(at):
                             continue
-                        row = w.doc[at]
+                        row = np.searchsorted(end, at, "right")
                         edges = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(at, prepend=-n - 1) > n))
                         for i, j in zip(edges, np.append(edges[1:], len(at)), strict=True):
-                            lo, hi = max(at[i] - most, w.first[row[i]]), min(at[j - 1] + longest + most, w.first[row[i] + 1])
+                            lo, hi = max(at[i] - most, begin[row[i]]), min(at[j - 1] + longest + most, end[row[i]])
                             out["d"].append(int(d[a + row[i]]))
                             out["t"].append(int(t[a + row[i]]))
-                            out["first"].append(int(lo - w.first[row[i]]))
-                            out["words"].append(w.hash[lo:hi].tobytes())
+                            out["first"].append(int(lo - begin[row[i]]))
+                            out["words"].append(hashes[lo:hi].tobytes())
                             out["keys"].append(np.unique(k[i:j][hit[i:j]].view(np.int64)))
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))

@@ -165,6 +165,56 @@ def test_decontamination_recall():
     assert hit >= 90
 
 
+def cut_copies(rng, place, how):
+    """(document, item) of 100 copies with a fifth of their words edited, or lost at the document's end, standing first, last or alone in a document."""
+    for _ in range(100):
+        n = rng.randint(15, 60)
+        item = [f"i{x}" for x in rng.randint(1, 10**9, n)]
+        text, most = list(item), int(0.2 * n)
+        if how == "edited":
+            for _ in range(most):
+                op, p = rng.randint(3), rng.randint(len(text))
+                text[p : p + (op != 1)] = [] if op == 2 else [f"x{rng.randint(10**9)}"]
+        elif how == "short":
+            text = text[most:] if place == "first" else text[: n - most]
+        else:
+            for _ in range(most):
+                del text[rng.randint(len(text))]
+        pad = [f"f{x}" for x in rng.randint(1, 10**9, 80)]
+        yield " ".join({"first": text + pad, "last": pad + text, "alone": text, "middle": pad[:40] + text + pad[40:]}[place]), " ".join(item)
+
+
+@pytest.mark.parametrize("how", ["edited", "short", "less"])
+@pytest.mark.parametrize("place", ["first", "last", "alone", "middle"])
+def test_decontamination_recall_at_ends(place, how):
+    docs, items = zip(*cut_copies(np.random.RandomState(7), place, how), strict=True)
+    items = pa.record_batch([pa.array(range(len(items)), pa.int64()), pa.array(items)], names=["item_id", "text"])
+    slots = [r for b in decontaminate._bitmap_slots([items]) for r in b.to_pylist()]
+    maps = {}
+    for kind in (1, 2, 3):
+        bits = np.zeros(1 << decontaminate.FILTER_BITS, bool)
+        bits[[r["slot"] for r in slots if r["kind"] == kind]] = True
+        maps[kind] = np.packbits(bits).tobytes()
+    keys = {(r["key"], r["item_id"]) for b in decontaminate._item_rows([items]) for r in b.to_pylist()}
+    batch = pa.record_batch([pa.array(range(len(docs)), pa.int64()), pa.array([0] * len(docs), pa.int32()), pa.array(docs)], names=["d", "t", "text"])
+    found = decontaminate._regions(maps, sorted({r["slot"] for r in slots if r["kind"] == 0}), 0.2)([batch])
+    hit = {r["d"] for b in found for r in b.to_pylist() if any((k, r["d"]) in keys for k in r["keys"])}
+    print(place, how, len(hit))
+    assert len(hit) >= 93
+
+
+def test_decontamination_of_whole_documents(spark):
+    """An item less one word as a whole document, and copies that a document's end cuts, at every length."""
+    rows, items = [], []
+    for n in range(8, 49):
+        ws = [f"n{n}w{i}" for i in range(n)]
+        items.append((n, " ".join(ws)))
+        rows += [(1000 + n, " ".join(ws[: n // 2] + ws[n // 2 + 1 :])), (2000 + n, "some words before " + " ".join(ws[: n - int(0.2 * n)])), (3000 + n, " ".join(ws[int(0.2 * n) :]) + " some words after")]
+    docs = spark.createDataFrame([*rows, (1, None), (2, ""), (3, "one")], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["edits"] for r in decontaminate.report(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(k + n, n): 1 if k == 1000 else int(0.2 * n) for n in range(8, 49) for k in (1000, 2000, 3000)}
+
+
 def test_chain_marginals_match_enumeration():
     rng = np.random.RandomState(1)
     emit, trans = rng.randn(9), np.array([-1.0, 0.7, -0.3])
