@@ -20,6 +20,8 @@ at an end are edits of the item themselves, so the bound holds there as it is. B
 pairs, word triples and table keys) let each task drop what cannot match; a large benchmark fills them up and
 costs time, not results.
 
+Items of fewer than ``MIN_WORDS`` words are matched exactly, by their whole word sequence.
+
 Items are a stated query set; documents are never compared with each other. Candidate
 regions carry their own words, so no text is shuffled. Nulls: a null or
 empty text holds no window, a null or empty item no words, and neither is ever
@@ -41,7 +43,7 @@ from .textscan import ALNUM, LOWER, mix, slices
 
 WALKS, TABLES, SAMPLES = 8, 40, 3
 MAX_EDITS = 0.2
-#: Items of fewer words are too short to tell.
+#: Items of fewer words are too short for edits and are matched exactly.
 MIN_WORDS = 8
 #: Bits of the bitmaps (a fixed 2 MB each, whatever the benchmark holds).
 FILTER_BITS = 24
@@ -103,6 +105,20 @@ def _keys(hashes: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _exact_keys(sequences: np.ndarray, n: int) -> np.ndarray:
+    """Keys of whole sequences of n words (their hashes), for items of fewer than MIN_WORDS words."""
+    with np.errstate(over="ignore"):
+        return mix(sequences ^ _C * np.uint64(n))
+
+
+def _item_keys(w, whole: np.ndarray, r: int) -> np.ndarray:
+    """The keys of item r of ``w``, one for each table, or one of all its words (``whole``: their hash) where they are few; none without words."""
+    a, b = w.first[r], w.first[r + 1]
+    if b - a >= MIN_WORDS:
+        return _keys(w.hash[a:b], np.zeros(1, np.int64), _length_class(b - a))[0]
+    return _exact_keys(whole[r : r + 1], b - a) if b > a else np.zeros(0, np.uint64)
+
+
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     """Words inserted, deleted or replaced to turn a into b; ``most`` + 1 if more."""
     if abs(len(a) - len(b)) > most:
@@ -147,23 +163,22 @@ def _item_rows(batches):
         ids = batch.column("item_id")
         cols = {"key": [], "item_id": []}
         for a, b, w in slices(batch.column("text"), ALNUM, LOWER):
+            whole = w.hash_of(w.first[:-1], w.first[1:])
             for r in range(a, b):
-                h = w.hash[w.first[r - a] : w.first[r - a + 1]]
-                if len(h) >= MIN_WORDS:
-                    keys = np.unique(_keys(h, np.zeros(1, np.int64), _length_class(len(h)))[0].view(np.int64))
-                    cols["key"] += keys.tolist()
-                    cols["item_id"] += [ids[r].as_py()] * len(keys)
+                keys = np.unique(_item_keys(w, whole, r - a).view(np.int64))
+                cols["key"] += keys.tolist()
+                cols["item_id"] += [ids[r].as_py()] * len(keys)
         yield pa.RecordBatch.from_arrays([pa.array(cols["key"], pa.int64()), pa.array(cols["item_id"], pa.int64())], names=list(cols))
 
 
 def _item_words(batches):
-    """(item_id, item): the words of each item that is long enough."""
+    """(item_id, item): the words of each item that has any."""
     for batch in batches:
         ids, words = [], []
         for a, b, w in slices(batch.column("text"), ALNUM, LOWER):
             for r in range(a, b):
                 h = w.hash[w.first[r - a] : w.first[r - a + 1]]
-                if len(h) >= MIN_WORDS:
+                if len(h):
                     ids.append(batch.column("item_id")[r].as_py())
                     words.append(h.tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.binary())], names=["item_id", "item"])
@@ -174,18 +189,18 @@ def _slot(h: np.ndarray) -> np.ndarray:
 
 
 def _bitmap_slots(batches):
-    """(kind, slot): places that the items take in the bitmap of keys (1), their window lengths (0), and places in the bitmaps of word pairs (2) and triples (3)."""
+    """(kind, slot): places that the items take in the bitmap of keys (1), their window lengths (0; those of short items, which are their own, are under MIN_WORDS), and places in the bitmaps of word pairs (2) and triples (3)."""
     for batch in batches:
         grams, keys, lengths = {2: [], 3: []}, [], set()
         for a, b, w in slices(batch.column("text"), ALNUM, LOWER):
             for q in grams:
                 grams[q].append(_slot(w.windows(q)[1]))
+            whole = w.hash_of(w.first[:-1], w.first[1:])
             for r in range(b - a):
-                h = w.hash[w.first[r] : w.first[r + 1]]
-                if len(h) >= MIN_WORDS:
-                    n = _length_class(len(h))
-                    lengths.add(n)
-                    keys.append(_slot(mix(_keys(h, np.zeros(1, np.int64), n)[0])))
+                n = int(w.first[r + 1] - w.first[r])
+                if n:
+                    lengths.add(_length_class(n) if n >= MIN_WORDS else n)
+                    keys.append(_slot(mix(_item_keys(w, whole, r))))
         for kind, x in ((0, [np.array(sorted(lengths), np.int64)]), (1, keys), *grams.items()):
             x = np.unique(np.concatenate(x)) if x else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int32)), pa.array(x, pa.int64())], names=["kind", "slot"])
@@ -220,6 +235,8 @@ def _inside(at: np.ndarray, n: int, most: int, begin: np.ndarray, end: np.ndarra
 def _regions(maps: dict[int, bytes], lengths: list[int], max_edits: float):
     """(d, t, first, words, keys): runs of windows that share a key with an item, with as many words more on either side as edits can add."""
 
+    short, lengths = [n for n in lengths if n < MIN_WORDS], [n for n in lengths if n >= MIN_WORDS]
+
     def run(batches):
         bits = {k: np.unpackbits(np.frombuffer(x, np.uint8)).astype(bool) for k, x in maps.items()}
         for batch in batches:
@@ -233,6 +250,20 @@ def _regions(maps: dict[int, bytes], lengths: list[int], max_edits: float):
                     known = np.zeros(len(hashes) + 1, np.int32)
                     known[place[start] + 1] = bits[q][_slot(h)]
                     good[q] = np.cumsum(known)
+                for n in short:
+                    at, h = w.windows(n)
+                    k = _exact_keys(h, n)
+                    hit = bits[1][_slot(mix(k))]
+                    at, k = at[hit], k[hit]
+                    # the first place of a sequence in each row is enough
+                    _, once = np.unique(np.stack([w.doc[at], k.view(np.int64)]), axis=1, return_index=True)
+                    for i in once:
+                        row = w.doc[at[i]]
+                        out["d"].append(int(d[a + row]))
+                        out["t"].append(int(t[a + row]))
+                        out["first"].append(int(at[i] - w.first[row]))
+                        out["words"].append(w.hash[at[i] : at[i] + n].tobytes())
+                        out["keys"].append(k[i : i + 1].view(np.int64))
                 for n in lengths:
                     longest, most = reach(n, max_edits)
                     last = len(hashes) - n
@@ -273,7 +304,7 @@ def _verify(max_edits: float):
             for r in range(batch.num_rows):
                 item = np.frombuffer(col["item"][r].as_py(), np.uint64)
                 text = np.frombuffer(col["words"][r].as_py(), np.uint64)
-                most = int(max_edits * len(item))
+                most = int(max_edits * len(item)) if len(item) >= MIN_WORDS else 0
                 edits, i, j = best_window(text, item, most)
                 if edits <= most:
                     first = col["first"][r].as_py()

@@ -215,6 +215,17 @@ def test_decontamination_of_whole_documents(spark):
     assert got == {(k + n, n): 1 if k == 1000 else int(0.2 * n) for n in range(8, 49) for k in (1000, 2000, 3000)}
 
 
+def test_decontamination_of_short_items(spark):
+    """Items of one to seven words are reported where a document holds them word for word, and only there."""
+    seven = "a1 a2 a3 a4 a5 a6 a7"
+    items = [(1, "One, two three!"), (2, "lonely"), (3, seven), (4, "\u4eca\u5929\u5929\u6c14\u5f88\u597d"), (5, "two three"), (6, None), (7, " . "), (8, PASSAGE), (9, "lonely")]
+    docs = [(1, "zero one two three four one two three"), (2, "Lonely"), (3, "x " + seven), (4, seven.replace("a4 ", "")), (5, "\u4eca\u5929\u5929\u6c14\u5f88\u597d"), (6, "one two"), (7, "three"), (8, PASSAGE + " lonely"), (None, "a two three"), (9, None), (10, "")]
+    items, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((tuple(r) for r in decontaminate.report(docs, items).collect()), key=repr)
+    want = [(1, 1, 0, 3, 1, 3), (1, 5, 0, 2, 2, 3), (2, 2, 0, 1, 0, 0), (2, 9, 0, 1, 0, 0), (3, 3, 0, 7, 1, 7), (5, 4, 0, 1, 0, 0), (8, 2, 0, 1, 45, 45), (8, 8, 0, 45, 0, 44), (8, 9, 0, 1, 45, 45), (None, 5, 0, 2, 1, 2)]
+    assert got == sorted(want, key=repr)
+
+
 def test_chain_marginals_match_enumeration():
     rng = np.random.RandomState(1)
     emit, trans = rng.randn(9), np.array([-1.0, 0.7, -0.3])
