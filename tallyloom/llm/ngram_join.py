@@ -282,20 +282,20 @@ def link(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[DataFrame, Dat
 
 
 def join_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
-    """d, t, doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
+    """d, t, doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text), and root, which tells components apart where ids are null or repeated (null for the empty set)."""
     rows, links = link(docs, k, percent)
     rows = rows.join(components(links).withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     ids = rows.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = rows.where("n > 0").join(ids, "root").select("d", "t", "doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    return out.unionByName(rows.where("n = 0").select("d", "t", "doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    out = rows.where("n > 0").join(ids, "root").select("d", "t", "doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "root")
+    return out.unionByName(rows.where("n = 0").select("d", "t", "doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root")))
 
 
 def keep_one(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """The rows of ``docs`` that stand for their component: its smallest doc_id, once; rows with the empty set stay. All columns are kept."""
     own = docs.columns
     parts = join_components(docs, k, percent).where("n_shingles > 0")
-    # a component's id is one of its rows' ids; among repeated ids the smallest text hash stands, once
-    lead = parts.where("doc_id <=> component_id").groupBy(F.col("d").alias("_d")).agg(F.min("t").alias("_t"))
+    # one row for each component, nulls last; among repeated ids the smallest text hash stands, once
+    lead = parts.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "t", "d")).alias("x")).select(F.col("x.d").alias("_d"), F.col("x.t").alias("_t"))
     member = parts.select(F.col("d").alias("_d"), F.col("t").alias("_t")).distinct()
     d, t = row_key()
     rows = docs.withColumns({"_d": d, "_t": t})

@@ -120,6 +120,16 @@ def test_ngram_join(spark):
     assert ngram_join.join_components(empty_docs(spark)).count() == 0
 
 
+def test_keep_one_of_each_component(spark):
+    """A repeated id may lead two components, and near copies without ids are one component."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(120)) for x in "abc")
+    rows = [(1, a), (2, a + " end"), (1, b), (3, b + " end"), (None, c), (None, c + " end"), (None, "start " + c), (None, c), (4, ""), (None, None), (None, "alone here with some words")]
+    kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
+    got = sorted(((r["doc_id"], (r["text"] or "-")[:1]) for r in kept if not (r["text"] or "").endswith(c[-4:]) and not (r["text"] or "").endswith("c119 end")), key=repr)
+    assert got == sorted([(1, "a"), (1, "b"), (4, "-"), (None, "-"), (None, "a")], key=repr)
+    assert sum("c50" in (r["text"] or "") for r in kept) == 1 and len(kept) == 6
+
+
 @pytest.mark.parametrize("small", [0, 1 << 18])
 def test_components(spark, small):
     from tallyloom.llm.components import components
