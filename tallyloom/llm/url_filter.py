@@ -24,16 +24,16 @@ JUNK_MARKS = ["spam-farm", "cheap-pills", "casino-bonus", "free-money", "link-fa
 
 
 def site_rule(rule: str, verdict: str) -> tuple[str, str, list[str], str, bool]:
-    """A rule as (rule, pattern over 'host path', tokens, verdict, is it a site rule)."""
+    """A rule as (rule, pattern over 'host#path', tokens, verdict, is it a site rule). Neither side can hold '#'."""
     host, slash, path = rule.partition("/")
     quoted = "".join(c if c.isalnum() else "\\" + c for c in host), "".join(c if c.isalnum() else "\\" + c for c in slash + path)
     # The first and last pieces may be parts of longer words; whole tokens stand between separators.
     tokens = [t for t in host.split(".") if t] + [t for t in path.split("/")[:-1] if t]
-    return rule, rf"^(?:[^ ]*\.)?{quoted[0]} {quoted[1]}", tokens, verdict, True
+    return rule, rf"^(?:[^#]*\.)?{quoted[0]}#{quoted[1]}", tokens, verdict, True
 
 
 def mark_rule(mark: str) -> tuple[str, str, list[str], str, bool]:
-    return mark, rf"(?:^|[./ _]){mark.replace('-', '[-_]')}(?:[./ _]|$)", mark.split("-"), "block", False
+    return mark, rf"(?:^|[./ _#]){mark.replace('-', '[-_]')}(?:[./ _#]|$)", mark.split("-"), "block", False
 
 
 def default_rules() -> list[tuple[str, str, list[str], str, bool]]:
@@ -65,7 +65,7 @@ def judge(urls: DataFrame, rules: DataFrame) -> DataFrame:
     counts = tokens.join(wanted.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     rarest = wanted.join(counts, "token", "left").groupBy("rule").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).getField("token").alias("token"))
     index = rules.join(rarest, "rule").select("token", "rule", "pattern", "verdict", "site")
-    fits = tokens.join(index, "token").where(F.expr("concat(host, ' ', path) RLIKE pattern"))
+    fits = tokens.join(index, "token").where(F.expr("concat(host, '#', path) RLIKE pattern"))
     best = F.when(F.col("site"), F.struct(F.length("rule").alias("n"), (-F.length("rule")).alias("z"), "rule", "verdict"))
     out = fits.groupBy("host", "path").agg(F.max(best).alias("best"), F.coalesce(F.bool_or(~F.col("site") & (F.col("verdict") == "block")), F.lit(False)).alias("marked"))
     return out.select("host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("site_verdict"), "marked")

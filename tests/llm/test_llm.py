@@ -367,3 +367,11 @@ def test_pipeline_stages_take_edge_cases(spark, sf):
             out = f(spark, docs, sf)
             out.count()
             assert i == 4 or out.columns == docs.columns
+
+
+def test_url_filter_takes_spaces_in_hosts(spark, tmp_path):
+    urls = ["http://my site.example.com/en/1", "http://my site.www.example.com/en/1", "http://a b.net/fr/x", "http://a b.net/de/x", "http://x y.org/cheap-pills/", "http://spam farm spam-farm/x", "http://example.com/en/", "http://notexample.com/en/", "http://a.org/b example.com /en/", None, "no scheme"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = queries.QUERIES["op10_url_filter"](spark, str(tmp_path))
+    assert {r["page_id"]: (r["rule"], r["verdict"]) for r in got.collect() if r["page_id"] in (0, 2)} == {0: ("example.com/en/", "block"), 2: ("net/fr/", "block")}
+    assert_same(got, queries.ORACLES["op10_url_filter"], str(tmp_path))
