@@ -67,7 +67,7 @@ def shard_ranges(ids: DataFrame, key: str, n_shards: int) -> DataFrame:
 
 
 def plan_shards(counts: list[tuple[int, int]], n_shards: int) -> list[dict]:
-    """Contiguous packing of (problem, samples) in id order: a group closes when its running count reaches total / n, and the count restarts. A driver loop over problems, a bounded table of keys."""
+    """Contiguous packing of (problem, samples) in id order: a group closes when its running count reaches total / n, and the count restarts. A driver loop over problems, a bounded table of keys; ``shard_plan`` is for many."""
     total, out, start, running, most = sum(n for _, n in counts), [], None, 0, 0
     for pid, n in sorted(counts):
         start = pid if start is None else start
@@ -80,6 +80,29 @@ def plan_shards(counts: list[tuple[int, int]], n_shards: int) -> list[dict]:
     return out
 
 
+def shard_plan(rows: DataFrame, key: str, n_shards: int) -> DataFrame:
+    """``plan_shards`` over every key of ``rows``. Running counts come from counts of key ranges, so no single task sorts all keys; the driver sees one key for each shard."""
+    width = 1 << 12
+    k = rows.groupBy(F.col(key).cast("long").alias("id")).agg(F.count(F.lit(1)).alias("c")).where("id IS NOT NULL").withColumn("_b", F.floor(F.col("id") / width))
+    before = k.groupBy("_b").agg(F.sum("c").alias("s")).withColumn("_before", F.coalesce(F.sum("s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("s")
+    k = k.join(before, "_b").withColumn("upto", F.col("_before") + F.sum("c").over(Window.partitionBy("_b").orderBy("id"))).select("id", "c", "upto").persist()
+    try:
+        total, done, ends = k.agg(F.max("upto")).first()[0] or 0, 0, []
+        while len(ends) < n_shards - 1:
+            last = k.where((F.col("upto") - done) * n_shards >= total).agg(F.min(F.struct("id", "upto"))).first()[0]
+            if last is None:
+                break
+            ends.append(last[0])
+            done = last[1]
+        shard = F.lit(0)
+        for e in ends:
+            shard = shard + (F.col("id") > e).cast("int")
+        out = k.groupBy(shard.alias("shard")).agg(F.min("id").alias("first"), F.max("id").alias("last"), F.sum("c").alias("n"), F.max("c").alias("max_samples")).collect()
+    finally:
+        k.unpersist()
+    return rows.sparkSession.createDataFrame(sorted(map(tuple, out)), "shard int, first long, last long, n long, max_samples long")
+
+
 def ranked_lists(c: DataFrame, max_pos: int = 4, max_neg: int = 4, min_size: int = 3, seed: int = 0, **scale: float) -> DataFrame:
     """(problem, sample_id, rel): a spread of the positives by rel and a hash draw of the negatives; lists that are too small or all alike drop out."""
     c = c.withColumn("rel", F.round(2 * L.target(F.col("label"), F.col("speedup"), **scale), 6)).where("rel IS NOT NULL")

@@ -203,8 +203,7 @@ def shard_ranges(spark, sf_dir):
 
 @query()
 def shard_plan(spark, sf_dir):
-    rows = [(r[0], r[1]) for r in table(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") % 1000).alias("p")).count().collect()]  # 1000 keys
-    return spark.createDataFrame(B.plan_shards(rows, 8), "shard int, first long, last long, n long, max_samples long")
+    return B.shard_plan(table(spark, sf_dir, "lineitem"), "l_orderkey", 8)
 
 
 @query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), u AS (SELECT doc_id, unnest(range(1, len(ls))) AS i, ls FROM l), c AS (SELECT doc_id, i, ls[i] AS line, sum(length(ls[i]) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM u)

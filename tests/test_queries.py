@@ -71,3 +71,16 @@ def test_null_spreads(spark):
     assert got[1] == pytest.approx(null_of((1,), {"a": [0.0, 1.0], "b": [0.25], "c": [0.5, 0.75, 1.0]}, 7, 3)) and got[2] == [0.0] * 7
     d = spark.createDataFrame([([3.0, 1.0, 2.0],), ([5.0],)], "x array<double>")
     assert [r[0] for r in d.select(B.quantile(d.x, 0.95)).collect()] == [3.0, 5.0]
+
+
+def test_shard_plan_takes_real_keys(spark, sf):
+    """The plan of the query is the driver loop's over every problem of lineitem, and so at other sizes."""
+    li = Q.table(spark, sf, "lineitem")
+    counts = [(r[0], r[1]) for r in li.groupBy("l_orderkey").count().collect()]
+    cols = ["shard", "first", "last", "n", "max_samples"]
+    assert [tuple(r) for r in QUERIES["shard_plan"](spark, sf).collect()] == [tuple(s[c] for c in cols) for s in B.plan_shards(counts, 8)]
+    few = [(1, 10), (2, 1), (5000, 1), (9000, 1), (-3, 2)]
+    d = spark.createDataFrame([(k,) for k, n in few for _ in range(n)], "p long")
+    for n in (1, 3, 5, 9):
+        assert [tuple(r) for r in B.shard_plan(d, "p", n).collect()] == [tuple(s[c] for c in cols) for s in B.plan_shards(few, n)]
+    assert B.shard_plan(d.limit(0), "p", 3).count() == 0
