@@ -1,38 +1,65 @@
-"""Connected components by alternating large-star and small-star steps.
+"""Connected components: contraction within partitions and alternating star steps.
 
-Up to ``SMALL`` edges (about 4 MB, counted first) one task joins them up, as shuffling
-them again and again costs more than they hold. Beyond that, every step is a grouped minimum and a join on the edges still standing; each round is
-written to the shared folder, so lineage stays short and nothing reaches the driver
-but a count and a checksum.
+Each round contracts the edges of every partition by least labels (in chunks of a fixed
+size, so memory is bounded), then links nodes to the least node of their neighbourhood
+(large star, small star). Every step is a partial aggregation and a join of edges; a
+round is written to the shared folder, so lineage stays short, and nothing reaches the
+driver but a flag. The same steps run at every size.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialize
+from .runtime import drop, materialize
 
+#: Edges that a task contracts at a time.
+CHUNK = 1 << 19
 
-SMALL = 1 << 18
+
+def least_labels(a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """``label`` (of nodes 0..) lowered until both ends of all edges (a, b) agree and labels point to themselves."""
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        # a label's own node is lowered too, so whole trees move at once
+        for x in (a, b):
+            np.minimum.at(new, label[x], low)
+            np.minimum.at(new, x, low)
+        while True:
+            jumped = new[new]
+            if (jumped == new).all():
+                break
+            new = jumped
+        if (new == label).all():
+            return label
+        label = new
 
 
-def _union(batches):
-    """(node, root) of all nodes of a few edges: union by least root."""
-    parent: dict[int, int] = {}
+def _contract(batches):
+    """Edges (u, v) with the same components: each chunk's nodes linked to the least one reachable within it."""
 
-    def top(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
-        return x
+    def flush(us: list, vs: list):
+        if not us:
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64())], names=["u", "v"])
+        u, v = np.concatenate(us), np.concatenate(vs)
+        nodes, i = np.unique(np.concatenate([u, v]), return_inverse=True)
+        label = least_labels(i[: len(u)], i[len(u) :], np.arange(len(nodes)))
+        child = np.flatnonzero(label != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[child]), pa.array(nodes[label[child]])], names=["u", "v"])
 
+    us, vs, held = [], [], 0
     for batch in batches:
-        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
-            a, b = top(u), top(v)
-            parent[max(a, b)] = min(a, b)
-    nodes = list(parent)
-    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], names=["node", "root"])
+        us.append(batch.column("u").to_numpy())
+        vs.append(batch.column("v").to_numpy())
+        held += batch.num_rows
+        if held >= CHUNK:
+            yield flush(us, vs)
+            us, vs, held = [], [], 0
+    yield flush(us, vs)
 
 
 def _star(e: DataFrame, large: bool) -> DataFrame:
@@ -47,16 +74,18 @@ def _star(e: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def components(edges: DataFrame, small: int = SMALL) -> DataFrame:
-    """(node, root) of every node of ``edges`` (a, b: long); root is the least node reachable."""
+def _settled(e: DataFrame) -> bool:
+    """Whether every node is the child of one root or a root."""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("child"), F.lit(0).alias("top")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("child"), F.lit(1).alias("top")))
+    return ends.groupBy("x").agg(F.sum("child").alias("child"), F.max("top").alias("top")).where("child + top > 1").isEmpty()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node of ``edges`` (a, b: long); root is the least node reachable. Repeated edges and loops change nothing; no edges give no rows."""
+    schema = "u long, v long"
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e, mark = materialize(e, "edges"), None
-    if e.count() <= small:
-        return e.coalesce(1).mapInArrow(_union, "node long, root long")
-    while True:
-        e = materialize(_star(_star(e, True), False), "edges")
-        now = tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if now == mark:
-            break
-        mark = now
+    e = materialize(e.mapInArrow(_contract, schema), "edges")
+    while not _settled(e):
+        last, e = e, materialize(_star(_star(e, True), False).mapInArrow(_contract, schema), "edges")
+        drop(last)
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

@@ -1,50 +1,52 @@
 """N-gram Jaccard join by set relations (operator 5): exact, with skipping.
 
 A document's set holds its distinct ``k``-word shingles. Equal sets form a class; all
-that follows works on classes, so exact copies cost one.
+that follows works on classes, so exact copies cost one. No step emits a pair of sets:
+tasks join up the members they hold and emit one edge for each member at most.
 
-1. Order. Shingles that many documents share go last, all others by hash. Batches
-   report the shingles that they hold twice or more; the counts are summed, and the
-   ``MAX_HEAVY`` most frequent of ``HEAVY`` or more are late. They only shape the
+1. Order. Shingles that many documents share go last, by their counts; all others by
+   hash. Batches report the shingles that they hold twice or more; the counts are summed,
+   and the ``MAX_HEAVY`` most frequent of ``HEAVY`` or more are late. They only shape the
    order: any choice gives the same result.
 2. Lists. Two sets that link share a shingle in their prefixes (the first
-   n - ceil(0.85 n) + 1 in this order), so prefixes make the inverted lists. Lists of
-   one are dropped.
-3. First answers. In each list, in order of set size, every set is compared with the
-   list's head and with its neighbour: two comparisons a member, however long the list.
-   Links make components.
-4. Set relations. What is left are pairs of a list in different components. Members of
-   a component need no comparison with each other. A pair whose distances from the
-   list's head are known and differ by over 0.15 cannot link (Jaccard distance is a
-   metric): the answers of a set are derived from those of its head. Lists are cut into
-   blocks in order of component and size; pairs of blocks are skipped whole on their
-   bounds (component, size, position, distance) before any member is looked at, and
-   what is left of two blocks is looked at in one task.
-5. The rest is compared exactly, and components are joined up.
-
-Comparisons look at histograms of the sets first (a bin for about three members; the
-sum of the smaller counts bounds the overlap), and only pairs that they allow fetch
-their texts.
+   n - ceil(0.85 n) + 1 in this order), so prefixes make the inverted lists, in order of
+   set size. They are dealt by ranges of (shingle, size, class), so a list held by a third of all
+   documents spreads over tasks. Lists of one are dropped; the rest is cut into blocks.
+3. Neighbourhoods. Within a block, members are joined up if a shared list, their sizes,
+   the places of the shared shingle and the parity sketches of their sets (whose
+   differing bits bound the difference from below) allow a link. Blocks of one list are compared with the
+   next block, and with all others only where that leaves their members apart: pairs of
+   blocks are skipped on their bounds (size, place, neighbourhood).
+4. Answers. A neighbourhood's full sets meet in one task (large ones in blocks and pairs of
+   blocks, skipped whole where both belong to one component). A set's overlaps with all
+   others come from an inverted index; a set much like the one before has its answer derived from
+   that one's, by the lists of members that only one of the two has. Sets that are joined up with all their
+   possible partners are skipped.
+5. Links make components.
 
 Nulls: a null text has the empty set, which links with nothing; a null doc_id takes
-part and is never a component's id unless no other is there. Repeated rows share a
-component. Empty tables give empty results.
+part and is never a component's id unless no other is there. Repeated rows and equal texts
+share a class and a component. Very long texts are taken whole: a task holds one text and one block at a time. Ties: the smallest doc_id names a
+component. Other columns are ignored by the join; ``keep_one`` keeps them, whatever their names. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
+from . import setjoin
 from .components import components
 from .runtime import materialize, release, row_key
 from .textscan import LOWER, NON_SPACE, Words, mix, slices
 
 HEAVY, MAX_HEAVY = 12, 1 << 19
-#: Members of a block of an inverted list.
-BLOCK = 64
+#: Members of a block of an inverted list or of a neighbourhood, and members of all its sets, about.
+BLOCK, TOKENS = 1024, 1 << 19
 
 
 def shingle_sets(w: Words, k: int) -> list[np.ndarray]:
@@ -93,43 +95,29 @@ def _sketch(k: int):
     return run
 
 
-def _ordered(s: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+def _ordered(s: np.ndarray, heavy: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The set with its heavy members (``heavy``: sorted) last, in order of ``rank``."""
     if not len(heavy) or not len(s):
         return s
     i = np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)
     late = heavy[i] == s
-    return np.concatenate([s[~late], s[late]])
+    return np.concatenate([s[~late], s[late][np.argsort(rank[i[late]])]])
 
 
-def histogram(s: np.ndarray) -> np.ndarray:
-    """Members of a set by the low bits of their hashes, about three a bin; 255 stands for any more."""
-    bins = 1 << max(3, len(s).bit_length() - 2)
-    return np.minimum(np.bincount((s & np.uint64(bins - 1)).astype(np.int64), minlength=bins), 255).astype(np.uint8)
-
-
-def most_common(x: np.ndarray, y: np.ndarray) -> int:
-    """No two sets with these histograms have more members in common."""
-    if x.max() == 255 or y.max() == 255:
-        return 1 << 40
-    x, y = x.astype(np.int64), y.astype(np.int64)
-    bins = min(len(x), len(y))
-    return int(np.minimum(x.reshape(-1, bins).sum(0), y.reshape(-1, bins).sum(0)).sum())
-
-
-def _prefixes(k: int, percent: int, heavy: np.ndarray):
-    """(c, n, prefix, hist): the packed prefix and histogram of each row's set."""
+def _prefixes(k: int, percent: int, heavy: np.ndarray, rank: np.ndarray):
+    """(c, n, prefix, bits): the packed prefix and sketch of each row's set."""
 
     def run(batches):
         for batch in batches:
-            c, n, out, hist = [], [], [], []
+            c, n, out, bits = [], [], [], []
             for _, _, w in slices(batch.column("text"), NON_SPACE, LOWER):
                 for s in shingle_sets(w, k):
                     if len(s):
                         c.append(class_of(s))
                         n.append(len(s))
-                        out.append(_ordered(s, heavy)[: len(s) - (percent * len(s) + 99) // 100 + 1].tobytes())
-                        hist.append(histogram(s).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(n, pa.int32()), pa.array(out, pa.binary()), pa.array(hist, pa.binary())], names=["c", "n", "prefix", "hist"])
+                        out.append(_ordered(s, heavy, rank)[: len(s) - (percent * len(s) + 99) // 100 + 1].tobytes())
+                        bits.append(setjoin.sketch(s).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(n, pa.int32()), pa.array(out, pa.binary()), pa.array(bits, pa.binary())], names=["c", "n", "prefix", "bits"])
 
     return run
 
@@ -155,151 +143,247 @@ def _full_sets(k: int):
     return run
 
 
-def _overlap(batches):
-    """(a, b, inter) from the members of both sets."""
+def _cut(block: int):
+    """(token, unit, edge, c, n, pos) from lists in order: lists of one fall out, but for the first and last of a partition, whose other members may stand in the next; ``unit`` names runs of ``block`` rows at most; ``edge``: the list may hold rows of other units."""
+
+    def run(batches):
+        part = TaskContext.get().partitionId() << 40
+        unit, held, first, split = part, None, True, False
+
+        def emit(x, keep_last: bool):
+            """Complete lists of x; the last one too, where no more rows can come."""
+            nonlocal unit, first, split
+            token = x[0]
+            begin = np.flatnonzero(np.diff(token, prepend=token[:1] - 1))
+            size = np.diff(np.append(begin, len(token)))
+            edge = size > block
+            if first or split:
+                edge[0] = True
+            if keep_last:
+                edge[-1] = True
+            keep = np.repeat((size > 1) | edge, size)
+            edge = np.repeat(edge, size)[keep]
+            x = [y[keep] for y in x]
+            first = split = False
+            # units: a list goes on in the unit of the one before while both fit
+            unit += 1
+            at = np.arange(len(x[0]))
+            units = unit + at // block
+            unit += len(at) // block
+            cut = np.flatnonzero(np.diff(units))
+            # lists that a unit's end cuts hold rows of two units
+            for i in cut:
+                if x[0][i] == x[0][i + 1]:
+                    edge[x[0] == x[0][i]] = True
+            return pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(units), pa.array(edge), *(pa.array(y) for y in x[1:])], names=["token", "unit", "edge", "c", "n", "pos"])
+
+        for batch in batches:
+            x = [batch.column(name).to_numpy() for name in ("token", "c", "n", "pos")]
+            x = [np.concatenate([p, q]) for p, q in zip(held, x, strict=True)] if held else x
+            if not len(x[0]):
+                continue
+            last = int(np.searchsorted(x[0], x[0][-1], "left"))
+            if last:
+                yield emit([y[:last] for y in x], False)
+            held = [y[last:] for y in x]
+            whole = len(held[0]) // block * block
+            if whole > block:  # a list longer than a block goes out piece by piece
+                out = emit([y[:whole] for y in held], True)
+                yield out
+                held, split = [y[whole:] for y in held], True
+                if not len(held[0]):
+                    held = None
+        if held:
+            yield emit(held, True)
+
+    return run
+
+
+def _runs(batches, keys: list[str]):
+    """Tables of consecutive rows with equal keys."""
+    held, name = [], None
     for batch in batches:
-        x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
-        sets = [(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(x, y, strict=True)]
-        inter = [len(p) + len(q) - len(np.unique(np.concatenate([p, q]))) for p, q in sets]
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(inter, pa.int64())], names=["a", "b", "inter"])
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(k).to_numpy() for k in keys]
+        cut = np.flatnonzero(np.any([np.diff(x) != 0 for x in cols], axis=0)) + 1
+        for a, b in zip([0, *cut], [*cut, batch.num_rows], strict=True):
+            key = tuple(x[a] for x in cols)
+            if key != name and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            name = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
 
+def _tree(c: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
+    child = np.flatnonzero(label != np.arange(len(label)))
+    return pa.RecordBatch.from_arrays([pa.array(c[child]), pa.array(c[label[child]])], names=["a", "b"])
 
-def _open_pairs(percent: int):
-    """(a, b) of two blocks' members that no rule settles: other components, fitting sizes and places, no distance from the head that forbids a link."""
-    limit = 1 - percent / 100 + 1e-9
+
+def _same(label: np.ndarray) -> np.ndarray:
+    """For each value the place of the first one equal to it."""
+    _, first, of = np.unique(label, return_index=True, return_inverse=True)
+    return first[of]
+
+
+def _near(percent: int, keys: list[str]):
+    """(a, b): members of a block, or of two blocks of a list (column ``side``), joined up where a link is possible."""
 
     def run(batches):
-        for batch in batches:
-            out = []
-            p, q = ([{k: np.asarray(v.values.field(k)) for k in ("c", "root", "n", "pos", "near", "far")} for v in batch.column(name)] for name in ("p", "q"))
-            for x, y in zip(p, q, strict=True):
-                n, m = x["n"][:, None].astype(np.int64), y["n"][None, :].astype(np.int64)
-                i, j = x["pos"][:, None], y["pos"][None, :]
-                keep = (x["root"][:, None] != y["root"][None, :]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-                keep &= (100 + percent) * (np.minimum(i, j) + np.minimum(n - i, m - j)) >= percent * (n + m)
-                keep &= (x["near"][:, None] - y["far"][None, :] <= limit) & (y["near"][None, :] - x["far"][:, None] <= limit)
-                r, s = np.nonzero(keep)
-                a, b = x["c"][r], y["c"][s]
-                out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
-            ab = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0].astype(np.int64)), pa.array(ab[:, 1].astype(np.int64))], names=["a", "b"])
+        for t in _runs(batches, keys):
+            token, c, n, pos = (t.column(x).to_numpy() for x in ("token", "c", "n", "pos"))
+            side = t.column("side").to_numpy() if "side" in t.column_names else None
+            members, first, who = np.unique(c, return_index=True, return_inverse=True)
+            label = _same(t.column("label").to_numpy()[first]) if "label" in t.column_names else np.arange(len(members))
+            bits = t.column("bits").take(pa.array(first)).to_pylist()
+            yield _tree(members, setjoin.candidates(token, who, n, pos, None if side is None else side == 1, setjoin.Sketches(bits), label, percent))
 
     return run
 
 
-def _bounds(batches):
-    """(a, b, na, nb, most): the bound on the overlap from the histograms of both sets."""
-    for batch in batches:
-        x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
-        most = [most_common(np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8)) for p, q in zip(x, y, strict=True)]
-        most = np.minimum(np.array(most, np.int64), np.minimum(batch.column("na").to_numpy(), batch.column("nb").to_numpy()))
-        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("a", "b", "na", "nb")), pa.array(most, pa.int64())], names=["a", "b", "na", "nb", "most"])
-
-
-def _compare(pairs: DataFrame, packed: DataFrame, keyed: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b, near, far, linked) of ``pairs`` (a, b): bounds of their distance, exact where their histograms allow a link."""
-    x = packed.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("hist").alias("x"))
-    y = packed.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("hist").alias("y"))
-    bounded = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(_bounds, "a long, b long, na int, nb int, most long")
-    bounded = materialize(bounded, "bounded")
-    hopeful = bounded.where(f"{100 + percent} * most >= {percent} * (na + nb)").select("a", "b")
-    wanted = reps.join(hopeful.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "c").select("c", "r.d", "r.t")
-    sets = keyed.join(wanted, ["d", "t"]).dropDuplicates(["c"]).select("c", "text").mapInArrow(_full_sets(k), "c long, members binary")
-    sets = materialize(sets, "sets")
-    release(keyed.sparkSession)
-    x, y = sets.select(F.col("c").alias("a"), F.col("members").alias("x")), sets.select(F.col("c").alias("b"), F.col("members").alias("y"))
-    exact = hopeful.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_overlap, "a long, b long, inter long")
-    out = bounded.join(exact, ["a", "b"], "left")
-    distance = "1 - {0} / (na + nb - {0})"
-    out = out.select(
-        "a",
-        "b",
-        F.expr(f"CASE WHEN inter IS NULL THEN {distance.format('most')} ELSE {distance.format('inter')} END").alias("near"),
-        F.expr(f"CASE WHEN inter IS NULL THEN 1D ELSE {distance.format('inter')} END").alias("far"),
-        F.expr(f"coalesce(100 * inter >= {percent} * (na + nb - inter), false)").alias("linked"),
+def _exact(percent: int):
+    """(a, b): members of a neighbourhood's block (x = y), or of two blocks, joined up by links."""
+
+    def run(batches):
+        for t in _runs(batches, ["root", "x", "y"]):
+            c = t.column("c").to_numpy()
+            right = t.column("block").to_numpy() == t.column("y").to_numpy() if t.column("x")[0] != t.column("y")[0] else None
+            sets = [np.frombuffer(s, np.uint64) for s in t.column("members").to_pylist()]
+            yield _tree(c, setjoin.answers(sets, right, _same(t.column("label").to_numpy()), percent))
+
+    return run
+
+
+def _grouped(rows: DataFrame, by: list[str], then: list[str]) -> DataFrame:
+    return rows.repartition(*by).sortWithinPartitions(*by, *then)
+
+
+def _labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` with ``label``: the component of c, or c itself."""
+    return rows.join(roots.select(F.col("node").alias("c"), F.col("root").alias("label")), "c", "left").withColumn("label", F.coalesce("label", "c"))
+
+
+def neighbourhoods(packed: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """(node, root) of the classes that share a list with another one that they may link with."""
+    entries = packed.select("c", "n", "prefix").mapInArrow(_entries, "token long, c long, n int, pos int")
+    lists = entries.repartitionByRange("token", "n", "c").sortWithinPartitions("token", "n", "c").mapInArrow(_cut(block), "token long, unit long, edge boolean, c long, n int, pos int")
+    lists = materialize(lists, "lists")
+    bits = packed.select("c", "bits")
+    edges = _grouped(lists.join(bits, "c"), ["unit"], ["token", "n", "c"]).mapInArrow(_near(percent, ["unit"]), "a long, b long")
+    edges = materialize(edges, "near")
+    # blocks of one list: each with the next one, then all others that are still apart
+    cut = materialize(lists.where("edge").select("token", "unit", "c", "n", "pos"), "cut")
+    parts = cut.groupBy("token", "unit").agg(F.min("n").alias("n0"), F.max("n").alias("n1"))
+    order = Window.partitionBy("token").orderBy("unit")
+    parts = materialize(parts.withColumn("i", F.row_number().over(order)).withColumn("more", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("more > 1"), "parts")
+    if parts.isEmpty():
+        return components(edges)
+
+    def across(pairs: DataFrame, label: DataFrame) -> DataFrame:
+        """Edges between the blocks of ``pairs`` (token, x, y: units)."""
+        sides = [cut.join(pairs.select("token", F.col(u).alias("unit"), "x", "y"), ["token", "unit"]).withColumn("side", F.lit(i)) for i, u in enumerate(("x", "y"))]
+        rows = _labelled(sides[0].unionByName(sides[1]), label).join(bits, "c")
+        return _grouped(rows, ["token", "x", "y"], ["n", "c"]).mapInArrow(_near(percent, ["token", "x", "y"]), "a long, b long")
+
+    p = parts.select("token", "i", F.col("unit").alias("x"), "n1")
+    q = parts.select("token", (F.col("i") - 1).alias("i"), F.col("unit").alias("y"), "n0")
+    chain = p.join(q, ["token", "i"]).where(f"100 * n1 >= {percent} * n0").select("token", "x", "y")
+    edges = materialize(edges.unionByName(across(chain, components(edges))), "near")
+    roots = components(edges)
+    own = _labelled(cut, roots).groupBy("token", "unit").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("pos").alias("p1"), F.max(F.col("n") - F.col("pos")).alias("l1"))
+    own = materialize(parts.join(own, ["token", "unit"]), "parts")
+    x, y = own.alias("p"), own.alias("q")
+    rest = x.join(
+        y,
+        F.expr(f"""p.token = q.token AND p.i + 1 < q.i AND 100 * p.n1 >= {percent} * q.n0
+            AND NOT (p.lo = p.hi AND q.lo = q.hi AND p.lo = q.lo)
+            AND {100 + percent} * (least(p.p1, q.p1) + least(p.l1, q.l1)) >= {percent} * (p.n0 + q.n0)"""),
     )
-    return materialize(out, "answers")
+    rest = rest.select("p.token", F.col("p.unit").alias("x"), F.col("q.unit").alias("y"))
+    return components(edges.unionByName(across(rest, roots)))
 
 
-def link(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
-    """(rows, links): d, t, doc_id, n, c (class of its set, 0 for none) of every row of ``docs``, and links (a, b) that join up all linked classes."""
+def _blocks(place: DataFrame, by: list[str], tokens: int, members: int) -> DataFrame:
+    """``place`` with block: members dealt by hash to as many blocks of each group as its size asks for."""
+    size = place.groupBy(*by).agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("count"))
+    size = size.select(*by, F.greatest(F.ceil(F.col("tokens") / tokens), F.ceil(F.col("count") / members)).cast("int").alias("blocks")).where("blocks > 1")
+    return place.join(materialize(size, "sizes"), by, "left").withColumn("block", F.pmod(F.xxhash64("c"), F.coalesce("blocks", F.lit(1))).cast("int"))
+
+
+def link(docs: DataFrame, k: int = 4, percent: int = 85, block: int = BLOCK, tokens: int = TOKENS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, classes, roots): d, t, doc_id, n, c (class of its set, 0 for none) of every row of ``docs``; id, n, d, t of each class c; and (node, root) of the classes joined up by links."""
     spark = docs.sparkSession
     keyed = docs.select(*row_key(), "doc_id", "text")
     sketch = materialize(keyed.select("d", "t", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketch(k), "d long, t int, doc_id long, n int, c long, token long, heavy long"), "sketch")
     rows = sketch.where("token IS NULL").select("d", "t", "doc_id", "n", "c")
     heavy = sketch.where("token IS NOT NULL").groupBy("token").agg(F.sum("heavy").alias("n")).where(F.col("n") >= HEAVY)
-    heavy = np.sort(np.array([r["token"] for r in heavy.orderBy(F.desc("n"), "token").limit(MAX_HEAVY).collect()], np.int64).view(np.uint64))
-
-    packed = docs.select("text").mapInArrow(_prefixes(k, percent, heavy), "c long, n int, prefix binary, hist binary").dropDuplicates(["c"])
+    heavy = np.array([r["token"] for r in heavy.orderBy(F.desc("n"), "token").limit(MAX_HEAVY).collect()], np.int64).view(np.uint64)
+    by = np.argsort(heavy)
+    # the most frequent ones last
+    heavy, rank = heavy[by], (len(heavy) - by).astype(np.int32)
+    classes = rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.min(F.struct("d", "t")).alias("r"))
+    classes = materialize(classes.select("c", "id", "n", "r.d", "r.t"), "classes")
+
+    packed = docs.select("text").mapInArrow(_prefixes(k, percent, heavy, rank), "c long, n int, prefix binary, bits binary").dropDuplicates(["c"])
     packed = materialize(packed, "packed")
     release(spark)
-    lists = packed.select("c", "n", "prefix").mapInArrow(_entries, "token long, c long, n int, pos int")
-    inlist = Window.partitionBy("token").orderBy("n", "c")
-    # only neighbours are looked at, so lists of one fall out as the sorted rows stream by
-    lists = lists.withColumns({"before": F.lag(F.struct("c", "n", "pos")).over(inlist), "after": F.lead("c").over(inlist), "head": F.first(F.struct("c", "n", "pos")).over(inlist)})
-    lists = materialize(lists.where("before IS NOT NULL OR after IS NOT NULL").drop("after"), "lists")
-    release(spark)
+    near = neighbourhoods(packed, percent, block)
 
-    reps = rows.where("n > 0").groupBy("c").agg(F.min(F.struct("d", "t")).alias("r"))
-    may = f"""100 * {{0}}.n >= {percent} * n AND {100 + percent} * (least({{0}}.pos, pos) + least({{0}}.n - {{0}}.pos, n - pos)) >= {percent} * ({{0}}.n + n)"""
-    first = [lists.where(F.expr(f"{x}.c <> c AND " + may.format(x))).select(F.col(f"{x}.c").alias("a"), F.col("c").alias("b")) for x in ("head", "before")]
-    answers = _compare(first[0].unionByName(first[1]).distinct(), packed, keyed, reps, k, percent)
-    links = answers.where("linked").select("a", "b")
+    schema = "a long, b long"
+    place = materialize(classes.join(near.withColumnRenamed("node", "c"), "c").select("c", "n", "root", "d", "t"), "place")
+    place = materialize(_blocks(place, ["root"], tokens, block), "place")
+    wanted = place.select("c", "d", "t")
+    sets = keyed.select("d", "t", "text").join(wanted, ["d", "t"]).dropDuplicates(["c"]).select("c", "text").mapInArrow(_full_sets(k), "c long, members binary")
+    sets = materialize(sets, "sets")
+    release(spark)
+    held = place.select("c", "n", "root", "block", F.coalesce("blocks", F.lit(1)).alias("blocks")).join(sets, "c").withColumn("label", F.col("c"))
+    pairs = "filter(array(struct(block AS x, block AS y), struct(block AS x, block + 1 AS y), struct(block - 1 AS x, block AS y)), p -> p.x >= 0 AND p.y < blocks)"
+    held = held.withColumn("p", F.explode(F.expr(pairs))).select("root", "p.x", "p.y", "block", "c", "members", "label")
+    links = materialize(_grouped(held, ["root", "x", "y"], ["c"]).mapInArrow(_exact(percent), schema), "links")
     roots = components(links)
-
-    # what the answers so far leave open
-    known = answers.select(F.col("a").alias("head"), F.col("b").alias("c"), "near", "far")
-    e = lists.select("token", "c", "n", "pos", F.col("head.c").alias("head")).join(roots.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    open_lists = e.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    e = e.join(open_lists, "token", "left_semi").join(known, ["head", "c"], "left")
-    itself = F.col("head") == F.col("c")
-    e = e.withColumns({"near": F.when(itself, 0.0).otherwise(F.coalesce("near", F.lit(0.0))), "far": F.when(itself, 0.0).otherwise(F.coalesce("far", F.lit(1.0)))})
-    order = Window.partitionBy("token").orderBy("root", "n", "pos", "c")
-    e = e.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK))
-    blocks = e.groupBy("token", "block").agg(
-        F.collect_list(F.struct("c", "root", "n", "pos", "near", "far")).alias("m"),
-        F.min("root").alias("root0"),
-        F.max("root").alias("root1"),
-        F.min("n").alias("n0"),
-        F.max("n").alias("n1"),
-        F.min("near").alias("near0"),
-        F.max("far").alias("far1"),
-        F.max(F.col("n") - F.col("pos")).alias("left1"),
-        F.max("pos").alias("pos1"),
-    )
-    blocks = materialize(blocks, "blocks")
-    x, y = blocks.alias("x"), blocks.alias("y")
-    limit = 1 - percent / 100 + 1e-9
-    mixed = "x.root0 <> x.root1 OR y.root0 <> y.root1 OR x.root0 <> y.root0"
-    sizes = f"100 * x.n1 >= {percent} * y.n0 AND 100 * y.n1 >= {percent} * x.n0"
-    places = f"{100 + percent} * (least(x.pos1, y.pos1) + least(x.left1, y.left1)) >= {percent} * (x.n0 + y.n0)"
-    apart = f"x.near0 - y.far1 <= {limit} AND y.near0 - x.far1 <= {limit}"
-    pairs = x.join(y, F.expr(f"x.token = y.token AND x.block <= y.block AND ({mixed}) AND ({sizes}) AND ({places}) AND ({apart})"))
-    pairs = pairs.select(F.col("x.m").alias("p"), F.col("y.m").alias("q")).mapInArrow(_open_pairs(percent), "a long, b long").distinct()
-    done = answers.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = _compare(pairs.join(done, ["a", "b"], "left_anti"), packed, keyed, reps, k, percent)
-    return rows, links.unionByName(rest.where("linked").select("a", "b"))
-
-
-def join_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
+    large = place.where("blocks > 2").select("c", "n", "root")
+    if large.isEmpty():
+        return rows, classes, roots
+
+    # neighbourhoods of many blocks: large components get blocks of their own, and pairs of blocks of one component are skipped
+    large = materialize(_labelled(large, roots), "large")
+    families = large.groupBy("root", "label").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= block).select("root", "label", F.col("label").alias("family"))
+    large = large.join(materialize(families, "families"), ["root", "label"], "left").withColumn("family", F.coalesce("family", F.lit(-(1 << 63))))
+    large = materialize(_blocks(materialize(large, "large"), ["root", "family"], tokens, block).withColumn("block", F.xxhash64("family", "block")), "large")
+    kinds = materialize(large.groupBy("root", "family", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi")), "kinds")
+    x, y = kinds.alias("p"), kinds.alias("q")
+    rest = x.join(y, F.expr("p.root = q.root AND p.block <= q.block AND NOT (p.lo = p.hi AND q.lo = q.hi AND p.lo = q.lo)"))
+    rest = rest.select("p.root", F.col("p.block").alias("x"), F.col("q.block").alias("y"))
+    sides = rest.select("root", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    held = large.select("root", "block", "c", "label").join(sides, ["root", "block"]).join(sets, "c").select("root", "x", "y", "block", "c", "members", "label")
+    more = _grouped(held, ["root", "x", "y"], ["c"]).mapInArrow(_exact(percent), schema)
+    return rows, classes, components(links.unionByName(more))
+
+
+def join_components(docs: DataFrame, k: int = 4, percent: int = 85, block: int = BLOCK, tokens: int = TOKENS) -> DataFrame:
     """d, t, doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text), and root, which tells components apart where ids are null or repeated (null for the empty set)."""
-    rows, links = link(docs, k, percent)
-    rows = rows.join(components(links).withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    ids = rows.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = rows.where("n > 0").join(ids, "root").select("d", "t", "doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "root")
+    rows, classes, roots = link(docs, k, percent, block, tokens)
+    named = materialize(_labelled(classes.select("c", "id"), roots).withColumnRenamed("label", "root"), "named")
+    ids = materialize(named.groupBy("root").agg(F.min("id").alias("component_id")), "ids")
+    named = materialize(named.select("c", "root").join(ids, "root"), "named")
+    out = rows.where("n > 0").join(named, "c").select("d", "t", "doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "root")
     return out.unionByName(rows.where("n = 0").select("d", "t", "doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root")))
 
 
 def keep_one(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """The rows of ``docs`` that stand for their component: its smallest doc_id, once; rows with the empty set stay. All columns are kept."""
     own = docs.columns
-    parts = join_components(docs, k, percent).where("n_shingles > 0")
+    parts = materialize(join_components(docs, k, percent).where("n_shingles > 0"), "parts")
     # one row for each component, nulls last; among repeated ids the smallest text hash stands, once
-    lead = parts.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "t", "d")).alias("x")).select(F.col("x.d").alias("_d"), F.col("x.t").alias("_t"))
-    member = parts.select(F.col("d").alias("_d"), F.col("t").alias("_t")).distinct()
-    d, t = row_key()
-    rows = docs.withColumns({"_d": d, "_t": t})
-    pick = rows.join(lead, ["_d", "_t"])
-    first = Window.partitionBy("_d", "_t").orderBy(*[F.col(c) for c in own if c != "text"])
-    pick = pick.withColumn("_i", F.row_number().over(first)).where("_i = 1").select(*own)
-    return pick.unionByName(rows.join(member, ["_d", "_t"], "left_anti").select(*own))
+    lead = parts.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "t", "d")).alias("x")).select("x.d", "x.t", F.lit(True).alias("lead"))
+    member = parts.select("d", "t").distinct().join(lead, ["d", "t"], "left")
+    # the caller's row as one column, so that no name can clash
+    row = F.struct(*[F.col(f"`{c}`") for c in own]).alias("row")
+    rows = docs.select(row, *row_key()).join(member.withColumn("set", F.lit(True)), ["d", "t"], "left").where("lead OR set IS NULL")
+    alone = rows.where("set IS NULL").select("row.*")
+    first = Window.partitionBy("d", "t").orderBy(*[F.col(f"row.`{c}`") for c in own if c != "text" and not isinstance(docs.schema[c].dataType, MapType)])
+    pick = rows.where("lead").withColumn("i", F.row_number().over(first)).where("i = 1").select("row.*")
+    return pick.unionByName(alone)

@@ -38,7 +38,34 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tallyloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that no later plan reads."""
+    for path in [df.scratch_path for df in tables]:
+        for entry in [x for x in _WRITTEN if x[1] == path]:
+            _WRITTEN.remove(entry)
+            _delete(*entry)
+
+
+def mark() -> int:
+    """Where the list of scratch tables stands now; for ``drop_since``."""
+    return len(_WRITTEN)
+
+
+def drop_since(since: int) -> None:
+    """Delete the scratch tables written after ``mark`` gave ``since``, but for the last one (a stage's own result)."""
+    for entry in _WRITTEN[since:-1]:
+        _WRITTEN.remove(entry)
+        _delete(*entry)
 
 
 def release(spark: SparkSession) -> None:
@@ -51,9 +78,7 @@ def release(spark: SparkSession) -> None:
 def _drop_written() -> None:
     for spark, path in _WRITTEN:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001 - the session is gone; nothing is left to clean
             return
 

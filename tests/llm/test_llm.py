@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from oracle import assert_same
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallyloom.llm import decontaminate, license_scan, mixing, ngram_join, pii, quality_rules, queries, sharding, substring_dedup, textscan, toxicity, url_filter
@@ -114,8 +115,9 @@ def test_ngram_join(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = ngram_join.join_components(docs, 4, 85).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, got), key=repr) == brute_components(rows, 4, 85)
-    kept = ngram_join.keep_one(edge_docs(spark), 4, 85)
-    assert kept.columns == edge_docs(spark).columns
+    own = edge_docs(spark).withColumns({c: F.lit(5) for c in ("d", "t", "row", "lead", "set", "root", "c", "_d", "a.b")})
+    kept = ngram_join.keep_one(own, 4, 85)
+    assert kept.columns == own.columns and kept.select("d", "t", "row", "lead").distinct().collect() == [(5, 5, 5, 5)]
     assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 1, 2, 3, 4, 5, 7, 8, 9]
     assert ngram_join.join_components(empty_docs(spark)).count() == 0
 
@@ -130,22 +132,55 @@ def test_keep_one_of_each_component(spark):
     assert sum("c50" in (r["text"] or "") for r in kept) == 1 and len(kept) == 6
 
 
-@pytest.mark.parametrize("small", [0, 1 << 18])
-def test_components(spark, small):
-    from tallyloom.llm.components import components
+def test_components(spark):
+    from tallyloom.llm import components
 
-    edges = [(i, i + 1) for i in range(1, 30)] + [(100, 90), (90, 95), (7, 7), (200, 201), (201, 200)]
-    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long"), small).collect()}
-    assert got == {**{i: 1 for i in range(1, 31)}, 90: 90, 95: 90, 100: 90, 200: 200, 201: 200}
-    assert components(spark.createDataFrame([], "a long, b long"), small).count() == 0
+    path = [(i, i + 1) for i in np.random.RandomState(2).permutation(np.arange(1, 400)).tolist()]
+    edges = path + [(1000, 990), (990, 995), (7, 7), (2000, 2001), (2001, 2000)]
+    want = {**{i: 1 for i in range(1, 401)}, 990: 990, 995: 990, 1000: 990, 2000: 2000, 2001: 2000}
+    assert {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()} == want
+    # dealt over many partitions, contraction alone does not end it
+    for name, value in (("coalescePartitions.enabled", "false"), ("coalescePartitions.enabled", "true")):
+        spark.conf.set(f"spark.sql.adaptive.{name}", value)
+        assert {r["node"]: r["root"] for r in components.components(spark.createDataFrame(path, "a long, b long")).collect()} == {i: 1 for i in range(1, 401)}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_histograms_bound_overlaps():
+def test_sketches_bound_differences():
     rng = np.random.RandomState(0)
-    for _ in range(50):
-        pool = rng.randint(0, 2**62, 600).astype(np.uint64)
-        x, y = np.unique(rng.choice(pool, rng.randint(1, 500))), np.unique(rng.choice(pool, rng.randint(1, 500)))
-        assert ngram_join.most_common(ngram_join.histogram(x), ngram_join.histogram(y)) >= len(np.intersect1d(x, y))
+    sets = [np.unique(rng.choice(rng.randint(0, 2**62, 600), rng.randint(1, 500))).astype(np.uint64) for _ in range(8)]
+    sets += [np.unique(np.concatenate([s[: len(s) - i], rng.randint(0, 2**62, i).astype(np.uint64)])) for i, s in enumerate(sets)]
+    sk = ngram_join.setjoin.Sketches([ngram_join.setjoin.sketch(s).tobytes() for s in sets])
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    assert (sk.apart(a, b) <= [len(np.setxor1d(sets[i], sets[j])) for i, j in zip(a, b, strict=True)]).all()
+
+
+@pytest.mark.parametrize("two", [False, True])
+def test_answers_are_derived_exactly(two):
+    """Derived answers join up the members that comparing all pairs joins up, within a block and across two."""
+    rng = np.random.RandomState(int(two))
+    for _ in range(20):
+        base = rng.choice(2000, 80, replace=False)
+        sets = [np.unique(np.where(rng.rand(80) < rng.choice([0.02, 0.1, 0.2]), rng.randint(0, 4000, 80), base)).astype(np.uint64) for _ in range(40)]
+        right = rng.rand(40) < 0.4 if two else None
+        got = ngram_join.setjoin.answers(sets, right, np.arange(40), 80)
+        pairs = [(i, j) for i in range(40) for j in range(i) if (right is None or right[i] != right[j]) and 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
+        label = list(range(40))
+        for _ in range(40):
+            for i, j in pairs:
+                label[i] = label[j] = min(label[i], label[j])
+        assert got.tolist() == label
+
+
+def test_ngram_join_of_a_dense_group(spark):
+    """Many near copies around the threshold and lists that many sets share, in blocks of a few members."""
+    rng = np.random.RandomState(8)
+    base = [f"t{x}" for x in rng.randint(0, 400, 60)]
+    rows = [(i, " ".join(w if rng.rand() > rng.choice([0.0, 0.01, 0.03]) else f"n{rng.randint(50)}" for w in base)) for i in range(90)]
+    rows += [(500 + i, " ".join([f"c{x}" for x in range(30)] + [f"u{rng.randint(9)}" for _ in range(6)])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = ngram_join.join_components(docs, 3, 80, block=8, tokens=600).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got), key=repr) == brute_components(rows, 3, 80)
 
 
 def test_decontamination(spark, sf):
