@@ -47,16 +47,69 @@ def test_texts():
     assert X.parse_int_spec("1-3,7,2") == [1, 2, 3, 7, 2]
     t = "Plan\n```python\nimport torch\nclass ModelNew:\n    pass\n```\nafter ``` x"
     (a, b), = X.fence_spans(t)
-    assert t[a:b] == "\nimport torch\nclass ModelNew:\n    pass\n" and not X.unterminated(t) and X.unterminated("```py\nx")
+    assert t[a:b] == "import torch\nclass ModelNew:\n    pass\n" and not X.unterminated(t) and X.unterminated("```py\nx")
     assert X.extract_code(t) == "import torch\nclass ModelNew:\n    pass"
-    assert X.extract_code("Here:\nimport os\nx = (1,\n") == "import os"
     cuts = X.cut_points(t)
-    assert [k for _, k, _ in cuts] == ["prose", "code", "code", "code"] or cuts[0] == (5, "prose", 0)
-    assert X.cut_points("```py\nx = (\n") is None and X.live_cuts("a\n```py\ny = 1\nx = (\n")
+    assert [(t[:p].split("\n")[-2], k) for p, k, _ in cuts] == [("Plan", "prose"), ("```python", "prose"), ("import torch", "code"), ("class ModelNew:", "code"), ("    pass", "code"), ("```", "prose")]
+    assert X.cut_points("```py\nx = (\n") is None and X.live_cuts("a\n```py\ny = 1\nx = (\n") == [(2, "prose", 0), (8, "prose", 1), (14, "code", 2)]
     for p in (t[:i] for i in range(len(t))):
         X.extract_code(p), X.live_cuts(p)
 
 
+@pytest.mark.parametrize(
+    ("text", "spans"),
+    [
+        ("use ```tl.minimum(x) here\n", []),
+        ("a\n```\nb\n```\n", []),
+        ("```c#  \r\nx\n```", [(9, 11)]),
+        ("```py\na\n```py\nb\n```\n", [(6, 8), (14, 16)]),
+        ("x```python\ny", [(11, 12)]),
+        ("```py", [(5, 5)]),
+        ("", []),
+        (None, []),
+    ],
+)
+def test_fence_spans(spark, text, spans):
+    assert X.fence_spans(text) == spans
+    got = X.fence_table(spark.createDataFrame([(1, text)], "k int, t string"), ["k"], "t").orderBy("block").collect()
+    assert [(r["a"], r["b"]) for r in got] == spans
+
+
+ENTRY = "class ModelNew:\n    def forward(self):\n        return 1"
+
+
+@pytest.mark.parametrize(
+    ("text", "code"),
+    [
+        ("Here:\nimport os\nx = (1,\n", "Here:\nimport os\nx = (1,"),
+        ("I cannot do this.", "I cannot do this."),
+        (f"```python\nx=1\n```\nThe answer:\n{ENTRY}\n", ENTRY),
+        (f"```python\n{ENTRY}\n```\nthen\n```python\ny = 2\n```\n", ENTRY),
+        (f"```py\n{ENTRY}\n```\n```py\n{ENTRY}  # two\n```\n", f"{ENTRY}  # two"),
+        ("```py\ndef f(a, a): pass\n```\n```py\nx =\n```\n", "def f(a, a): pass"),
+        ("```py\nx =\n```\n```py\ny =\n```\n", "x ="),
+        (f"## Plan\n\n  import os\n  {ENTRY.replace(chr(10), chr(10) + '  ')}\n  and so on it goes (\n", f"import os\n{ENTRY}"),
+        (f"```python\n{ENTRY}\n```</answer>", ENTRY),
+        ("return f(x)```python\n", "return f(x)"),
+        ("class ModelNewHelper:\n  pass", "class ModelNewHelper:\n  pass"),
+        (None, ""),
+    ],
+)
+def test_extract_code(text, code):
+    assert X.extract_code(text) == code
+
+
+def test_cut_points_split_at_newlines_only():
+    assert X.cut_points("abc\f\nd\n") == [(5, "prose", 0), (7, "prose", 1)]
+    t = "p\u2028q\n```py\nx = 'a\u2028b'\n\nif x:\n    y = (1,\n  2)\n# note\nz = 1```\n"
+    cuts = X.cut_points(t)
+    assert [p for p, *_ in cuts] == sorted(p for p, *_ in cuts) and all(t[p - 1] == "\n" for p, *_ in cuts)
+    assert [t[:p].split("\n")[-2] for p, k, _ in cuts if k == "code"] == ["x = 'a\u2028b'", "if x:", "  2)"]
+    assert [i for *_, i in X.cut_points(t, 1, 2)] == [0, 1, 2, 3] and sum(k == "code" for _, k, _ in X.cut_points(t, 1, 2)) == 1
+    with pytest.raises(ValueError, match="every 1 or more"):
+        X.cut_points(t, 0, 1)
+
+
 def test_static_checks():
     good = "import torch\nimport triton\nimport triton.language as tl\n@triton.jit\ndef k(x, y, n, B: tl.constexpr):\n    i = tl.program_id(0) * B + tl.arange(0, B)\n    v = tl.load(x + i, mask=i < n)\n    tl.store(y + i, v * 2, mask=i < n)\nclass ModelNew(torch.nn.Module):\n    def forward(self, x):\n        y = torch.empty_like(x)\n        k[(1,)](x, y, x.numel(), B=64)\n        return y\n"
     ids = lambda s: {f["check_id"] for f in S.analyze(s)["findings"]}
