@@ -11,22 +11,23 @@ of ``WALKS`` walks; windows and items that agree on a table's sample are candida
 and an exact edit distance decides. With 40 tables of 3 samples, a pair that agrees in
 half of the places of its walk is missed with probability (7/8)^40, under 1 in 200.
 
-Windows have about the item's own length, at every word of every document, and run past
+Windows have the item's own length, at every word of every document, and run past
 both ends of a document by as many words as edits can take away; a missing word counts
 as the word 0. Each edit spoils q word q-grams at most, so a window of n words within e
 edits of an item holds n + 1 - q - q e of them that occur in the benchmark; windows with
 fewer (q = 2 or 3) are not embedded, and nothing is lost by that: words that are missing
 at an end are edits of the item themselves, so the bound holds there as it is. Bitmaps of fixed size (the benchmark's word
-pairs, word triples and table keys) let each task drop what cannot match; a large benchmark fills them up and
-costs time, not results.
+pairs, word triples, table keys and lengths) let each task drop what cannot match. Executors build them page by page, so the driver
+gathers a few megabytes whatever the benchmark holds; a large benchmark fills them up and costs time, not results.
 
 Items of fewer than ``MIN_WORDS`` words are matched exactly, by their whole word sequence.
 
 Items are a stated query set; documents are never compared with each other. Candidate
 regions carry their own words, so no text is shuffled. Nulls: a null or
 empty text holds no window, a null or empty item no words, and neither is ever
-reported; null ids are kept. Equal rows are reported alike; repeated items are reported
-by each id. Empty tables give empty results.
+reported; null ids are kept. Very long texts are scanned whole. Equal rows are reported alike; repeated items are reported
+by each id; of several places of an item the one with fewest edits is reported, of ties the first. Other columns are ignored by ``report`` and
+kept by ``clean``, whatever their names. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -38,24 +39,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialize, row_key
+from .runtime import FILTER_BITS, bitmaps, materialize, row_key, unpacked
 from .textscan import ALNUM, LOWER, mix, slices
 
 WALKS, TABLES, SAMPLES = 8, 40, 3
 MAX_EDITS = 0.2
 #: Items of fewer words are too short for edits and are matched exactly.
 MIN_WORDS = 8
-#: Bits of the bitmaps (a fixed 2 MB each, whatever the benchmark holds).
-FILTER_BITS = 24
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _length_class(n: int) -> int:
-    """Items of n words are looked for with windows of this length: the item's first words, seven eighths or more of them, so that few lengths serve all items."""
-    step = max(1, n // 8)
-    return n - n % step
-
-
 def embed(hashes: np.ndarray, at: np.ndarray, n: int, walk: int, places: np.ndarray) -> np.ndarray:
     """What the walk emits at ``places`` (ascending) for the windows of ``n`` words at ``at``: array (windows, places); 0 past the end."""
     steps = int(places[-1]) + 1
@@ -115,7 +108,7 @@ def _item_keys(w, whole: np.ndarray, r: int) -> np.ndarray:
     """The keys of item r of ``w``, one for each table, or one of all its words (``whole``: their hash) where they are few; none without words."""
     a, b = w.first[r], w.first[r + 1]
     if b - a >= MIN_WORDS:
-        return _keys(w.hash[a:b], np.zeros(1, np.int64), _length_class(b - a))[0]
+        return _keys(w.hash[a:b], np.zeros(1, np.int64), int(b - a))[0]
     return _exact_keys(whole[r : r + 1], b - a) if b > a else np.zeros(0, np.uint64)
 
 
@@ -189,7 +182,7 @@ def _slot(h: np.ndarray) -> np.ndarray:
 
 
 def _bitmap_slots(batches):
-    """(kind, slot): places that the items take in the bitmap of keys (1), their window lengths (0; those of short items, which are their own, are under MIN_WORDS), and places in the bitmaps of word pairs (2) and triples (3)."""
+    """(kind, slot): places that the items take in the bitmaps of their lengths (0), keys (1), word pairs (2) and triples (3)."""
     for batch in batches:
         grams, keys, lengths = {2: [], 3: []}, [], set()
         for a, b, w in slices(batch.column("text"), ALNUM, LOWER):
@@ -199,22 +192,22 @@ def _bitmap_slots(batches):
             for r in range(b - a):
                 n = int(w.first[r + 1] - w.first[r])
                 if n:
-                    lengths.add(_length_class(n) if n >= MIN_WORDS else n)
+                    lengths.add(n)
                     keys.append(_slot(mix(_item_keys(w, whole, r))))
         for kind, x in ((0, [np.array(sorted(lengths), np.int64)]), (1, keys), *grams.items()):
             x = np.unique(np.concatenate(x)) if x else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int32)), pa.array(x, pa.int64())], names=["kind", "slot"])
 
 
-def reach(n: int, max_edits: float) -> tuple[int, int]:
-    """Words of the longest item that windows of n words stand for, and the most edits that it allows."""
-    longest = n + n // 7 + 1
-    return longest, int(max_edits * longest)
+def item_bitmaps(items: DataFrame) -> tuple[dict[int, bytes], list[int]]:
+    """The bitmaps (by kind) of keys, pairs and triples of ``items`` (text), and the items' lengths."""
+    maps = bitmaps(items.select("text").mapInArrow(_bitmap_slots, "kind int, slot long"), 4)
+    return maps, np.flatnonzero(unpacked(maps.pop(0))).tolist()
 
 
 def padded(w, lengths: list[int], max_edits: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, place, begin, end): the words with zeros around every row, for windows that run past its ends, where each word stands, and each row's bounds. A row has as many zeros as the windows that it can hold may miss words."""
-    most = np.array([reach(n, max_edits)[1] for n in lengths], np.int64)
+    most = np.array([int(max_edits * n) for n in lengths], np.int64)
     least = np.maximum.accumulate(np.array(lengths, np.int64) - most) if len(lengths) else most
     size = np.diff(w.first)
     need = np.append(0, np.maximum.accumulate(most) if len(lengths) else most)[np.searchsorted(least, size, "right")]
@@ -238,7 +231,7 @@ def _regions(maps: dict[int, bytes], lengths: list[int], max_edits: float):
     short, lengths = [n for n in lengths if n < MIN_WORDS], [n for n in lengths if n >= MIN_WORDS]
 
     def run(batches):
-        bits = {k: np.unpackbits(np.frombuffer(x, np.uint8)).astype(bool) for k, x in maps.items()}
+        bits = {k: unpacked(x) for k, x in maps.items()}
         for batch in batches:
             d, t = batch.column("d").to_numpy(zero_copy_only=False), batch.column("t").to_numpy(zero_copy_only=False)
             out = {k: [] for k in ("d", "t", "first", "words", "keys")}
@@ -265,7 +258,7 @@ def _regions(maps: dict[int, bytes], lengths: list[int], max_edits: float):
                         out["words"].append(w.hash[at[i] : at[i] + n].tobytes())
                         out["keys"].append(k[i : i + 1].view(np.int64))
                 for n in lengths:
-                    longest, most = reach(n, max_edits)
+                    most = int(max_edits * n)
                     last = len(hashes) - n
                     if last < 0:
                         continue
@@ -282,7 +275,7 @@ def _regions(maps: dict[int, bytes], lengths: list[int], max_edits: float):
                         row = np.searchsorted(end, at, "right")
                         edges = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(at, prepend=-n - 1) > n))
                         for i, j in zip(edges, np.append(edges[1:], len(at)), strict=True):
-                            lo, hi = max(at[i] - most, begin[row[i]]), min(at[j - 1] + longest + most, end[row[i]])
+                            lo, hi = max(at[i] - most, begin[row[i]]), min(at[j - 1] + n + most, end[row[i]])
                             out["d"].append(int(d[a + row[i]]))
                             out["t"].append(int(t[a + row[i]]))
                             out["first"].append(int(lo - begin[row[i]]))
@@ -319,14 +312,7 @@ def _verify(max_edits: float):
 def leaks(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS) -> DataFrame:
     """(d, t, item_id, edits, n_item, first, last): the closest place of each item in each document that holds it; d and t are ``row_key()``."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    # at most 2^FILTER_BITS slots of either kind, and the lengths that items have
-    slots = items.select("text").mapInArrow(_bitmap_slots, "kind int, slot long").distinct().collect()
-    maps = {}
-    for kind in (1, 2, 3):
-        bits = np.zeros(1 << FILTER_BITS, bool)
-        bits[[r["slot"] for r in slots if r["kind"] == kind]] = True
-        maps[kind] = np.packbits(bits).tobytes()
-    lengths = sorted(r["slot"] for r in slots if r["kind"] == 0)
+    maps, lengths = item_bitmaps(items)
     keyed = docs.select(*row_key(), "text")
     regions = keyed.mapInArrow(_regions(maps, lengths, max_edits), "d long, t int, first long, words binary, keys array<long>")
     regions = materialize(regions, "regions").dropDuplicates()
@@ -349,6 +335,6 @@ def report(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS) -> D
 def clean(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS) -> DataFrame:
     """The rows of ``docs`` that leak no item, with all their columns."""
     found = leaks(docs, items, max_edits).select("d", "t").distinct()
-    d, t = row_key()
-    kept = docs.withColumns({"_d": d, "_t": t})
-    return kept.join(found.toDF("_d", "_t"), ["_d", "_t"], "left_anti").select(*docs.columns)
+    # the caller's row as one column, so that no name can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key())
+    return rows.join(found, ["d", "t"], "left_anti").select("row.*")

@@ -41,7 +41,7 @@ from pyspark.sql.types import MapType
 
 from . import setjoin
 from .components import components
-from .runtime import materialize, release, row_key
+from .runtime import FILTER_BITS, bitmaps, drop, drop_since, mark, materialize, release, row_key, unpacked
 from .textscan import LOWER, NON_SPACE, Words, mix, slices
 
 HEAVY, MAX_HEAVY = 12, 1 << 19
@@ -134,15 +134,23 @@ def _entries(batches):
         yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(c), pa.array(n), pa.array(pos.astype(np.int32))], names=["token", "c", "n", "pos"])
 
 
-def _full_sets(k: int):
+def _full_sets(k: int, wanted: bytes):
+    """(d, t, members): the sets of rows whose slot is in the bitmap ``wanted``."""
+
     def run(batches):
+        bits = unpacked(wanted)
         for batch in batches:
+            batch = batch.filter(pa.array(bits[batch.column("slot").to_numpy()]))
             out = [s.tobytes() for _, _, w in slices(batch.column("text"), NON_SPACE, LOWER) for s in shingle_sets(w, k)]
-            yield pa.RecordBatch.from_arrays([batch.column("c"), pa.array(out, pa.binary())], names=["c", "members"])
+            yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("t"), pa.array(out, pa.binary())], names=["d", "t", "members"])
 
     return run
 
 
+def _slot():
+    return F.pmod(F.xxhash64("d", "t"), F.lit(1 << FILTER_BITS)).alias("slot")
+
+
 def _cut(block: int):
     """(token, unit, edge, c, n, pos) from lists in order: lists of one fall out, but for the first and last of a partition, whose other members may stand in the next; ``unit`` names runs of ``block`` rows at most; ``edge``: the list may hold rows of other units."""
 
@@ -318,10 +326,11 @@ def link(docs: DataFrame, k: int = 4, percent: int = 85, block: int = BLOCK, tok
     spark = docs.sparkSession
     keyed = docs.select(*row_key(), "doc_id", "text")
     sketch = materialize(keyed.select("d", "t", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketch(k), "d long, t int, doc_id long, n int, c long, token long, heavy long"), "sketch")
-    rows = sketch.where("token IS NULL").select("d", "t", "doc_id", "n", "c")
+    rows = materialize(sketch.where("token IS NULL").select("d", "t", "doc_id", "n", "c"), "rows")
     heavy = sketch.where("token IS NOT NULL").groupBy("token").agg(F.sum("heavy").alias("n")).where(F.col("n") >= HEAVY)
     heavy = np.array([r["token"] for r in heavy.orderBy(F.desc("n"), "token").limit(MAX_HEAVY).collect()], np.int64).view(np.uint64)
     by = np.argsort(heavy)
+    drop(sketch)
     # the most frequent ones last
     heavy, rank = heavy[by], (len(heavy) - by).astype(np.int32)
     classes = rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.min(F.struct("d", "t")).alias("r"))
@@ -330,14 +339,18 @@ def link(docs: DataFrame, k: int = 4, percent: int = 85, block: int = BLOCK, tok
     packed = docs.select("text").mapInArrow(_prefixes(k, percent, heavy, rank), "c long, n int, prefix binary, bits binary").dropDuplicates(["c"])
     packed = materialize(packed, "packed")
     release(spark)
+    since = mark()
     near = neighbourhoods(packed, percent, block)
 
     schema = "a long, b long"
-    place = materialize(classes.join(near.withColumnRenamed("node", "c"), "c").select("c", "n", "root", "d", "t"), "place")
-    place = materialize(_blocks(place, ["root"], tokens, block), "place")
-    wanted = place.select("c", "d", "t")
-    sets = keyed.select("d", "t", "text").join(wanted, ["d", "t"]).dropDuplicates(["c"]).select("c", "text").mapInArrow(_full_sets(k), "c long, members binary")
-    sets = materialize(sets, "sets")
+    near = materialize(classes.join(near.withColumnRenamed("node", "c"), "c").select("c", "n", "root", "d", "t"), "place")
+    drop_since(since)
+    drop(packed)
+    place = materialize(_blocks(near, ["root"], tokens, block), "place")
+    # a bitmap lets most texts fall out where they are read; the join settles the rest
+    wanted = bitmaps(place.select(F.lit(0).alias("kind"), _slot()), 1)[0]
+    sets = keyed.select("d", "t", "text", _slot()).mapInArrow(_full_sets(k, wanted), "d long, t int, members binary")
+    sets = materialize(sets.join(place.select("c", "d", "t"), ["d", "t"]).dropDuplicates(["c"]).select("c", "members"), "sets")
     release(spark)
     held = place.select("c", "n", "root", "block", F.coalesce("blocks", F.lit(1)).alias("blocks")).join(sets, "c").withColumn("label", F.col("c"))
     pairs = "filter(array(struct(block AS x, block AS y), struct(block AS x, block + 1 AS y), struct(block - 1 AS x, block AS y)), p -> p.x >= 0 AND p.y < blocks)"
@@ -346,6 +359,7 @@ def link(docs: DataFrame, k: int = 4, percent: int = 85, block: int = BLOCK, tok
     roots = components(links)
     large = place.where("blocks > 2").select("c", "n", "root")
     if large.isEmpty():
+        drop(sets)
         return rows, classes, roots
 
     # neighbourhoods of many blocks: large components get blocks of their own, and pairs of blocks of one component are skipped

@@ -12,6 +12,8 @@ import gc
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,6 +85,31 @@ def _drop_written() -> None:
             return
 
 
+#: Bits of a bitmap (2 MB, whatever the table holds) and of the pages in which it reaches the driver.
+FILTER_BITS, PAGE_BITS = 24, 17
+
+
+def _page(rows: pa.Table) -> pa.Table:
+    """(kind, page, bits): the slots of one page of a bitmap."""
+    bits = np.zeros(1 << PAGE_BITS, np.uint8)
+    bits[rows.column("slot").to_numpy() & ((1 << PAGE_BITS) - 1)] = 1
+    return pa.table({"kind": rows.column("kind")[:1], "page": rows.column("page")[:1], "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+
+def bitmaps(slots: DataFrame, kinds: int) -> dict[int, bytes]:
+    """Bitmaps of ``slots`` (kind int, slot long under 2^FILTER_BITS), built by executors: ``kinds`` times 2 MB at most reach the driver, whatever the table holds."""
+    slots = slots.distinct().withColumn("page", F.shiftright("slot", PAGE_BITS).cast("int"))
+    size = 1 << (PAGE_BITS - 3)
+    maps = {kind: bytearray(1 << (FILTER_BITS - 3)) for kind in range(kinds)}
+    for r in slots.groupBy("kind", "page").applyInArrow(_page, "kind int, page int, bits binary").collect():
+        maps[r["kind"]][r["page"] * size : (r["page"] + 1) * size] = r["bits"]
+    return {k: bytes(x) for k, x in maps.items()}
+
+
+def unpacked(bits: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> tuple[int, int]:
     """Rows and UTF-8 bytes of the whole table; sizes partitions and buckets."""
     row = docs.select(F.octet_length(F.col(text)).cast("long").alias("n")).agg(F.count(F.lit(1)).alias("c"), F.coalesce(F.sum("n"), F.lit(0)).alias("s")).first()
