@@ -5,13 +5,16 @@ patterns propose candidates (credentials, spelled-out addresses, long numbers).
 gazetteer and context labelers vote on each candidate: 1, 0 or abstain. Counts of the
 vote patterns over all documents (a bounded table, whatever the corpus) go through
 expectation-maximisation, which estimates each labeler's reliability; the posteriors
-train a logistic span classifier, whose weights become a column expression.
+train a logistic span classifier over the votes and traits of the match itself (length, digits, letters among digits), whose weights become a column expression.
 
 Matches within a row have their places from the lengths of what lies between them, so
 nothing is shuffled but the vote counts. Patterns are possessive where they repeat and
-anchored at the start of a run, so long runs cost linear time. Nulls: a null text is
-empty; a null doc_id is kept. Equal rows give equal rows. An empty table gives an
-empty result.
+anchored at the start of a run, so long runs cost linear time; running ends and overlaps come from
+sorted matches and running sums and extremes, in blocks, so many matches in a text do too.
+A loose match that overlaps a base span, or a loose match of an earlier kind, is dropped.
+
+Nulls: a null text is empty; a null doc_id is kept. Very long texts are read whole. Equal rows give equal rows; ties in place go by the
+order of kinds. Other columns are ignored, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,7 +45,9 @@ DOMAINS = "(?i)(com|org|net|edu|gov|io|de|fr|es|uk)$"
 NEAR = "(?i)(tel|phone|call|fax|mobile|contact|mail|reach|ssn|social security|account|iban|card|visa|login|credential|key|token|secret|password)"
 FAR = "(?i)(version|invoice|order|isbn|page|figure|table|price|total|year|copyright|no[.])"
 LABELERS = ["shape", "check", "gazetteer", "near", "far"]
-FEATURES = [f"{n}{v}" for n in LABELERS for v in (0, 1)] + [f"is_{k}" for k, _ in LOOSE]
+#: Traits of a match x that the classifier sees besides the votes.
+TRAITS = {"long": "length(x.m) >= 24", "digits": "length(regexp_replace(x.m, '[^0-9]', '')) >= 9", "mixed": "x.m rlike '[0-9][A-Za-z]|[A-Za-z][0-9]'"}
+FEATURES = [f"{n}{v}" for n in LABELERS for v in (0, 1)] + [f"is_{k}" for k, _ in LOOSE] + list(TRAITS)
 #: Where the labelers start, and how often they abstain is learned from there: (says 1 when true, says 1 when false).
 START = (0.8, 0.2)
 
@@ -58,18 +63,44 @@ def _found(kind: str, pattern: str, needs: str) -> str:
     return f"CASE WHEN {seen} THEN regexp_extract_all(_text, {p}, 0) ELSE cast(array() as array<string>) END", f"split(_text, {p}, -1)"
 
 
+def _running(items: str, start: str, kind: str, step: str, join: str) -> str:
+    """SQL: the running value at each element x of array ``items``: ``start``, moved on by ``step`` (of a.at and x) or by a whole block's value y (``join``). Blocks of 512, as arrays grow by copying."""
+    block = f"aggregate(slice({items}, 512 * b + 1, 512), struct({start} AS at, cast(array() as array<{kind}>) AS out), (a, x) -> struct({step} AS at, concat(a.out, array({step})) AS out), a -> a.out)"
+    blocks = f"transform(sequence(0, greatest(size({items}) - 1, 0) div 512), b -> {block})"
+    end = join.replace("y", "try_element_at(x, -1)")
+    return f"aggregate({blocks}, struct({start} AS at, cast(array() as array<{kind}>) AS out), (a, x) -> struct(IF(size(x) = 0, a.at, {end}) AS at, concat(a.out, transform(x, y -> {join})) AS out), a -> a.out)"
+
+
 def _spans(d: DataFrame, kind: str, pattern: str, needs: str) -> DataFrame:
     """Adds column ``kind``: array of struct(kind, m, start, stop)."""
     found, gaps = _found(kind, pattern, needs)
     d = d.withColumn("_m", F.expr(found)).withColumn("_g", F.expr(f"CASE WHEN size(_m) > 0 THEN {gaps} END"))
-    d = d.withColumn("_l", F.expr("transform(_m, (x, i) -> struct(length(get(_g, i)) AS gap, length(x) AS n))"))
-    # The running end of each match: within blocks of 512 matches, then over the blocks, as arrays grow by copying.
-    ends = "aggregate({0}, struct(0 AS at, cast(array() as array<int>) AS ends), (a, x) -> {1}, a -> a.ends)"
-    block = ends.format("slice(_l, 512 * b + 1, 512)", "struct(a.at + x.gap + x.n AS at, concat(a.ends, array(a.at + x.gap + x.n)) AS ends)")
-    d = d.withColumn("_b", F.expr(f"transform(sequence(0, size(_l) div 512), b -> {block})"))
-    d = d.withColumn("_e", F.expr(ends.format("_b", "struct(a.at + coalesce(try_element_at(x, -1), 0) AS at, concat(a.ends, transform(x, y -> y + a.at)) AS ends)")))
+    d = d.withColumn("_l", F.expr("transform(_m, (x, i) -> length(get(_g, i)) + length(x))"))
+    d = d.withColumn("_e", F.expr(_running("_l", "0", "int", "a.at + x", "a.at + y")))
     out = d.withColumn(kind, F.expr(f"transform(_m, (x, i) -> struct('{kind}' AS kind, x AS m, get(_e, i) - length(x) AS start, get(_e, i) AS stop))"))
-    return out.drop("_m", "_g", "_l", "_b", "_e")
+    return out.drop("_m", "_g", "_l", "_e")
+
+
+def _free(d: DataFrame) -> DataFrame:
+    """Adds ``_free``: the loose matches that overlap no base span and no loose match of an earlier kind."""
+    ranks = range(len(LOOSE))
+    none = 1 << 30
+    d = d.withColumn("_loose", F.expr(f"concat({', '.join(k for k, *_ in LOOSE)})"))
+    kinds = ", ".join(f"'{k}'" for k, _ in LOOSE)
+    base = f"transform(concat({', '.join(k for k, *_ in BASE)}), b -> struct(b.start AS start, 0 AS rank, b.stop AS stop, -1 AS i))"
+    loose = f"transform(_loose, (x, i) -> struct(x.start AS start, cast(array_position(array({kinds}), x.kind) as int) AS rank, x.stop AS stop, i AS i))"
+    # in order of start; of equal starts the earlier kind first
+    d = d.withColumn("_all", F.expr(f"CASE WHEN size(_loose) > 0 THEN sort_array(concat({base}, {loose})) ELSE array() END"))
+    row = f"struct<{','.join(f'm{r}:int' for r in ranks)}>"
+    fold = lambda fn, mine: "struct(" + ", ".join(f"{fn}(a.at.m{r}, {mine(r)}) AS m{r}" for r in ranks) + ")"
+    first = lambda v: f"cast(struct({', '.join(f'{v} AS m{r}' for r in ranks)}) as {row})"
+    # for each rank: how far the earlier kinds reach from the left, and where the next of them starts
+    reach = _running("_all", first(0), row, fold("greatest", lambda r: f"IF(x.rank <= {r}, x.stop, 0)"), fold("greatest", lambda r: f"y.m{r}"))
+    ahead = _running("reverse(_all)", first(none), row, fold("least", lambda r: f"IF(x.rank <= {r}, x.start, {none})"), fold("least", lambda r: f"y.m{r}"))
+    d = d.withColumn("_reach", F.expr(reach)).withColumn("_ahead", F.expr(ahead))
+    clash = "CASE x.rank " + " ".join(f"WHEN {r + 1} THEN coalesce(get(_reach, i - 1).m{r} > x.start, false) OR coalesce(get(_ahead, size(_all) - i - 2).m{r} < x.stop, false)" for r in ranks) + " ELSE true END"
+    d = d.withColumn("_free", F.expr(f"transform(filter(_all, (x, i) -> NOT ({clash})), x -> get(_loose, x.i))"))
+    return d.drop("_loose", "_all", "_reach", "_ahead")
 
 
 def _luhn(m: str) -> str:
@@ -98,13 +129,10 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 
 def candidates(d: DataFrame) -> DataFrame:
-    """Adds ``cands``: array of struct(kind, start, stop, votes) of loose matches that meet no base span."""
+    """Adds ``cands``: array of struct(kind, start, stop, votes, traits) of the loose matches of ``_free``."""
     for kind, pattern in LOOSE:
         d = _spans(d, kind, pattern, {"contact": "at"}.get(kind, ""))
-    base = f"concat({', '.join(k for k, *_ in BASE)})"
-    d = d.withColumn("_base", F.expr(f"transform({base}, b -> struct(b.start AS start, b.stop AS stop))"))
-    loose = f"concat({', '.join(k for k, *_ in LOOSE)})"
-    d = d.withColumn("_free", F.expr(f"filter({loose}, x -> NOT exists(_base, b -> b.start < x.stop AND x.start < b.stop))"))
+    d = _free(d)
     left = "substring(_text, greatest(x.start - 39, 1), least(x.start, 40))"
     vote = lambda yes, no: f"CASE WHEN {yes} THEN 1 WHEN {no} THEN 0 ELSE -1 END"
     n = _N_DIGITS
@@ -118,7 +146,7 @@ def candidates(d: DataFrame) -> DataFrame:
         "near": vote(f"{left} rlike '{NEAR}' OR x.kind = 'secret'", "false"),
         "far": vote("false", f"{left} rlike '{FAR}'"),
     }
-    struct = ", ".join(f"'{k}', {v}" for k, v in votes.items())
+    struct = ", ".join(f"'{k}', {v}" for k, v in (votes | {t: f"coalesce({x}, false)" for t, x in TRAITS.items()}).items())
     return d.withColumn("cands", F.expr(f"transform(_free, x -> named_struct('kind', x.kind, 'start', x.start, 'stop', x.stop, {struct}))"))
 
 
@@ -147,13 +175,13 @@ def em(counts: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> tuple[flo
     return prior, rel, post
 
 
-def train(counts: list[tuple[str, tuple[int, ...], int]], steps: int = 300) -> tuple[float, dict[str, float]]:
-    """Bias and weights of the span classifier, from the EM posteriors of (kind, votes, count)."""
+def train(counts: list[tuple[str, tuple[int, ...], tuple[bool, ...], int]], steps: int = 300) -> tuple[float, dict[str, float]]:
+    """Bias and weights of the span classifier, from the EM posteriors of (kind, votes, traits, count)."""
     merged: dict[tuple[int, ...], int] = {}
-    for _, v, n in counts:
+    for _, v, _, n in counts:
         merged[v] = merged.get(v, 0) + n
     _, _, post = em(sorted(merged.items()))
-    rows = [([f for i, x in enumerate(v) if x >= 0 for f in [f"{LABELERS[i]}{x}"]] + [f"is_{k}"], post[v], n) for k, v, n in sorted(counts)]
+    rows = [([f"{LABELERS[i]}{x}" for i, x in enumerate(v) if x >= 0] + [f"is_{k}"] + [t for t, on in zip(TRAITS, has, strict=True) if on], post[v], n) for k, v, has, n in sorted(counts)]
     bias, w, total = 0.0, dict.fromkeys(FEATURES, 0.0), sum(n for *_, n in rows) or 1
     for _ in range(steps):
         g0, g = 0.0, dict.fromkeys(FEATURES, 0.0)
@@ -170,6 +198,7 @@ def train(counts: list[tuple[str, tuple[int, ...], int]], steps: int = 300) -> t
 def score(bias: float, w: dict[str, float]) -> str:
     """SQL: the classifier's log odds of candidate ``x``."""
     terms = [f"CASE x.{n} WHEN 1 THEN {w[n + '1']:.6f}D WHEN 0 THEN {w[n + '0']:.6f}D ELSE 0D END" for n in LABELERS]
+    terms += [f"IF(x.{t}, {w[t]:.6f}D, 0D)" for t in TRAITS]
     kinds = " ".join(f"WHEN '{k}' THEN {w['is_' + k]:.6f}D" for k, _ in LOOSE)
     return f"({bias:.6f}D + {' + '.join(terms)} + CASE x.kind {kinds} ELSE 0D END)"
 
@@ -184,8 +213,8 @@ def find(docs: DataFrame) -> DataFrame:
     slim = "transform({0}, x -> struct(x.kind AS kind, x.start AS start, x.stop AS stop))"
     all_base = f"concat({', '.join(slim.format(k) for k, *_ in BASE)})"
     d = materialize(d.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k, *_ in BASE), F.expr(all_base).alias("base"), "cands"), "pii")
-    votes = d.select(F.explode("cands").alias("c")).groupBy("c.kind", *(f"c.{n}" for n in LABELERS)).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3 * 3^5 rows
-    bias, w = train([(r["kind"], tuple(r[n] for n in LABELERS), r["n"]) for r in votes])
+    votes = d.select(F.explode("cands").alias("c")).groupBy("c.kind", *(f"c.{n}" for n in [*LABELERS, *TRAITS])).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3 * 3^5 * 2^3 rows
+    bias, w = train([(r["kind"], tuple(r[n] for n in LABELERS), tuple(r[t] for t in TRAITS), r["n"]) for r in votes])
     kept = f"filter(cands, x -> {score(bias, w)} > 0)"
     order = F.expr(f"concat(base, array_sort({slim.format(kept)}, (a, b) -> CASE WHEN a.kind <> b.kind THEN IF(array_position(array({', '.join(map(repr, KINDS))}), a.kind) < array_position(array({', '.join(map(repr, KINDS))}), b.kind), -1, 1) ELSE a.start - b.start END))")
     d = d.withColumn("_all", order)
