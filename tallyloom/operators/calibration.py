@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PROBLEM = ["level", "problem_id"]
+#: The variance of an offset that the curve says nothing about; when offsets have settled, and the share of problems that need not; the damping; points that a band needs for a variance of its own.
+NO_INFO, TOLERANCE, TAIL, DAMP, MIN_BAND = 1e6, 0.01, 0.01, 0.5, 2
 
 
 @dataclass
@@ -56,71 +58,137 @@ def pool_adjacent(ys: list[float]) -> list[float]:
     return [b for b, n in blocks for _ in range(int(n))]
 
 
-def fit_curve(anchors: DataFrame, score: str = "score", target: str = "target", n_bands: int = 10) -> Curve:
+def fit_sample(anchors: DataFrame, orm_seen: bool = False) -> DataFrame:
+    """The anchors that a curve is fitted to: those that the scorer has not been trained on (column ``orm_seen``, where there is one), or all if ``orm_seen``."""
+    return anchors if orm_seen or "orm_seen" not in anchors.columns else anchors.where(~F.coalesce("orm_seen", F.lit(False)))
+
+
+def fit_curve(anchors: DataFrame, score: str = "score", target: str = "target", n_bands: int = 10, orm_seen: bool = False) -> Curve:
     """Band means pooled to be monotone; residual variances about the fitted knot, bands of under two points get the pooled mean."""
-    b = bands(anchors, score, n_bands).groupBy("band").agg(F.avg(score).alias("x"), F.avg(target).alias("y"), F.avg(F.col(target) * F.col(target)).alias("yy"), F.count(F.lit(1)).alias("n"))
+    b = bands(fit_sample(anchors, orm_seen), score, n_bands).groupBy("band").agg(F.avg(score).alias("x"), F.avg(target).alias("y"), F.avg(F.col(target) * F.col(target)).alias("yy"), F.count(F.lit(1)).alias("n"))
     rows = sorted(b.collect(), key=lambda r: r["band"])  # n_bands rows
+    if not rows:
+        raise ValueError("no anchors to fit a curve to that the scorer has not seen")
     fit = pool_adjacent([r["y"] for r in rows])
-    var = [max(0.0, r["yy"] - 2 * f * r["y"] + f * f) if r["n"] > 1 else None for r, f in zip(rows, fit, strict=True)]
+    var = [max(0.0, r["yy"] - 2 * f * r["y"] + f * f) if r["n"] >= MIN_BAND else None for r, f in zip(rows, fit, strict=True)]
     known = [v for v in var if v is not None]
     fill = sum(known) / len(known) if known else 0.0
     return Curve([r["x"] for r in rows], fit, [fill if v is None else v for v in var], [r["n"] for r in rows])
 
 
-def fit_offsets(anchors: DataFrame, curve: Curve, clamp: float = 3.0, steps: int = 60, kappa: float | None = None) -> DataFrame:
-    """(problem, raw, c, var, shrink, n, clamped): the shift that makes a problem's curve values sum to its targets, by bisection on sums, then shrunken towards 0.
-
-    Bisection runs as grouped sums folded within each row's array of scores, so all problems move at once.
-    """
-    g = anchors.groupBy(*PROBLEM).agg(F.collect_list(F.col("score").cast("double")).alias("s"), F.sum("target").alias("t"), F.count(F.lit(1)).alias("n"))  # anchors of a problem are its samples: tens
-
-    def total(c: Column) -> Column:
-        return F.aggregate("s", F.lit(0.0), lambda a, x: a + curve.column(x + c))
+def _solve(x: list[float], y: list[float], clamp: float, steps: int = 60):
+    """Bisection of all problems of a batch at once, as arrays; see ``solve_offsets``."""
 
-    def solve(frame):
+    def run(frames):
         import numpy as np
 
-        for pdf in frame:
-            raw = []
-            for s, t in zip(pdf["s"], pdf["t"], strict=True):
-                s, lo, hi = np.asarray(s, float), -clamp, clamp
-                at = lambda c, s=s: float(np.interp(s + c, curve.x, curve.y).sum())
-                for _ in range(steps):
-                    mid = (lo + hi) / 2
-                    lo, hi = (mid, hi) if at(mid) < t else (lo, mid)
-                raw.append((lo + hi) / 2)
-            q = [np.interp(np.asarray(s, float) + c, curve.x, curve.y) for s, c in zip(pdf["s"], raw, strict=True)]
-            info = [float((x * (1 - x)).sum()) for x in q]
-            yield pdf.assign(raw=raw, var=[1 / i if i > 0 else 1e6 for i in info]).drop(columns=["s", "t"])
-
-    o = g.mapInPandas(solve, "level long, problem_id long, n long, raw double, var double")
-    o = o.withColumn("clamped", F.abs("raw") >= clamp - 1e-9)
+        for pdf in frames:
+            size = np.array([len(s) for s in pdf["s"]], np.int64)
+            s = np.concatenate([np.asarray(v, float) for v in pdf["s"]]) if len(pdf) else np.zeros(0)
+            of, want = np.repeat(np.arange(len(pdf)), size), pdf["t"].to_numpy(float)
+            curve = lambda c: np.interp(s + c[of], x, y)  # noqa: E731, B023
+            off = lambda c: np.bincount(of, curve(c), len(pdf)) - want  # noqa: E731, B023
+            lo, hi = np.full(len(pdf), -clamp), np.full(len(pdf), clamp)
+            low, high = off(lo) >= 0, off(hi) <= 0
+            for _ in range(steps):
+                mid = (lo + hi) / 2
+                under = off(mid) < 0
+                lo, hi = np.where(under, mid, lo), np.where(under, hi, mid)
+            raw = np.where(low, -clamp, np.where(high, clamp, (lo + hi) / 2))
+            q = curve(raw)
+            info = np.bincount(of, q * (1 - q), len(pdf))
+            var = np.where(info > 0, 1 / np.where(info > 0, info, 1.0), NO_INFO)
+            yield pdf.assign(raw=raw, var=var, clamped=low | high).drop(columns=["s", "t"])
+
+    return run
+
+
+def solve_offsets(anchors: DataFrame, curve: Curve, clamp: float = 3.0) -> DataFrame:
+    """(problem, n, raw, var, clamped): the shift that makes a problem's curve values sum to its targets (an end of +-clamp where none does), and the variance that the curve's slope there leaves it."""
+    # anchors of a problem are its samples: tens
+    g = anchors.groupBy(*PROBLEM).agg(F.collect_list(F.col("score").cast("double")).alias("s"), F.sum("target").alias("t"), F.count(F.lit(1)).alias("n"))
+    return g.mapInPandas(_solve(curve.x, curve.y, clamp), "level long, problem_id long, n long, raw double, var double, clamped boolean")
+
+
+def spread(o: DataFrame) -> float | None:
+    """The variance of true offsets: that of the solved ones less their own, over problems that are neither clamped nor without information; None under two of them."""
+    m = o.where(f"NOT clamped AND var < {NO_INFO}").agg(F.count(F.lit(1)).alias("k"), F.var_pop("raw").alias("v"), F.avg("var").alias("m")).first()
+    return max(0.0, m["v"] - m["m"]) if m["k"] >= 2 else None
+
+
+def shrunk(o: DataFrame, tau2: float | None, kappa: float | None = None) -> DataFrame:
+    """``o`` with shrink and c: n / (n + kappa), or tau2 / (tau2 + var); without an estimate the one problem that is identified keeps its offset and all others get 0."""
     if kappa is not None:
-        return o.withColumn("shrink", F.col("n") / (F.col("n") + kappa)).withColumn("c", F.col("raw") * F.col("shrink"))
-    m = o.where("NOT clamped AND var < 1e6").agg(F.count(F.lit(1)).alias("k"), F.var_pop("raw").alias("v"), F.avg("var").alias("m")).first()
-    tau2 = max(0.0, (m["v"] or 0.0) - (m["m"] or 0.0)) if m["k"] >= 2 else 0.0
-    return o.withColumn("shrink", F.lit(tau2) / (F.lit(tau2) + F.col("var")) if tau2 > 0 else F.lit(0.0)).withColumn("c", F.col("raw") * F.col("shrink"))
-
-
-def fit_joint(anchors: DataFrame, rounds: int = 16, n_bands: int = 10, tolerance: float = 0.01, **kw) -> tuple[Curve, DataFrame]:
-    """Curve and offsets in turn until offsets settle; offsets are damped by half from the second round. Offsets are one row a problem; each round writes them to the checkpoint folder."""
-    offsets, curve, before = None, None, None
-    for k in range(rounds):
-        a = anchors if offsets is None else anchors.join(offsets.select(*PROBLEM, "c"), PROBLEM, "left").withColumn("score", F.col("score") + F.coalesce("c", F.lit(0.0))).drop("c")
-        curve = fit_curve(a, n_bands=n_bands)
-        new = fit_offsets(anchors, curve, **kw)
-        if offsets is not None:
-            new = new.join(offsets.select(*PROBLEM, F.col("c").alias("old")), PROBLEM).withColumn("c", (F.col("c") + F.col("old")) / 2)
-        before, offsets = offsets, _cut(new.select(*PROBLEM, "n", "raw", "var", "clamped", "shrink", "c", *(["old"] if before is not None or offsets is not None else [])))
-        if k:
-            move = offsets.agg(F.percentile(F.abs(F.col("c") - F.col("old")), 0.99)).first()[0]
-            if move is not None and move < tolerance:
-                break
-    return curve, offsets.select(*PROBLEM, "n", "raw", "var", "clamped", "shrink", "c")
+        shrink = F.col("n") / (F.col("n") + kappa)
+    elif tau2 is None:
+        shrink = F.when(~F.col("clamped") & (F.col("var") < NO_INFO), 1.0).otherwise(0.0)
+    else:
+        shrink = F.when(F.lit(tau2) + F.col("var") > 0, F.lit(tau2) / (F.lit(tau2) + F.col("var"))).otherwise(0.0)
+    return o.withColumn("shrink", shrink).withColumn("c", F.col("raw") * F.col("shrink"))
+
+
+def fit_offsets(anchors: DataFrame, curve: Curve, clamp: float = 3.0, kappa: float | None = None, tau2: float | None = None) -> DataFrame:
+    """(problem, n, raw, var, clamped, shrink, c) of every problem with anchors, memorised ones included. ``tau2``: use this spread instead of estimating it."""
+    # one row a problem; read twice, for the spread and for the result
+    o = _cut(solve_offsets(anchors, curve, clamp))
+    if kappa is None and tau2 is None:
+        tau2 = spread(o)
+    return shrunk(o, tau2, kappa)
+
+
+def offsets_meta(o: DataFrame) -> DataFrame:
+    """One row: counts and spreads of fitted offsets."""
+    core = ~F.col("clamped") & (F.col("var") < NO_INFO)
+    return o.agg(
+        F.count(F.lit(1)).alias("n_problems"),
+        F.coalesce(F.stddev_pop("c"), F.lit(0.0)).alias("c_std"),
+        F.coalesce(F.stddev_pop(F.when(~F.col("clamped"), F.col("c"))), F.lit(0.0)).alias("c_std_core"),
+        F.count_if("clamped").alias("n_clamped"),
+        F.count_if(F.col("var") >= NO_INFO).alias("n_no_info"),
+        F.count_if(core).alias("n_informative"),
+        F.coalesce(F.try_divide(F.count_if(core), F.count(F.lit(1))), F.lit(0.0)).alias("frac_informative"),
+        F.coalesce(F.avg("shrink"), F.lit(0.0)).alias("shrink_mean"),
+    )
+
+
+def step(state: DataFrame, new: DataFrame, damp: bool) -> DataFrame:
+    """(problem, c, move): the offsets' next state, half of the way to the new solve if ``damp``, and how far the solve is from the last state."""
+    old = state.select(*PROBLEM, F.col("c").alias("old"))
+    d = new.select(*PROBLEM, "c").join(old, PROBLEM, "left").withColumn("old", F.coalesce("old", F.lit(0.0)))
+    c = F.col("old") + DAMP * (F.col("c") - F.col("old")) if damp else F.col("c")
+    return d.select(*PROBLEM, c.alias("c"), F.abs(F.col("c") - F.col("old")).alias("move"))
+
+
+def settled(moves: DataFrame, tolerance: float = TOLERANCE) -> bool:
+    """Whether all moves but the largest hundredth are under the tolerance."""
+    m = moves.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("move") >= tolerance).alias("far")).first()
+    return m["far"] <= int(TAIL * m["n"])
+
+
+def fit_joint(anchors: DataFrame, rounds: int = 16, n_bands: int = 10, clamp: float = 3.0, kappa: float | None = None, orm_seen: bool = False) -> tuple[Curve, DataFrame]:
+    """Curve and offsets in turn until the offsets settle.
+
+    The spread of offsets is estimated once, in the first round: applying offsets takes
+    away what it is estimated from. The state that the curve is fitted to moves half of the way to each
+    new solve from the second round on; what is returned is the last solve itself, against the curve returned. Offsets
+    are one row a problem; each round writes them to the checkpoint folder.
+    """
+    state, tau2 = None, None
+    for k in range(max(1, rounds)):
+        a = anchors if state is None else anchors.join(state.select(*PROBLEM, "c"), PROBLEM, "left").withColumn("score", F.col("score") + F.coalesce("c", F.lit(0.0))).drop("c")
+        curve = fit_curve(a, n_bands=n_bands, orm_seen=orm_seen)
+        solved = _cut(solve_offsets(anchors, curve, clamp))
+        if tau2 is None and kappa is None:
+            tau2 = spread(solved)
+        new = shrunk(solved, tau2, kappa)
+        state = _cut(step(state if state is not None else new.select(*PROBLEM, F.lit(0.0).alias("c")), new, damp=k > 0))
+        if settled(state):
+            break
+    return curve, new
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint where the session names a folder; else the plan as it stands."""
+    """A reliable checkpoint where the session names a folder; else the plan as it stands, kept."""
     return df.checkpoint() if df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") else df.cache()
 
 

@@ -1,5 +1,6 @@
 """Names of the queries and their DuckDB counterparts."""
 
+from . import campaign as _campaign  # noqa: F401 - registers its queries
 from .queries import ORACLES, QUERIES
 
 FLAGSHIP = "fastp_report"

@@ -57,3 +57,54 @@ def target_sql(s: str = "speedup", lo: float = 0.2, hi: float = 4.0, quant: floa
     if quant:
         p = f"greatest(0.0::DOUBLE, least(1.0::DOUBLE, round_even({p} / {quant}::DOUBLE, 0) * {quant}::DOUBLE))"
     return f"CASE WHEN label = 0 THEN 0.0::DOUBLE WHEN {s} IS NOT NULL THEN (1 + {p}) / 2 END"
+
+
+def prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as prefixes: a list is a customer's orders at one of two cuts."""
+    o = table(spark, sf_dir, "orders")
+    p = o.select(
+        F.col("o_orderkey").alias("prefix_id"),
+        F.concat(F.lit("run"), (F.col("o_custkey") % 2).cast("string")).alias("run_name"),
+        (F.col("o_custkey") % 3 + 1).alias("level"),
+        F.col("o_custkey").alias("problem_id"),
+        (F.col("o_orderkey") % 2).cast("int").alias("cut_index"),
+        ((F.col("o_orderkey") % 97) / 97.0).alias("rel_depth"),
+        F.col("o_orderpriority").alias("source"),
+        F.when(F.col("o_custkey") % 10 == 0, "test").when(F.col("o_custkey") % 10 <= 2, "val").otherwise("train").alias("split"),
+    )
+    return p.withColumn("list_key", F.concat_ws(":", "run_name", F.col("level").cast("string"), F.col("problem_id").cast("string"), F.col("cut_index").cast("string")))
+
+
+def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lineitems as the rollouts of a prefix (their order), with a verdict, two lengths and a target."""
+    c = candidates(spark, sf_dir)
+    c = c.withColumn("target", L.target(F.col("label"), F.col("speedup")))
+    return c.select(
+        F.col("problem_id").alias("prefix_id"),
+        (F.col("problem_id") * 100 + F.col("sample_id")).alias("rollout_id"),
+        "sample_id",
+        L.truncation_state(F.col("trace")).alias("truncation"),
+        "compiled",
+        "correct",
+        "label",
+        "runtime",
+        "base_mean",
+        "speedup",
+        "target",
+        F.col("orm").alias("score"),
+        (F.col("part_id") % 500).alias("n_gen_tokens"),
+        (F.col("part_id") % 2000).alias("n_tokens"),
+    )
+
+
+#: The same for DuckDB, with the values of prefixes of two finished, graded rollouts or more, and their lists.
+CAMPAIGN_SQL = f"""{CANDIDATES_SQL},
+prefixes AS (SELECT *, run_name || ':' || level || ':' || problem_id || ':' || cut_index AS list_key FROM (
+  SELECT o_orderkey AS prefix_id, 'run' || (o_custkey % 2) AS run_name, o_custkey % 3 + 1 AS level, o_custkey AS problem_id, (o_orderkey % 2)::INT AS cut_index,
+    (o_orderkey % 97) / 97.0::DOUBLE AS rel_depth, o_orderpriority AS source, CASE WHEN o_custkey % 10 = 0 THEN 'test' WHEN o_custkey % 10 <= 2 THEN 'val' ELSE 'train' END AS split FROM orders)),
+rollouts AS (SELECT problem_id AS prefix_id, problem_id * 100 + sample_id AS rollout_id, sample_id, CASE WHEN finish IS NULL THEN 'unknown' WHEN finish = 'stop' THEN 'ok' ELSE 'truncated' END AS truncation,
+  compiled, correct, label, runtime, base_mean, speedup, {target_sql()} AS target, orm AS score, part_id % 500 AS n_gen_tokens, part_id % 2000 AS n_tokens FROM candidates),
+vals AS (SELECT prefix_id, count(*) AS n_rollouts, avg(target) AS v_graded, avg(score) AS score FROM rollouts WHERE truncation = 'ok' AND target IS NOT NULL GROUP BY prefix_id HAVING count(*) >= 2),
+members AS (SELECT p.*, v.n_rollouts, v.v_graded, v.score, round(2 * v.v_graded, 6) AS rel FROM prefixes p JOIN vals v USING (prefix_id)),
+fates AS (SELECT list_key, any_value(split) AS split, any_value(level) AS level, any_value(problem_id) AS problem_id, avg(rel_depth) AS rel_depth_mean, count(*) AS n_items, (max(rel) - min(rel)) / 2 AS spread,
+  CASE WHEN any_value(split) = 'test' THEN 'other_split' WHEN count(*) < 2 THEN 'too_small' WHEN min(rel) = max(rel) THEN 'all_equal' ELSE 'built' END AS fate FROM members GROUP BY list_key)"""
