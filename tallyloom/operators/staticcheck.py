@@ -408,7 +408,7 @@ REPORT = T.StructType(
         T.StructField("notes", T.ArrayType(T.StringType())),
     ]
 )
-analyze_udf = F.udf(analyze, REPORT)
+analyze_udf = F.udf(analyze, REPORT, useArrow=True)
 
 
 def submission_ok(source: str | None) -> bool:
@@ -416,9 +416,11 @@ def submission_ok(source: str | None) -> bool:
 
 
 def scan(sources: DataFrame, text: str = "source") -> DataFrame:
-    """``sources`` with the column ``report``; each distinct text is analyzed once."""
-    reports = sources.select(text).distinct().withColumn("report", analyze_udf(text))
-    return sources.join(reports, sources[text].eqNullSafe(reports[text])).drop(reports[text])
+    """``sources`` with the column ``report``; each distinct text is analyzed once, and reports come back by a hash of it."""
+    sha = F.sha1(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    rows = sources.withColumn("_sha", sha)
+    reports = rows.groupBy("_sha").agg(F.min(F.coalesce(F.col(text), F.lit(""))).alias("_t")).select("_sha", analyze_udf("_t").alias("report"))
+    return rows.join(reports, "_sha").drop("_sha")
 
 
 def flags(scanned: DataFrame) -> DataFrame:
