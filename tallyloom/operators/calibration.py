@@ -199,3 +199,92 @@ def impute(scores: DataFrame, curve: Curve, offsets: DataFrame | None, by: list[
     band = F.least(F.greatest(sum(F.when(x >= k, 1).otherwise(0) for k in curve.x) - 1, F.lit(0)), F.lit(len(curve.x) - 1))
     s = s.withColumns({"_v": curve.column(x), "_var": F.get(F.array(*map(F.lit, curve.var)), band)})
     return s.groupBy(*by).agg(F.avg("_v").alias("v"), F.sqrt(F.var_pop("_v") / F.count(F.lit(1)) + F.avg("_var")).alias("se"), F.count(F.lit(1)).alias("n"))
+
+
+def curve_flags(curve: Curve) -> list[str]:
+    """What is wrong with a curve, for a report that must stay legible; ``usable`` refuses the same."""
+    out = []
+    if any(a >= b for a, b in zip(curve.x, curve.x[1:], strict=False)):
+        out.append("knots do not ascend")
+    if curve.var and all(v == 0.0 for v in curve.var):
+        out.append("no band has a residual variance")
+    return out
+
+
+def usable(curve: Curve, label_source: str = "imputed", scored_by: set[str] = frozenset(), fitted_by: str | None = None) -> Curve:
+    """``curve``, or an error: it must ascend, have measured its residuals, be fitted to label (not to validate), and stem from the checkpoint that scored the rollouts."""
+    flags = curve_flags(curve)
+    if label_source != "imputed":
+        flags.append(f"it was fitted under label source {label_source!r}")
+    if fitted_by is not None and set(scored_by) - {fitted_by}:
+        flags.append(f"rollouts were scored by {sorted(scored_by)}, the curve by {fitted_by!r}")
+    if flags:
+        raise ValueError(f"the curve cannot label: {'; '.join(flags)}")
+    return curve
+
+
+def to_dict(curve: Curve) -> dict:
+    return {"knots_x": list(curve.x), "knots_y": list(curve.y), "resid_var_by_band": list(curve.var), "n_by_band": list(curve.n), "n_fit": sum(curve.n)}
+
+
+def from_dict(d: dict) -> Curve:
+    """A curve from its stored form; lists of different lengths, or none, are errors."""
+    x, y, var = d["knots_x"], d["knots_y"], d["resid_var_by_band"]
+    if not x or not len(x) == len(y) == len(var):
+        raise ValueError("a curve needs as many knots as values and variances, and one at least")
+    return Curve(list(x), list(y), list(var), list(d.get("n_by_band") or [0] * len(x)))
+
+
+def compare(measured: DataFrame, imputed: DataFrame, key: list[str], list_key: str, band: str, gap: float) -> tuple[DataFrame, DataFrame]:
+    """(overall, by band): mean absolute error and agreement of pairs over ``gap`` apart within lists, of imputed values (v) against measured ones (m)."""
+    from .campaign import calibration_error
+    from .ranking import pair_agreement
+
+    d = measured.join(imputed, key)
+    both = d.where("m IS NOT NULL AND v IS NOT NULL")
+    overall = calibration_error(both, "m", "v").crossJoin(F.broadcast(pair_agreement(both, [list_key], key[0], "m", "v", gap)))  # one row each
+    return overall, calibration_error(both, "m", "v", [band])
+
+
+def core_sample(anchors: DataFrame, n: int, seed: int) -> DataFrame:
+    """The anchors of ``n`` problems by a hash of their keys."""
+    from ..functions.labels import hash_order
+
+    chosen = anchors.select(*PROBLEM).distinct().orderBy(hash_order(seed, *map(F.col, PROBLEM)), *PROBLEM).limit(n)
+    return anchors.join(chosen, PROBLEM, "left_semi")
+
+
+def stability(anchors: DataFrame, scores: DataFrame, measured: DataFrame, by: list[str], n: int, seed: int = 0, repeats: int = 3, n_bands: int = 10) -> list[dict]:
+    """For ``repeats`` draws of ``n`` problems to fit the curve to: its error against measured values (by, m), every problem having its own offset from all of its anchors. One row a draw."""
+    out = []
+    for r in range(repeats):
+        curve = fit_curve(core_sample(anchors, n, seed * 1000 + r), n_bands=n_bands)
+        v = impute(scores, curve, fit_offsets(anchors, curve), by)
+        e = measured.join(v, by).agg(F.avg(F.abs(F.col("v") - F.col("m"))).alias("e"), F.count(F.lit(1)).alias("n")).first()
+        out.append({"draw": r, "cal_error": e["e"], "n": e["n"]})
+    return out
+
+
+def ablations(anchors: DataFrame, scores: DataFrame, measured: DataFrame, by: list[str], n_bands: int = 10) -> dict[str, float]:
+    """Error against measured values of the joint fit, of the curve without offsets, of a single round, and of a fixed shrinkage."""
+
+    def error(curve, offsets):
+        v = impute(scores, curve, offsets, by)
+        return measured.join(v, by).agg(F.avg(F.abs(F.col("v") - F.col("m")))).first()[0]
+
+    return {
+        "joint": error(*fit_joint(anchors, n_bands=n_bands)),
+        "no_offset": error(fit_curve(anchors, n_bands=n_bands), None),
+        "one_round": error(*fit_joint(anchors, rounds=1, n_bands=n_bands)),
+        "fixed_kappa": error(*fit_joint(anchors, n_bands=n_bands, kappa=8.0)),
+    }
+
+
+def summary(curve: Curve, offsets: DataFrame, problems: DataFrame) -> dict:
+    """A fit for a report: flags, bands, offsets and the share of the campaign's problems without any."""
+    from .campaign import without_anchors
+
+    meta = offsets_meta(offsets).first().asDict()
+    n, lost = problems.select(*PROBLEM).distinct().count(), without_anchors(problems, offsets).count()
+    bands_ = [{"band": i, "score": a, "target": b, "n": k} for i, (a, b, k) in enumerate(zip(curve.x, curve.y, curve.n, strict=True))]
+    return {"flags": curve_flags(curve), "bands": bands_, "offsets": meta | {"clamp_rate": 100.0 * meta["n_clamped"] / meta["n_problems"] if meta["n_problems"] else 0.0, "no_anchor_rate": 100.0 * lost / n if n else None}}

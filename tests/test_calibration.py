@@ -93,3 +93,43 @@ def test_curves_leave_out_what_the_scorer_has_seen(spark):
 def test_settled_ignores_the_largest_hundredth(spark):
     moves = lambda n, far: spark.createDataFrame([(0.5 if i < far else 0.001,) for i in range(n)], "move double")
     assert C.settled(moves(100, 1)) and not C.settled(moves(99, 1)) and not C.settled(moves(100, 2)) and C.settled(moves(10, 0))
+
+
+def test_curves_are_stored_and_refused():
+    c = C.Curve([0.0, 1.0], [0.1, 0.9], [0.01, 0.02], [5, 6])
+    assert C.from_dict(C.to_dict(c)) == c and C.usable(c) is c and C.curve_flags(c) == []
+    flat = C.Curve([0.0, 0.0], [0.1, 0.9], [0.0, 0.0], [5, 6])
+    assert len(C.curve_flags(flat)) == 2
+    for curve, kw in ((flat, {}), (c, {"label_source": "measured"}), (c, {"scored_by": {"a", "b"}, "fitted_by": "a"})):
+        with pytest.raises(ValueError, match="cannot label"):
+            C.usable(curve, **kw)
+    with pytest.raises(ValueError, match="as many knots"):
+        C.from_dict({"knots_x": [1.0], "knots_y": [], "resid_var_by_band": [0.1]})
+
+
+def test_validation_against_measured_values(spark):
+    rng = np.random.RandomState(9)
+    rows, scores, measured = [], [], []
+    for p in range(16):
+        shift = 1.5 * rng.randn()
+        rows += [(1, p, float(s), float(rng.rand() < 1 / (1 + np.exp(-4 * (s + shift))))) for s in rng.randn(14)]
+        for x in range(3):
+            own = rng.randn(4)
+            scores += [(1, p, p * 10 + x, float(s)) for s in own]
+            measured.append((p * 10 + x, p, x % 2, float(np.mean(1 / (1 + np.exp(-4 * (own + shift)))))))
+    a = anchors(spark, rows)
+    s = spark.createDataFrame(scores, "level long, problem_id long, prefix_id long, score double")
+    m = spark.createDataFrame(measured, "prefix_id long, list_key long, band int, m double")
+    e = C.ablations(a, s, m, ["prefix_id"], n_bands=5)
+    assert set(e) == {"joint", "no_offset", "one_round", "fixed_kappa"} and e["joint"] < e["no_offset"] < 0.5
+    draws = C.stability(a, s, m, ["prefix_id"], 8, repeats=2, n_bands=5)
+    assert [d["n"] for d in draws] == [48, 48] and all(0 < d["cal_error"] < 0.5 for d in draws) and C.core_sample(a, 8, 1).select("problem_id").distinct().count() == 8
+    curve, offsets = C.fit_joint(a, n_bands=5)
+    v = C.impute(s, curve, offsets, ["prefix_id"])
+    overall, by_band = C.compare(m, v, ["prefix_id"], "list_key", "band", 0.2)
+    got = {r["prefix_id"]: r["v"] for r in v.collect()}
+    assert np.isclose(overall.first()["cal_error"], np.mean([abs(got[i] - x) for i, *_, x in measured])) and by_band.count() == 2
+    pairs = [(i, j) for i in measured for j in measured if i[0] < j[0] and i[1] == j[1] and abs(i[3] - j[3]) > 0.2]
+    assert overall.first()["n_pairs"] == len(pairs) and np.isclose(overall.first()["agreement"], np.mean([(i[3] > j[3]) == (got[i[0]] > got[j[0]]) for i, j in pairs]))
+    out = C.summary(curve, offsets, a.select("level", (a.problem_id + 1).alias("problem_id")))
+    assert out["flags"] == [] and len(out["bands"]) == 5 and out["offsets"]["n_problems"] == 16 and out["offsets"]["no_anchor_rate"] == 100 / 16
