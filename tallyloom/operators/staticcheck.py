@@ -10,29 +10,58 @@ import ast
 import builtins
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .hostflow import LAUNCH, ZEROS, Flow, base, dotted, input_bytes, roles, transfer_seconds
+
 #: Entry class names in order of preference, module aliases that programs use, names that offload or fall back.
 ENTRY = "ModelNew"
 MODULES = {"torch", "triton", "tl", "nn", "F", "math", "np", "numpy"}
 OFFLOAD = {"torch.compile", "torch.jit.script", "torch.jit.trace", "torch._dynamo", "torch._inductor"}
-HEAVY = {"matmul", "mm", "bmm", "addmm", "baddbmm", "einsum", "linear", "conv1d", "conv2d", "conv3d", "conv_transpose2d", "softmax", "log_softmax", "layer_norm", "batch_norm", "group_norm", "scaled_dot_product_attention", "cross_entropy", "gelu", "relu", "sigmoid", "tanh", "sum", "mean", "max_pool2d", "avg_pool2d", "cumsum", "sort", "topk"}
-LIGHT = {"cat", "stack", "where", "clamp", "abs", "exp", "log", "sqrt", "add", "mul", "sub", "div", "transpose"}
-INERT = {"Parameter", "ParameterList", "ModuleList", "Sequential", "Module", "Identity", "Dropout"}
-CHURN = {"contiguous", "clone", "repeat", "float", "half", "bfloat16"}
-ZEROED = {"zeros", "zeros_like", "new_zeros"}
-
-
-def dotted(node: ast.AST) -> str:
-    """'a.b.c' of a name or attribute chain, else ''."""
-    parts: list[str] = []
-    while isinstance(node, ast.Attribute):
-        parts.append(node.attr)
-        node = node.value
-    return ".".join([node.id, *parts[::-1]]) if isinstance(node, ast.Name) else ""
+HEAVY = {
+    "matmul", "mm", "bmm", "addmm", "baddbmm", "einsum", "linear", "dot", "mv",
+    "conv1d", "conv2d", "conv3d", "conv_transpose1d", "conv_transpose2d", "conv_transpose3d",
+    "scaled_dot_product_attention", "softmax", "log_softmax",
+    "layer_norm", "batch_norm", "group_norm", "instance_norm", "rms_norm",
+    "max_pool1d", "max_pool2d", "max_pool3d", "avg_pool1d", "avg_pool2d", "avg_pool3d",
+    "adaptive_avg_pool1d", "adaptive_avg_pool2d", "adaptive_avg_pool3d", "adaptive_max_pool1d", "adaptive_max_pool2d", "adaptive_max_pool3d",
+    "interpolate", "upsample", "upsample_bilinear", "upsample_nearest", "grid_sample", "multi_head_attention_forward",
+    "sort", "topk", "cumsum", "cumprod",
+}
+#: Heavy only as functions; as methods they are views.
+HEAVY_FUNCTIONS = {"unfold", "fold"}
+LIGHT = {
+    "relu", "gelu", "silu", "sigmoid", "tanh", "elu", "leaky_relu", "hardtanh",
+    "exp", "log", "log2", "log10", "sqrt", "rsqrt", "pow", "abs", "sign",
+    "sum", "mean", "prod", "std", "var", "norm", "amax", "amin", "argmax", "argmin", "clamp", "clip", "where", "sigmoid_", "dropout",
+    "add", "sub", "mul", "div", "neg", "reciprocal", "erf", "floor", "ceil", "round", "maximum", "minimum", "gather", "scatter", "scatter_add",
+    "index_select", "masked_fill", "cross_entropy", "mse_loss",
+    "softplus", "mish", "selu", "celu", "relu6", "hardswish", "hardsigmoid", "logsigmoid", "log_sigmoid", "softsign", "glu", "prelu", "rrelu", "threshold",
+    "hardshrink", "softshrink", "tanhshrink",
+    "log1p", "expm1", "exp2", "sin", "cos", "tan", "asin", "acos", "atan", "atan2", "sinh", "cosh", "erfc", "square", "logsumexp",
+    "normalize", "pad", "one_hot", "pixel_shuffle", "pixel_unshuffle",
+    "binary_cross_entropy", "binary_cross_entropy_with_logits", "nll_loss", "kl_div", "l1_loss", "smooth_l1_loss", "huber_loss", "cosine_similarity",
+}
+#: Names that Python has itself; called bare, on numbers, they are no tensor operations.
+BUILTINS = {"round", "abs", "pow", "sum"}
+#: Modules that carry a task's work, those that do nothing at inference, and containers.
+HEAVY_MODULES = {
+    "Linear", "LazyLinear", "Bilinear", "Embedding", "EmbeddingBag",
+    "Conv1d", "Conv2d", "Conv3d", "ConvTranspose1d", "ConvTranspose2d", "ConvTranspose3d",
+    "LayerNorm", "BatchNorm1d", "BatchNorm2d", "BatchNorm3d", "GroupNorm", "InstanceNorm1d", "InstanceNorm2d", "InstanceNorm3d", "RMSNorm",
+    "MultiheadAttention", "Transformer", "TransformerEncoderLayer", "LSTM", "GRU", "RNN",
+    "MaxPool1d", "MaxPool2d", "MaxPool3d", "AvgPool1d", "AvgPool2d", "AvgPool3d", "AdaptiveAvgPool1d", "AdaptiveAvgPool2d", "AdaptiveAvgPool3d",
+    "Softmax", "LogSoftmax", "Sequential",
+}
+INERT = {"Dropout", "Dropout1d", "Dropout2d", "Dropout3d", "AlphaDropout", "FeatureAlphaDropout", "Identity", "Flatten", "Unflatten"}
+CONTAINERS = {"Sequential", "ModuleList", "ModuleDict"}
+#: Host operations that copy a whole tensor, and types that a cast names.
+COPIES = {"clone", "cat", "stack", "repeat", "repeat_interleave", "contiguous", "to"}
+DTYPES = {"float", "float16", "float32", "float64", "half", "bfloat16", "double", "int", "int8", "int16", "int32", "int64", "long", "short", "bool", "uint8"}
 
 
 @dataclass
@@ -103,6 +132,7 @@ class Program:
         self.functions: dict[str, ast.FunctionDef] = {}
         self.classes: dict[str, ast.ClassDef] = {}
         self.launches: list[Launch] = []
+        self.entry: str | None = None
         try:
             compile(source, "<source>", "exec", dont_inherit=True)
             self.compiles = True
@@ -154,23 +184,18 @@ class Program:
         own = next((f for f in node.body if isinstance(f, ast.FunctionDef) and f.name == "forward"), None)
         return own or next((f for b in node.bases if (f := self.forward(dotted(b), seen | {cls}))), None)
 
-    def timed(self) -> list[ast.FunctionDef]:
-        """forward and the functions and methods of the file that it calls, as a closure."""
-        start = self.forward(self.entry)
-        methods = {f.name: f for f in self.classes[self.entry].body if isinstance(f, ast.FunctionDef)} if self.entry else {}
-        todo, out = [start] if start else [], []
+    @cached_property
+    def flow(self) -> Flow:
+        return Flow(self)
+
+    def live(self) -> set[str]:
+        """Kernels that are launched, or called by ones that are."""
+        out, todo = set(), [x.kernel for x in self.launches]
         while todo:
-            f = todo.pop()
-            if f in out:
-                continue
-            out.append(f)
-            for c in ast.walk(f):
-                if isinstance(c, ast.Call):
-                    name = dotted(c.func)
-                    if name in self.functions:
-                        todo.append(self.functions[name])
-                    elif name.startswith("self.") and name[5:] in methods:
-                        todo.append(methods[name[5:]])
+            k = todo.pop()
+            if k not in out:
+                out.add(k)
+                todo += [c for c in self.kernels if c in {x.rpartition(".")[2] for x in self.kernels[k].calls}]
         return out
 
     def bindings(self) -> set[str]:
@@ -254,62 +279,83 @@ def _no_kernel(p: Program):
 
 @check("F1.2", "dead_kernel")
 def _dead_kernel(p: Program):
-    live, todo = set(), [x.kernel for x in p.launches]
-    while todo:
-        k = todo.pop()
-        if k not in live:
-            live.add(k)
-            todo += [c for c in p.kernels if c in {x.rpartition(".")[2] for x in p.kernels[k].calls}]
+    live = p.live()
     for k in sorted(set(p.kernels) - live):
         yield "info" if live else "fail", f"kernel {k} is never launched", p.kernels[k].node.lineno
 
 
 @check("F1.3", "discarded_output")
 def _discarded(p: Program):
-    for x in p.launches:
-        k = p.kernels[x.kernel]
-        params = [a.arg for a in k.node.args.args]
-        out = {n.id for s in k.stores for n in ast.walk(s.args[0]) if isinstance(n, ast.Name) and n.id in params} if k.stores and all(s.args for s in k.stores) else set()
-        bound = {params[i]: a.id for i, a in enumerate(x.node.args) if i < len(params) and isinstance(a, ast.Name)}
-        names = {bound[o] for o in out if o in bound}
-        scope = p.functions.get(x.scope.rpartition(".")[2])
-        if scope is None or not names:
-            continue
-        inputs = {a.arg for a in scope.args.args}
-        read = {n.id for n in ast.walk(scope) if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Load) and not _within(x.node, n)}
-        if not names & (read | inputs):
+    for i, (scope, x) in enumerate(p.flow.launches):
+        role = roles(p.kernels[x.kernel].node)
+        out = [p.flow.buffer(scope, b) for param, arg in p.flow.bound(x).items() if param in role and role[param].stored and (b := base(arg)) and b != "self"]
+        if out and not any(b.returned or b.read or b.is_input or b.loaded_by - {i} for b in out):
             yield "fail", f"what {x.kernel} writes is never read", x.node.lineno
 
 
-def _within(parent: ast.AST, node: ast.AST) -> bool:
-    return any(n is node for n in ast.walk(parent))
+def _functional(name: str) -> bool:
+    """A public operation of the functional namespace."""
+    rest = name[2:] if name.startswith("F.") else name.partition("nn.functional.")[2]
+    return bool(rest) and "." not in rest and not rest.startswith("_")
+
+
+#: Shape, layout, allocation and movement, which are no computation.
+PLUMBING = {
+    "empty", "empty_like", "empty_strided", "zeros", "zeros_like", "ones", "ones_like", "full", "full_like", "tensor", "as_tensor", "from_numpy",
+    "view", "reshape", "permute", "transpose", "squeeze", "unsqueeze", "expand", "t", "flatten", "ravel", "narrow", "as_strided", "detach", "item",
+    "size", "stride", "shape", "numel", "dim", "data_ptr", "element_size", "is_contiguous", "is_cuda", "get_device",
+    "contiguous", "clone", "to", "cuda", "cpu", "type", "float", "half", "long", "int", "bool", "double", "bfloat16", "cat", "stack", "repeat",
+    "cdiv", "next_power_of_2", "range", "len", "min", "max",
+}
+
+
+def _host_calls(p: Program):
+    """(scope, call, name) of the timed path, without launches and without what the file defines itself."""
+    for s in p.flow.scopes:
+        for n in ast.walk(s.node):
+            if isinstance(n, ast.Call) and not isinstance(n.func, ast.Subscript):
+                name = dotted(n.func) or (n.func.attr if isinstance(n.func, ast.Attribute) else "")
+                if name and name.partition(".")[0] not in ("tl", "triton"):
+                    yield s, n, name
 
 
 @check("F1.4", "torch_fallback")
 def _fallback(p: Program):
-    for f in p.timed():
-        for n in ast.walk(f):
-            if isinstance(n, ast.Call):
-                root, _, op = dotted(n.func).rpartition(".")
-                if root in ("torch", "F", "torch.nn.functional", "nn.functional") and op in HEAVY | LIGHT:
-                    yield "fail" if op in HEAVY else "warn", f"{root}.{op} in the timed path", n.lineno
-            elif isinstance(n, ast.BinOp) and isinstance(n.op, ast.MatMult):
-                yield "fail", "@ in the timed path", n.lineno
+    heavy, light = [], []
+    for s, n, name in _host_calls(p):
+        op = name.rpartition(".")[2]
+        module = p.flow.module_of(s.cls, name[5:].partition(".")[0]) if name.startswith("self.") else None
+        if p.flow.callee(s, n) is not None and module is None:
+            continue
+        if op in BUILTINS and name == op and isinstance(n.func, ast.Name) and not any(p.flow.is_tensor(s, m) for a in [*n.args, *(k.value for k in n.keywords)] for m in ast.walk(a) if isinstance(m, ast.Name)):
+            continue
+        functional = _functional(name)
+        if op in PLUMBING and not functional:
+            continue
+        if op in HEAVY or (functional and op in HEAVY_FUNCTIONS):
+            heavy.append((name, n.lineno))
+        elif op in LIGHT or functional:
+            light.append((name, n.lineno))
+    if heavy or light:
+        yield "fail" if heavy else "warn", f"{', '.join(x for x, _ in heavy or light)} in the timed path", min(line for _, line in heavy + light)
+    signs = {ast.Add: "+", ast.Sub: "-", ast.Mult: "*", ast.Div: "/", ast.MatMult: "@", ast.Pow: "**", ast.FloorDiv: "//", ast.Mod: "%"}
+    hits = [(signs[type(n.op)], n.lineno) for s in p.flow.scopes for n in ast.walk(s.node) if isinstance(n, ast.BinOp) and type(n.op) in signs and any(p.flow.is_tensor(s, x) for x in (n.left, n.right))]
+    if hits:
+        yield "fail" if any(x == "@" for x, _ in hits) else "warn", f"{', '.join(sorted({x for x, _ in hits}))} on tensors in the timed path", min(line for _, line in hits)
 
 
 @check("F1.5", "nn_module_call")
 def _module_call(p: Program):
-    made = {}
-    for c in p.classes.values():
-        for n in ast.walk(c):
-            if isinstance(n, ast.Assign) and isinstance(n.value, ast.Call):
-                kind = dotted(n.value.func)
-                if kind.startswith(("nn.", "torch.nn.")) and kind.rpartition(".")[2] not in INERT:
-                    made |= {dotted(t): kind for t in n.targets if dotted(t).startswith("self.")}
-    for f in p.timed():
-        for n in ast.walk(f):
-            if isinstance(n, ast.Call) and dotted(n.func) in made:
-                yield "fail", f"{made[dotted(n.func)]} is called in the timed path", n.lineno
+    heavy, light = [], []
+    for s, n, name in _host_calls(p):
+        if not name.startswith("self.") or (found := p.flow.module_of(s.cls, name[5:])) is None:
+            continue
+        kind, where = found[0].rpartition(".")[2], found[1]
+        if kind in INERT or (kind in CONTAINERS and where in p.flow.attr_classes and where not in p.flow.mixed):
+            continue
+        (heavy if kind in HEAVY_MODULES else light).append((found[0], n.lineno))
+    if heavy or light:
+        yield "fail" if heavy else "warn", f"{', '.join(x for x, _ in heavy + light)} called in the timed path", min(line for _, line in heavy + light)
 
 
 @check("F1.6", "passthrough_kernel")
@@ -329,48 +375,54 @@ def _offload(p: Program):
 
 @check("F2.1", "dead_intermediate")
 def _dead_intermediate(p: Program):
-    for f in p.timed():
-        alloc = {t.id: n for n in ast.walk(f) if isinstance(n, ast.Assign) and isinstance(n.value, ast.Call) and dotted(n.value.func).rpartition(".")[2] in {"empty", "empty_like", *ZEROED} for t in n.targets if isinstance(t, ast.Name)}
-        mine = [x for x in p.launches if _within(f, x.node)]
-        for name, at in alloc.items():
-            uses = [x for x in mine if name in x.args]
-            elsewhere = any(isinstance(n, ast.Name) and n.id == name and isinstance(n.ctx, ast.Load) and not any(_within(x.node, n) for x in mine) for n in ast.walk(f))
-            if len(uses) >= 2 and not elsewhere:
-                yield "warn", f"{name} only passes data between launches", at.lineno
+    for key, b in sorted(p.flow.buffers.items(), key=lambda x: x[1].line):
+        if b.alloc and b.stored_by and b.loaded_by - b.stored_by and not (b.returned or b.read or b.is_input):
+            kinds = {p.kernels[p.flow.launches[i][1].kernel].kind for i in b.stored_by | b.loaded_by}
+            yield "warn" if kinds <= {"elementwise", "copy"} else "info", f"{key[1]} only passes data between launches", b.line
 
 
 @check("F2.2", "launch_overhead")
 def _overhead(p: Program):
-    for x in p.launches:
+    mine = [x for _, x in p.flow.launches]
+    for x in mine:
         if x.in_loop:
             yield "fail", f"{x.kernel} is launched in a loop", x.node.lineno
-    if len(p.launches) >= 3 and not any(x.in_loop for x in p.launches):
-        yield "info", f"{len(p.launches)} launches", 0
+    if len(mine) >= 3:
+        moved = input_bytes(p.tree)
+        slow = bool(moved) and len(mine) * LAUNCH > transfer_seconds(moved)
+        yield "warn" if slow else "info", f"{len(mine)} launches" + (" take longer than reading the inputs" if slow else ""), min(x.node.lineno for x in mine)
 
 
 @check("F2.3", "layout_churn")
 def _churn(p: Program):
-    for f in p.timed():
-        for n in ast.walk(f):
-            if isinstance(n, ast.Call) and isinstance(n.func, ast.Attribute) and (n.func.attr in CHURN or dotted(n.func) in {"torch.cat", "torch.stack"}):
-                yield "warn", f"{n.func.attr} moves data in the timed path", n.lineno
+    for s, n, name in _host_calls(p):
+        op = name.rpartition(".")[2]
+        if op not in COPIES or p.flow.callee(s, n) is not None:
+            continue
+        if op == "contiguous" and not (isinstance(n.func, ast.Attribute) and p.flow.bent(s, n.func.value)):
+            continue
+        if op == "to" and not (any(k.arg == "dtype" for k in n.keywords) or any(dotted(a).rpartition(".")[2] in DTYPES for a in n.args if not isinstance(a, ast.Constant))):
+            continue
+        yield "warn", f"{op} copies a whole tensor in the timed path", n.lineno
 
 
 @check("F2.4", "zeroed_overwritten_buffer")
 def _zeroed(p: Program):
-    atomic = {k for k, v in p.kernels.items() if any("atomic" in c for c in v.calls)}
-    for f in p.timed():
-        for n in ast.walk(f):
-            if isinstance(n, ast.Assign) and isinstance(n.value, ast.Call) and dotted(n.value.func).rpartition(".")[2] in ZEROED:
-                for t in n.targets:
-                    users = [x for x in p.launches if isinstance(t, ast.Name) and t.id in x.args]
-                    if users and not any(x.kernel in atomic for x in users):
-                        yield "warn", f"{t.id} is zeroed and then overwritten", n.lineno
+    for key, b in sorted(p.flow.buffers.items(), key=lambda x: x[1].line):
+        if b.alloc not in ZEROS or not b.stored_by or b.loaded_by or b.read:
+            continue
+        written = []
+        for i in b.stored_by:
+            scope, x = p.flow.launches[i]
+            role = roles(p.kernels[x.kernel].node)
+            written += [role[param] for param, arg in p.flow.bound(x).items() if param in role and role[param].stored and (n := base(arg)) and p.flow.find(scope, n) == key]
+        if written and not any(r.atomic or r.loaded or r.partial for r in written):
+            yield "warn", f"{key[1]} is zeroed and then overwritten", b.line
 
 
 @check("F3.1", "unvectorised_kernel")
 def _unvectorised(p: Program):
-    for k in p.kernels.values():
+    for k in (p.kernels[x] for x in sorted({x.kernel for x in p.launches})):
         if (k.loads or k.stores) and not any(c.endswith("arange") for c in k.calls):
             loop = any(isinstance(n, (ast.For, ast.While)) for n in ast.walk(k.node))
             yield "warn" if loop else "info", f"kernel {k.name} moves one element at a time", k.node.lineno
@@ -378,12 +430,12 @@ def _unvectorised(p: Program):
 
 @check("F3.2", "runtime_loop_bounds")
 def _runtime_bounds(p: Program):
-    for k in p.kernels.values():
-        params = {a.arg for a in k.node.args.args} - k.constexpr
+    for k in (p.kernels[x] for x in sorted({x.kernel for x in p.launches})):
+        params = {a.arg for a in [*k.node.args.args, *k.node.args.kwonlyargs]} - k.constexpr
         if any(c.endswith("arange") for c in k.calls):
-            for n in ast.walk(k.node):
-                if isinstance(n, ast.For) and isinstance(n.iter, ast.Call) and dotted(n.iter.func) == "range" and len(n.iter.args) == 1 and isinstance(n.iter.args[0], ast.Name) and n.iter.args[0].id in params:
-                    yield "info", f"the bound {n.iter.args[0].id} is known only at run time", n.lineno
+            bounds = [(n.iter.args[0].id, n.lineno) for n in ast.walk(k.node) if isinstance(n, ast.For) and isinstance(n.iter, ast.Call) and dotted(n.iter.func) == "range" and len(n.iter.args) == 1 and isinstance(n.iter.args[0], ast.Name) and n.iter.args[0].id in params]
+            if bounds:
+                yield "info", f"{', '.join(sorted({x for x, _ in bounds}))} known only at run time bound loops of {k.name}", min(line for _, line in bounds)
 
 
 def analyze(source: str | None) -> dict:
