@@ -27,14 +27,24 @@ def ledger(c: DataFrame, by: list[str]) -> DataFrame:
     return c.groupBy(*by, F.coalesce("drop_reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def splits(problems: DataFrame, ratios: tuple[float, float, float] = (0.8, 0.1, 0.1), seed: int = 0, stratify: list[str] | None = None) -> DataFrame:
-    """train / val / test of each problem by rank of a hash of its key; sizes are half-even rounded shares of each stratum.
+def two_level_rank(df: DataFrame, within: list[str], bucket: Column, order: list, rank: str, total: str | None = None) -> DataFrame:
+    """``df`` with its rank (from 1) within a key, and the key's rows: ``bucket`` must rise with the order. Counts of buckets give what stands before each, so no task orders a whole key."""
+    d = df.withColumn("_bucket", bucket)
+    counts = d.groupBy(*within, "_bucket").agg(F.count(F.lit(1)).alias("_c"))
+    key = Window.partitionBy(*within)
+    counts = counts.withColumns({"_before": F.coalesce(F.sum("_c").over(key.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_all": F.sum("_c").over(key)}).drop("_c")
+    on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*within, "_bucket")]
+    d = d.alias("a").join(counts.alias("b"), on).select("a.*", "b._before", "b._all")
+    d = d.withColumn(rank, F.col("_before") + F.row_number().over(Window.partitionBy(*within, "_bucket").orderBy(*order)))
+    if total:
+        d = d.withColumn(total, F.col("_all"))
+    return d.drop("_bucket", "_before", "_all")
+
 
-    Ranks are counted below a sort over problems (not attempts), a table of keys.
-    """
+def splits(problems: DataFrame, ratios: tuple[float, float, float] = (0.8, 0.1, 0.1), seed: int = 0, stratify: list[str] | None = None) -> DataFrame:
+    """train / val / test of each problem by rank of a hash of its key; sizes are half-even rounded shares of each stratum."""
     p = problems.select(*PROBLEM).distinct().withColumn("_h", L.hash_order(seed, *map(F.col, PROBLEM)))
-    w = Window.partitionBy(*(stratify or []))
-    p = p.withColumns({"_r": F.row_number().over(w.orderBy("_h", *PROBLEM)), "_n": F.count(F.lit(1)).over(w)})
+    p = two_level_rank(p, stratify or [], F.substring("_h", 1, 3), ["_h", *PROBLEM], "_r", "_n")
     n_train, n_val = F.bround(F.col("_n") * ratios[0]), F.bround(F.col("_n") * ratios[1])
     return p.select(*PROBLEM, F.when(F.col("_r") <= n_train, "train").when(F.col("_r") <= n_train + n_val, "val").otherwise("test").alias("split"))
 
@@ -49,7 +59,10 @@ def dense_slots(df: DataFrame, within: list[str], text: str, rid: str) -> DataFr
     """rid, owner (first rid with the same text within the key), slot (0, 1, 2, ... of the owner) and shared (not the owner itself)."""
     d = df.select(*within, rid, F.sha1(F.col(text)).alias("_sha"))
     owners = d.groupBy(*within, "_sha").agg(F.min(rid).alias("owner"))
-    owners = owners.withColumn("slot", F.row_number().over(Window.partitionBy(*within).orderBy("owner")) - 1)
+    number = owners.schema["owner"].dataType.typeName() in ("byte", "short", "integer", "long")
+    # ids in order: ranges of numbers, or what a text begins with
+    bucket = F.floor(F.col("owner") / 4096) if number else F.substring(F.col("owner").cast("string"), 1, 6)
+    owners = two_level_rank(owners, within, bucket, ["owner"], "slot").withColumn("slot", (F.col("slot") - 1).cast("int"))
     return d.join(owners, [*within, "_sha"]).select(rid, *within, "owner", "slot", (F.col("owner") != F.col(rid)).alias("shared"))
 
 
@@ -115,6 +128,9 @@ def ranked_lists(c: DataFrame, max_pos: int = 4, max_neg: int = 4, min_size: int
 
 
 def _spread(n: Column, k: int) -> Column:
+    """Places of k out of n in rising order, evenly spread from the first to the last; of one the last, which is the fastest."""
+    if k <= 1:
+        return F.array((n - 1).cast("int"))
     return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.bround(i * (n - 1) / F.lit(float(k - 1))).cast("int"))
 
 
@@ -203,3 +219,51 @@ def require_unique(df: DataFrame, key: list[str], what: str) -> DataFrame:
     if bad:
         raise ValueError(f"duplicate {what}: {bad[0].asDict()}")
     return df
+
+
+def quantiles(df: DataFrame, column: str, qs: list[float], limit: int = 10_000) -> list[float]:
+    """Exact quantiles with linear interpolation; [] without values. Counts of equal ranges find the range of each place, which is divided again until few distinct values are left to fetch: no task, and not the driver, holds them all."""
+    v = F.col(column).cast("double")
+    rows = df.select(v.alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
+    n, lo, hi = rows.agg(F.count(F.lit(1)), F.min("v"), F.max("v")).first()
+    if not n:
+        return []
+
+    def at(place: int, lo: float, hi: float, before: int) -> float:
+        """The value at a place of the sorted rows, which is in [lo, hi] after ``before`` smaller ones."""
+        while True:
+            inside = rows.where(F.col("v").between(lo, hi))
+            few = inside.groupBy("v").agg(F.count(F.lit(1)).alias("c")).limit(limit + 1).collect() if lo < hi else []
+            if lo == hi:
+                return lo
+            if len(few) <= limit:
+                seen = before
+                for r in sorted(few):
+                    seen += r["c"]
+                    if place < seen:
+                        return r["v"]
+            step = F.least(F.floor((F.col("v") - lo) / (hi - lo) * 1024), F.lit(1023))
+            cut = sorted(inside.groupBy(step.alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect())  # 1024 ranges at most
+            for r in cut:
+                if place < before + r["c"]:
+                    lo, hi = r["lo"], r["hi"]
+                    break
+                before += r["c"]
+
+    places = {p for q in qs for p in (int(q * (n - 1)), min(int(q * (n - 1)) + 1, n - 1))}
+    small = rows.groupBy("v").agg(F.count(F.lit(1)).alias("c")).limit(limit + 1).collect()
+    value = {}
+    if len(small) <= limit:
+        seen, wanted = 0, sorted(places)
+        for r in sorted(small):
+            seen += r["c"]
+            while wanted and wanted[0] < seen:
+                value[wanted.pop(0)] = r["v"]
+    else:
+        value = {p: at(p, lo, hi, 0) for p in sorted(places)}
+    out = []
+    for q in qs:
+        i = int(q * (n - 1))
+        a, b = value[i], value[min(i + 1, n - 1)]
+        out.append(a + (b - a) * (q * (n - 1) - i))
+    return out

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .build import quantiles
+
 PROBLEM = ["level", "problem_id"]
 #: The variance of an offset that the curve says nothing about; when offsets have settled, and the share of problems that need not; the damping; points that a band needs for a variance of its own.
 NO_INFO, TOLERANCE, TAIL, DAMP, MIN_BAND = 1e6, 0.01, 0.01, 0.5, 2
@@ -42,8 +44,7 @@ class Curve:
 def bands(anchors: DataFrame, score: str, n_bands: int) -> DataFrame:
     """``anchors`` with ``band``: inner edges at linear quantiles; equal scores share a band."""
     qs = [i / n_bands for i in range(1, n_bands)]
-    edges = anchors.agg(F.percentile(F.col(score), F.array(*map(F.lit, qs))).alias("e")).first()["e"] if qs else []
-    band = sum((F.when(F.col(score) >= e, 1).otherwise(0) for e in (edges or [])), F.lit(0))
+    band = sum((F.when(F.col(score) >= e, 1).otherwise(0) for e in quantiles(anchors, score, qs)), F.lit(0))
     return anchors.withColumn("band", band.cast("int"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
-from .build import PROBLEM, expectations, quantile, require_unique
+from .build import PROBLEM, expectations, quantile, quantiles, require_unique
 
 #: Fixed values of the acceptance checks.
 MAX_TRUNCATED_PCT, MAX_TOO_FEW_PCT, ALL_EQUAL_PCT, MIN_LISTS, MIN_VAL_LISTS, NULL_Q = 2.0, 5.0, (2.0, 10.0), 300, 60, 0.95
@@ -272,8 +272,8 @@ def calibration_error(pairs: DataFrame, measured: str, imputed: str, by: list[st
 def length_control(a: DataFrame, gap: float, n_deciles: int = 10, key: str = "sample_id", length: str = "n_tokens") -> DataFrame:
     """One row: the score's pair accuracy within problems over pairs of targets over ``gap`` apart (overall), and mean and least of the same within deciles of length, and the deciles used. Where length explains the score, the latter fall."""
     qs = [i / n_deciles for i in range(1, n_deciles)]
-    edges, lo, hi = a.agg(F.percentile(F.col(length), F.array(*map(F.lit, qs))), F.min(length), F.max(length)).first()
-    decile = sum((F.when(F.col(length) >= e, 1).otherwise(0) for e in edges or []), F.lit(0))
+    lo, hi = a.agg(F.min(length), F.max(length)).first()
+    decile = sum((F.when(F.col(length) >= e, 1).otherwise(0) for e in quantiles(a, length, qs)), F.lit(0))
     d = a.withColumn("decile", decile).select(*PROBLEM, key, "score", "target", "decile")
     x, y = (d.select(*PROBLEM, *(F.col(c).alias(f"{c}_{s}") for c in (key, "score", "target", "decile"))) for s in "xy")
     # a problem's anchors are its samples: tens

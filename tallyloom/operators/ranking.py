@@ -93,9 +93,15 @@ def classification(df: DataFrame, score: str, label: str) -> DataFrame:
     """accuracy, precision, recall, f1 at sigmoid >= 0.5 (score >= 0), positive rate, ROC-AUC by average ranks, PR-AUC as average precision. Counts of equal scores come first, so ordering handles distinct scores only."""
     t = df.select(F.col(score).alias("s"), F.col(label).cast("long").alias("y"))
     by = t.groupBy("s").agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n"))
-    down = Window.orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # running sums in two levels: over ranges of scores, then within each
+    ends = by.agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
+    by = by.crossJoin(F.broadcast(ends)).withColumn("b", F.coalesce(F.width_bucket("s", "lo", F.col("hi"), F.lit(1024)), F.lit(0))).drop("lo", "hi")  # one row
+    parts = by.groupBy("b").agg(F.sum("p").alias("bp"), F.sum("n").alias("bn"))
+    above = Window.orderBy(F.col("b").desc()).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy()
-    by = by.withColumns({"tp": F.sum("p").over(down), "seen": F.sum("n").over(down), "pos": F.sum("p").over(every), "all": F.sum("n").over(every)})
+    parts = parts.withColumns({"p0": F.coalesce(F.sum("bp").over(above), F.lit(0)), "n0": F.coalesce(F.sum("bn").over(above), F.lit(0)), "pos": F.sum("bp").over(every), "all": F.sum("bn").over(every)}).drop("bp", "bn")
+    down = Window.partitionBy("b").orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    by = by.join(parts, "b").withColumns({"tp": F.col("p0") + F.sum("p").over(down), "seen": F.col("n0") + F.sum("n").over(down)})
     neg = F.col("all") - F.col("pos")
     below = F.col("all") - F.col("seen") - (F.col("pos") - F.col("tp"))  # negatives of lower score
     auc = F.sum(F.col("p") * (below + (F.col("n") - F.col("p")) / 2.0))

@@ -201,7 +201,10 @@ def shard_ranges(spark, sf_dir):
     return B.shard_ranges(table(spark, sf_dir, "orders"), "o_orderkey", 7)
 
 
-@query()
+@query("""WITH RECURSIVE k AS (SELECT l_orderkey AS id, count(*) AS c, sum(count(*)) OVER (ORDER BY l_orderkey) AS upto FROM lineitem WHERE l_orderkey IS NOT NULL GROUP BY 1), t AS (SELECT max(upto) AS total FROM k),
+ e AS (SELECT 0 AS shard, 0::HUGEINT AS done, -9223372036854775807 AS last UNION ALL SELECT shard + 1, x.upto, x.id FROM (SELECT e.shard, min({'id': k.id, 'upto': k.upto}) AS x FROM e, k, t WHERE shard < 7 AND (k.upto - e.done) * 8 >= total GROUP BY e.shard)),
+ g AS (SELECT k.*, (SELECT count(*) FROM e WHERE e.shard > 0 AND k.id > e.last) AS shard FROM k)
+ SELECT shard::INT AS shard, min(id) AS first, max(id) AS last, sum(c)::BIGINT AS n, max(c) AS max_samples FROM g GROUP BY shard""")
 def shard_plan(spark, sf_dir):
     return B.shard_plan(table(spark, sf_dir, "lineitem"), "l_orderkey", 8)
 
@@ -212,7 +215,7 @@ def prose_cuts(spark, sf_dir):
     return X.prose_cuts(table(spark, sf_dir, "documents"), ["doc_id"], "text")
 
 
-@query("""WITH h AS (SELECT doc_id, source, left(text, 256) AS t FROM documents WHERE doc_id % 7 = 0 AND text IS NOT NULL) SELECT a.source, count(*) AS n, max(len(list_filter(range(1, 257), lambda i: i <= least(length(a.t), length(b.t)) AND left(a.t, i) = left(b.t, i))))::INT AS longest FROM h a JOIN h b ON a.source = b.source AND a.doc_id < b.doc_id GROUP BY a.source""")
+@query("""WITH h AS (SELECT doc_id, source, left(text, 256) AS t FROM documents WHERE text IS NOT NULL) SELECT a.source, count(*) AS n, max(len(list_filter(range(1, 257), lambda i: i <= least(length(a.t), length(b.t)) AND left(a.t, i) = left(b.t, i))))::INT AS longest FROM h a JOIN h b ON a.source = b.source AND a.doc_id < b.doc_id GROUP BY a.source""")
 def sibling_lcp(spark, sf_dir):
     """Pairs of a source's documents with different ids, and the longest common prefix of two heads."""
     d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("source", "doc_id", F.substring("text", 1, 256).alias("t"))
@@ -257,7 +260,13 @@ def calibration_bands(spark, sf_dir):
     return C.bands(_anchors(spark, sf_dir), "score", 5).groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("x"), F.avg("target").alias("y"))
 
 
-@query()
+@query(f"""{WITH}, a AS (SELECT orm AS score, {target_sql()} AS target FROM candidates), f AS (SELECT * FROM a WHERE target IS NOT NULL), q AS (SELECT quantile_cont(score, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM f),
+ g AS (SELECT len(list_filter(e, lambda v: score >= v)) AS b, score, target FROM f, q), m AS (SELECT row_number() OVER (ORDER BY b) - 1 AS band, avg(score) AS x, avg(target) AS y, avg(target * target) AS yy, count(*) AS n FROM g GROUP BY b),
+ -- a least-squares rising fit is, at each place, the greatest over starts of the least over ends of the means between
+ r AS (SELECT j.band AS j, k.band AS k, avg(m.y) AS mean FROM m j, m k, m WHERE j.band <= k.band AND m.band BETWEEN j.band AND k.band GROUP BY 1, 2),
+ p AS (SELECT i.band, r.j, min(r.mean) AS low FROM m i, r WHERE r.j <= i.band AND r.k >= i.band GROUP BY 1, 2), y AS (SELECT band, max(low) AS fit FROM p GROUP BY 1),
+ v AS (SELECT m.band, x, fit, CASE WHEN n >= 2 THEN greatest(0.0::DOUBLE, yy - 2 * fit * y + fit * fit) END AS var, n FROM m JOIN y USING (band))
+ SELECT band::INT AS band, x, fit AS y, coalesce(var, (SELECT avg(var) FROM v), 0) AS var, n FROM v""")
 def isotonic_curve(spark, sf_dir):
     c = C.fit_curve(_anchors(spark, sf_dir), n_bands=10)
     return spark.createDataFrame([(i, *map(float, r), n) for i, (*r, n) in enumerate(zip(c.x, c.y, c.var, c.n, strict=True))], "band int, x double, y double, var double, n long")
@@ -276,7 +285,9 @@ def imputed_values(spark, sf_dir):
     return C.impute(a, curve, C.fit_offsets(a, curve), P)
 
 
-@query()
+@query(f"""{WITH}, a AS (SELECT level, problem_id, sample_id, {target_sql()} AS target FROM candidates), l AS (SELECT level, problem_id, list_sort(list(target)) AS pool, list(sample_id) AS items FROM a WHERE target IS NOT NULL GROUP BY ALL),
+ d AS (SELECT level, problem_id, pool, unnest(items) AS i FROM l), s AS (SELECT level, problem_id, r.range AS r, pool[1 + floor(('0x' || substr(md5('11:' || level || ':' || problem_id || ':' || i || ':' || r.range || ':0'), 1, 12))::BIGINT::DOUBLE / 281474976710656.0::DOUBLE * len(pool))::BIGINT] AS v FROM d, range(200) r),
+ w AS (SELECT level, problem_id, r, max(v) - min(v) AS spread FROM s GROUP BY ALL) SELECT level, problem_id, list_sort(list(spread))[191] AS q95, avg(spread) AS mean FROM w GROUP BY ALL""")
 def null_bootstrap(spark, sf_dir):
     """q95 and mean of the null of every list, over as many replicates as the reference draws."""
     s = _anchors(spark, sf_dir).select(*P, "sample_id", "target")

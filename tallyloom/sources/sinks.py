@@ -150,9 +150,8 @@ def write_kernels(df: DataFrame, folder: str) -> int:
 
     def put(frames):
         import pandas as pd
-        from pyarrow import fs
 
-        store, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        store, base = _store(folder)
         store.create_dir(base, recursive=True)
         for pdf in frames:
             for name, code in zip(pdf["name"], pdf["code"], strict=True):
@@ -165,6 +164,53 @@ def write_kernels(df: DataFrame, folder: str) -> int:
     return rows.mapInPandas(put, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
+def _store(folder: str):
+    """A file system that executors can write to, and the folder's place in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+
+
+def write_traces(df: DataFrame, folder: str) -> int:
+    """A .npz for each row (stem, token_ids, topk_ids, topk_lp, sampled_lp, sampled_rank, seg, meta: JSON), uncompressed, written by executors; rows without tokens have none. Returns how many."""
+    cols = ["token_ids", "topk_ids", "topk_lp", "sampled_lp", "sampled_rank", "seg"]
+
+    def put(frames):
+        import io
+
+        import numpy as np
+        import pandas as pd
+
+        store, base = _store(folder)
+        store.create_dir(base, recursive=True)
+        kinds = dict.fromkeys(("token_ids", "topk_ids", "sampled_rank"), np.int64) | dict.fromkeys(("topk_lp", "sampled_lp"), np.float64) | {"seg": np.int8}
+        for pdf in frames:
+            for r in pdf.itertuples(index=False):
+                data = io.BytesIO()
+                arrays = {c: np.array([list(x) if hasattr(x, "__len__") else x for x in getattr(r, c)], kinds[c]) for c in cols}
+                np.savez(data, **arrays, meta=np.array(r.meta or "{}"))
+                with store.open_output_stream(f"{base}/.{r.stem}.tmp") as out:
+                    out.write(data.getvalue())
+                store.move(f"{base}/.{r.stem}.tmp", f"{base}/{r.stem}.npz")
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    rows = require_unique(df.where("token_ids IS NOT NULL"), ["stem"], "trace").select("stem", *cols, "meta")
+    return rows.mapInPandas(put, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def write_search(pool: DataFrame, picked: DataFrame, folder: str) -> dict:
+    """The kernels of a search's pool, the one picked of each problem (level, problem_id, cid) under best, all texts as one JSON part, and a manifest of counts. Texts without code are kept among the texts, not among the kernels."""
+    spark = pool.sparkSession
+    coded = pool.where("code IS NOT NULL")
+    best = coded.join(picked, ["level", "problem_id", "cid"]).withColumn("sample_id", F.lit(0))
+    n = {"n_pool": write_kernels(coded, f"{folder}/pool"), "n_best": write_kernels(best, f"{folder}/best")}
+    pool.write.mode("overwrite").json(f"{folder}/texts")
+    one = pool.agg(F.countDistinct("level", "problem_id").alias("p"), F.count_if(F.col("code").isNull()).alias("none")).first()
+    n |= {"n_problems": one["p"], "n_no_code": one["none"]}
+    write_atomic(spark, f"{folder}/manifest.json", json.dumps(n))
+    return n
+
+
 def write_config(spark: SparkSession, folder: str, config: dict, dataset: str) -> None:
     """generation_config.yaml: a converted dataset's level is a pseudo_level, any other's is a level; never both."""
     c = dict(config)

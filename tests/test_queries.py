@@ -6,6 +6,7 @@ import os
 
 import pytest
 from oracle import assert_same
+from pyspark.sql import functions as F
 
 from tallyloom.operators import build as B
 from tallyloom.plans import queries as Q
@@ -84,3 +85,31 @@ def test_shard_plan_takes_real_keys(spark, sf):
     for n in (1, 3, 5, 9):
         assert [tuple(r) for r in B.shard_plan(d, "p", n).collect()] == [tuple(s[c] for c in cols) for s in B.plan_shards(few, n)]
     assert B.shard_plan(d.limit(0), "p", 3).count() == 0
+
+
+def test_quantiles_are_exact(spark):
+    import numpy as np
+
+    rng = np.random.RandomState(1)
+    for x in (rng.randn(3000) ** 3, np.repeat([1.0, 2.0, 5.0], [700, 200, 100]), np.array([4.0])):
+        d = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double")
+        qs = [0.0, 0.1, 0.25, 0.5, 0.77, 1.0]
+        for limit in (10_000, 40):
+            assert np.allclose(B.quantiles(d, "x", qs, limit), np.quantile(x, qs))
+    assert B.quantiles(spark.createDataFrame([], "x double"), "x", [0.5]) == []
+
+
+def test_lists_of_one_positive_keep_the_fastest(spark):
+    rows = [(1, 1, i, int(i < 4), 1.0 + i if i < 4 else None) for i in range(7)]
+    c = spark.createDataFrame(rows, "level long, problem_id long, sample_id long, label int, speedup double")
+    got = {r["sample_id"]: r["rel"] for r in B.ranked_lists(c, max_pos=1, max_neg=2).collect()}
+    assert [i for i in got if i < 4] == [3] and len(got) == 3
+
+
+def test_two_level_ranks(spark):
+    rows = [(None if i % 5 == 0 else i % 3, (i * 7919) % 10_000) for i in range(500)]
+    d = B.two_level_rank(spark.createDataFrame(rows, "k int, v long"), ["k"], F.floor(F.col("v") / 64), ["v"], "r", "n")
+    for k in (None, 0, 1, 2):
+        mine = sorted(v for x, v in rows if x == k)
+        got = sorted((r["r"], r["v"], r["n"]) for r in d.collect() if r["k"] == k)
+        assert got == [(i + 1, v, len(mine)) for i, v in enumerate(mine)]

@@ -5,6 +5,7 @@ import json
 import numpy as np
 import pytest
 
+from tallyloom.functions import conversion as cv
 from tallyloom.sources import runs, sinks
 
 
@@ -160,3 +161,40 @@ def test_journal_is_pruned(spark, tmp_path):
     with pytest.raises(ValueError, match="other settings"):
         runs.check_regime({"temperature": 0.6}, {"temperature": "1.0"}, "run")
     runs.check_regime({"model": "m"}, {"model": "m"}, "run")
+
+
+def test_traces_and_search_results_are_written(spark, tmp_path):
+    schema = "stem string, token_ids array<long>, topk_ids array<array<long>>, topk_lp array<array<double>>, sampled_lp array<double>, sampled_rank array<long>, seg array<int>, meta string"
+    rows = [("a", [5, 6], [[5, 1], [6, 2]], [[-0.1, -3.0], [-0.2, -9.0]], [-0.1, -0.2], [1, 1], [0, 1], '{"passes": 2}'), ("b", None, None, None, None, None, None, None)]
+    assert sinks.write_traces(spark.createDataFrame(rows, schema), str(tmp_path / "traces")) == 1
+    (t,) = runs.traces(spark, str(tmp_path / "traces")).collect()
+    assert tuple(t) == rows[0]
+    pool = spark.createDataFrame([(1, 2, 0, "c0", "x"), (1, 2, 1, "c1", "y"), (1, 3, None, "c2", None)], "level long, problem_id long, sample_id int, cid string, code string")
+    got = sinks.write_search(pool, spark.createDataFrame([(1, 2, "c1")], "level long, problem_id long, cid string"), str(tmp_path / "out"))
+    assert got == {"n_pool": 2, "n_best": 1, "n_problems": 2, "n_no_code": 1}
+    assert (tmp_path / "out" / "best" / "level_1_problem_2_sample_0_kernel.py").read_text() == "y" and spark.read.json(str(tmp_path / "out" / "texts")).count() == 3
+
+
+ROW = """import torch
+class Net(torch.nn.Module):
+    def __init__(self, d, h=2, *, flag=None):
+        super().__init__()
+def get_inputs():
+    return [torch.rand([4, 4, 4, 4]), torch.rand(4, 3), torch.full((4,), 4)]
+def get_init_inputs():
+    return [[4], {'h': 7}]
+"""
+
+
+def test_rows_are_converted_without_running_them():
+    out = cv.converted(ROW, "Net", cv.Scale())
+    assert "Model = Net" in out and out.endswith("    return [48, 7]\n")
+    assert "torch.rand([48, 48, 48, 48]), torch.rand(48, 3), torch.full((48,), 4)" in out
+    assert cv.converted(ROW, "Net").endswith("return [4, 7]\n") and "rand([4, 4, 4, 4])" in cv.converted(ROW, "Net")
+    batch = cv.converted(ROW, "Net", cv.Scale(mode="batch-only"))
+    assert "rand([2048, 4, 4, 4])" in batch and batch.endswith("return [4, 7]\n")
+    assert cv.Scale(factor=0.5).target(2) == 1024 and cv.Scale().target(9) == 16 and cv.Scale(factor=0.01).target(5) == 4
+    bad = [("Net", ROW.replace("[[4], {'h': 7}]", "[[torch.ones(4)], {}]")), ("Other", ROW), ("Net", ROW.replace("get_inputs", "inputs")), ("a b", ROW), ("Net", ROW.replace("{'h': 7}", "{'flag': 7}")), ("Net", ROW.replace("[4], {", "[], {")), ("Net", "x = (")]
+    for name, source in bad:
+        with pytest.raises(cv.ConversionError):
+            cv.converted(source, name)
