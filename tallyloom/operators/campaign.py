@@ -402,3 +402,104 @@ def budget_buckets(rows: DataFrame, budget: str, size: int) -> DataFrame:
 def tally(findings: DataFrame, severities: tuple[str, ...] = ("fail", "warn", "info")) -> DataFrame:
     """(check_id, files, and findings of each severity) over scanned files."""
     return findings.groupBy("check_id").agg(F.countDistinct("path").alias("files"), *(F.count_if(F.col("severity") == s).alias(s) for s in severities))
+
+
+# prefixes of completions
+
+
+def group_depths(rows: DataFrame, group: list[str], per_group: int, lo: float, hi: float, seed: int) -> DataFrame:
+    """(group, k): the cuts at which a group's completions are cut: a draw from each of ``per_group`` strata of the window, on the ruler of the low median of the group's cuts, rounded to a cut inside the window. Groups too short for any have none."""
+    g = rows.groupBy(*group).agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY n_cuts_total)").cast("int").alias("n"))
+    g = g.withColumns({"first": F.greatest(F.lit(1), F.ceil(F.lit(lo) * F.col("n"))), "last": F.least(F.col("n") - 1, F.floor(F.lit(hi) * F.col("n")))}).where("first <= last")
+    g = g.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(per_group - 1))))
+    u = L.hash_uniform(seed, *map(F.col, group), F.lit(0), F.col("j"))
+    t = F.lit(lo) + (F.col("j") + u) * ((hi - lo) / per_group)
+    k = F.least(F.col("last"), F.greatest(F.col("first"), F.bround(t * F.col("n")))).cast("int")
+    return g.select(*group, k.alias("k")).distinct()
+
+
+def cut_prefixes(rows: DataFrame, splits: DataFrame, per_group: int = 4, lo: float = 0.1, hi: float = 0.9, min_size: int = 2, max_size: int = 8, seed: int = 42, dead: DataFrame | None = None) -> DataFrame:
+    """The prefixes of a campaign: rows (run_name, shard, level, problem_id, sample_id, stem, cuts: array of struct(char, kind, index)) of train and val problems, cut at their group's depths, where they have a cut so deep; inside the window, capped, and in lists of ``min_size`` or more. A problem without a split is an error."""
+    group = ["run_name", *PROBLEM]
+    r = rows.withColumn("n_cuts_total", n_cuts_total(F.col("cuts")))
+    if dead is not None:
+        r = r.join(dead.select(*PROBLEM), PROBLEM, "left_anti")
+    lost = r.select(*PROBLEM).distinct().join(splits, PROBLEM, "left_anti").limit(1).collect()
+    if lost:
+        raise KeyError(f"problem {tuple(lost[0])} has no split")
+    r = r.join(splits.where(F.col("split").isin("train", "val")), PROBLEM)
+    d = r.join(group_depths(r, group, per_group, lo, hi, seed), group)
+    cut = F.get(F.filter("cuts", lambda c: c["index"] == F.col("k")), F.lit(0))
+    d = d.withColumn("cut", cut).where("cut IS NOT NULL")
+    p = d.select(
+        F.format_string("%s__%s__p%d__s%d__k%03d", "run_name", F.replace("shard", F.lit("_"), F.lit("")), "problem_id", "sample_id", "k").alias("prefix_id"),
+        "run_name",
+        "shard",
+        *PROBLEM,
+        "sample_id",
+        "stem",
+        F.col("cut.char").alias("cut_char"),
+        F.col("k").alias("cut_index"),
+        F.col("cut.kind").alias("cut_kind"),
+        "n_cuts_total",
+        (F.col("k") / F.col("n_cuts_total")).alias("rel_depth"),
+        F.concat_ws(":", *(F.col(c).cast("string") for c in (*group, "k"))).alias("list_key"),
+        "split",
+    )
+    return stratified(require_unique(p, ["prefix_id"], "prefix"), lo, hi, min_size, max_size, seed)
+
+
+def check_layout(rows: DataFrame) -> DataFrame:
+    """``rows``, or an error where one group's samples lie in two parts: a campaign reads part by part."""
+    bad = rows.groupBy("run_name", *PROBLEM).agg(F.min("shard").alias("a"), F.max("shard").alias("b")).where("a <> b").limit(1).collect()
+    if bad:
+        raise ValueError(f"a problem's samples lie in two shards: {bad[0].asDict()}")
+    return rows
+
+
+def rollout_manifest(units: DataFrame) -> DataFrame:
+    """One row of totals over units (unit, prefixes, rollouts, seconds, prefix_caching, reused): prefix_caching is null where any unit could not say."""
+    known = F.count("prefix_caching") == F.count(F.lit(1))
+    return units.agg(
+        F.count(F.lit(1)).alias("units"),
+        F.count_if(~F.col("reused")).alias("units_generated"),
+        F.count_if("reused").alias("units_reused"),
+        F.sum("prefixes").alias("prefixes"),
+        F.sum("rollouts").alias("rollouts"),
+        F.sum("seconds").alias("seconds"),
+        F.when(known, F.bool_and("prefix_caching")).alias("prefix_caching"),
+    )
+
+
+def sources_of(prefixes: DataFrame, rows: DataFrame) -> DataFrame:
+    """Prefixes with the prompt and text that they were cut from, by run, shard and stem; a prefix whose completion is missing is an error."""
+    key = ["run_name", "shard", "stem"]
+    lost = prefixes.join(rows.select(*key), key, "left_anti").select("prefix_id").limit(1).collect()
+    if lost:
+        raise KeyError(f"{lost[0][0]} was cut from a completion that is not there")
+    return prefixes.join(rows.select(*key, "prompt", "raw"), key)
+
+
+def graded_pool(pool: DataFrame, verdicts: DataFrame, baselines: DataFrame | None = None) -> DataFrame:
+    """Each finished candidate of a search with whether it is right, and its speedup (null if wrong, unmeasured or without a baseline)."""
+    d = pool.join(verdicts, [*PROBLEM, "sample_id"], "left").withColumn("ok", F.coalesce("compiled", F.lit(False)) & F.coalesce("correct", F.lit(False)))
+    if baselines is None:
+        return d
+    return d.join(baselines, PROBLEM, "left").withColumn("up", F.when(F.col("ok") & (F.col("runtime") > 0) & (F.col("base_mean") > 0), F.col("base_mean") / F.col("runtime")))
+
+
+def search_report(graded: DataFrame, by: list[str]) -> DataFrame:
+    """For each key: problems, share whose picked candidate is right, whose pool holds a right one, their difference, share whose best by the process scorer is right, mean pool; geometric means of speedups of each choice."""
+    top = lambda s: F.max_by(F.col("ok").cast("int"), F.struct(F.coalesce(F.col(s), F.lit(float("-inf"))), -F.col("sample_id")))
+    fast = lambda s: F.max_by("up", F.struct(F.coalesce(F.col(s), F.lit(float("-inf"))), -F.col("sample_id")))
+    one = graded.groupBy(*dict.fromkeys([*by, *PROBLEM])).agg(top("orm").alias("picked"), F.max(F.col("ok").cast("int")).alias("oracle"), top("prm").alias("prm"), F.count(F.lit(1)).alias("pool"), fast("orm").alias("up_orm"), fast("prm").alias("up_prm"), F.max("up").alias("up_oracle"))
+    rate = lambda c: F.avg(F.col(c).cast("double"))
+    return one.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_problems"),
+        rate("picked").alias("picked_correct"),
+        rate("oracle").alias("oracle_correct"),
+        (rate("oracle") - rate("picked")).alias("selection_regret"),
+        rate("prm").alias("prm_top1_hit"),
+        F.avg("pool").alias("pool_size"),
+        *(L.geo_mean(F.col(f"up_{s}")).alias(f"geo_{s}") for s in ("orm", "prm", "oracle")),
+    )

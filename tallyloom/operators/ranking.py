@@ -49,7 +49,7 @@ def longest_shared_prefix(df: DataFrame, group: str, key: str, text: str) -> Dat
     best = c.where("n > 0").withColumn("longest", F.lit(0))
     for step, top in ((64, 4), (16, 3), (4, 3), (1, 3)):
         # the length found so far stays a row of its own, for groups without a longer one
-        d = heads.join(F.broadcast(best), group).withColumn("_n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(top)), lambda i: F.col("longest") + i * step)))
+        d = heads.join(best, group).withColumn("_n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(top)), lambda i: F.col("longest") + i * step)))
         d = d.where((F.col("_n") == F.col("longest")) | (F.length(text) >= F.col("_n")))
         d = d.withColumn("_p", F.when(F.col("_n") > F.col("longest"), F.col(text).substr(F.lit(1), F.col("_n"))))
         p = d.groupBy(group, "n", "longest", "_n", "_p").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))

@@ -301,3 +301,41 @@ def evals_per_gpu_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{WITH} SELECT prefix_id, level, problem_id FROM prefixes")
 def homes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.homes(prefixes(spark, sf_dir))
+
+
+def _completions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates as completions of 3 to 40 cuts, the first few of them dropped."""
+    n = (F.col("part_id") % 38 + 3).cast("int")
+    cuts = F.transform(F.sequence((F.col("sample_id") % 3).cast("int"), n - 1), lambda i: F.struct((i * 10).alias("char"), F.when(i % 2 == 0, "code").otherwise("prose").alias("kind"), i.alias("index")))
+    c = candidates(spark, sf_dir)
+    return c.select(F.lit("run").alias("run_name"), F.concat(F.lit("shard_0"), (F.col("problem_id") % 4).cast("string")).alias("shard"), *P, "sample_id", F.concat(F.lit("s"), F.col("sample_id").cast("string")).alias("stem"), cuts.alias("cuts"))
+
+
+@query(f"""{WITH}, c AS (SELECT 'run' AS run_name, 'shard0' || (problem_id % 4) AS shard, level, problem_id, sample_id, sample_id % 3 AS low, part_id % 38 + 3 AS n FROM candidates WHERE problem_id % 10 <> 0),
+g AS (SELECT run_name, level, problem_id, quantile_disc(n, 0.5) AS n FROM c GROUP BY ALL), b AS (SELECT *, greatest(1, ceil(0.1::DOUBLE * n)) AS first, least(n - 1, floor(0.9::DOUBLE * n)) AS last FROM g),
+k AS (SELECT DISTINCT run_name, level, problem_id, least(last, greatest(first, round_even((0.1::DOUBLE + (j.range + ('0x' || substr(md5('42:' || run_name || ':' || level || ':' || problem_id || ':0:' || j.range), 1, 12))::BIGINT::DOUBLE / 281474976710656.0::DOUBLE) * ((0.9::DOUBLE - 0.1::DOUBLE) / 4)) * n, 0)))::INT AS k FROM b, range(4) j WHERE first <= last),
+p AS (SELECT c.*, k, k / n::DOUBLE AS rel_depth, run_name || ':' || level || ':' || problem_id || ':' || k AS list_key, run_name || '__' || shard || '__p' || problem_id || '__s' || sample_id || '__k' || lpad(k::VARCHAR, 3, '0') AS prefix_id FROM c JOIN k USING (run_name, level, problem_id) WHERE k >= low AND k < n),
+w AS (SELECT *, count(*) OVER (PARTITION BY list_key) AS m, row_number() OVER (PARTITION BY list_key ORDER BY md5('42:' || list_key || ':' || prefix_id), prefix_id) AS r FROM p WHERE rel_depth >= 0.1 AND rel_depth <= 0.9)
+SELECT prefix_id, list_key, k AS cut_index, k * 10 AS cut_char, n::INT AS n_cuts_total, rel_depth, CASE WHEN problem_id % 10 <= 2 THEN 'val' ELSE 'train' END AS split FROM w WHERE m >= 2 AND r <= 8""")
+def cut_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _completions(spark, sf_dir)
+    splits = c.select(*P).distinct().withColumn("split", F.when(F.col("problem_id") % 10 == 0, "test").when(F.col("problem_id") % 10 <= 2, "val").otherwise("train"))
+    p = C.cut_prefixes(C.check_layout(c), splits)
+    return p.select("prefix_id", "list_key", "cut_index", "cut_char", "n_cuts_total", "rel_depth", "split")
+
+
+@query(f"""{WITH}, g AS (SELECT level, problem_id, sample_id, prm, orm, correct AND compiled AS ok, CASE WHEN correct AND compiled AND runtime > 0 AND base_mean > 0 THEN base_mean / runtime END AS up FROM candidates),
+o AS (SELECT level, problem_id, arg_max(ok::INT, {{'a': orm, 'b': -sample_id}}) AS picked, max(ok::INT) AS oracle, arg_max(ok::INT, {{'a': prm, 'b': -sample_id}}) AS prm, count(*) AS pool, max(up) AS up FROM g GROUP BY ALL)
+SELECT level, count(*) AS n_problems, avg(picked) AS picked_correct, avg(oracle) AS oracle_correct, avg(oracle) - avg(picked) AS selection_regret, avg(prm) AS prm_top1_hit, avg(pool) AS pool_size, coalesce(exp(avg(ln(up))), 0) AS geo_oracle FROM o GROUP BY level""")
+def search_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = candidates(spark, sf_dir)
+    base = c.select(*P, "sample_id", "base_mean")
+    g = C.graded_pool(c.select(*P, "sample_id", "orm", "prm"), c.select(*P, "sample_id", "compiled", "correct", "runtime"))
+    g = g.join(base, [*P, "sample_id"]).withColumn("up", F.when(F.col("ok") & (F.col("runtime") > 0) & (F.col("base_mean") > 0), F.col("base_mean") / F.col("runtime")))
+    return C.search_report(g, ["level"]).drop("geo_orm", "geo_prm")
+
+
+@query("""SELECT count(*) AS units, count(*) FILTER (o_orderstatus <> 'F') AS units_generated, count(*) FILTER (o_orderstatus = 'F') AS units_reused, sum(o_custkey % 9)::BIGINT AS prefixes, sum(o_orderkey % 11)::BIGINT AS rollouts, sum(o_totalprice) AS seconds, false AS prefix_caching FROM orders""")
+def rollout_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return C.rollout_manifest(o.select((F.col("o_custkey") % 9).alias("prefixes"), (F.col("o_orderkey") % 11).alias("rollouts"), F.col("o_totalprice").alias("seconds"), (F.col("o_orderkey") % 2 == 0).alias("prefix_caching"), (F.col("o_orderstatus") == "F").alias("reused")))
