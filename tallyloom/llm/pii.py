@@ -74,10 +74,11 @@ def _running(items: str, start: str, kind: str, step: str, join: str) -> str:
 def _spans(d: DataFrame, kind: str, pattern: str, needs: str) -> DataFrame:
     """Adds column ``kind``: array of struct(kind, m, start, stop)."""
     found, gaps = _found(kind, pattern, needs)
-    d = d.withColumn("_m", F.expr(found)).withColumn("_g", F.expr(f"CASE WHEN size(_m) > 0 THEN {gaps} END"))
-    d = d.withColumn("_l", F.expr("transform(_m, (x, i) -> length(get(_g, i)) + length(x))"))
+    d = d.withColumn("_m", F.expr(found)).withColumn("_g", F.expr(f"CASE WHEN size(_m) > 0 THEN {gaps} ELSE cast(array() as array<string>) END"))
+    # Arrays meet as arguments of zip_with, never inside a lambda: what a lambda refers to may be computed for every element.
+    d = d.withColumn("_l", F.expr("zip_with(_m, slice(_g, 1, size(_m)), (x, g) -> length(g) + length(x))"))
     d = d.withColumn("_e", F.expr(_running("_l", "0", "int", "a.at + x", "a.at + y")))
-    out = d.withColumn(kind, F.expr(f"transform(_m, (x, i) -> struct('{kind}' AS kind, x AS m, get(_e, i) - length(x) AS start, get(_e, i) AS stop))"))
+    out = d.withColumn(kind, F.expr(f"zip_with(_m, _e, (x, e) -> struct('{kind}' AS kind, x AS m, e - length(x) AS start, e AS stop))"))
     return out.drop("_m", "_g", "_l", "_e")
 
 
@@ -85,22 +86,25 @@ def _free(d: DataFrame) -> DataFrame:
     """Adds ``_free``: the loose matches that overlap no base span and no loose match of an earlier kind."""
     ranks = range(len(LOOSE))
     none = 1 << 30
-    d = d.withColumn("_loose", F.expr(f"concat({', '.join(k for k, *_ in LOOSE)})"))
     kinds = ", ".join(f"'{k}'" for k, _ in LOOSE)
-    base = f"transform(concat({', '.join(k for k, *_ in BASE)}), b -> struct(b.start AS start, 0 AS rank, b.stop AS stop, -1 AS i))"
-    loose = f"transform(_loose, (x, i) -> struct(x.start AS start, cast(array_position(array({kinds}), x.kind) as int) AS rank, x.stop AS stop, i AS i))"
+    base = f"transform(concat({', '.join(k for k, *_ in BASE)}), b -> struct(b.start AS start, 0 AS rank, b.stop AS stop, '' AS kind, '' AS m))"
+    loose = f"transform(concat({', '.join(k for k, *_ in LOOSE)}), x -> struct(x.start AS start, cast(array_position(array({kinds}), x.kind) as int) AS rank, x.stop AS stop, x.kind AS kind, x.m AS m))"
     # in order of start; of equal starts the earlier kind first
-    d = d.withColumn("_all", F.expr(f"CASE WHEN size(_loose) > 0 THEN sort_array(concat({base}, {loose})) ELSE array() END"))
+    some = " + ".join(f"size({k})" for k, _ in LOOSE)
+    d = d.withColumn("_all", F.expr(f"CASE WHEN {some} > 0 THEN sort_array(concat({base}, {loose})) ELSE array() END")).withColumn("_back", F.expr("reverse(_all)"))
     row = f"struct<{','.join(f'm{r}:int' for r in ranks)}>"
     fold = lambda fn, mine: "struct(" + ", ".join(f"{fn}(a.at.m{r}, {mine(r)}) AS m{r}" for r in ranks) + ")"
     first = lambda v: f"cast(struct({', '.join(f'{v} AS m{r}' for r in ranks)}) as {row})"
     # for each rank: how far the earlier kinds reach from the left, and where the next of them starts
     reach = _running("_all", first(0), row, fold("greatest", lambda r: f"IF(x.rank <= {r}, x.stop, 0)"), fold("greatest", lambda r: f"y.m{r}"))
-    ahead = _running("reverse(_all)", first(none), row, fold("least", lambda r: f"IF(x.rank <= {r}, x.start, {none})"), fold("least", lambda r: f"y.m{r}"))
+    ahead = _running("_back", first(none), row, fold("least", lambda r: f"IF(x.rank <= {r}, x.start, {none})"), fold("least", lambda r: f"y.m{r}"))
     d = d.withColumn("_reach", F.expr(reach)).withColumn("_ahead", F.expr(ahead))
-    clash = "CASE x.rank " + " ".join(f"WHEN {r + 1} THEN coalesce(get(_reach, i - 1).m{r} > x.start, false) OR coalesce(get(_ahead, size(_all) - i - 2).m{r} < x.stop, false)" for r in ranks) + " ELSE true END"
-    d = d.withColumn("_free", F.expr(f"transform(filter(_all, (x, i) -> NOT ({clash})), x -> get(_loose, x.i))"))
-    return d.drop("_loose", "_all", "_reach", "_ahead")
+    # each match with the values before and after it
+    d = d.withColumn("_before", F.expr(f"concat(array({first(0)}), _reach)")).withColumn("_after", F.expr(f"slice(concat(reverse(_ahead), array({first(none)})), 2, size(_all))"))
+    clash = "CASE x.rank " + " ".join(f"WHEN {r + 1} THEN b.m{r} > x.start OR a.m{r} < x.stop" for r in ranks) + " ELSE true END"
+    d = d.withColumn("_marked", F.expr(f"zip_with(zip_with(_all, slice(_before, 1, size(_all)), (x, b) -> struct(x, b)), _after, (p, a) -> struct(p.x AS x, {clash.replace('x.', 'p.x.').replace('b.m', 'p.b.m')} AS clash))"))
+    d = d.withColumn("_free", F.expr("transform(filter(_marked, x -> NOT x.clash), x -> x.x)"))
+    return d.drop("_all", "_back", "_reach", "_ahead", "_before", "_after", "_marked")
 
 
 def _luhn(m: str) -> str:
