@@ -533,7 +533,8 @@ def test_quality_edge_cases(spark):
     d = edge_docs(spark).withColumnRenamed("n_chars", "n_words")
     got = {r["doc_id"]: r for r in quality_rules.judge(d).collect()}
     assert got[3]["n_words"] == 0 and got[3]["base_failed"] and not got[4]["kept"] and got[7]["n_repeat_words"] == 30
-    own = edge_docs(spark).withColumns({c: F.lit(-7) for c in (*quality_rules.DERIVED, "row", "words", "_text", "a.b")})
+    good = " ".join(f"Sentence {i} has words of its own." for i in range(12))
+    own = edge_docs(spark).unionByName(spark.createDataFrame([(10, good, "en", "s1", 1)], SCHEMA)).withColumns({c: F.lit(-7) for c in (*quality_rules.DERIVED, "row", "words", "_text", "a.b")})
     kept = quality_rules.keep(own)
     assert kept.columns == own.columns and {r["n_words"] for r in kept.collect()} == {-7}
     assert quality_rules.judge(own).columns.count("kept") == 1 and quality_rules.judge(own).where("kept").count() == kept.count()
@@ -548,7 +549,7 @@ def test_line_rules(spark):
         ("a ### b *** c $$$ d %%%", "symbols"),
         ("buy now!! today!! only!! here", "shouting"),
         ("na na na na na na na na na na na na.", "one_word"),
-        ("Home | News | Sport | About | Contact", "navigation"),
+        ("Home page | News of sport | About our team | Contact", "navigation"),
         ("words that go on and on without any mark at all", "punctuation"),
         ("words that go on and on. But with a mark inside", None),
         ('He said "these are my words and they are the last."', None),
