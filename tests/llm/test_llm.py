@@ -533,7 +533,7 @@ def test_quality_edge_cases(spark):
     d = edge_docs(spark).withColumnRenamed("n_chars", "n_words")
     got = {r["doc_id"]: r for r in quality_rules.judge(d).collect()}
     assert got[3]["n_words"] == 0 and got[3]["base_failed"] and not got[4]["kept"] and got[7]["n_repeat_words"] == 30
-    good = " ".join(f"Sentence {i} has words of its own." for i in range(12))
+    good = " ".join(f"Sentence{i} has{i} words{i} of{i} its own{i}." for i in range(12))
     own = edge_docs(spark).unionByName(spark.createDataFrame([(10, good, "en", "s1", 1)], SCHEMA)).withColumns({c: F.lit(-7) for c in (*quality_rules.DERIVED, "row", "words", "_text", "a.b")})
     kept = quality_rules.keep(own)
     assert kept.columns == own.columns and {r["n_words"] for r in kept.collect()} == {-7}
