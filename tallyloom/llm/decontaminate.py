@@ -15,9 +15,9 @@ Windows have the item's own length, at every word of every document, and run pas
 both ends of a document by as many words as edits can take away; a missing word counts
 as the word 0. Each edit spoils q word q-grams at most, so a window of n words within e
 edits of an item holds n + 1 - q - q e of them that occur in the benchmark; windows with
-fewer (q = 2 or 3) are not embedded, and nothing is lost by that: words that are missing
-at an end are edits of the item themselves, so the bound holds there as it is. Bitmaps of fixed size (the benchmark's word
-pairs, word triples, table keys and lengths) let each task drop what cannot match. Executors build them page by page, so the driver
+fewer (q = 2, 3 or 4) are not embedded, and nothing is lost by that: words that are missing
+at an end are edits of the item themselves, so the bound holds there as it is. Bitmaps of fixed size (the benchmark's runs
+of two, three and four words, table keys and lengths) let each task drop what cannot match. Executors build them page by page, so the driver
 gathers a few megabytes whatever the benchmark holds; a large benchmark fills them up and costs time, not results.
 
 Items of fewer than ``MIN_WORDS`` words are matched exactly, by their whole word sequence.
@@ -39,13 +39,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import FILTER_BITS, bitmaps, materialize, row_key, unpacked
+from .runtime import FILTER_BITS, bitmaps, holds, materialize, row_key
 from .textscan import ALNUM, LOWER, mix, slices
 
 WALKS, TABLES, SAMPLES = 8, 40, 3
 MAX_EDITS = 0.2
 #: Items of fewer words are too short for edits and are matched exactly.
 MIN_WORDS = 8
+#: Words of the q-grams whose bitmaps tell windows that cannot be within the edits; the key's bitmap is kind 1.
+GRAMS = (2, 3, 4)
+#: Slices whose windows are embedded together, and windows at a time.
+TOGETHER, WINDOWS = 16, 10_000
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -182,9 +186,9 @@ def _slot(h: np.ndarray) -> np.ndarray:
 
 
 def _bitmap_slots(batches):
-    """(kind, slot): places that the items take in the bitmaps of their lengths (0), keys (1), word pairs (2) and triples (3)."""
+    """(kind, slot): places that the items take in the bitmaps of their lengths (0), keys (1) and runs of q words (q)."""
     for batch in batches:
-        grams, keys, lengths = {2: [], 3: []}, [], set()
+        grams, keys, lengths = {q: [] for q in GRAMS}, [], set()
         for a, b, w in slices(batch.column("text"), ALNUM, LOWER):
             for q in grams:
                 grams[q].append(_slot(w.windows(q)[1]))
@@ -200,9 +204,9 @@ def _bitmap_slots(batches):
 
 
 def item_bitmaps(items: DataFrame) -> tuple[dict[int, bytes], list[int]]:
-    """The bitmaps (by kind) of keys, pairs and triples of ``items`` (text), and the items' lengths."""
-    maps = bitmaps(items.select("text").mapInArrow(_bitmap_slots, "kind int, slot long"), 4)
-    return maps, np.flatnonzero(unpacked(maps.pop(0))).tolist()
+    """The bitmaps (by kind) of keys and runs of words of ``items`` (text), and the items' lengths."""
+    maps = bitmaps(items.select("text").mapInArrow(_bitmap_slots, "kind int, slot long"), 1 + max(GRAMS))
+    return maps, np.flatnonzero(np.unpackbits(np.frombuffer(maps.pop(0), np.uint8))).tolist()
 
 
 def padded(w, lengths: list[int], max_edits: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -225,28 +229,70 @@ def _inside(at: np.ndarray, n: int, most: int, begin: np.ndarray, end: np.ndarra
     return np.minimum(end[row], at + n) - np.maximum(begin[row], at) >= n - most
 
 
+def _keyed(waiting: list, n: int):
+    """(a, hashes, begin, end, at, keys) of the windows of n words that wait in each slice, in parts of ``WINDOWS``."""
+    held, size = [], 0
+    for a, hashes, begin, end, found in waiting:
+        for at in np.array_split(found[n], -(-len(found[n]) // WINDOWS)) if n in found else ():
+            held.append((a, hashes, begin, end, at))
+            size += len(at)
+            if size >= WINDOWS:
+                yield from _together(held, n)
+                held, size = [], 0
+    if held:
+        yield from _together(held, n)
+
+
+def _together(held: list, n: int):
+    words = np.concatenate([hashes[at[:, None] + np.arange(n)] for _, hashes, _, _, at in held])
+    k = _keys(words.ravel(), np.arange(len(words)) * n, n)
+    upto = np.cumsum([len(x[4]) for x in held])
+    for x, part in zip(held, np.split(k, upto[:-1]), strict=True):
+        yield *x, part
+
+
 def _regions(maps: dict[int, bytes], lengths: list[int], max_edits: float):
     """(d, t, first, words, keys): runs of windows that share a key with an item, with as many words more on either side as edits can add."""
 
     short, lengths = [n for n in lengths if n < MIN_WORDS], [n for n in lengths if n >= MIN_WORDS]
 
+    def embedded(waiting: list, d: np.ndarray, t: np.ndarray, out: dict) -> None:
+        """Regions of the windows that share a key with an item. Windows of one length are embedded together, whatever slice they are from: a walk has hundreds of steps, each a few calls."""
+        for n in lengths:
+            most = int(max_edits * n)
+            for a, hashes, begin, end, at, k in _keyed(waiting, n):
+                hit = holds(maps[1], _slot(mix(k)))
+                some = hit.any(axis=1)
+                at, k, hit = at[some], k[some], hit[some]
+                if not len(at):
+                    continue
+                row = np.searchsorted(end, at, "right")
+                edges = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(at, prepend=-n - 1) > n))
+                for i, j in zip(edges, np.append(edges[1:], len(at)), strict=True):
+                    lo, hi = max(at[i] - most, begin[row[i]]), min(at[j - 1] + n + most, end[row[i]])
+                    out["d"].append(int(d[a + row[i]]))
+                    out["t"].append(int(t[a + row[i]]))
+                    out["first"].append(int(lo - begin[row[i]]))
+                    out["words"].append(hashes[lo:hi].tobytes())
+                    out["keys"].append(np.unique(k[i:j][hit[i:j]].view(np.int64)))
+
     def run(batches):
-        bits = {k: unpacked(x) for k, x in maps.items()}
         for batch in batches:
             d, t = batch.column("d").to_numpy(zero_copy_only=False), batch.column("t").to_numpy(zero_copy_only=False)
             out = {k: [] for k in ("d", "t", "first", "words", "keys")}
+            waiting = []
             for a, _, w in slices(batch.column("text"), ALNUM, LOWER):
                 hashes, place, begin, end = padded(w, lengths, max_edits)
                 good = {}
-                for q in (2, 3):  # q-grams of the benchmark that start before each place
+                for q in GRAMS:  # q-grams of the benchmark that start before each place
                     start, h = w.windows(q)
                     known = np.zeros(len(hashes) + 1, np.int32)
-                    known[place[start] + 1] = bits[q][_slot(h)]
+                    known[place[start] + 1] = holds(maps[q], _slot(h))
                     good[q] = np.cumsum(known)
                 for n in short:
                     at, h = w.windows(n)
                     k = _exact_keys(h, n)
-                    hit = bits[1][_slot(mix(k))]
+                    hit = holds(maps[1], _slot(mix(k)))
                     at, k = at[hit], k[hit]
                     # the first place of a sequence in each row is enough
                     _, once = np.unique(np.stack([w.doc[at], k.view(np.int64)]), axis=1, return_index=True)
@@ -257,30 +303,23 @@ def _regions(maps: dict[int, bytes], lengths: list[int], max_edits: float):
                         out["first"].append(int(at[i] - w.first[row]))
                         out["words"].append(w.hash[at[i] : at[i] + n].tobytes())
                         out["keys"].append(k[i : i + 1].view(np.int64))
+                found = {}
                 for n in lengths:
                     most = int(max_edits * n)
                     last = len(hashes) - n
                     if last < 0:
                         continue
                     at = np.flatnonzero(good[2][n - 1 : n + last] - good[2][: last + 1] >= max(1, n - 1 - 2 * most))
-                    at = at[good[3][at + n - 2] - good[3][at] >= n - 2 - 3 * most]
+                    for q in GRAMS[1:]:
+                        at = at[good[q][at + n + 1 - q] - good[q][at] >= n + 1 - q - q * most]
                     at = at[_inside(at, n, most, begin, end)]
-                    for at in np.array_split(at, -(-len(at) // 20_000)) if len(at) else ():
-                        k = _keys(hashes, at, n)
-                        hit = bits[1][_slot(mix(k))]
-                        some = hit.any(axis=1)
-                        at, k, hit = at[some], k[some], hit[some]
-                        if not len(at):
-                            continue
-                        row = np.searchsorted(end, at, "right")
-                        edges = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(at, prepend=-n - 1) > n))
-                        for i, j in zip(edges, np.append(edges[1:], len(at)), strict=True):
-                            lo, hi = max(at[i] - most, begin[row[i]]), min(at[j - 1] + n + most, end[row[i]])
-                            out["d"].append(int(d[a + row[i]]))
-                            out["t"].append(int(t[a + row[i]]))
-                            out["first"].append(int(lo - begin[row[i]]))
-                            out["words"].append(hashes[lo:hi].tobytes())
-                            out["keys"].append(np.unique(k[i:j][hit[i:j]].view(np.int64)))
+                    if len(at):
+                        found[n] = at
+                waiting.append((a, hashes, begin, end, found))
+                if len(waiting) == TOGETHER:
+                    embedded(waiting, d, t, out)
+                    waiting = []
+            embedded(waiting, d, t, out)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
 

@@ -41,7 +41,7 @@ from pyspark.sql.types import MapType
 
 from . import setjoin
 from .components import components
-from .runtime import FILTER_BITS, bitmaps, drop, drop_since, mark, materialize, release, row_key, unpacked
+from .runtime import FILTER_BITS, bitmaps, drop, drop_since, holds, mark, materialize, release, row_key
 from .textscan import LOWER, NON_SPACE, Words, mix, slices
 
 HEAVY, MAX_HEAVY = 12, 1 << 19
@@ -138,9 +138,8 @@ def _full_sets(k: int, wanted: bytes):
     """(d, t, members): the sets of rows whose slot is in the bitmap ``wanted``."""
 
     def run(batches):
-        bits = unpacked(wanted)
         for batch in batches:
-            batch = batch.filter(pa.array(bits[batch.column("slot").to_numpy()]))
+            batch = batch.filter(pa.array(holds(wanted, batch.column("slot").to_numpy())))
             out = [s.tobytes() for _, _, w in slices(batch.column("text"), NON_SPACE, LOWER) for s in shingle_sets(w, k)]
             yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("t"), pa.array(out, pa.binary())], names=["d", "t", "members"])
 

@@ -236,7 +236,7 @@ def test_decontamination_recall_at_ends(place, how):
     items = pa.record_batch([pa.array(range(len(items)), pa.int64()), pa.array(items)], names=["item_id", "text"])
     slots = [r for b in decontaminate._bitmap_slots([items]) for r in b.to_pylist()]
     maps = {}
-    for kind in (1, 2, 3):
+    for kind in (1, *decontaminate.GRAMS):
         bits = np.zeros(1 << 24, bool)
         bits[[r["slot"] for r in slots if r["kind"] == kind]] = True
         maps[kind] = np.packbits(bits).tobytes()
