@@ -80,12 +80,20 @@ def _settled(e: DataFrame) -> bool:
     return ends.groupBy("x").agg(F.sum("child").alias("child"), F.max("top").alias("top")).where("child + top > 1").isEmpty()
 
 
+def _contracted(edges: DataFrame) -> DataFrame:
+    """``edges`` (u, v), written, with as many partitions as they fill chunks, contracted and written again."""
+    written = materialize(edges, "edges")
+    # as few partitions as memory allows: each finds all components of what it holds
+    parts = max(1, -(-written.count() // CHUNK))
+    out = materialize(written.coalesce(parts).mapInArrow(_contract, "u long, v long"), "edges")
+    drop(written)
+    return out
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b: long); root is the least node reachable. Repeated edges and loops change nothing; no edges give no rows."""
-    schema = "u long, v long"
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = materialize(e.mapInArrow(_contract, schema), "edges")
+    e = _contracted(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while not _settled(e):
-        last, e = e, materialize(_star(_star(e, True), False).mapInArrow(_contract, schema), "edges")
+        last, e = e, _contracted(_star(_star(e, True), False))
         drop(last)
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
