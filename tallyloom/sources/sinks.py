@@ -211,10 +211,10 @@ def write_search(pool: DataFrame, picked: DataFrame, folder: str) -> dict:
     return n
 
 
-def write_config(spark: SparkSession, folder: str, config: dict, dataset: str) -> None:
+def write_config(spark: SparkSession, folder: str, config: dict, converted: bool = False) -> None:
     """generation_config.yaml: a converted dataset's level is a pseudo_level, any other's is a level; never both."""
     c = dict(config)
-    if dataset == "kernelbook":
+    if converted:
         c["pseudo_level"] = c.pop("level", None)
     else:
         c.pop("pseudo_level", None)

@@ -46,14 +46,14 @@ def test_samples_and_settings(spark, run):
     shard = run / "shard_00"
     with pytest.raises(ValueError, match="level"):
         runs.load_run(spark, str(shard))
-    sinks.write_config(spark, str(shard), {"level": 6, "model": "m/x", "num_samples": 8, "pseudo_level": 1}, "kernelbook")
+    sinks.write_config(spark, str(shard), {"level": 6, "model": "m/x", "num_samples": 8, "pseudo_level": 1}, converted=True)
     info = runs.load_run(spark, str(shard))
     assert info == {"run_name": "shard_00", "level": 6, "model": "m/x", "backend": None, "num_samples": 8}
     assert runs.load_run(spark, str(run))["level"] == 4
     s = runs.samples(spark, str(shard)).orderBy("problem_id", "sample_id").collect()
     assert [(r["problem_id"], r["sample_id"], r["compiled"], r["correct"], r["runtime_min"]) for r in s] == [(3, 0, True, True, 1.5), (3, 1, False, False, None), (10, 0, True, False, None)]
     assert s[2]["file"] == "level_6_problem_10_sample_0_kernel.py" and [r["problem_id"] for r in runs.samples(spark, str(shard), 2).collect()] == [3, 3]
-    sinks.write_config(spark, str(shard), {"level": 2, "pseudo_level": 1, "greedy": True}, "kernelbench")
+    sinks.write_config(spark, str(shard), {"level": 2, "pseudo_level": 1, "greedy": True})
     assert runs.settings(spark, str(shard / "generation_config.yaml")) == {"greedy": "true", "level": "2"}
 
 
