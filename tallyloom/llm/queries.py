@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, license_scan, mixing, ngram_join, pii, quality_rules, sharding, toxicity, url_filter
+from . import byte_bpe, decontaminate, license_scan, mixing, ngram_join, pii, quality_rules, sharding, toxicity, url_filter
 from .runtime import table
 from .substring_dedup import dedup_substrings
 
@@ -52,6 +53,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_license_scan": op2_license_scan,
@@ -63,6 +68,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_mixing": op9_mixing,
     "op10_url_filter": op10_url_filter,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 ORACLES: dict[str, str] = {
     "op2_license_scan": license_scan.oracle(),
