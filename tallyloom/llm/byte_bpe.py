@@ -88,14 +88,14 @@ def _codec(key: str, ranks, pattern: str) -> Codec:
     return _CODECS[key]
 
 
-def _replaced(rows: pa.RecordBatch, at: int, values: list, kind: pa.DataType, name: str) -> pa.RecordBatch:
-    """The batch with one column in the place of column ``at`` (or appended)."""
-    columns, names = list(rows.columns), list(rows.schema.names)
-    columns[at : at + 1], names[at : at + 1] = [pa.array(values, kind)], [name]
+def _replaced(rows: pa.RecordBatch, at: int, values: list, kind: pa.DataType, names: list[str]) -> pa.RecordBatch:
+    """The batch, its columns so named, with one column in the place of column ``at`` (or appended)."""
+    columns = list(rows.columns)
+    columns[at : at + 1] = [pa.array(values, kind)]
     return pa.RecordBatch.from_arrays(columns, names)
 
 
-def _encode(batches: Iterator[pa.RecordBatch], source: int, at: int, name: str, key: str, ranks, pattern: str) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], source: int, at: int, names: list[str], key: str, ranks, pattern: str) -> Iterator[pa.RecordBatch]:
     codec = _codec(key, ranks, pattern)
     for batch in batches:
         texts, out, first, held = batch.column(source), [], 0, 0
@@ -103,11 +103,11 @@ def _encode(batches: Iterator[pa.RecordBatch], source: int, at: int, name: str,
             out.append(codec.encode(texts[i].as_py() or ""))
             held += len(out[-1])
             if held >= BATCH_IDS or len(out) == BATCH_ROWS or i + 1 == batch.num_rows:
-                yield _replaced(batch.slice(first, len(out)), at, out, pa.list_(pa.int32()), name)
+                yield _replaced(batch.slice(first, len(out)), at, out, pa.list_(pa.int32()), names)
                 out, first, held = [], i + 1, 0
 
 
-def _decode(batches: Iterator[pa.RecordBatch], source: int, at: int, name: str, key: str, ranks, pattern: str) -> Iterator[pa.RecordBatch]:
+def _decode(batches: Iterator[pa.RecordBatch], source: int, at: int, names: list[str], key: str, ranks, pattern: str) -> Iterator[pa.RecordBatch]:
     codec = _codec(key, ranks, pattern)
     for batch in batches:
         ids, out, first, held = batch.column(source), [], 0, 0
@@ -115,7 +115,7 @@ def _decode(batches: Iterator[pa.RecordBatch], source: int, at: int, name: str,
             out.append(codec.decode(ids[i].as_py() or []))
             held += len(out[-1])
             if held >= 4 * BATCH_IDS or len(out) == BATCH_ROWS or i + 1 == batch.num_rows:
-                yield _replaced(batch.slice(first, len(out)), at, out, pa.binary(), name)
+                yield _replaced(batch.slice(first, len(out)), at, out, pa.binary(), names)
                 out, first, held = [], i + 1, 0
 
 
@@ -129,7 +129,8 @@ def _mapped(rows: DataFrame, f, source: str, into: str, kind: T.DataType, ranks_
     at = next((i for i, x in enumerate(fields) if x.name == into), len(fields))
     schema = T.StructType([*fields[:at], T.StructField(into, kind), *fields[at + 1 :]])
     sent = rows.sparkSession.sparkContext.broadcast(ranks)
-    return rows.mapInArrow(partial(f, source=rows.columns.index(source), at=at, name=into, key=key, ranks=sent, pattern=pattern), schema)
+    plain = rows.toDF(*(f"c{i}" for i in range(len(fields))))  # names with dots would not resolve
+    return plain.mapInArrow(partial(f, source=rows.columns.index(source), at=at, names=schema.names, key=key, ranks=sent, pattern=pattern), schema)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizers.PATTERN, text: str = "text", into: str = "ids") -> DataFrame:
@@ -142,7 +143,7 @@ def decode(rows: DataFrame, ranks_path: str, pattern: str = public_tokenizers.PA
     return _mapped(rows, _decode, ids, into, T.BinaryType(), ranks_path, pattern)
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _ids_sha256(ids: pa.Array) -> pa.Array:
     """Hash of the decimal ids joined by one space, fed in slices: a long text's ids are never one string."""
     out = []

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, license_scan, mixing, ngram_join, pii, quality_rules, sharding, toxicity, url_filter
+from . import byte_bpe, decontaminate, hard_negatives, license_scan, mixing, ngram_join, pii, quality_rules, sharding, toxicity, url_filter
 from .runtime import table
 from .substring_dedup import dedup_substrings
 
@@ -53,6 +54,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, moved, scale=256, positives=5, negatives=10, percent=(30, 90))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -68,6 +74,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_mixing": op9_mixing,
     "op10_url_filter": op10_url_filter,
+    "op11_hard_negatives": op11_hard_negatives,
     "op13_byte_bpe": op13_byte_bpe,
 }
 ORACLES: dict[str, str] = {
@@ -75,4 +82,5 @@ ORACLES: dict[str, str] = {
     "op8_quality_rules": quality_rules.ORACLE,
     "op9_mixing": mixing.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
+    "op11_hard_negatives": hard_negatives.ORACLE,
 }
