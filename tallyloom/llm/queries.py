@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, hard_negatives, license_scan, mixing, ngram_join, pii, quality_rules, sharding, toxicity, url_filter
+from . import byte_bpe, decontaminate, hard_negatives, license_scan, mixing, ngram_join, pii, quality_rules, sharding, spelling, toxicity, url_filter
 from .runtime import table
 from .substring_dedup import dedup_substrings
 
@@ -59,6 +59,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, moved, scale=256, positives=5, negatives=10, percent=(30, 90))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(spelling.words(table(spark, sf_dir, "documents"), drop_one_in=199), least_letters=6, least_n=5, times=5)
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -75,6 +79,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_url_filter": op10_url_filter,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_spelling": op12_spelling,
     "op13_byte_bpe": op13_byte_bpe,
 }
 ORACLES: dict[str, str] = {
@@ -83,4 +88,5 @@ ORACLES: dict[str, str] = {
     "op9_mixing": mixing.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
     "op11_hard_negatives": hard_negatives.ORACLE,
+    "op12_spelling": spelling.ORACLE,
 }

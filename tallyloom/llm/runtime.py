@@ -96,11 +96,11 @@ def _page(rows: pa.Table) -> pa.Table:
     return pa.table({"kind": rows.column("kind")[:1], "page": rows.column("page")[:1], "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
 
 
-def bitmaps(slots: DataFrame, kinds: int) -> dict[int, bytes]:
-    """Bitmaps of ``slots`` (kind int, slot long under 2^FILTER_BITS), built by executors: ``kinds`` times 2 MB at most reach the driver, whatever the table holds."""
+def bitmaps(slots: DataFrame, kinds: int, filter_bits: int = FILTER_BITS) -> dict[int, bytes]:
+    """Bitmaps of ``slots`` (kind int, slot long under 2^filter_bits), built by executors: ``kinds`` times 2^(filter_bits - 3) bytes (2 MB) at most reach the driver, whatever the table holds."""
     slots = slots.distinct().withColumn("page", F.shiftright("slot", PAGE_BITS).cast("int"))
     size = 1 << (PAGE_BITS - 3)
-    maps = {kind: bytearray(1 << (FILTER_BITS - 3)) for kind in range(kinds)}
+    maps = {kind: bytearray(1 << (filter_bits - 3)) for kind in range(kinds)}
     for r in slots.groupBy("kind", "page").applyInArrow(_page, "kind int, page int, bits binary").collect():
         maps[r["kind"]][r["page"] * size : (r["page"] + 1) * size] = r["bits"]
     return {k: bytes(x) for k, x in maps.items()}

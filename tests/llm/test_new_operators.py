@@ -1,10 +1,12 @@
 """Hard negatives, spelling variants and byte-level BPE against plain versions, with the edge cases of their docstrings."""
 
 import base64
+import collections
 import hashlib
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -12,7 +14,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from tallyloom.llm import byte_bpe, hard_negatives, queries
+from tallyloom.llm import byte_bpe, hard_negatives, queries, spelling
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -130,3 +132,76 @@ def test_intervals_drop_pairs_before_the_last_plane():
         for i in range(6):
             assert set(third[i, 100:110]) <= set(score[x == i].tolist())
         assert left == sorted(left, reverse=True) and left[-1] < 0.05 * 5400 and min(left[:-1]) < 0.5 * 5400
+
+
+def edits(word, alphabet):
+    """All strings at one edit."""
+    out = {word[:i] + word[i + 1 :] for i in range(len(word))}
+    out |= {word[:i] + c + word[i + 1 :] for i in range(len(word)) for c in alphabet}
+    out |= {word[:i] + c + word[i:] for i in range(len(word) + 1) for c in alphabet}
+    return out - {word}
+
+
+def plain_words(rows, one_in):
+    n = collections.Counter()
+    for i, text in rows:
+        for run in re.findall("[A-Za-z\u00c0-\u00ff]+", text or ""):
+            run = "".join(c.lower() if c.isascii() else c for c in run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            n[run if h % one_in else run[: h % len(run)] + run[h % len(run) + 1 :]] += 1
+    return n
+
+
+def plain_groups(n, least_letters=6, least_n=5, times=5):
+    n = {w: c for w, c in n.items() if len(w) >= least_letters and c >= least_n}
+    alphabet = sorted(set("".join(n)))
+    near = {w: edits(w, alphabet) & n.keys() for w in n}
+    best = {w: min(x, key=lambda y: (-n[y], y)) for w, x in near.items() if x}
+    form = {w: b for w, b in best.items() if n[b] >= times * n[w]}
+    out = []
+    for w in n:
+        root = w
+        while root in form:
+            root = form[root]
+        out.append((w, form.get(w), root, n[w], len(near[w]), n.get(form.get(w))))
+    return sorted(out, key=repr)
+
+
+def test_neighbourhoods_are_whole_and_distinct(monkeypatch):
+    """Every string at one edit once, in whatever slices, and its hash is that of the string."""
+    monkeypatch.setattr(spelling, "AT_ONCE", 50)
+    alphabet = np.array(sorted(map(ord, "ab\u00e9")), np.uint32)
+    for group in (["aab\u00e9a", "bbbbb"], ["a"], ["ab" * 30]):
+        own = spelling.Neighbours(group, alphabet)
+        found = collections.defaultdict(list)
+        for h, w, p, letter, gone in own.slices():
+            for i, x in enumerate(zip(w.tolist(), p.tolist(), letter.tolist(), strict=True)):
+                text = own.text(*x, gone)
+                found[x[0]].append(text)
+                assert not text or spelling.Neighbours([text], alphabet).hashes()[0] == h[i]
+        for i, word in enumerate(group):
+            assert len(found[i]) == len(set(found[i])) and set(found[i]) == edits(word, "ab\u00e9")
+
+
+def test_spelling(spark):
+    """Chains of forms, ties, capitals and accents, deleted letters, null ids and texts, repeated rows, a very long word."""
+    long = "lo" * 3000
+    texts = [("kitten " * 700, 1), ("kittan " * 120, 2), ("kittans Kittans " * 10, 3), ("kittanso " * 2, 4), ("sittan " * 6, 5), ("mittan " * 6, 5), ("\u00c9cole\u00e9s \u00c9colee\u00e9s " * 30, 6), (None, 7), ("", 8), ("abcdef abcdeg " * 5, None), (f"{long} {long}x " * 5, 9)]
+    texts += [("w\u00d7rd x2y3 l'\u00e9t\u00e9s " * 8, 10)] * 3 + [(f"kittanso other{'abcdefgh'[i]}", 20 + i) for i in range(8)]
+    docs = spark.createDataFrame([(i, t, 1, "x") for t, i in texts], "doc_id long, text string, n int, near string")
+    for one_in in (199, 3):
+        rows = [(i, t) for t, i in texts]
+        got = spelling.group(spelling.words(docs, one_in)).collect()
+        want = plain_groups(plain_words([r for r in rows if len(r[1] or "") < 20_000], one_in))
+        assert sorted((tuple(r) for r in got if len(r["word"]) < 1000), key=repr) == want
+        assert one_in < 199 or [r["n_near"] for r in got if len(r["word"]) > 1000] == [1, 1]
+    chain = {"kitten": 9000, "kittan": 1000, "kittans": 100, "kittanso": 10, "kittansox": 10}
+    got = spelling.group(spark.createDataFrame(list(chain.items()), "word string, n long")).collect()
+    assert sorted(map(tuple, got), key=repr) == plain_groups(chain) and {r["word"]: r["root"] for r in got}["kittanso"] == "kitten"
+    assert spelling.group(spelling.words(docs.limit(0))).count() == 0
+    assert spelling.group(spark.createDataFrame([("abcdef", 9)], "word string, n long")).collect()[0]["root"] == "abcdef"
+
+
+def test_spelling_query(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    assert sorted(map(tuple, queries.op12_spelling(spark, sf).collect()), key=repr) == plain_groups(plain_words(rows, 199))
