@@ -20,8 +20,10 @@ import re
 from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,22 +62,25 @@ class Codec:
         if start < end:
             yield text[start:end]
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         if len(text) <= LONG_SPACE:
-            return self.split.encode_ordinary(text)
-        ids, start = [], 0
+            return _ids(self.split, text)
+        parts, start = [], 0
         for run in _LONG.finditer(text):
             a, b = run.span()
-            for piece in self.stretches(text, start, a):
-                ids += self.split.encode_ordinary(piece)
+            parts += [_ids(self.split, piece) for piece in self.stretches(text, start, a)]
             start = b if b == len(text) else b - 1  # the last one of a run goes with what follows
-            ids += self.whole.encode_ordinary(text[a:start])
-        for piece in self.stretches(text, start, len(text)):
-            ids += self.split.encode_ordinary(piece)
-        return ids
+            parts.append(_ids(self.whole, text[a:start]))
+        parts += [_ids(self.split, piece) for piece in self.stretches(text, start, len(text))]
+        return np.concatenate(parts)
 
-    def decode(self, ids: list[int]) -> bytes:
-        return self.split.decode_bytes(ids)
+    def decode(self, ids: np.ndarray) -> bytes:
+        return self.split.decode_bytes(ids.tolist())
+
+
+def _ids(encoding: tiktoken.Encoding, text: str) -> np.ndarray:
+    """Ids of a text in which no special token is known."""
+    return encoding.encode_to_numpy(text, disallowed_special=())
 
 
 _CODECS: dict[str, Codec] = {}
@@ -88,10 +93,10 @@ def _codec(key: str, ranks, pattern: str) -> Codec:
     return _CODECS[key]
 
 
-def _replaced(rows: pa.RecordBatch, at: int, values: list, kind: pa.DataType, names: list[str]) -> pa.RecordBatch:
+def _replaced(rows: pa.RecordBatch, at: int, column: pa.Array, names: list[str]) -> pa.RecordBatch:
     """The batch, its columns so named, with one column in the place of column ``at`` (or appended)."""
     columns = list(rows.columns)
-    columns[at : at + 1] = [pa.array(values, kind)]
+    columns[at : at + 1] = [column]
     return pa.RecordBatch.from_arrays(columns, names)
 
 
@@ -103,19 +108,28 @@ def _encode(batches: Iterator[pa.RecordBatch], source: int, at: int, names: list
             out.append(codec.encode(texts[i].as_py() or ""))
             held += len(out[-1])
             if held >= BATCH_IDS or len(out) == BATCH_ROWS or i + 1 == batch.num_rows:
-                yield _replaced(batch.slice(first, len(out)), at, out, pa.list_(pa.int32()), names)
+                ends = np.cumsum([0, *map(len, out)], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out).astype(np.int32)))
+                yield _replaced(batch.slice(first, len(out)), at, lists, names)
                 out, first, held = [], i + 1, 0
 
 
+def _rows(lists: pa.ListArray) -> Iterator[np.ndarray]:
+    """The ids of each row; none of a null."""
+    ids, starts, sizes = lists.values.to_numpy(), lists.offsets.to_numpy(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    for a, n in zip(starts.tolist(), sizes.tolist(), strict=False):  # one offset more than rows
+        yield ids[a : a + n]
+
+
 def _decode(batches: Iterator[pa.RecordBatch], source: int, at: int, names: list[str], key: str, ranks, pattern: str) -> Iterator[pa.RecordBatch]:
     codec = _codec(key, ranks, pattern)
     for batch in batches:
-        ids, out, first, held = batch.column(source), [], 0, 0
-        for i in range(batch.num_rows):
-            out.append(codec.decode(ids[i].as_py() or []))
+        out, first, held = [], 0, 0
+        for i, ids in enumerate(_rows(batch.column(source))):
+            out.append(codec.decode(ids))
             held += len(out[-1])
             if held >= 4 * BATCH_IDS or len(out) == BATCH_ROWS or i + 1 == batch.num_rows:
-                yield _replaced(batch.slice(first, len(out)), at, out, pa.binary(), names)
+                yield _replaced(batch.slice(first, len(out)), at, pa.array(out, pa.binary()), names)
                 out, first, held = [], i + 1, 0
 
 
@@ -143,14 +157,20 @@ def decode(rows: DataFrame, ranks_path: str, pattern: str = public_tokenizers.PA
     return _mapped(rows, _decode, ids, into, T.BinaryType(), ranks_path, pattern)
 
 
+_DECIMAL: dict[int, pa.Array] = {}
+
+
 @F.arrow_udf(T.StringType())
-def _ids_sha256(ids: pa.Array) -> pa.Array:
+def _ids_sha256(lists: pa.Array) -> pa.Array:
     """Hash of the decimal ids joined by one space, fed in slices: a long text's ids are never one string."""
-    out = []
-    for row in ids:
-        digest, values = hashlib.sha256(), row.values
-        for a in range(0, len(values), BATCH_IDS):
-            digest.update((" " * bool(a) + " ".join(map(str, values[a : a + BATCH_IDS].to_pylist()))).encode())
+    out, top = [], 1 + (pc.max(lists.values).as_py() or 0)
+    if top > len(_DECIMAL.get(0, ())):
+        _DECIMAL[0] = pa.array([f" {i}" for i in range(max(top, 1 << 16))])
+    for ids in _rows(lists):
+        digest = hashlib.sha256()
+        for a in range(0, len(ids), BATCH_IDS):
+            said = _DECIMAL[0].take(pa.array(ids[a : a + BATCH_IDS]))  # its bytes lie one after the other
+            digest.update(memoryview(said.buffers()[2])[not a : pc.sum(pc.binary_length(said)).as_py()])
         out.append(digest.hexdigest())
     return pa.array(out, pa.string())
 

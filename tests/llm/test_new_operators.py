@@ -42,7 +42,7 @@ def test_bpe_cuts_change_no_id(library, monkeypatch):
         x = "".join(rng.choice(letters) for _ in range(rng.randrange(60)))
         if i % 2:
             x = re.sub("[ab1 ]", lambda m: m[0] * rng.randrange(9), x)
-        assert own.encode(x) == library.encode_ordinary(x), x
+        assert own.encode(x).tolist() == library.encode_ordinary(x), x
         assert own.decode(own.encode(x)) == x.encode()
 
 
@@ -50,10 +50,10 @@ def test_bpe_of_long_texts(library):
     """Runs of white space on which the library gives up, and a text without a safe place."""
     own = codec()
     for x in ("a" * 200_000, "word " * 60_000, "x" + " " * 5000 + "y", "\n" * 5000, "　" * 4096 + "\U0001f600", " " * 4095 + "'s"):
-        assert own.encode(x) == library.encode_ordinary(x)
+        assert own.encode(x).tolist() == library.encode_ordinary(x)
     huge = " " * 1_500_000 + "end"
     ids = own.encode(huge)
-    assert own.decode(ids) == huge.encode() and ids[-1:] == library.encode_ordinary(" end")
+    assert own.decode(ids) == huge.encode() and ids[-1:].tolist() == library.encode_ordinary(" end")
 
 
 def test_bpe_table(spark, sf, library):
