@@ -34,7 +34,7 @@ def parse_int_spec(spec: str) -> list[int]:
 
 def int_spec(spec: Column) -> Column:
     """The same as an array column."""
-    parts = F.filter(F.transform(F.split(spec, ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(spec, ","), lambda p: F.trim(p)), lambda p: p != "")  # F.trim itself would take the place for its second argument
     ends = lambda p: F.transform(F.split(p, "-"), lambda x: F.trim(x).cast("int"))
     return F.flatten(F.transform(parts, lambda p: F.sequence(F.get(ends(p), F.lit(0)), F.element_at(ends(p), -1), F.lit(1))))
 

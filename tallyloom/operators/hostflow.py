@@ -10,6 +10,8 @@ from __future__ import annotations
 import ast
 from dataclasses import dataclass, field
 
+from .kernelflow import KernelFlow, walk
+
 #: Methods that give another view or layout of a tensor, those that leave it non-contiguous, allocations, and ones filled with zeros.
 VIEWS = {"view", "reshape", "permute", "transpose", "squeeze", "unsqueeze", "expand", "t", "flatten", "ravel", "narrow", "as_strided", "detach", "contiguous", "to", "cuda"}
 LAYOUTS = {"permute", "transpose", "t", "expand", "movedim", "swapaxes"}
@@ -17,9 +19,6 @@ ALLOCATIONS = {"empty", "empty_like", "empty_strided", "zeros", "zeros_like", "o
 ZEROS = {"zeros", "zeros_like"}
 #: Methods and attributes that give numbers, not tensors.
 SCALARS = {"numel", "size", "dim", "ndimension", "nelement", "element_size", "stride", "item", "shape", "ndim", "data_ptr", "is_contiguous", "dtype", "device"}
-#: Fixed values of the cost model: bytes a second and seconds of a launch.
-BANDWIDTH, LAUNCH = 1.6e12, 5e-6
-
 
 #: The name of what a function returns.
 RESULT = "<return>"
@@ -43,12 +42,14 @@ def base(node: ast.AST) -> str | None:
             node = node.value
         elif isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute):
             node = node.func.value
+        elif isinstance(node, ast.BinOp) and isinstance(node.op, ast.Add) and any(isinstance(n, ast.Attribute) and n.attr == "data_ptr" for n in walk(node.left)):
+            node = node.left  # an address within the tensor
         else:
             return None
 
 
 def names(node: ast.AST) -> set[str]:
-    return {n.id for n in ast.walk(node) if isinstance(n, ast.Name)}
+    return {n.id for n in walk(node) if isinstance(n, ast.Name)}
 
 
 @dataclass
@@ -61,24 +62,27 @@ class Role:
 
 def roles(kernel: ast.FunctionDef) -> dict[str, Role]:
     """What a kernel does with each of its parameters; pointers are followed through assignments to a fixed point."""
+    if not hasattr(kernel, "_roles"):
+        kernel._roles = _roles(kernel)
+    return kernel._roles
+
+
+def _roles(kernel: ast.FunctionDef) -> dict[str, Role]:
     params = [a.arg for a in [*kernel.args.posonlyargs, *kernel.args.args, *kernel.args.kwonlyargs]]
     comes: dict[str, set[str]] = {p: {p} for p in params}
-    spans: set[str] = set()
+    flow = KernelFlow(kernel)
     while True:
-        before = sum(map(len, comes.values())) + len(spans)
-        for n in ast.walk(kernel):
-            if isinstance(n, (ast.Assign, ast.AugAssign)) and not any(isinstance(c, ast.Call) and dotted(c.func).endswith(("tl.load",)) for c in ast.walk(n.value)):
+        before = sum(map(len, comes.values()))
+        for n in walk(kernel):
+            if isinstance(n, (ast.Assign, ast.AugAssign)) and not any(isinstance(c, ast.Call) and dotted(c.func).endswith(("tl.load",)) for c in walk(n.value)):
                 sources = set().union(*(comes.get(x, set()) for x in names(n.value))) if names(n.value) else set()
-                wide = any(isinstance(c, ast.Call) and dotted(c.func).endswith("arange") for c in ast.walk(n.value)) or bool(names(n.value) & spans)
                 for t in n.targets if isinstance(n, ast.Assign) else [n.target]:
                     for x in names(t):
                         comes[x] = comes.get(x, set()) | sources
-                        if wide:
-                            spans.add(x)
-        if sum(map(len, comes.values())) + len(spans) == before:
+        if sum(map(len, comes.values())) == before:
             break
     out = {p: Role() for p in params}
-    for c in ast.walk(kernel):
+    for c in walk(kernel):
         if not isinstance(c, ast.Call) or not c.args:
             continue
         op = dotted(c.func).rpartition(".")[2]
@@ -92,7 +96,7 @@ def roles(kernel: ast.FunctionDef) -> dict[str, Role]:
                 r.loaded |= op == "load"
             if op == "store":
                 r.stored = True
-                r.partial |= _strided(pointer, spans)
+                r.partial |= not flow.covers(pointer)
             if op.startswith("atomic_"):
                 r.stored = r.atomic = True
     return out
@@ -104,14 +108,6 @@ def _leftmost(node: ast.AST) -> str | None:
     return node.id if isinstance(node, ast.Name) else None
 
 
-def _strided(pointer: ast.AST, spans: set[str]) -> bool:
-    """Whether an address multiplies its only range: elements between are left as they were."""
-    wide = [n for n in ast.walk(pointer) if isinstance(n, ast.Name) and n.id in spans] + [n for n in ast.walk(pointer) if isinstance(n, ast.Call) and dotted(n.func).endswith("arange")]
-    if len(wide) != 1:
-        return False
-    return any(isinstance(n, ast.BinOp) and isinstance(n.op, ast.Mult) and any(w is m for m in ast.walk(n) for w in wide) for n in ast.walk(pointer))
-
-
 @dataclass
 class Buffer:
     alloc: str | None = None
@@ -155,10 +151,10 @@ class Flow:
         """Per class: attributes bound to classes of the file, to nn modules, and containers that hold nn modules besides."""
         local, modules, mixed = {}, {}, set()
         for cname, c in self.p.classes.items():
-            for n in ast.walk(c):
+            for n in walk(c):
                 if not (isinstance(n, ast.Assign) and isinstance(n.value, ast.Call)):
                     continue
-                made = [dotted(x.func) for x in ast.walk(n.value) if isinstance(x, ast.Call)]
+                made = [dotted(x.func) for x in walk(n.value) if isinstance(x, ast.Call)]
                 for t in n.targets:
                     attr = dotted(t)
                     if not attr.startswith("self."):
@@ -210,18 +206,14 @@ class Flow:
         return None
 
     def _calls(self, scope: Scope) -> list[ast.Call]:
-        return [n for n in ast.walk(scope.node) if isinstance(n, ast.Call)]
+        return [n for n in walk(scope.node) if isinstance(n, ast.Call)]
 
     def _timed(self) -> list[Scope]:
-        start = self._method(self.p.entry, "forward")
-        todo, out = [start] if start else [], []
-        while todo:
-            s = todo.pop(0)
-            if any(s.node is o.node for o in out):
-                continue
-            out.append(s)
-            todo += [c for n in self._calls(s) if (c := self.callee(s, n)) is not None]
-        return out
+        """The functions that a forward call runs, itself first."""
+        from .callgraph import closure, functions_of
+
+        functions = functions_of(self.p)
+        return [Scope(*functions[x]) for x in closure(self.p.edges, self.p.entry_forward, True) if x in functions]
 
     # buffers
 
@@ -241,7 +233,7 @@ class Flow:
 
     def _unite(self) -> None:
         for s in self.scopes:
-            for n in ast.walk(s.node):
+            for n in walk(s.node):
                 if isinstance(n, ast.Return) and n.value is not None:
                     for x in n.value.elts if isinstance(n.value, ast.Tuple) else [n.value]:
                         self._alias(s, RESULT, x)
@@ -260,6 +252,8 @@ class Flow:
             self._join((s, target), (s, b))
             if (id(s.node), b) in self.noncontiguous:
                 self.noncontiguous.add((id(s.node), target))
+        elif isinstance(value, (ast.BinOp, ast.Call)) and any(isinstance(n, ast.Attribute) and n.attr == "data_ptr" for n in walk(value)) and (b := base(value)):
+            self._join((s, target), (s, b))
         elif isinstance(value, ast.Attribute) and value.attr in ("T", "mT") and (b := base(value)):
             self._join((s, target), (s, b))
             self.noncontiguous.add((id(s.node), target))
@@ -281,6 +275,11 @@ class Flow:
             return node.attr in ("T", "mT") or self.bent(s, node.value)
         return isinstance(node, ast.Name) and (id(s.node), node.id) in self.noncontiguous
 
+    def label(self, key: tuple[int, str]) -> str:
+        """What forward calls a buffer, or else the function that made it."""
+        own = [n for f, n in self._parent if self.scopes and f == id(self.scopes[0].node) and n != RESULT and self.find(self.scopes[0], n) == key]
+        return min(own, default=key[1])
+
     def buffer(self, s: Scope, name: str) -> Buffer:
         return self.buffers.setdefault(self.find(s, name), Buffer())
 
@@ -293,17 +292,17 @@ class Flow:
     def _observe(self) -> None:
         forward = self.scopes[0] if self.scopes else None
         for s in self.scopes:
-            inside = {id(n) for _, x in self.launches for n in ast.walk(x.node)}
+            inside = {id(n) for _, x in self.launches for n in walk(x.node)}
             skip = set(inside)
-            for n in ast.walk(s.node):
+            for n in walk(s.node):
                 # passing on, viewing and measuring a tensor reads nothing of it
                 if isinstance(n, ast.Call) and (self.callee(s, n) is not None or dotted(n.func).rpartition(".")[2] in ALLOCATIONS or (isinstance(n.func, ast.Attribute) and n.func.attr in VIEWS | SCALARS)):
-                    skip |= {id(m) for m in ast.walk(n)}
+                    skip |= {id(m) for m in walk(n)}
                 elif isinstance(n, ast.Attribute) and n.attr in SCALARS:
-                    skip |= {id(m) for m in ast.walk(n)}
+                    skip |= {id(m) for m in walk(n)}
                 elif isinstance(n, ast.Assign) and isinstance(n.value, ast.Name):
                     skip.add(id(n.value))
-            for n in ast.walk(s.node):
+            for n in walk(s.node):
                 if isinstance(n, ast.Assign) and isinstance(n.value, ast.Call) and (op := dotted(n.value.func).rpartition(".")[2]) in ALLOCATIONS:
                     for t in n.targets:
                         if isinstance(t, ast.Name):
@@ -312,7 +311,7 @@ class Flow:
                 elif isinstance(n, ast.Return) and n.value is not None:
                     for x in n.value.elts if isinstance(n.value, (ast.Tuple, ast.List)) else [n.value]:
                         if isinstance(x, (ast.Name, ast.Subscript)):
-                            skip |= {id(m) for m in ast.walk(x)}
+                            skip |= {id(m) for m in walk(x)}
                         if s is forward and (b := base(x)):
                             self.buffer(s, b).returned = True
                     if s is forward:
@@ -348,88 +347,3 @@ def _is_tensor_expr(node: ast.AST) -> bool:
     if isinstance(node, ast.Attribute):
         return node.attr not in SCALARS
     return isinstance(node, (ast.Name, ast.Call))
-
-
-# sizes
-
-
-def constants(tree: ast.Module) -> dict[str, int]:
-    """Module-level names bound to whole numbers, by arithmetic over earlier ones."""
-    out: dict[str, int] = {}
-    for n in tree.body:
-        if isinstance(n, ast.Assign) and len(n.targets) == 1 and isinstance(n.targets[0], ast.Name) and (v := number(n.value, out)) is not None:
-            out[n.targets[0].id] = v
-    return out
-
-
-def number(node: ast.AST, known: dict[str, int]) -> int | None:
-    if isinstance(node, ast.Constant):
-        return node.value if type(node.value) is int else None
-    if isinstance(node, ast.Name):
-        return known.get(node.id)
-    if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.USub) and (v := number(node.operand, known)) is not None:
-        return -v
-    if isinstance(node, ast.BinOp):
-        a, b = number(node.left, known), number(node.right, known)
-        ops = {ast.Add: lambda: a + b, ast.Sub: lambda: a - b, ast.Mult: lambda: a * b, ast.FloorDiv: lambda: a // b if b else None, ast.Mod: lambda: a % b if b else None}
-        if a is not None and b is not None and type(node.op) in ops:
-            return ops[type(node.op)]()
-        if a is not None and b is not None and isinstance(node.op, ast.Pow) and 0 <= b <= 64 and abs(a) <= 1024:
-            return a**b
-    return None
-
-
-def input_shapes(tree: ast.Module) -> list[tuple[int, ...] | None]:
-    """The shapes of the tensors that get_inputs returns, None where one is unknown; [] without such a function. The last definition counts, and names that it binds itself."""
-    last = next((n for n in reversed(tree.body) if isinstance(n, ast.FunctionDef) and n.name == "get_inputs"), None)
-    if last is None:
-        return []
-    known, made = constants(tree), {}
-
-    def shape(node: ast.AST):
-        if isinstance(node, ast.Name):
-            return made.get(node.id)
-        if isinstance(node, ast.Call):
-            op = node.func.attr if isinstance(node.func, ast.Attribute) else dotted(node.func)
-            if op in ("rand", "randn", "zeros", "ones", "empty", "full", "randint"):
-                args = node.args
-                if op == "randint":
-                    args = [next((a for a in args if isinstance(a, (ast.Tuple, ast.List))), ast.Tuple([], ast.Load()))]
-                elif op == "full":
-                    args = args[:1]
-                sizes = args[0].elts if len(args) == 1 and isinstance(args[0], (ast.Tuple, ast.List)) else args
-                dims = [number(a, known) for a in sizes]
-                return tuple(dims) if dims and None not in dims else None
-            if isinstance(node.func, ast.Attribute):
-                return shape(node.func.value) if op in ("cuda", "to", "contiguous", "float", "half", "requires_grad_", "clone", "abs") else None
-        if isinstance(node, ast.BinOp):
-            return shape(node.left) or shape(node.right)
-        return None
-
-    for n in last.body:
-        if isinstance(n, ast.Assign) and len(n.targets) == 1 and isinstance(n.targets[0], ast.Name):
-            if (v := number(n.value, known)) is not None:
-                known = known | {n.targets[0].id: v}
-            else:
-                made[n.targets[0].id] = shape(n.value)
-        elif isinstance(n, ast.Return) and isinstance(n.value, (ast.List, ast.Tuple)):
-            return [shape(e) for e in n.value.elts]
-    return []
-
-
-def input_bytes(tree: ast.Module) -> int | None:
-    """Bytes that any right program reads: its inputs once, as 4-byte numbers; None where a size is unknown."""
-    shapes = input_shapes(tree)
-    if not shapes or None in shapes:
-        return None
-    total = 0
-    for s in shapes:
-        n = 4
-        for d in s:
-            n *= d
-        total += n
-    return total
-
-
-def transfer_seconds(n: int) -> float:
-    return n / BANDWIDTH

@@ -16,7 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .hostflow import LAUNCH, ZEROS, Flow, base, dotted, input_bytes, roles, transfer_seconds
+from .callgraph import closure, entry_of, owner, program_edges
+from .hostflow import ZEROS, Flow, base, dotted, roles
+from .kernelflow import KernelFlow, walk
+from .shapes import LAUNCH, Sizes, input_bytes, input_tensors, source_inputs, tensor_bytes, transfer_seconds
 
 #: Entry class names in order of preference, module aliases that programs use, names that offload or fall back.
 ENTRY = "ModelNew"
@@ -76,38 +79,9 @@ class Kernel:
     def constexpr(self) -> set[str]:
         return {a.arg for a in [*self.node.args.args, *self.node.args.kwonlyargs] if a.annotation is not None and dotted(a.annotation).endswith("constexpr")}
 
-    @property
+    @cached_property
     def kind(self) -> str:
-        names = {dotted(n.func).rpartition(".")[2] for n in ast.walk(self.node) if isinstance(n, ast.Call)}
-        math = any(isinstance(n, (ast.BinOp, ast.UnaryOp, ast.Compare)) and not _is_index(n, self) for n in ast.walk(self.node))
-        if "dot" in names:
-            return "matmul"
-        if names & {"sum", "max", "min", "reduce", "argmax", "argmin"}:
-            return "reduction"
-        if self.loads and self.stores and not math and not names & {"exp", "log", "sqrt", "sigmoid", "where", "maximum", "minimum", "tanh", "abs"}:
-            return "copy"
-        return "elementwise" if self.stores else "unknown"
-
-
-def _is_index(node: ast.AST, kernel: Kernel) -> bool:
-    """Arithmetic on offsets, masks and sizes, not on loaded values."""
-    loaded = kernel_values(kernel)
-    return not any(isinstance(n, ast.Name) and n.id in loaded for n in ast.walk(node)) and not any(isinstance(n, ast.Call) and dotted(n.func).endswith(".load") for n in ast.walk(node))
-
-
-def kernel_values(kernel: Kernel) -> set[str]:
-    """Names that hold loaded data, followed through assignments to a fixed point."""
-    out: set[str] = set()
-    while True:
-        size = len(out)
-        for n in ast.walk(kernel.node):
-            if isinstance(n, (ast.Assign, ast.AugAssign)) and (
-                any(isinstance(m, ast.Call) and dotted(m.func).endswith(".load") for m in ast.walk(n.value)) or any(isinstance(m, ast.Name) and m.id in out for m in ast.walk(n.value))
-            ):
-                for t in n.targets if isinstance(n, ast.Assign) else [n.target]:
-                    out |= {m.id for m in ast.walk(t) if isinstance(m, ast.Name)}
-        if len(out) == size:
-            return out
+        return KernelFlow(self.node).kind
 
 
 @dataclass
@@ -125,8 +99,8 @@ class Launch:
 class Program:
     """A parsed source: kernels, host functions, classes, launches, the entry class and what it reaches."""
 
-    def __init__(self, source: str):
-        self.source, self.status, self.error_line = source, "ok", None
+    def __init__(self, source: str, reference: str | None = None):
+        self.source, self.reference, self.status, self.error_line = source, reference, "ok", None
         self.tree: ast.Module = ast.Module([], [])
         self.kernels: dict[str, Kernel] = {}
         self.functions: dict[str, ast.FunctionDef] = {}
@@ -146,11 +120,11 @@ class Program:
         except (SyntaxError, ValueError, RecursionError, MemoryError):
             self.status = "syntax_error"
             return
-        for n in ast.walk(self.tree):
+        for n in walk(self.tree):
             if isinstance(n, ast.FunctionDef):
                 if any(dotted(d.func if isinstance(d, ast.Call) else d).rpartition(".")[2] == "jit" for d in n.decorator_list):
                     self.kernels[n.name] = k = Kernel(n.name, n)
-                    for c in ast.walk(n):
+                    for c in walk(n):
                         if isinstance(c, ast.Call):
                             name = dotted(c.func)
                             k.calls.add(name)
@@ -161,7 +135,18 @@ class Program:
             elif isinstance(n, ast.ClassDef):
                 self.classes.setdefault(n.name, n)
         self._find_launches(self.tree, "<module>", False)
-        self.entry = next((c for c in (ENTRY, "Model") if c in self.classes), None) or next((c for c, n in self.classes.items() if any(dotted(b).endswith("Module") for b in n.bases)), None)
+        self.entry = self._entry()
+
+    def _entry(self) -> str | None:
+        """The entry class by name, by another name that stands for it, or the only module there is."""
+        named = {t.id: dotted(n.value) for n in self.tree.body if isinstance(n, ast.Assign) for t in n.targets if isinstance(t, ast.Name)}
+        for name in (ENTRY, "Model"):
+            for _ in range(len(named) + 1):
+                if name in self.classes:
+                    return name
+                name = named.get(name, "")
+        modules = [c for c, n in self.classes.items() if any(dotted(b).endswith("Module") for b in n.bases)]
+        return modules[0] if len(modules) == 1 else None
 
     def _find_launches(self, node: ast.AST, scope: str, loop: bool) -> None:
         for n in ast.iter_child_nodes(node):
@@ -188,9 +173,32 @@ class Program:
     def flow(self) -> Flow:
         return Flow(self)
 
+    @cached_property
+    def edges(self) -> list[tuple[str, str, bool]]:
+        return program_edges(self)
+
+    @property
+    def entry_forward(self) -> str | None:
+        return entry_of(self)
+
+    @cached_property
+    def may_run(self) -> list[Launch]:
+        """Launches that may run: those outside cannot."""
+        met = set(closure(self.edges, self.entry_forward, False))
+        return [x for x in self.launches if owner(x.scope, self.classes) in met]
+
+    @cached_property
+    def inputs(self) -> list:
+        """The tensors of get_inputs, or of the reference problem's where there is none here."""
+        return input_tensors(self.tree) or source_inputs(self.reference)
+
+    @cached_property
+    def sizes(self) -> Sizes:
+        return Sizes(self.flow, self.inputs)
+
     def live(self) -> set[str]:
-        """Kernels that are launched, or called by ones that are."""
-        out, todo = set(), [x.kernel for x in self.launches]
+        """Kernels with a launch that may run, or called by ones that have."""
+        out, todo = set(), [x.kernel for x in self.may_run]
         while todo:
             k = todo.pop()
             if k not in out:
@@ -200,7 +208,7 @@ class Program:
 
     def bindings(self) -> set[str]:
         out = set(dir(builtins))
-        for n in ast.walk(self.tree):
+        for n in walk(self.tree):
             if isinstance(n, (ast.Import, ast.ImportFrom)):
                 out |= {(a.asname or a.name).partition(".")[0] for a in n.names}
             elif isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
@@ -221,11 +229,11 @@ class Program:
             elif isinstance(n, (ast.Import, ast.ImportFrom)):
                 out |= {(a.asname or a.name).partition(".")[0] for a in n.names}
             else:
-                out |= {m.id for m in ast.walk(n) if isinstance(m, ast.Name) and isinstance(m.ctx, ast.Store)}
+                out |= {m.id for m in walk(n) if isinstance(m, ast.Name) and isinstance(m.ctx, ast.Store)}
         return out
 
 
-Finding = tuple[str, str, int]  # severity, message, line
+Finding = tuple  # severity, message, line and, where they are known, bytes of traffic
 CHECKS: dict[str, tuple[str, Callable[[Program], Iterator[Finding]]]] = {}
 
 
@@ -265,8 +273,8 @@ def _no_forward(p: Program):
 def _unresolved(p: Program):
     if p.status == "ok":
         bound = p.bindings()
-        star = any(isinstance(n, ast.ImportFrom) and any(a.name == "*" for a in n.names) for n in ast.walk(p.tree))
-        used = {n.value.id: n.lineno for n in ast.walk(p.tree) if isinstance(n, ast.Attribute) and isinstance(n.value, ast.Name)}
+        star = any(isinstance(n, ast.ImportFrom) and any(a.name == "*" for a in n.names) for n in walk(p.tree))
+        used = {n.value.id: n.lineno for n in walk(p.tree) if isinstance(n, ast.Attribute) and isinstance(n.value, ast.Name)}
         for name in sorted(MODULES & set(used) - bound) if not star else ():
             yield "fail", f"{name} is used but never bound", used[name]
 
@@ -279,9 +287,9 @@ def _no_kernel(p: Program):
 
 @check("F1.2", "dead_kernel")
 def _dead_kernel(p: Program):
-    live = p.live()
-    for k in sorted(set(p.kernels) - live):
-        yield "info" if live else "fail", f"kernel {k} is never launched", p.kernels[k].node.lineno
+    severity = "fail" if p.entry_forward or p.entry is None else "info"
+    for k in sorted(set(p.kernels) - p.live()):
+        yield severity, f"kernel {k} is never launched", p.kernels[k].node.lineno
 
 
 @check("F1.3", "discarded_output")
@@ -312,7 +320,7 @@ PLUMBING = {
 def _host_calls(p: Program):
     """(scope, call, name) of the timed path, without launches and without what the file defines itself."""
     for s in p.flow.scopes:
-        for n in ast.walk(s.node):
+        for n in walk(s.node):
             if isinstance(n, ast.Call) and not isinstance(n.func, ast.Subscript):
                 name = dotted(n.func) or (n.func.attr if isinstance(n.func, ast.Attribute) else "")
                 if name and name.partition(".")[0] not in ("tl", "triton"):
@@ -327,7 +335,7 @@ def _fallback(p: Program):
         module = p.flow.module_of(s.cls, name[5:].partition(".")[0]) if name.startswith("self.") else None
         if p.flow.callee(s, n) is not None and module is None:
             continue
-        if op in BUILTINS and name == op and isinstance(n.func, ast.Name) and not any(p.flow.is_tensor(s, m) for a in [*n.args, *(k.value for k in n.keywords)] for m in ast.walk(a) if isinstance(m, ast.Name)):
+        if op in BUILTINS and name == op and isinstance(n.func, ast.Name) and not any(p.flow.is_tensor(s, m) for a in [*n.args, *(k.value for k in n.keywords)] for m in walk(a) if isinstance(m, ast.Name)):
             continue
         functional = _functional(name)
         if op in PLUMBING and not functional:
@@ -339,7 +347,7 @@ def _fallback(p: Program):
     if heavy or light:
         yield "fail" if heavy else "warn", f"{', '.join(x for x, _ in heavy or light)} in the timed path", min(line for _, line in heavy + light)
     signs = {ast.Add: "+", ast.Sub: "-", ast.Mult: "*", ast.Div: "/", ast.MatMult: "@", ast.Pow: "**", ast.FloorDiv: "//", ast.Mod: "%"}
-    hits = [(signs[type(n.op)], n.lineno) for s in p.flow.scopes for n in ast.walk(s.node) if isinstance(n, ast.BinOp) and type(n.op) in signs and any(p.flow.is_tensor(s, x) for x in (n.left, n.right))]
+    hits = [(signs[type(n.op)], n.lineno) for s in p.flow.scopes for n in walk(s.node) if isinstance(n, ast.BinOp) and type(n.op) in signs and any(p.flow.is_tensor(s, x) for x in (n.left, n.right))]
     if hits:
         yield "fail" if any(x == "@" for x, _ in hits) else "warn", f"{', '.join(sorted({x for x, _ in hits}))} on tensors in the timed path", min(line for _, line in hits)
 
@@ -360,25 +368,52 @@ def _module_call(p: Program):
 
 @check("F1.6", "passthrough_kernel")
 def _passthrough(p: Program):
-    for k in sorted({x.kernel for x in p.launches}):
+    for k in sorted({x.kernel for x in p.may_run}):
         if p.kernels[k].kind == "copy":
             yield "fail", f"kernel {k} only copies", p.kernels[k].node.lineno
 
 
 @check("F1.7", "compile_offload")
 def _offload(p: Program):
-    for n in ast.walk(p.tree):
+    for n in walk(p.tree):
         name = dotted(n) if isinstance(n, ast.Attribute) else ""
         if name in OFFLOAD:
             yield "fail", f"{name} hands the work to a compiler", n.lineno
 
 
+#: Kinds of producer and consumer that one kernel can always be made of.
+FUSIBLE = {("elementwise", "elementwise"), ("elementwise", "reduction"), ("copy", "elementwise"), ("copy", "reduction"), ("matmul", "elementwise")}
+
+
+def intermediates(p: Program) -> list[tuple[tuple[int, str], int, list[int]]]:
+    """(buffer, launch that fills it, launches that read it) of buffers that only pass data between launches."""
+    out = []
+    for key, b in sorted(p.flow.buffers.items(), key=lambda x: x[1].line):
+        if b.alloc and len(b.stored_by) == 1 and b.loaded_by and not b.stored_by & b.loaded_by and not (b.returned or b.read or b.is_input):
+            out.append((key, min(b.stored_by), sorted(b.loaded_by)))
+    return out
+
+
+def chains(p: Program) -> list[list[tuple[tuple[int, str], int, list[int]]]]:
+    """Intermediates that share a launch, directly or through others, as one chain each."""
+    out: list[list] = []
+    for x in intermediates(p):
+        touched = {x[1], *x[2]}
+        joined = [c for c in out if any(touched & {i, *js} for _, i, js in c)]
+        out = [c for c in out if c not in joined] + [[y for c in joined for y in c] + [x]]
+    return sorted(out, key=lambda c: min(p.flow.buffers[k].line for k, _, _ in c))
+
+
 @check("F2.1", "dead_intermediate")
 def _dead_intermediate(p: Program):
-    for key, b in sorted(p.flow.buffers.items(), key=lambda x: x[1].line):
-        if b.alloc and b.stored_by and b.loaded_by - b.stored_by and not (b.returned or b.read or b.is_input):
-            kinds = {p.kernels[p.flow.launches[i][1].kernel].kind for i in b.stored_by | b.loaded_by}
-            yield "warn" if kinds <= {"elementwise", "copy"} else "info", f"{key[1]} only passes data between launches", b.line
+    kernel = lambda i: p.kernels[p.flow.launches[i][1].kernel]
+    for c in chains(p):
+        pairs = [(kernel(i), kernel(j)) for _, i, js in c for j in js]
+        fuse = all((a.kind, b.kind) in FUSIBLE for a, b in pairs)
+        moved = [p.sizes.bytes(k) for k, _, _ in c]
+        names, through = ", ".join(p.flow.label(k) for k, _, _ in c), " -> ".join(dict.fromkeys(x.name for pair in pairs for x in pair))
+        text = f"{names}: filled by one kernel only to be read by the next; " + (f"one kernel can do {through}" if fuse else f"{through} need not fit one kernel")
+        yield "warn" if fuse else "info", text, min(p.flow.buffers[k].line for k, _, _ in c), 2 * sum(moved) if None not in moved else None
 
 
 @check("F2.2", "launch_overhead")
@@ -388,7 +423,7 @@ def _overhead(p: Program):
         if x.in_loop:
             yield "fail", f"{x.kernel} is launched in a loop", x.node.lineno
     if len(mine) >= 3:
-        moved = input_bytes(p.tree)
+        moved = input_bytes(p.inputs)
         slow = bool(moved) and len(mine) * LAUNCH > transfer_seconds(moved)
         yield "warn" if slow else "info", f"{len(mine)} launches" + (" take longer than reading the inputs" if slow else ""), min(x.node.lineno for x in mine)
 
@@ -403,7 +438,8 @@ def _churn(p: Program):
             continue
         if op == "to" and not (any(k.arg == "dtype" for k in n.keywords) or any(dotted(a).rpartition(".")[2] in DTYPES for a in n.args if not isinstance(a, ast.Constant))):
             continue
-        yield "warn", f"{op} copies a whole tensor in the timed path", n.lineno
+        t = p.sizes.of(s, n.func.value) if isinstance(n.func, ast.Attribute) and dotted(n.func.value) != "torch" else None
+        yield "warn", f"{op} copies a whole tensor in the timed path", n.lineno, 2 * tensor_bytes(t) if t else None
 
 
 @check("F2.4", "zeroed_overwritten_buffer")
@@ -417,46 +453,62 @@ def _zeroed(p: Program):
             role = roles(p.kernels[x.kernel].node)
             written += [role[param] for param, arg in p.flow.bound(x).items() if param in role and role[param].stored and (n := base(arg)) and p.flow.find(scope, n) == key]
         if written and not any(r.atomic or r.loaded or r.partial for r in written):
-            yield "warn", f"{key[1]} is zeroed and then overwritten", b.line
+            yield "warn", f"{key[1]} is zeroed and then overwritten", b.line, p.sizes.bytes(key)
 
 
 @check("F3.1", "unvectorised_kernel")
 def _unvectorised(p: Program):
-    for k in (p.kernels[x] for x in sorted({x.kernel for x in p.launches})):
+    for k in (p.kernels[x] for x in sorted({x.kernel for x in p.may_run})):
         if (k.loads or k.stores) and not any(c.endswith("arange") for c in k.calls):
-            loop = any(isinstance(n, (ast.For, ast.While)) for n in ast.walk(k.node))
+            loop = any(isinstance(n, (ast.For, ast.While)) for n in walk(k.node))
             yield "warn" if loop else "info", f"kernel {k.name} moves one element at a time", k.node.lineno
 
 
 @check("F3.2", "runtime_loop_bounds")
 def _runtime_bounds(p: Program):
-    for k in (p.kernels[x] for x in sorted({x.kernel for x in p.launches})):
+    for k in (p.kernels[x] for x in sorted({x.kernel for x in p.may_run})):
         params = {a.arg for a in [*k.node.args.args, *k.node.args.kwonlyargs]} - k.constexpr
         if any(c.endswith("arange") for c in k.calls):
-            bounds = [(n.iter.args[0].id, n.lineno) for n in ast.walk(k.node) if isinstance(n, ast.For) and isinstance(n.iter, ast.Call) and dotted(n.iter.func) == "range" and len(n.iter.args) == 1 and isinstance(n.iter.args[0], ast.Name) and n.iter.args[0].id in params]
+            bounds = [(n.iter.args[0].id, n.lineno) for n in walk(k.node) if isinstance(n, ast.For) and isinstance(n.iter, ast.Call) and dotted(n.iter.func) == "range" and len(n.iter.args) == 1 and isinstance(n.iter.args[0], ast.Name) and n.iter.args[0].id in params]
             if bounds:
                 yield "info", f"{', '.join(sorted({x for x, _ in bounds}))} known only at run time bound loops of {k.name}", min(line for _, line in bounds)
 
 
-def analyze(source: str | None) -> dict:
-    """parse_status, findings in order of (check, line) and summary counts of one source."""
-    program, found, notes = Program(source or ""), [], []
+def analyze(source: str | None, reference: str | None = None, only: str = "") -> dict:
+    """parse_status, findings in order of (check, line) and summary counts of one source. ``reference``: the problem's source, for the sizes of inputs; ``only``: a family of checks, by the head of its ids."""
+    program, found, notes = Program(source or "", reference), [], []
     for cid, (_, fn) in CHECKS.items():
+        if not cid.startswith(only):
+            continue
         try:
-            found += [{"check_id": cid, "severity": s, "message": m, "lineno": int(line or 0)} for s, m, line in fn(program)]
+            found += [{"check_id": cid, "severity": s, "message": m, "lineno": int(line or 0), "bytes": more[0] if more else None} for s, m, line, *more in fn(program)]
         except Exception as e:  # noqa: BLE001 - one check's failure must not hide the others'
             notes.append(f"{cid}: {type(e).__name__}")
     found.sort(key=lambda x: (x["check_id"], x["lineno"]))
-    return {"parse_status": program.status, "findings": found, "n_kernels": len(program.kernels), "n_launches": len(program.launches), "launches_in_loop": sum(x.in_loop for x in program.launches), "notes": notes}
-
-
+    count = lambda severity: sum(x["severity"] == severity for x in found)
+    return {
+        "parse_status": program.status if not notes or program.status != "ok" else "partial",
+        "findings": found,
+        "n_kernels": len(program.kernels),
+        "n_launches": len(program.may_run),
+        "launches_in_loop": sum(x.in_loop for x in program.may_run),
+        "n_fail": count("fail"),
+        "n_warn": count("warn"),
+        "n_info": count("info"),
+        "wasted_bytes": sum(x["bytes"] or 0 for x in found if x["check_id"] in WASTE),
+        "notes": notes,
+    }
+
+
+#: The checks whose findings name traffic that need not be.
+WASTE = {"F2.1", "F2.3", "F2.4"}
+_COUNTS = ("n_kernels", "n_launches", "launches_in_loop", "n_fail", "n_warn", "n_info")
 REPORT = T.StructType(
     [
         T.StructField("parse_status", T.StringType()),
-        T.StructField("findings", T.ArrayType(T.StructType([T.StructField("check_id", T.StringType()), T.StructField("severity", T.StringType()), T.StructField("message", T.StringType()), T.StructField("lineno", T.IntegerType())]))),
-        T.StructField("n_kernels", T.IntegerType()),
-        T.StructField("n_launches", T.IntegerType()),
-        T.StructField("launches_in_loop", T.IntegerType()),
+        T.StructField("findings", T.ArrayType(T.StructType([T.StructField("check_id", T.StringType()), T.StructField("severity", T.StringType()), T.StructField("message", T.StringType()), T.StructField("lineno", T.IntegerType()), T.StructField("bytes", T.LongType())]))),
+        *(T.StructField(c, T.IntegerType()) for c in _COUNTS),
+        T.StructField("wasted_bytes", T.LongType()),
         T.StructField("notes", T.ArrayType(T.StringType())),
     ]
 )
@@ -464,15 +516,21 @@ analyze_udf = F.udf(analyze, REPORT, useArrow=True)
 
 
 def submission_ok(source: str | None) -> bool:
-    return not any(f["check_id"].startswith("S1") for f in analyze(source)["findings"])
+    return not analyze(source, only="S1")["findings"]
+
+
+def scan(sources: DataFrame, text: str = "source", references: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
+    """``sources`` with the column ``report``. Each distinct text (with its reference) is analyzed once, and reports come back by a hash of both. ``references`` (by, reference): the sources of the problems, joined by ``by``; a problem without one has none."""
+    rows = sources.join(references.select(*by, F.col("reference").alias("_ref")), by, "left") if references is not None else sources.withColumn("_ref", F.lit(None).cast("string"))
+    own, ref = F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col("_ref"), F.lit(""))
+    rows = rows.withColumn("_sha", F.concat(F.sha1(own.cast("binary")), F.sha1(ref.cast("binary"))))
+    reports = rows.groupBy("_sha").agg(F.min(own).alias("_t"), F.min(ref).alias("_r")).select("_sha", analyze_udf("_t", "_r").alias("report"))
+    return rows.join(reports, "_sha").drop("_sha", "_ref")
 
 
-def scan(sources: DataFrame, text: str = "source") -> DataFrame:
-    """``sources`` with the column ``report``; each distinct text is analyzed once, and reports come back by a hash of it."""
-    sha = F.sha1(F.coalesce(F.col(text), F.lit("")).cast("binary"))
-    rows = sources.withColumn("_sha", sha)
-    reports = rows.groupBy("_sha").agg(F.min(F.coalesce(F.col(text), F.lit(""))).alias("_t")).select("_sha", analyze_udf("_t").alias("report"))
-    return rows.join(reports, "_sha").drop("_sha")
+def findings(scanned: DataFrame, *keys: str) -> DataFrame:
+    """(keys, check_id, severity, message, lineno, bytes): a row for each finding."""
+    return scanned.select(*keys, F.explode("report.findings").alias("f")).select(*keys, "f.*")
 
 
 def flags(scanned: DataFrame) -> DataFrame:

@@ -10,7 +10,6 @@ from ..functions import texts as X
 from ..operators import build as B
 from ..operators import calibration as C
 from ..operators import ranking as R
-from ..operators import staticcheck as S
 from ..operators import traces as T
 from ..sources.adapters import CANDIDATES_SQL, candidates, table, target_sql
 
@@ -322,19 +321,14 @@ def json_flatten(spark, sf_dir):
     return e.groupBy("event_type").agg(F.sum("p.k").alias("total"), F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT spec, i, v::BIGINT AS v FROM (VALUES ('1-3,7', [1, 2, 3, 7]), ('5', [5]), ('2,2', [2, 2])) AS t(spec, vs), unnest(range(0, 4)) AS r(i), LATERAL (SELECT vs[i + 1] AS v) WHERE v IS NOT NULL""")
+@query("""WITH t AS (SELECT p_partkey AS part, p_size::BIGINT AS a, p_size + p_partkey % 6 AS b, p_partkey % 40 AS c FROM part), v AS (SELECT part, [c] || range(a, b + 1) AS vs FROM t)
+SELECT part, unnest(range(0, len(vs))) AS i, unnest(vs) AS v FROM v""")
 def int_specs(spark, sf_dir):
-    d = spark.sql("SELECT * FROM VALUES ('1-3,7'), ('5'), ('2,2') AS t(spec)").select("spec", F.posexplode(X.int_spec(F.col("spec"))).alias("i", "v"))
-    return d.select("spec", F.col("i").cast("long").alias("i"), F.col("v").cast("long").alias("v"))
-
-
-@query()
-def lint_findings(spark, sf_dir):
-    """The static checks over inline programs, one row for each finding."""
-    good = "import torch\nimport triton\nimport triton.language as tl\n@triton.jit\ndef k(x, y, n, B: tl.constexpr):\n    i = tl.program_id(0) * B + tl.arange(0, B)\n    v = tl.load(x + i, mask=i < n)\n    tl.store(y + i, v * 2, mask=i < n)\nclass ModelNew(torch.nn.Module):\n    def forward(self, x):\n        y = torch.empty_like(x)\n        k[(1,)](x, y, x.numel(), B=64)\n        return y\n"
-    bad = {"good": good, "dead": good.replace("        k[(1,)](x, y, x.numel(), B=64)\n", ""), "fallback": good.replace("return y", "return torch.softmax(y, 0)"), "syntax": "def f(:\n", "empty": ""}
-    d = spark.createDataFrame(sorted(bad.items()), "name string, source string")
-    return S.scan(d).select("name", "report.parse_status", F.explode_outer("report.findings").alias("f")).select("name", "parse_status", "f.check_id", "f.severity", "f.lineno")
+    """A single number and a range of a spec for each part, in its order."""
+    a, b, c = F.col("p_size"), F.col("p_size") + F.col("p_partkey") % 6, F.col("p_partkey") % 40
+    d = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.concat(c.cast("string"), F.lit(","), a.cast("string"), F.lit("-"), b.cast("string")).alias("spec"))
+    d = d.select("part", F.posexplode(X.int_spec(F.col("spec"))).alias("i", "v"))
+    return d.select("part", F.col("i").cast("long").alias("i"), F.col("v").cast("long").alias("v"))
 
 
 @query()

@@ -5,6 +5,7 @@ import ast
 import pytest
 
 from tallyloom.operators import hostflow as H
+from tallyloom.operators import shapes as Z
 from tallyloom.operators import staticcheck as S
 
 HEAD = """import torch
@@ -70,7 +71,7 @@ def test_fallback(body, want):
 
 def test_own_helpers_are_no_fallback():
     helper = HEAD + "def softmax(a):\n    out = torch.empty_like(a)\n    k[(1,)](a, out, a.numel(), B=64)\n    return out\n"
-    assert found(module("return softmax(x)", head=helper)) == [("F1.2", "info")] * 2
+    assert found(module("return softmax(x)", head=helper)) == [("F1.2", "fail")] * 2
     late = helper + "class Inner(nn.Module):\n    def forward(self, a):\n        return torch.matmul(a, a)\n"
     assert found(module("return softmax(self.inner(x))", "self.inner = Inner()", late), "F1.4") == [("F1.4", "fail")]
     grad = HEAD + "class Fn(torch.autograd.Function):\n    @staticmethod\n    def forward(ctx, a):\n        out = torch.empty_like(a)\n        k[(1,)](a, out, a.numel(), B=64)\n        return out\n    @staticmethod\n    def backward(ctx, g):\n        return torch.matmul(g, g)\n"
@@ -111,7 +112,7 @@ def test_layouts_and_casts():
 
 def test_launches_and_intermediates():
     three = "a = torch.empty_like(x)\nb = torch.empty_like(x)\nc = torch.empty_like(x)\nk[(1,)](x, a, 4, B=64)\nk[(1,)](a, b, 4, B=64)\nk[(1,)](b, c, 4, B=64)\nreturn c"
-    assert found(module(three), "F2.1", "F2.2") == [("F2.1", "warn"), ("F2.1", "warn"), ("F2.2", "info")]
+    assert found(module(three), "F2.1", "F2.2") == [("F2.1", "warn"), ("F2.2", "info")]
     small = "\nN = 16\ndef get_inputs():\n    return [torch.rand(N, 2 * N)]\n"
     large = "\nN = 2 ** 14\ndef get_inputs():\n    return [torch.rand(N, N)]\n"
     assert found(module(three) + small, "F2.2") == [("F2.2", "warn")] and found(module(three) + large, "F2.2") == [("F2.2", "info")]
@@ -128,10 +129,11 @@ def test_kernels():
 
 
 def test_input_shapes():
-    src = "B, D = 4, 8\nn = 16\nm = n * 2 - 1\ndef get_inputs():\n    k = 3\n    a = torch.randn(n, m)\n    return [a, torch.rand((k, 5)).cuda(), torch.randint(0, 9, (n,)), torch.full((2, 2), 1.0), torch.rand(n) * 2, torch.rand(u)]\n"
-    assert H.input_shapes(ast.parse(src)) == [(16, 31), (3, 5), (16,), (2, 2), (16,), None] and H.input_bytes(ast.parse(src)) is None
+    src = "B, D = 4, 8\nn = 16\nm = n * 2 - 1\ndef get_inputs():\n    k = 3\n    a = torch.randn(n, m)\n    return [a, torch.rand((k, 5), dtype=torch.float16).cuda(), torch.randint(0, 9, (n,)), torch.full((2, 2), 1.0), torch.rand(n) * 2, torch.rand(u)]\n"
+    got = Z.source_inputs(src)
+    assert got == [((16, 31), "float32"), ((3, 5), "float16"), ((16,), "int64"), ((2, 2), "float32"), ((16,), "float32"), None] and Z.input_bytes(got) is None
     whole = "n = 16\ndef get_inputs():\n    return [torch.rand(n, 4), torch.rand(2)]\n"
-    assert H.input_bytes(ast.parse(whole)) == 4 * (64 + 2) and H.input_bytes(ast.parse("x = 1")) is None
+    assert Z.input_bytes(Z.source_inputs(whole)) == 4 * (64 + 2) and Z.input_bytes(Z.source_inputs("x = 1")) is None and Z.source_inputs("def (") == []
 
 
 def test_nothing_breaks_the_checks():
