@@ -181,6 +181,11 @@ def stratified(prefixes: DataFrame, lo: float, hi: float, min_size: int, max_siz
     return p.where((F.col("n") >= min_size) & (F.col("r") <= max_size)).drop("r", "n")
 
 
+def exact_mean(column: str) -> Column:
+    """Aggregate: a mean that does not depend on the order of rows, for what is compared with an edge: summed as decimals, to 12 places."""
+    return F.round(F.sum(F.col(column).cast("decimal(24,15)")).cast("double") / F.count(column), 12)
+
+
 def list_fates(m: DataFrame, min_size: int = 2, dead: DataFrame | None = None) -> DataFrame:
     """One row a list: what it is (run, problem, cut, split, source, mean depth, size, spread of rel) and ``fate``: built, or the first rule that drops it (other_split, dead_problem, too_small, all_equal). Members that mix runs, problems, cuts or label sources are an error."""
     one = ["run_name", *PROBLEM, "cut_index", "label_source"]
@@ -189,7 +194,7 @@ def list_fates(m: DataFrame, min_size: int = 2, dead: DataFrame | None = None) -
         *(F.max(c).alias(f"{c}_2") for c in one),
         F.min("split").alias("split"),
         F.min_by("source", "prefix_id").alias("source"),
-        F.avg("rel_depth").alias("rel_depth_mean"),
+        exact_mean("rel_depth").alias("rel_depth_mean"),
         F.count(F.lit(1)).alias("n_items"),
         F.min("rel").alias("lo"),
         F.max("rel").alias("hi"),

@@ -171,3 +171,54 @@ def diverse_beam(df: DataFrame, problem: list[str], score: str, cid: str, parent
         return diversify(rows[:width], rows[width:], floor)
 
     return g.select(*problem, F.explode(F.udf(pick, "array<string>")("m")).alias(cid))
+
+
+def list_outcomes(items: DataFrame, group: list[str], key: str, score: str, rel: str, sigma: float = 1.0, alpha: float = 0.5, gap: float = 0.25) -> DataFrame:
+    """A row for each list, from one sorted array of its items: ndcg, loss (null without a pair to order), right and all pairs across correctness, of speed, and of speed ``gap`` or more apart, rel of the first item by score and of the best one.
+
+    rel is 0 for a wrong item, and 1 and a grade of speed for a right one. The one shuffle is by list: pairs are unfolded from a list's array, whose builder bounds it, and folded again where they stand. Ties of scores go to the smaller key and order no pair.
+    """
+    s, r = F.col(score).cast("double"), F.col(rel).cast("double")
+    own = items.groupBy(*group).agg(
+        F.sort_array(F.collect_list(F.struct((-s).alias("z"), F.col(key).alias("k"), r.alias("r")))).alias("x"),
+        F.sort_array(F.collect_list((-r).alias("z"))).alias("ideal"),
+    )
+    gain = lambda v: F.pow(F.lit(2.0), v) - 1
+    off = lambda i: F.log2(i + 2.0)
+    total = lambda a, f: F.aggregate(F.transform(a, f), F.lit(0.0), lambda m, v: m + v)
+    d = own.withColumns({"idcg": total("ideal", lambda v, i: gain(-v) / off(i)), "dcg": total("x", lambda v, i: gain(v["r"]) / off(i)), "top": F.col("x")[0]["r"], "best": -F.col("ideal")[0]})
+    d = d.select(*group, "idcg", "dcg", "top", "best", "x", F.posexplode("x").alias("i", "a")).select("*", F.posexplode_outer(F.slice("x", F.col("i") + 2, F.size("x"))).alias("step", "b")).drop("x")
+    a, b = F.col("a"), F.col("b")
+    j = F.col("i") + F.col("step") + 1
+    differ = b.isNotNull() & (a["r"] != b["r"])
+    apart, low = F.abs(a["r"] - b["r"]), F.least(a["r"], b["r"])
+    lead = F.when(a["r"] > b["r"], b["z"] - a["z"]).otherwise(a["z"] - b["z"])  # score of the better one less that of the other
+    delta = F.when(differ & (F.col("idcg") > 0), F.abs(gain(a["r"]) - gain(b["r"])) * F.abs(1 / off(F.col("i")) - 1 / off(j)) / F.col("idcg"))
+    cost = F.greatest(-sigma * lead, F.lit(0.0)) + F.log1p(F.exp(-F.abs(sigma * lead)))
+    across, speed = differ & (low == 0), differ & (low > 0)
+    mean = lambda side: F.try_divide(F.sum(F.when(side, delta * cost)), F.sum(F.when(side, delta)))
+    count = lambda side: (F.count_if(side & (lead > 0)), F.count_if(side))
+    sides = {"cross": across, "speed": speed, "big": speed & (apart >= gap)}
+    pairs = [c.alias(f"{n}_{which}") for n, side in sides.items() for which, c in zip(("right", "all"), count(side), strict=True)]
+    g = d.groupBy(*group).agg(*(F.first(c).alias(c) for c in ("idcg", "dcg", "top", "best")), mean(across).alias("across"), mean(speed).alias("of_speed"), *pairs)
+    loss = F.coalesce(alpha * F.col("across") + (1 - alpha) * F.col("of_speed"), "across", "of_speed")
+    return g.select(*group, F.when(F.col("idcg") > 0, F.col("dcg") / F.col("idcg")).otherwise(0.0).alias("ndcg"), loss.alias("loss"), "top", "best", *(f"{n}_{w}" for n in sides for w in ("right", "all")))
+
+
+def evaluate_lists(outcomes: DataFrame) -> DataFrame:
+    """One row from ``list_outcomes``: mean loss and NDCG, pooled pair accuracies, share of lists whose first item is right, the mean speed that it loses against the best one, and the mean share of the best speed that it has. What nothing counts for is 0."""
+    c = F.col
+    picked, most = F.greatest(c("top") - 1, F.lit(0.0)), c("best") - 1
+    share = lambda n, d: F.coalesce(F.try_divide(F.sum(n), F.sum(d)), F.lit(0.0))
+    mean = lambda x: F.coalesce(F.avg(x), F.lit(0.0))
+    return outcomes.agg(
+        F.count(F.lit(1)).alias("lists"),
+        mean("loss").alias("list_loss"),
+        mean("ndcg").alias("ndcg_graded"),
+        share("speed_right", "speed_all").alias("speed_pair_acc"),
+        share("big_right", "big_all").alias("speed_pair_acc_big"),
+        share("cross_right", "cross_all").alias("correctness_pair_acc"),
+        mean((c("top") > 0).cast("double")).alias("top1_correct"),
+        mean(F.when(c("best") > 0, most - picked)).alias("speed_regret_at1"),
+        mean(F.when(most > 0, picked / most)).alias("fast_at1"),
+    )

@@ -109,6 +109,21 @@ def rank_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.rank_report(per_list.join(fates.select("list_key", "rel_depth_mean"), "list_key"), "rel_depth_mean", EDGES)
 
 
+@query(f"""{WITH}, b AS (SELECT list_key, prefix_id, score, CASE WHEN v_graded < 0.5 THEN 0 ELSE rel END AS rel FROM members),
+r AS (SELECT *, row_number() OVER (PARTITION BY list_key ORDER BY score DESC, prefix_id) AS k, row_number() OVER (PARTITION BY list_key ORDER BY rel DESC, prefix_id) AS i FROM b),
+l AS (SELECT list_key, sum((2 ** rel - 1) / log2(i + 1)) AS idcg, sum((2 ** rel - 1) / log2(k + 1)) AS dcg, max(rel) FILTER (k = 1) AS top, max(rel) AS best FROM r GROUP BY list_key),
+p AS (SELECT list_key, x.rel AS hi, y.rel AS lo, x.score > y.score AS ok, x.rel - y.rel AS apart, greatest(y.score - x.score, 0) + ln(1 + exp(-abs(x.score - y.score))) AS cost,
+  CASE WHEN idcg > 0 THEN abs(2 ** x.rel - 2 ** y.rel) * abs(1 / log2(x.k + 1) - 1 / log2(y.k + 1)) / idcg END AS delta FROM r x JOIN r y USING (list_key) JOIN l USING (list_key) WHERE x.rel > y.rel),
+q AS (SELECT list_key, sum(delta * cost) FILTER (lo = 0) / sum(delta) FILTER (lo = 0) AS c, sum(delta * cost) FILTER (lo > 0) / sum(delta) FILTER (lo > 0) AS s FROM p GROUP BY list_key)
+SELECT count(*) AS lists, avg(coalesce(0.5 * c + 0.5 * s, c, s)) AS list_loss, avg(CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END) AS ndcg_graded,
+  (SELECT avg(ok::INT) FROM p WHERE lo > 0) AS speed_pair_acc, (SELECT avg(ok::INT) FROM p WHERE lo > 0 AND apart >= 0.25) AS speed_pair_acc_big, (SELECT avg(ok::INT) FROM p WHERE lo = 0) AS correctness_pair_acc,
+  avg((top > 0)::INT) AS top1_correct, avg(CASE WHEN best > 0 THEN best - 1 - greatest(top - 1, 0) END) AS speed_regret_at1, avg(CASE WHEN best > 1 THEN greatest(top - 1, 0) / (best - 1) END) AS fast_at1 FROM l LEFT JOIN q USING (list_key)""")
+def list_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scorer judged over the campaign's lists: loss, graded NDCG, pair accuracies of correctness and speed, and what its first choice is worth."""
+    m = _members(spark, sf_dir).withColumn("rel", F.when(F.col("v_graded") < 0.5, 0.0).otherwise(F.col("rel")))
+    return R.evaluate_lists(R.list_outcomes(m, ["list_key"], "prefix_id", "score", "rel"))
+
+
 @query(f"""{WITH}, w AS (SELECT *, count(*) OVER (PARTITION BY list_key) AS n, row_number() OVER (PARTITION BY list_key ORDER BY md5('5:' || list_key || ':' || prefix_id), prefix_id) AS r FROM prefixes WHERE rel_depth >= {LO} AND rel_depth <= {HI})
 SELECT list_key, prefix_id FROM w WHERE n >= 2 AND r <= 4""")
 def stratified_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:

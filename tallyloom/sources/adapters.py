@@ -106,5 +106,5 @@ rollouts AS (SELECT problem_id AS prefix_id, problem_id * 100 + sample_id AS rol
   compiled, correct, label, runtime, base_mean, speedup, {target_sql()} AS target, orm AS score, part_id % 500 AS n_gen_tokens, part_id % 2000 AS n_tokens FROM candidates),
 vals AS (SELECT prefix_id, count(*) AS n_rollouts, avg(target) AS v_graded, avg(score) AS score FROM rollouts WHERE truncation = 'ok' AND target IS NOT NULL GROUP BY prefix_id HAVING count(*) >= 2),
 members AS (SELECT p.*, v.n_rollouts, v.v_graded, v.score, round(2 * v.v_graded, 6) AS rel FROM prefixes p JOIN vals v USING (prefix_id)),
-fates AS (SELECT list_key, any_value(split) AS split, any_value(level) AS level, any_value(problem_id) AS problem_id, avg(rel_depth) AS rel_depth_mean, count(*) AS n_items, (max(rel) - min(rel)) / 2 AS spread,
+fates AS (SELECT list_key, any_value(split) AS split, any_value(level) AS level, any_value(problem_id) AS problem_id, round(avg(rel_depth), 12) AS rel_depth_mean, count(*) AS n_items, (max(rel) - min(rel)) / 2 AS spread,
   CASE WHEN any_value(split) = 'test' THEN 'other_split' WHEN count(*) < 2 THEN 'too_small' WHEN min(rel) = max(rel) THEN 'all_equal' ELSE 'built' END AS fate FROM members GROUP BY list_key)"""
