@@ -1,18 +1,25 @@
 """URL filters (operator 10): pattern rules behind an index of literal tokens.
 
-Each rule lists the literal tokens that any URL it fits must hold. Counting those
-tokens over all URLs tells each rule's rarest one, and only that one is indexed.
-A URL's tokens fetch its candidate rules; only those run their regular expression.
-Rules are a table, so a long list joins like any other table.
+Each rule lists the literal tokens that any URL it fits must hold: runs of ASCII letters
+and digits that stand whole in every such URL, cut as URLs are. Counting those tokens over
+all URLs tells each rule's rarest one, and only that one is indexed. A URL's tokens fetch
+its candidate rules; only those run their regular expression. A rule without a whole token
+stands behind the empty token, which every URL has, so no rule is lost. Rules are a table,
+so a long list joins like any other table; it is repeated for a number of salts, over which
+the URLs of a frequent token spread.
 
 Verdicts depend on the URL alone, so distinct URLs are judged once and joined back;
 a URL that a third of all rows share costs one judgement. Nulls: a null URL, or one
 without ``://``, has empty host and path and fits no rule (allow). Ties between rules
-of equal length go to the smaller rule text. Empty tables give empty results.
+of equal length go to the smaller rule text. Very long URLs are judged whole. Rows that
+repeat are judged alike and all returned; other columns are ignored, whatever their names.
+Empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,17 +30,26 @@ SITE_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com
 JUNK_MARKS = ["spam-farm", "cheap-pills", "casino-bonus", "free-money", "link-farm", "click-bait", "adult-cams", "replica-watches", "payday-loans", "crypto-giveaway"]
 
 
+#: Parts into which the URLs of one token are dealt.
+SALTS = 32
+
+
+def _tokens(text: str) -> list[str]:
+    return [t for t in re.split("[^0-9A-Za-z]+", text) if t]
+
+
 def site_rule(rule: str, verdict: str) -> tuple[str, str, list[str], str, bool]:
     """A rule as (rule, pattern over 'host#path', tokens, verdict, is it a site rule). Neither side can hold '#'."""
     host, slash, path = rule.partition("/")
-    quoted = "".join(c if c.isalnum() else "\\" + c for c in host), "".join(c if c.isalnum() else "\\" + c for c in slash + path)
-    # The first and last pieces may be parts of longer words; whole tokens stand between separators.
-    tokens = [t for t in host.split(".") if t] + [t for t in path.split("/")[:-1] if t]
-    return rule, rf"^(?:[^#]*\.)?{quoted[0]}#{quoted[1]}", tokens, verdict, True
+    host = "".join(c.lower() if c.isascii() else c for c in host)
+    quoted = (re.sub(r"([^0-9A-Za-z])", r"\\\1", x) for x in (host, slash + path))
+    # a host stands between dots and ends, so all its tokens are whole; a path's last one may go on in the URL
+    last = len(_tokens(path)) - (path[-1:].isascii() and path[-1:].isalnum())
+    return rule, r"^(?:[^#]*\.)?" + "#".join(quoted), _tokens(host) + _tokens(path)[:last], verdict, True
 
 
 def mark_rule(mark: str) -> tuple[str, str, list[str], str, bool]:
-    return mark, rf"(?:^|[./ _#]){mark.replace('-', '[-_]')}(?:[./ _#]|$)", mark.split("-"), "block", False
+    return mark, rf"(?:^|[./ _#]){mark.replace('-', '[-_]')}(?:[./ _#]|$)", _tokens(mark), "block", False
 
 
 def default_rules() -> list[tuple[str, str, list[str], str, bool]]:
@@ -43,7 +59,7 @@ def default_rules() -> list[tuple[str, str, list[str], str, bool]]:
 def rules_table(spark: SparkSession, rules: list[tuple[str, str, list[str], str, bool]]) -> DataFrame:
     """(rule, pattern, tokens, verdict, site): as literals, so that the optimizer knows the size."""
     lit = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    rows = ", ".join(f"({lit(r)}, {lit(p)}, array({', '.join(map(lit, t))}), {lit(v)}, {str(s).lower()})" for r, p, t, v, s in rules)
+    rows = ", ".join(f"({lit(r)}, {lit(p)}, CAST(array({', '.join(map(lit, t))}) AS array<string>), {lit(v)}, {str(s).lower()})" for r, p, t, v, s in rules)
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t(rule, pattern, tokens, verdict, site)")
 
 
@@ -60,14 +76,16 @@ def judge(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """(host, path, rule, site_verdict, marked) for each distinct host and path that some rule fits."""
     urls = urls.select("host", "path").distinct()
     # host labels keep their case folded; path segments are matched as they stand
-    tokens = urls.select("host", "path", F.explode(F.expr("array_distinct(filter(split(concat(host, ' ', path), '[^0-9A-Za-z]+'), t -> t <> ''))")).alias("token"))
-    wanted = rules.select("rule", F.explode("tokens").alias("token"))
+    cut = F.expr("array_distinct(concat(filter(split(concat(host, ' ', path), '[^0-9A-Za-z]+'), t -> t <> ''), array('')))")
+    tokens = urls.select("host", "path", F.explode(cut).alias("token"))
+    wanted = rules.select("rule", F.explode(F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit("")))).alias("token"))
     counts = tokens.join(wanted.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     rarest = wanted.join(counts, "token", "left").groupBy("rule").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).getField("token").alias("token"))
-    index = rules.join(rarest, "rule").select("token", "rule", "pattern", "verdict", "site")
-    fits = tokens.join(index, "token").where(F.expr("concat(host, '#', path) RLIKE pattern"))
-    best = F.when(F.col("site"), F.struct(F.length("rule").alias("n"), (-F.length("rule")).alias("z"), "rule", "verdict"))
-    out = fits.groupBy("host", "path").agg(F.max(best).alias("best"), F.coalesce(F.bool_or(~F.col("site") & (F.col("verdict") == "block")), F.lit(False)).alias("marked"))
+    index = rules.join(rarest, "rule").select("token", "rule", "pattern", "verdict", "site", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = tokens.withColumn("salt", F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)).cast("int"))
+    fits = dealt.join(index, ["token", "salt"]).where(F.expr("concat(host, '#', path) RLIKE pattern"))
+    best = F.when(F.col("site"), F.struct((-F.length("rule")).alias("n"), "rule", "verdict"))
+    out = fits.groupBy("host", "path").agg(F.min(best).alias("best"), F.coalesce(F.bool_or(~F.col("site") & (F.col("verdict") == "block")), F.lit(False)).alias("marked"))
     return out.select("host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("site_verdict"), "marked")
 
 

@@ -611,3 +611,32 @@ def test_url_filter_takes_spaces_in_hosts(spark, tmp_path):
     got = queries.QUERIES["op10_url_filter"](spark, str(tmp_path))
     assert {r["page_id"]: (r["rule"], r["verdict"]) for r in got.collect() if r["page_id"] in (0, 2)} == {0: ("example.com/en/", "block"), 2: ("net/fr/", "block")}
     assert_same(got, queries.ORACLES["op10_url_filter"], str(tmp_path))
+
+
+def test_url_rules_are_never_lost(spark):
+    """Five hundred rules with hyphens, underscores, percent signs, partial pieces, other scripts and no token at all, against every host and path by plain comparison."""
+    rng = np.random.RandomState(11)
+    pick = lambda *xs: xs[rng.randint(len(xs))]
+    label = lambda: "".join(pick("a", "b", "x1", "my-site", "shop", "\u00e9t\u00e9", "com", "z-", "-") for _ in range(rng.randint(1, 3)))
+    host = lambda n: ".".join(label() for _ in range(n))
+    piece = lambda: pick("", "a", "x_y", "x_", "p%20q", "ab", "abc", "Q+", "~", "d.e", "(1)")
+    path = lambda n: "/" + "/".join(piece() for _ in range(n))
+    urls = [pick("http://", "https://", "x://") + host(rng.randint(1, 4)) + pick("", path(rng.randint(1, 4))) + pick("", "?q=a/b", "#f") for _ in range(400)]
+    urls += [f"http://{'s.' * 3000}com/{'x_y/' * 3000}", "http:///ab", "http://./a", None, "no scheme"]
+    rules = {}
+    while len(rules) < 500:
+        rules.setdefault(pick(host(rng.randint(1, 3)), "", pick(*urls[:400]).split("://")[1].split("/")[0]) + pick("/", path(rng.randint(1, 3)), path(1)), pick("allow", "block"))
+    rules |= {"/": "block", "com/": "allow", "my-site.com/": "block", "/ab": "allow"}
+
+    def plain(url):
+        m = re.search(r"://([^/?#]*)([^?#]*)", url or "")
+        h, p = (m[1].lower(), m[2]) if m else ("", "")
+        fit = [r for r in rules for a, _, b in [r.partition("/")] if (h == a or h.endswith("." + a)) and p.startswith("/" + b)]
+        best = min(fit, key=lambda r: (-len(r), r), default=None)
+        return h, p, best, rules.get(best, "allow")
+
+    table = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls + urls[:50])], "page_id long, url string, token string")
+    got = url_filter.filter_urls(table, [url_filter.site_rule(*r) for r in rules.items()]).collect()
+    assert len(got) == len(urls) + 50 and sum(r["rule"] is not None for r in got) > 100
+    for r in got:
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == plain((urls + urls[:50])[r["page_id"]]), r["page_id"]
