@@ -107,3 +107,20 @@ def hash_order(seed: int, *key: Column) -> Column:
 
 def hash_uniform(seed: int, *key: Column) -> Column:
     return F.conv(F.substring(hash_order(seed, *key), 1, 12), 16, 10).cast("double") / float(1 << 48)
+
+
+#: Fixed values of a 32-bit mix: the factor of its rounds, and steps that keep places of a draw apart.
+MIX, ROUND_STEP, ITEM_STEP, LOW32 = 73244475, 2654435769, 40503, (1 << 32) - 1
+
+
+def hash_seed(seed: int, *key: Column) -> Column:
+    """32 bits of a row's identity, from which ``mixed_uniform`` draws: one digest for any number of draws."""
+    return F.conv(F.substring(hash_order(seed, *key), 1, 8), 16, 10).cast("long")
+
+
+def mixed_uniform(seed: Column, round_: Column, place: Column) -> Column:
+    """A draw of round and place, in whole-number arithmetic that other engines have too."""
+    x = (seed + round_ * ROUND_STEP + place * ITEM_STEP).bitwiseAND(F.lit(LOW32))
+    for _ in range(2):
+        x = (x.bitwiseXOR(F.shiftright(x, 16)) * MIX).bitwiseAND(F.lit(LOW32))
+    return x.bitwiseXOR(F.shiftright(x, 16)).cast("double") / float(1 << 32)

@@ -187,19 +187,38 @@ def sampled_depths(c: DataFrame, n_strata: int, lo: float, hi: float, seed: int)
 
 
 def null_spreads(scores: DataFrame, list_key: list[str], item: str, score: str, rounds: int, seed: int) -> DataFrame:
-    """Bootstrap null of each list's spread (list_key, spreads: one for each round): every item redraws its scores from the list's pool, by hash; a spread is the range of item means, on the scale of the scores. A list stays in its row, as its builder bounds it."""
-    items = scores.groupBy(*list_key, item).agg(F.count(F.lit(1)).cast("int").alias("n"), F.collect_list(score).alias("s"))
-    d = items.groupBy(*list_key).agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("pool"), F.collect_list(F.struct(F.col(item).alias("i"), "n")).alias("items"))
-
-    def mean(x, r):
-        draw = lambda k: F.get("pool", F.floor(L.hash_uniform(seed, *map(F.col, list_key), x["i"], r, k) * F.size("pool")).cast("int"))
-        return F.aggregate(F.transform(F.sequence(F.lit(0), x["n"] - 1), draw), F.lit(0.0), lambda a, v: a + v) / x["n"]
-
-    def spread(r):
-        means = F.array(F.transform("items", lambda x: mean(x, r)))
-        return F.transform(means, lambda m: F.array_max(m) - F.array_min(m))[0]
-
-    return d.select(*list_key, F.transform(F.sequence(F.lit(0), F.lit(rounds - 1)), spread).alias("spreads"))
+    """Bootstrap null of each list's spread (list_key, spreads: one for each round): every item redraws its scores from the list's pool, by hash; a spread is the range of item means, on the scale of the scores. A list stays in its row, as its builder bounds it.
+
+    One digest a list; a draw is a few whole-number steps on it, by the item's rank in its list and the score's in its item. Draws are rows, so that they compile; they are folded where they were unfolded, as a list's rows stay together.
+    """
+    # by number, so that the few lists are not put together before their many draws are made
+    dealt = scores.repartition(int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions")), *list_key)
+    items = dealt.groupBy(*list_key, item).agg(F.count(F.lit(1)).cast("int").alias("n"), F.collect_list(score).alias("s"))
+    d = items.groupBy(*list_key).agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("pool"), F.transform(F.sort_array(F.collect_list(F.struct(F.col(item).alias("i"), "n"))), lambda x: x["n"]).alias("sizes"))
+    own = F.struct("pool", "sizes", L.hash_seed(seed, *map(F.col, list_key)).alias("seed"))
+    # a row of its own for each list: else the optimizer puts the digest and the sort into every draw
+    d = d.select(*list_key, F.explode(F.array(own)).alias("x")).select(*list_key, F.col("x.pool").alias("pool"), F.col("x.seed").alias("seed"), F.posexplode("x.sizes").alias("place", "n"))
+    d = d.select("*", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
+    draw = lambda k: F.get("pool", F.floor(L.mixed_uniform(F.col("seed"), F.col("round").cast("long"), F.col("place").cast("long") * 65536 + k) * F.size("pool")).cast("int"))
+    one = d.where("n = 1").select(*list_key, "round", draw(F.lit(0)).alias("m"))
+    several = d.where("n > 1").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    several = several.select(*list_key, "round", "place", "n", draw(F.col("k")).alias("v")).groupBy(*list_key, "round", "place").agg((F.sum("v") / F.first("n")).alias("m"))
+    means = one.unionByName(several.select(*list_key, "round", "m"))
+    spreads = means.groupBy(*list_key, "round").agg((F.max("m") - F.min("m")).alias("spread"))
+    return spreads.groupBy(*list_key).agg(F.collect_list("spread").alias("spreads"))
+
+
+def null_sql(scores: str, key: list[str], item: str, score: str, rounds: int, seed: int) -> str:
+    """The same as CTEs for DuckDB: ``null_lists`` (key, pool, seed), ``null_spread`` (key, r, spread)."""
+    k = ", ".join(key)
+    text = " || ':' || ".join(key)
+    step = lambda x: f"(xor({x}, {x} >> 16) * {L.MIX}) & {L.LOW32}"
+    return f"""null_lists AS (SELECT {k}, list_sort(list({score})) AS pool, ('0x' || substr(md5('{seed}:' || {text}), 1, 8))::BIGINT AS seed FROM {scores} GROUP BY {k}),
+null_items AS (SELECT {k}, {item}, count(*) AS n, row_number() OVER (PARTITION BY {k} ORDER BY {item}) - 1 AS place FROM {scores} GROUP BY {k}, {item}),
+null_draws AS (SELECT {k}, place, r.range AS r, j.range AS j, n, pool, (seed + r.range * {L.ROUND_STEP} + (place * 65536 + j.range) * {L.ITEM_STEP}) & {L.LOW32} AS x0 FROM null_items JOIN null_lists USING ({k}), range({rounds}) r, LATERAL range(n) j),
+null_mixed AS (SELECT *, {step("x1")} AS x2 FROM (SELECT *, {step("x0")} AS x1 FROM null_draws)),
+null_means AS (SELECT {k}, r, place, CASE WHEN any_value(n) = 1 THEN max(v) ELSE sum(v ORDER BY j) / any_value(n) END AS m FROM (SELECT *, pool[1 + floor(xor(x2, x2 >> 16) / 4294967296.0::DOUBLE * len(pool))::BIGINT] AS v FROM null_mixed) GROUP BY {k}, r, place),
+null_spread AS (SELECT {k}, r, max(m) - min(m) AS spread FROM null_means GROUP BY {k}, r)"""
 
 
 def quantile(xs: Column, q: float) -> Column:

@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .hostflow import dotted
-from .kernelflow import walk
+from .calibration import _cut
+from .kernelflow import dotted, walk
 
 #: What calling a module or an autograd function runs.
 PROTOCOL = ("forward", "setup_context", "__call__")
@@ -141,33 +141,8 @@ GRAPH = T.StructType(
 )
 
 
-def graph_of(source: str | None) -> dict:
-    """The graph of one program, as a row."""
-    from .staticcheck import Program
-
-    p = Program(source or "")
-    return {
-        "entry": entry_of(p),
-        "has_class": p.entry is not None,
-        "kernels": sorted(p.kernels),
-        "edges": [{"src": a, "dst": b, "does": does} for a, b, does in program_edges(p)],
-        "launches": [{"scope": owner(x.scope, p.classes), "kernel": x.kernel, "in_loop": x.in_loop} for x in p.launches],
-        "calls": [{"src": k, "dst": c} for k in p.kernels for c in sorted({x.rpartition(".")[2] for x in p.kernels[k].calls} & set(p.kernels))],
-    }
-
-
-graph_udf = F.udf(graph_of, GRAPH, useArrow=True)
-
-
-def graphs(programs: DataFrame, key: str, text: str = "source") -> DataFrame:
-    """(key, graph) of each program."""
-    return programs.select(key, graph_udf(text).alias("graph")).select(key, "graph.*")
-
-
 def reach(starts: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     """(key, node): ``starts`` (key, node) and all that edges (key, src, dst) lead to from them. Cycles end: a round keeps only what no round has met."""
-    from .calibration import _cut
-
     met = fresh = _cut(starts.select(key, "node").where("node IS NOT NULL").distinct())
     while True:
         onward = fresh.join(edges, [fresh[key] == edges[key], fresh["node"] == edges["src"]]).select(fresh[key].alias(key), F.col("dst").alias("node")).distinct()

@@ -10,7 +10,8 @@ from __future__ import annotations
 import ast
 from dataclasses import dataclass, field
 
-from .kernelflow import KernelFlow, walk
+from .callgraph import closure, functions_of
+from .kernelflow import KernelFlow, dotted, walk
 
 #: Methods that give another view or layout of a tensor, those that leave it non-contiguous, allocations, and ones filled with zeros.
 VIEWS = {"view", "reshape", "permute", "transpose", "squeeze", "unsqueeze", "expand", "t", "flatten", "ravel", "narrow", "as_strided", "detach", "contiguous", "to", "cuda"}
@@ -24,15 +25,6 @@ SCALARS = {"numel", "size", "dim", "ndimension", "nelement", "element_size", "st
 RESULT = "<return>"
 
 
-def dotted(node: ast.AST) -> str:
-    """'a.b.c' of a name or attribute chain, else ''."""
-    parts: list[str] = []
-    while isinstance(node, ast.Attribute):
-        parts.append(node.attr)
-        node = node.value
-    return ".".join([node.id, *parts[::-1]]) if isinstance(node, ast.Name) else ""
-
-
 def base(node: ast.AST) -> str | None:
     """The name that a chain of attributes, calls and subscripts starts from."""
     while True:
@@ -210,8 +202,6 @@ class Flow:
 
     def _timed(self) -> list[Scope]:
         """The functions that a forward call runs, itself first."""
-        from .callgraph import closure, functions_of
-
         functions = functions_of(self.p)
         return [Scope(*functions[x]) for x in closure(self.p.edges, self.p.entry_forward, True) if x in functions]
 

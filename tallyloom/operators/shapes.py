@@ -11,7 +11,8 @@ from __future__ import annotations
 import ast
 import math
 
-from .hostflow import RESULT, Flow, Scope, base, dotted
+from .hostflow import RESULT, Flow, Scope, base
+from .kernelflow import dotted
 
 #: Bytes of an element, and the cost model's bytes a second and seconds of a launch.
 BYTES = {"float64": 8, "double": 8, "int64": 8, "long": 8, "float32": 4, "float": 4, "int32": 4, "int": 4, "float16": 2, "half": 2, "bfloat16": 2, "int16": 2, "short": 2, "int8": 1, "uint8": 1, "bool": 1}

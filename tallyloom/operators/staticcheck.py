@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .callgraph import closure, entry_of, owner, program_edges
-from .hostflow import ZEROS, Flow, base, dotted, roles
-from .kernelflow import KernelFlow, walk
+from .callgraph import GRAPH, closure, entry_of, owner, program_edges
+from .hostflow import ZEROS, Flow, base, roles
+from .kernelflow import KernelFlow, dotted, walk
 from .shapes import LAUNCH, Sizes, input_bytes, input_tensors, source_inputs, tensor_bytes, transfer_seconds
 
 #: Entry class names in order of preference, module aliases that programs use, names that offload or fall back.
@@ -551,3 +551,27 @@ def outcomes(flagged: DataFrame, checks: list[str], correct: str, speed: str) ->
         F.round(F.median(F.when(f, F.col(speed))), 4).alias("speedup_flagged"),
         F.round(F.median(F.when(~f, F.col(speed))), 4).alias("speedup_clean"),
     )
+
+
+# call graphs
+
+
+def graph_of(source: str | None) -> dict:
+    """The graph of one program, as a row."""
+    p = Program(source or "")
+    return {
+        "entry": p.entry_forward,
+        "has_class": p.entry is not None,
+        "kernels": sorted(p.kernels),
+        "edges": [{"src": a, "dst": b, "does": does} for a, b, does in p.edges],
+        "launches": [{"scope": owner(x.scope, p.classes), "kernel": x.kernel, "in_loop": x.in_loop} for x in p.launches],
+        "calls": [{"src": k, "dst": c} for k in p.kernels for c in sorted({x.rpartition(".")[2] for x in p.kernels[k].calls} & set(p.kernels))],
+    }
+
+
+graph_udf = F.udf(graph_of, GRAPH, useArrow=True)
+
+
+def graphs(programs: DataFrame, key: str, text: str = "source") -> DataFrame:
+    """(key, graph) of each program."""
+    return programs.select(key, graph_udf(text).alias("graph")).select(key, "graph.*")

@@ -10,6 +10,8 @@ from ..operators import build as B
 from ..operators import campaign as C
 from ..operators import ranking as R
 from ..sources.adapters import CAMPAIGN_SQL, candidates, prefixes, rollouts, table
+from ..sources.scratch import fresh_path
+from ..streaming import scoring
 from .queries import P, query
 
 WITH = f"WITH {CAMPAIGN_SQL}"
@@ -130,15 +132,25 @@ def stratified_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.stratified(prefixes(spark, sf_dir), LO, HI, 2, 4, 5).select("list_key", "prefix_id")
 
 
-@query()
-def beats_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lists that spread further than the 95% quantile of 200 redraws of themselves; the draws are hashes, so no SQL counterpart."""
-    fates, items = _built(spark, sf_dir)
+#: The scores of built lists' items, their nulls, and the lists that spread further than the 95% quantile of theirs.
+NULL_WITH = f"""{WITH}, scored AS (SELECT m.list_key, m.prefix_id, r.target FROM members m JOIN fates f ON m.list_key = f.list_key AND f.fate = 'built' JOIN rollouts r ON m.prefix_id = r.prefix_id WHERE r.truncation = 'ok' AND r.target IS NOT NULL),
+{B.null_sql("scored", ["list_key"], "prefix_id", "target", 200, 11)},
+nulls AS (SELECT list_key, list_sort(list(spread))[191] AS q95 FROM null_spread GROUP BY list_key),
+own AS (SELECT list_key, spread, spread > q95 AS beats FROM fates JOIN nulls USING (list_key) WHERE fate = 'built')"""
+
+
+def _beats(spark: SparkSession, sf_dir: str, fates: DataFrame, items: DataFrame) -> DataFrame:
     r = rollouts(spark, sf_dir).where((F.col("truncation") == L.OK) & F.col("target").isNotNull())
     scores = items.select("list_key", "prefix_id").join(r.select("prefix_id", "target"), "prefix_id")
     return C.beats_null(fates.where("fate = 'built'").select("list_key", "spread"), B.null_spreads(scores, ["list_key"], "prefix_id", "target", 200, 11))
 
 
+@query(f"{NULL_WITH} SELECT count(*) AS lists, count(*) FILTER (beats) AS beats_null, 100.0 * count(*) FILTER (beats) / count(*) AS beats_null_pct, median(spread) AS median FROM own")
+def beats_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists that spread further than the 95% quantile of 200 redraws of themselves."""
+    return _beats(spark, sf_dir, *_built(spark, sf_dir))
+
+
 @query(f"""{WITH}, s AS (SELECT *, correct AS c FROM candidates)
 SELECT count(*) AS total, sum(label)::BIGINT AS positive, (count(*) - sum(label))::BIGINT AS negative, (count(*) - sum(label)) / sum(label) AS pos_weight FROM s""")
 def pos_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,15 +162,17 @@ def compiled_wrong(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.negatives(candidates(spark, sf_dir), "compiled_wrong").groupBy("level", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""{WITH}, v AS (SELECT level, problem_id, sample_id, compiled, correct, runtime, runtime_min FROM candidates), b AS (SELECT level, problem_id, max(base_mean) AS base_mean, max(base_min) AS base_min FROM candidates WHERE problem_id % 5 <> 0 GROUP BY ALL),
-k AS (SELECT level, problem_id, sample_id FROM candidates WHERE sample_id % 4 <> 3),
+@query(f"""{WITH}, v AS (SELECT level, problem_id, sample_id, compiled, correct, runtime, runtime_min FROM candidates), b AS (SELECT level, problem_id, max(base_mean) AS base_mean, max(base_min) AS base_min FROM candidates JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') ON problem_id = o_orderkey GROUP BY ALL),
+k AS (SELECT level, problem_id, sample_id FROM candidates JOIN (SELECT p_partkey FROM part WHERE p_size <= 40) ON part_id = p_partkey),
 d AS (SELECT *, (compiled AND correct)::INT AS label, CASE WHEN correct AND runtime > 0 THEN base_mean / runtime END AS speedup FROM v JOIN k USING (level, problem_id, sample_id) LEFT JOIN b USING (level, problem_id))
 SELECT level, label, count(*) AS n, count(speedup) AS n_speedup, sum(speedup) AS speedup, count(CASE WHEN speedup IS NOT NULL AND base_min > 0 AND runtime_min > 0 THEN 1 END) AS n_speedup_min, sum(CASE WHEN speedup IS NOT NULL AND base_min > 0 AND runtime_min > 0 THEN base_min / runtime_min END) AS speedup_min FROM d GROUP BY ALL""")
 def dataset_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = candidates(spark, sf_dir)
     v = c.select(*P, "sample_id", "compiled", "correct", "runtime", "runtime_min")
-    base = c.where("problem_id % 5 <> 0").groupBy(*P).agg(F.max("base_mean").alias("base_mean"), F.max("base_min").alias("base_min"))
-    d = C.dataset_rows(v, c.select(*P).distinct(), c.where("sample_id % 4 <> 3").select(*P, "sample_id"), base)
+    timed = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("problem_id"))
+    staged = table(spark, sf_dir, "part").where("p_size <= 40").select(F.col("p_partkey").alias("part_id"))
+    base = c.join(timed, "problem_id", "left_semi").groupBy(*P).agg(F.max("base_mean").alias("base_mean"), F.max("base_min").alias("base_min"))
+    d = C.dataset_rows(v, c.select(*P).distinct(), c.join(staged, "part_id", "left_semi").select(*P, "sample_id"), base)
     return d.groupBy("level", "label").agg(F.count(F.lit(1)).alias("n"), F.count("speedup").alias("n_speedup"), F.sum("speedup").alias("speedup"), F.count("speedup_min").alias("n_speedup_min"), F.sum("speedup_min").alias("speedup_min"))
 
 
@@ -173,10 +187,10 @@ def sampled_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.sampled_lists(prefixes(spark, sf_dir), 50, 42).groupBy("list_key").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"{WITH}, l AS (SELECT problem_id % 7 AS g, level, problem_id, sample_id, orm, prm FROM candidates WHERE sample_id < 3) SELECT g, count(*) AS n, sum(orm) AS orm, sum(prm) AS prm FROM l GROUP BY g")
+@query(f"{WITH}, l AS (SELECT problem_id % 7 AS g, level, problem_id, sample_id, orm, prm FROM candidates) SELECT g, count(*) AS n, sum(orm) AS orm, sum(prm) AS prm FROM l GROUP BY g")
 def rows_of_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = candidates(spark, sf_dir)
-    lists = c.where("sample_id < 3").select((F.col("problem_id") % 7).alias("g"), *P, "sample_id")
+    lists = c.select((F.col("problem_id") % 7).alias("g"), *P, "sample_id")
     return C.rows_of_lists(lists, c, [*P, "sample_id"], ["orm", "prm"]).groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum("orm").alias("orm"), F.sum("prm").alias("prm"))
 
 
@@ -205,13 +219,13 @@ def rollout_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.agg(F.count(F.lit(1)).alias("n"), F.count_if("shared").alias("shared"), F.sum("runtime").alias("runtime"), F.count_if("correct").alias("correct"))
 
 
-@query(f"""{WITH}, a AS (SELECT level, problem_id, level || ':' || problem_id || ':' || sample_id AS key, sample_id, label, correct, speedup, CASE WHEN NOT correct THEN 0 WHEN speedup IS NULL THEN NULL ELSE 1 END AS t FROM candidates),
-f AS (SELECT *, CASE WHEN sample_id % 5 = 4 THEN 'no_row' WHEN t IS NULL THEN 'no_target' ELSE 'kept' END AS fate, sample_id % 3 = 0 AS seen FROM a)
+@query(f"""{WITH}, a AS (SELECT level, problem_id, level || ':' || problem_id || ':' || sample_id AS key, sample_id, label, correct, speedup, finish, run_name, CASE WHEN NOT correct THEN 0 WHEN speedup IS NULL THEN NULL ELSE 1 END AS t FROM candidates),
+f AS (SELECT *, CASE WHEN finish IS NULL OR finish <> 'stop' THEN 'no_row' WHEN t IS NULL THEN 'no_target' ELSE 'kept' END AS fate, run_name = 'O' AS seen FROM a)
 SELECT count(*) AS scored, count(*) FILTER (fate = 'no_row') AS no_row, count(*) FILTER (fate = 'no_target') AS no_target, count(*) FILTER (fate = 'kept' AND seen) AS orm_seen, count(*) FILTER (fate = 'kept' AND NOT seen) AS orm_unseen,
  count(*) FILTER (fate = 'kept') AS kept, count(DISTINCT CASE WHEN fate = 'kept' THEN level || ':' || problem_id END) AS problems FROM f""")
 def anchor_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = candidates(spark, sf_dir).withColumn("key", F.concat_ws(":", *(F.col(k).cast("string") for k in (*P, "sample_id"))))
-    return C.anchor_ledger(C.anchors(c.where("sample_id % 5 <> 4"), c.select("key", *P, F.col("orm").alias("score")), c.where("sample_id % 3 = 0").select("key")))
+    return C.anchor_ledger(C.anchors(c.where(L.truncation_state(F.col("trace")) == L.OK), c.select("key", *P, F.col("orm").alias("score")), c.where("run_name = 'O'").select("key")))
 
 
 @query(f"""{WITH}, l AS (SELECT list_key, prefix_id, CASE WHEN prefix_id % 40 = 1 THEN 'val' ELSE split END AS split FROM prefixes) SELECT l.prefix_id FROM l JOIN prefixes p USING (prefix_id) WHERE l.split = 'val' AND p.split <> 'val'""")
@@ -228,10 +242,10 @@ def spanning_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.spanning(lists, p, ["run_name", *P])
 
 
-@query(f"{WITH} SELECT DISTINCT level, problem_id FROM prefixes WHERE problem_id % 3 = 1")
+@query(f"{WITH}, a AS (SELECT DISTINCT level, problem_id FROM prefixes JOIN vals USING (prefix_id)) SELECT DISTINCT level, problem_id FROM prefixes p WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.level = p.level AND a.problem_id = p.problem_id)")
 def problems_without_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = prefixes(spark, sf_dir)
-    return C.without_anchors(p, p.where("problem_id % 3 <> 1").select(*P).distinct())
+    return C.without_anchors(p, p.join(values(rollouts(spark, sf_dir)).select("prefix_id"), "prefix_id", "left_semi").select(*P).distinct())
 
 
 _SCAN = """count(*) AS "rows", count(*) FILTER (correct) AS correct, count(*) FILTER (compiled) AS compiled, count(*) FILTER (line = 7) AS unterminated, count(DISTINCT (level, problem_id)) AS problems,
@@ -265,11 +279,11 @@ def base_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.base_rates(c, c.where(L.truncation_state(F.col("trace")) == L.OK))
 
 
-@query(f"""{WITH}, f AS (SELECT (SELECT count(*) FILTER (truncation = 'truncated') FROM rollouts) AS truncated, (SELECT count(*) FROM rollouts) AS n, (SELECT count(*) FROM prefixes) AS np, (SELECT count(*) FROM prefixes WHERE prefix_id NOT IN (SELECT prefix_id FROM vals)) AS few,
+@query(f"""{NULL_WITH}, f AS (SELECT (SELECT 100.0 * count(*) FILTER (beats) / count(*) FROM own) AS beats, (SELECT count(*) FILTER (truncation = 'truncated') FROM rollouts) AS truncated, (SELECT count(*) FROM rollouts) AS n, (SELECT count(*) FROM prefixes) AS np, (SELECT count(*) FROM prefixes WHERE prefix_id NOT IN (SELECT prefix_id FROM vals)) AS few,
   (SELECT count(*) FROM fates WHERE fate = 'all_equal') AS eq, (SELECT count(*) FROM fates WHERE fate = 'built') AS nl, (SELECT count(*) FROM fates WHERE fate = 'built' AND split = 'val') AS nv,
   (SELECT count(*) FROM fates WHERE fate = 'built' AND (rel_depth_mean < {LO} OR rel_depth_mean > {HI})) AS outside, (SELECT {BANDS} - count(DISTINCT {BAND}) FROM fates WHERE fate = 'built') AS empty)
-SELECT unnest(['rollouts_truncated', 'too_few_rollouts', 'all_equal_lists', 'usable_lists', 'val_prefixes', 'one_key_lists', 'bands_populated', 'inside_window', 'gpu_hours_recorded']) AS "check",
- unnest([truncated * 100.0 / n < 2, few * 100.0 / np < 5, eq * 100.0 / (eq + nl) BETWEEN 2 AND 10, nl >= 300 AND nv >= 60, true, true, empty = 0, outside = 0, false]) AS ok FROM f""")
+SELECT unnest(['rollouts_truncated', 'too_few_rollouts', 'all_equal_lists', 'usable_lists', 'val_prefixes', 'one_key_lists', 'bands_populated', 'inside_window', 'beats_own_null', 'gpu_hours_recorded']) AS "check",
+ unnest([truncated * 100.0 / n < 2, few * 100.0 / np < 5, eq * 100.0 / (eq + nl) BETWEEN 2 AND 10, nl >= 300 AND nv >= 60, true, true, empty = 0, outside = 0, beats > 5, false]) AS ok FROM f""")
 def campaign_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, r = prefixes(spark, sf_dir), rollouts(spark, sf_dir)
     fates, items = _built(spark, sf_dir)
@@ -283,10 +297,11 @@ def campaign_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
         C.leaked(items, p).agg(F.count(F.lit(1)).alias("leaked")),
         C.spanning(items, p, ["run_name", *P, "cut_index"]).agg(F.count(F.lit(1)).alias("spanning")),
     ]
-    facts = spark.range(1).select(F.lit(0).alias("beats_null"), F.lit(0).alias("built"), F.lit(None).cast("double").alias("evals_per_gpu_hour"))
+    one.append(_beats(spark, sf_dir, fates, items).select("beats_null", F.col("lists").alias("built")))
+    facts = spark.range(1).select(F.lit(None).cast("double").alias("evals_per_gpu_hour"))
     for x in one:
         facts = facts.crossJoin(F.broadcast(x))  # one row each
-    return C.campaign_checks(facts).where("check <> 'beats_own_null'").select("check", "ok")
+    return C.campaign_checks(facts).select("check", "ok")
 
 
 @query("""SELECT c_custkey AS key, (row_number() OVER (ORDER BY length(c_name || c_mktsegment) DESC, c_custkey) - 1) // 16 AS batch, (row_number() OVER (ORDER BY length(c_name || c_mktsegment) DESC, c_custkey) - 1) % 16 AS slot FROM customer""")
@@ -354,3 +369,18 @@ def search_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rollout_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     return C.rollout_manifest(o.select((F.col("o_custkey") % 9).alias("prefixes"), (F.col("o_orderkey") % 11).alias("rollouts"), F.col("o_totalprice").alias("seconds"), (F.col("o_orderkey") % 2 == 0).alias("prefix_caching"), (F.col("o_orderstatus") == "F").alias("reused")))
+
+
+@query("""WITH e AS (SELECT event_type, event_id, props, length(props) + json_extract_string(props, '$.k')::BIGINT * 0.5 AS s FROM events), t AS (SELECT count(DISTINCT props) AS texts FROM events)
+SELECT event_type, count(*) AS n, sum(s)::DOUBLE AS score, (SELECT texts FROM t) AS texts_scored FROM e GROUP BY event_type""")
+def streamed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events' texts scored as a stream of two micro-batches; a text of the second that the first one had is not scored again."""
+    e = table(spark, sf_dir, "events")
+    items = e.select(F.lit("rollout").alias("kind"), F.concat_ws(":", "event_type", F.col("event_id").cast("string")).alias("id"), F.lit(1).alias("level"), F.col("user_id").alias("problem_id"), F.col("props").alias("code")).withColumn("code_sha1", scoring.text_sha(F.col("code")))
+    source, out = fresh_path(spark, "events"), fresh_path(spark, "scores")
+    items.repartition(2, "id").write.parquet(source)  # a file each
+    stream = spark.readStream.schema(items.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    scoring.score_stream(stream, out, fresh_path(spark, "progress"), lambda d: d.withColumn("orm_score", F.length("code") + F.get_json_object("code", "$.k").cast("long") * 0.5))
+    texts = scoring.committed(spark, out, scoring.SCORES).agg(F.count(F.lit(1)).alias("texts_scored"))
+    by = scoring.scored_items(spark, out).groupBy(F.substring_index("id", ":", 1).alias("event_type")).agg(F.count(F.lit(1)).alias("n"), F.sum("orm_score").alias("score"))
+    return by.crossJoin(F.broadcast(texts))  # one row

@@ -129,7 +129,7 @@ def lint_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT part, kernel, launched, live, timed::BIGINT AS timed, CASE WHEN NOT live THEN deadly END AS dead FROM u""")
 def kernel_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which kernels may be launched, which are in the timed path and which are dead: all programs' call graphs closed together."""
-    return G.kernel_uses(G.graphs(programs(spark, sf_dir), "part"), "part")
+    return G.kernel_uses(S.graphs(programs(spark, sf_dir), "part"), "part")
 
 
 _IDS = sorted(S.CHECKS)

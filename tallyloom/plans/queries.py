@@ -284,9 +284,8 @@ def imputed_values(spark, sf_dir):
     return C.impute(a, curve, C.fit_offsets(a, curve), P)
 
 
-@query(f"""{WITH}, a AS (SELECT level, problem_id, sample_id, {target_sql()} AS target FROM candidates), l AS (SELECT level, problem_id, list_sort(list(target)) AS pool, list(sample_id) AS items FROM a WHERE target IS NOT NULL GROUP BY ALL),
- d AS (SELECT level, problem_id, pool, unnest(items) AS i FROM l), s AS (SELECT level, problem_id, r.range AS r, pool[1 + floor(('0x' || substr(md5('11:' || level || ':' || problem_id || ':' || i || ':' || r.range || ':0'), 1, 12))::BIGINT::DOUBLE / 281474976710656.0::DOUBLE * len(pool))::BIGINT] AS v FROM d, range(200) r),
- w AS (SELECT level, problem_id, r, max(v) - min(v) AS spread FROM s GROUP BY ALL) SELECT level, problem_id, list_sort(list(spread))[191] AS q95, avg(spread) AS mean FROM w GROUP BY ALL""")
+@query(f"""{WITH}, a AS (SELECT level, problem_id, sample_id, {target_sql()} AS target FROM candidates), b AS (SELECT * FROM a WHERE target IS NOT NULL), {B.null_sql("b", P, "sample_id", "target", NULL_REPLICATES, 11)}
+SELECT level, problem_id, list_sort(list(spread))[191] AS q95, avg(spread) AS mean FROM null_spread GROUP BY ALL""")
 def null_bootstrap(spark, sf_dir):
     """q95 and mean of the null of every list, over as many replicates as the reference draws."""
     s = _anchors(spark, sf_dir).select(*P, "sample_id", "target")

@@ -27,11 +27,11 @@ def encoded_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", Q.encoded_pair(F.col("r"), F.col("k"), [1, 2, 3], [4, 5], 9, 56, 16).alias("x")).select("o_orderkey", F.array_join("x.ids", ",").alias("ids"), "x.ref_tokens", "x.kernel_tokens", "x.ref_total", "x.kernel_total", "x.truncated")
 
 
-@query("""SELECT doc_id, substr(text, 1, (n_chars // 3)::BIGINT) || coalesce(lang, '') AS prefix, source || substr(text, 1, (n_chars // 3)::BIGINT) || coalesce(lang, '') AS scored, greatest(0, 500 - length(substr(text, 1, (n_chars // 3)::BIGINT))) AS room
-FROM documents WHERE n_chars <= length(text)""")
+@query("""SELECT doc_id, substr(text, 1, (length(text) // 3)::BIGINT) || coalesce(lang, '') AS prefix, source || substr(text, 1, (length(text) // 3)::BIGINT) || coalesce(lang, '') AS scored, greatest(0, 500 - length(substr(text, 1, (length(text) // 3)::BIGINT))) AS room
+FROM documents""")
 def prefix_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("n_chars <= length(text)")
-    cut = F.expr("cast(n_chars div 3 as int)")
+    d = table(spark, sf_dir, "documents")
+    cut = F.expr("cast(length(text) div 3 as int)")
     return d.select("doc_id", Q.prefix_text(F.col("text"), cut, F.col("lang")).alias("prefix"), Q.scored_text(F.col("source"), F.col("text"), cut, F.col("lang")).alias("scored"), Q.budget(cut, 500).alias("room"))
 
 

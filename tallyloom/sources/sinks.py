@@ -26,19 +26,34 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
-def write_atomic(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small file beside its place and rename it, so no reader sees half of it. Lone surrogates pass."""
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme and authority that Hadoop gives it: the driver, Spark's readers and executors mean the same place by it."""
     fs, p = _fs(spark, path)
-    _, tmp = _fs(spark, f"{path}.tmp.{uuid.uuid4().hex}")
+    return fs.makeQualified(p).toString()
+
+
+def replace_file(spark: SparkSession, source: str, target: str) -> None:
+    """A file in another's place in one step of the file system: readers see the old one or the new one."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    rename = getattr(hadoop, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    _, a = _fs(spark, qualified(spark, source))
+    _, b = _fs(spark, qualified(spark, target))
+    hadoop.FileContext.getFileContext(a.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(a, b, how)
+
+
+def write_atomic(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file beside its place and rename it over what is there, so no reader sees half of it or none. Lone surrogates pass."""
+    parent, _, name = path.rpartition("/")
+    beside = f"{parent}/" * bool(parent) + f".{name}.{uuid.uuid4().hex}"
+    fs, tmp = _fs(spark, beside)
     out = fs.create(tmp, True)
     try:
         out.write(bytearray(text.encode("utf-8", "surrogatepass")))
     finally:
         out.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    if not fs.rename(tmp, p):
-        raise OSError(f"{path} could not be put in place")
+    replace_file(spark, beside, path)
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:
@@ -138,64 +153,110 @@ def kernel_name(level, problem, sample):
     return F.format_string("level_%d_problem_%d_sample_%d_kernel.py", level, problem, sample)
 
 
-def write_kernels(df: DataFrame, folder: str) -> int:
-    """A file for each row (level, problem_id, sample_id, code; a null or empty code is a newline, as Spark lists no file without bytes), written by executors. A folder that holds kernels or verdicts already is an error: their sample ids mean something else."""
-    spark = df.sparkSession
-    if exists(spark, folder):
-        names = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"))
-        held = names.where("name LIKE '%\\_kernel.py' OR name = 'eval_results.json'").limit(1).collect()
-        if held:
-            raise FileExistsError(f"{folder} already holds {held[0][0]}")
-    rows = require_unique(df, ["level", "problem_id", "sample_id"], "kernel").select(kernel_name("level", "problem_id", "sample_id").alias("name"), F.coalesce(F.nullif("code", F.lit("")), F.lit("\n")).alias("code"))
+#: What marks a folder of files as whole; names with an underscore are no data to Spark's readers.
+MARKER = "_COMPLETE"
+
+
+def is_complete(spark: SparkSession, folder: str) -> bool:
+    return exists(spark, f"{folder}/{MARKER}")
+
+
+def _put_files(rows: DataFrame, folder: str, name: str, encode) -> int:
+    """A file for each row of ``rows``, written by executors into an attempt's own folder, which then takes its place; the marker is last. Returns how many.
+
+    A writer that dies leaves an attempt (a hidden folder) and the old state; the next one starts anew and clears what was left. A task that runs twice, or in two copies, writes under names of its own and renames, and both make the same file.
+    """
+    spark = rows.sparkSession
+    target = qualified(spark, folder.rstrip("/"))
+    parent, _, last = target.rpartition("/")
+    clear_attempts(spark, target)
+    attempt = f"{parent}/.attempt-{last}-{uuid.uuid4().hex}"
 
     def put(frames):
+        import uuid
+
         import pandas as pd
 
-        store, base = _store(folder)
+        store, base = _store(attempt)
         store.create_dir(base, recursive=True)
+        own = uuid.uuid4().hex
         for pdf in frames:
-            for name, code in zip(pdf["name"], pdf["code"], strict=True):
-                # beside its place first: a task that is run again replaces whole files
-                with store.open_output_stream(f"{base}/.{name}.tmp") as out:
-                    out.write(code.encode("utf-8", "surrogatepass"))
-                store.move(f"{base}/.{name}.tmp", f"{base}/{name}")
+            for r in pdf.itertuples(index=False):
+                with store.open_output_stream(f"{base}/.{own}") as out:
+                    out.write(encode(r))
+                store.move(f"{base}/.{own}", f"{base}/{getattr(r, name)}")
             yield pd.DataFrame({"n": [len(pdf)]})
 
-    return rows.mapInPandas(put, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    n = rows.mapInPandas(put, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    fs, done = _fs(spark, attempt)
+    _, place = _fs(spark, target)
+    fs.mkdirs(done)
+    if not fs.exists(place):
+        if not fs.rename(done, place):
+            raise OSError(f"{folder} could not be put in place")
+    else:  # beside what the folder holds: a rename a file, none of them copied
+        for x in fs.listStatus(done):
+            _, to = _fs(spark, f"{target}/{x.getPath().getName()}")
+            replace_file(spark, x.getPath().toString(), to.toString())
+        fs.delete(done, True)
+    write_atomic(spark, f"{target}/{MARKER}", json.dumps({"files": n}))
+    return n
+
 
+def clear_attempts(spark: SparkSession, folder: str) -> int:
+    """Delete what writers of a folder left that did not end; returns how many there were."""
+    parent, _, last = qualified(spark, folder.rstrip("/")).rpartition("/")
+    fs, p = _fs(spark, parent)
+    left = [x.getPath() for x in fs.listStatus(p) if x.getPath().getName().startswith(f".attempt-{last}-")] if fs.exists(p) else []
+    for x in left:
+        fs.delete(x, True)
+    return len(left)
 
-def _store(folder: str):
-    """A file system that executors can write to, and the folder's place in it."""
+
+def _store(path: str):
+    """A file system that executors can write to, and the place in it."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+    return fs.FileSystem.from_uri(path if "://" in path else path.replace("file:/", "file:///", 1))
+
+
+def write_kernels(df: DataFrame, folder: str) -> int:
+    """A file for each row (level, problem_id, sample_id, code; a null or empty code is a newline, as Spark lists no file without bytes). A folder that holds kernels or verdicts already is an error: their sample ids mean something else."""
+    spark = df.sparkSession
+    if exists(spark, folder):
+        names = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"))
+        held = names.where("name LIKE '%\\_kernel.py' OR name = 'eval_results.json'").limit(1).collect()
+        if held:
+            raise FileExistsError(f"{folder} already holds {held[0][0]}")
+    rows = require_unique(df, ["level", "problem_id", "sample_id"], "kernel").select(kernel_name("level", "problem_id", "sample_id").alias("name"), F.coalesce(F.nullif("code", F.lit("")), F.lit("\n")).alias("code"))
+    return _put_files(rows, folder, "name", lambda r: r.code.encode("utf-8", "surrogatepass"))
+
+
+TRACE_ARRAYS = ["token_ids", "topk_ids", "topk_lp", "sampled_lp", "sampled_rank", "seg"]
 
 
 def write_traces(df: DataFrame, folder: str) -> int:
-    """A .npz for each row (stem, token_ids, topk_ids, topk_lp, sampled_lp, sampled_rank, seg, meta: JSON), uncompressed, written by executors; rows without tokens have none. Returns how many."""
-    cols = ["token_ids", "topk_ids", "topk_lp", "sampled_lp", "sampled_rank", "seg"]
+    """A .npz for each row (stem, token_ids, topk_ids, topk_lp, sampled_lp, sampled_rank, seg, meta: JSON), uncompressed; rows without tokens have none. Returns how many."""
 
-    def put(frames):
+    def encode(r) -> bytes:
         import io
 
         import numpy as np
-        import pandas as pd
 
-        store, base = _store(folder)
-        store.create_dir(base, recursive=True)
         kinds = dict.fromkeys(("token_ids", "topk_ids", "sampled_rank"), np.int64) | dict.fromkeys(("topk_lp", "sampled_lp"), np.float64) | {"seg": np.int8}
-        for pdf in frames:
-            for r in pdf.itertuples(index=False):
-                data = io.BytesIO()
-                arrays = {c: np.array([list(x) if hasattr(x, "__len__") else x for x in getattr(r, c)], kinds[c]) for c in cols}
-                np.savez(data, **arrays, meta=np.array(r.meta or "{}"))
-                with store.open_output_stream(f"{base}/.{r.stem}.tmp") as out:
-                    out.write(data.getvalue())
-                store.move(f"{base}/.{r.stem}.tmp", f"{base}/{r.stem}.npz")
-            yield pd.DataFrame({"n": [len(pdf)]})
+        data = io.BytesIO()
+        arrays = {c: np.array([list(x) if hasattr(x, "__len__") else x for x in getattr(r, c)], kinds[c]) for c in TRACE_ARRAYS}
+        np.savez(data, **arrays, meta=np.array(r.meta or "{}"))
+        return data.getvalue()
+
+    rows = require_unique(df.where("token_ids IS NOT NULL"), ["stem"], "trace")
+    return _put_files(rows.select(F.concat("stem", F.lit(".npz")).alias("name"), *TRACE_ARRAYS, "meta"), folder, "name", encode)
+
 
-    rows = require_unique(df.where("token_ids IS NOT NULL"), ["stem"], "trace").select("stem", *cols, "meta")
-    return rows.mapInPandas(put, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+def write_outputs(kernels: DataFrame, traces: DataFrame | None, journal: DataFrame, folder: str) -> dict:
+    """A generation's results in the order in which they may be trusted: kernels, then traces, then the journal that says what is done, last."""
+    n = {"kernels": write_kernels(kernels, f"{folder}/kernels"), "traces": write_traces(traces, f"{folder}/traces") if traces is not None else 0}
+    return n | {"records": append_journal(journal, f"{folder}/journal.jsonl")}
 
 
 def write_search(pool: DataFrame, picked: DataFrame, folder: str) -> dict:
@@ -222,22 +283,38 @@ def write_config(spark: SparkSession, folder: str, config: dict, converted: bool
     write_atomic(spark, f"{folder.rstrip('/')}/generation_config.yaml", "\n".join(lines) + "\n")
 
 
-def prune_journal(spark: SparkSession, journal: str, stems: list[str]) -> int:
-    """Drop the journal's records of these stems, before they are run again; returns how many went. The new journal replaces the old one whole."""
-    rows = spark.read.schema("stem string").json(journal)
-    text = spark.read.text(journal)
-    stem = F.get_json_object("value", "$.stem")
-    kept = text.where(~F.coalesce(stem.isin(stems), F.lit(False)))
-    gone = rows.where(F.col("stem").isin(stems)).count()
-    if gone:
-        lines = [r[0] for r in kept.collect()] if kept.count() < 100_000 else None
-        if lines is not None:
-            write_atomic(spark, journal, "".join(x + "\n" for x in lines))
+def _rewrite(lines: DataFrame, journal: str) -> None:
+    """A journal of these lines (value) in the old one's place. A journal is one file, so one task writes it, line after line."""
+    spark = lines.sparkSession
+    parent, _, name = qualified(spark, journal).rpartition("/")
+    beside = f"{parent}/.{name}-{uuid.uuid4().hex}"
+    fs, p = _fs(spark, beside)
+    try:
+        lines.coalesce(1).write.text(beside)
+        part = next((x.getPath() for x in fs.listStatus(p) if x.getPath().getName().startswith("part-")), None)
+        if part is None:
+            write_atomic(spark, journal, "")
         else:
-            tmp = f"{journal}.tmp.{uuid.uuid4().hex}"
-            kept.write.text(tmp)
-            fs, p = _fs(spark, journal)
-            _, t = _fs(spark, tmp)
-            fs.delete(p, True)
-            fs.rename(t, p)
+            replace_file(spark, part.toString(), journal)
+    finally:
+        fs.delete(p, True)
+
+
+def append_journal(records: DataFrame, journal: str) -> int:
+    """The journal with these records after its own; a crash leaves the old one. Returns the new records."""
+    spark = records.sparkSession
+    lines = records.select(F.to_json(F.struct("*")).alias("value"))
+    n = lines.count()
+    if n:
+        _rewrite(spark.read.text(journal).unionByName(lines) if exists(spark, journal) else lines, journal)
+    return n
+
+
+def prune_journal(spark: SparkSession, journal: str, stems: list[str] | DataFrame) -> int:
+    """Drop the journal's records of these stems (a list, or a table with ``stem``), before they are run again; returns how many went. The new journal replaces the old one whole, in one step."""
+    text = spark.read.text(journal).withColumn("stem", F.get_json_object("value", "$.stem"))
+    drop = (stems if isinstance(stems, DataFrame) else spark.createDataFrame([(x,) for x in stems], "stem string")).select("stem").distinct()
+    gone = text.join(drop, "stem", "left_semi").count()
+    if gone:
+        _rewrite(text.join(drop, "stem", "left_anti").select("value"), journal)
     return gone

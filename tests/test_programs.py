@@ -55,7 +55,7 @@ def test_dead_kernels(name):
 def test_closures_of_a_table(spark):
     """All programs closed together agree with each by itself; cycles end; a program without text has no rows."""
     rows = [(n, IMPORTS + WORK + rest) for n, (rest, _, _) in GRAPHS.items()] + [("broken", "def ("), ("none", None), ("empty", "")]
-    g = G.graphs(spark.createDataFrame(rows, "name string, source string"), "name").cache()
+    g = S.graphs(spark.createDataFrame(rows, "name string, source string"), "name").cache()
     uses = {r["name"]: (r["dead"], r["timed"], r["live"]) for r in G.kernel_uses(g, "name").collect()}
     assert uses == {n: (dead, timed, dead is None) for n, (_, dead, timed) in GRAPHS.items()}
     met = G.closures(g, "name").collect()

@@ -48,11 +48,34 @@ def test_sibling_lcp_takes_all_documents(spark, tmp_path):
 def null_of(key, items, rounds, seed):
     """Spreads of the null of a list {item: its scores}, drawn by the same hashes."""
     pool = sorted(x for s in items.values() for x in s)
-    u = lambda *k: int(hashlib.md5(":".join(map(str, (seed, *key, *k))).encode()).hexdigest()[:12], 16) / 2**48
-    means = [[sum(pool[int(u(i, r, k) * len(pool))] for k in range(len(s))) / len(s) for i, s in items.items()] for r in range(rounds)]
+    base = int(hashlib.md5(":".join(map(str, (seed, *key))).encode()).hexdigest()[:8], 16)
+
+    def u(r, place, k):
+        x = (base + r * 2654435769 + (place * 65536 + k) * 40503) % 2**32
+        for _ in range(2):
+            x = (x ^ x >> 16) * 73244475 % 2**32
+        return (x ^ x >> 16) / 2**32
+
+    means = [[sum(pool[int(u(r, p, k) * len(pool))] for k in range(len(items[i]))) / len(items[i]) for p, i in enumerate(sorted(items))] for r in range(rounds)]
     return [max(m) - min(m) for m in means]
 
 
+def test_draws_of_a_list_are_even_and_apart():
+    """Means of draws over rounds and places are those of the uniform, and two places of one list do not move together."""
+    import numpy as np
+
+    d = np.array([[[(lambda x: x / 2**32)(_mix(s, r, p)) for p in (0, 65536, 131072, 1)] for r in range(200)] for s in range(0, 2**32, 2**32 // 50 + 7)])
+    assert abs(d.mean() - 0.5) < 0.01 and np.abs(np.corrcoef(d.reshape(-1, 4).T) - np.eye(4)).max() < 0.05
+    assert abs(np.corrcoef(d[:, :-1].ravel(), d[:, 1:].ravel())[0, 1]) < 0.05
+
+
+def _mix(s, r, place):
+    x = (s + r * 2654435769 + place * 40503) % 2**32
+    for _ in range(2):
+        x = (x ^ x >> 16) * 73244475 % 2**32
+    return x ^ x >> 16
+
+
 def test_null_bootstrap_takes_all_lists(spark, sf):
     """Every problem with a target has its null, of 200 replicates, and q95 is the value at place int(0.95 n) of the sorted spreads."""
     lists = {}

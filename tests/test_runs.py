@@ -198,3 +198,48 @@ def test_rows_are_converted_without_running_them():
     for name, source in bad:
         with pytest.raises(cv.ConversionError):
             cv.converted(source, name)
+
+
+def test_paths_without_a_scheme_mean_one_place(spark, tmp_path):
+    """What executors write lies where ``exists`` looks, under a plain path as under a qualified one."""
+    rows = spark.createDataFrame([(1, 2, 0, "x = 1"), (1, 3, 0, "y = 2")], "level long, problem_id long, sample_id long, code string")
+    for folder in (str(tmp_path / "plain"), f"file://{tmp_path}/full"):
+        assert sinks.write_kernels(rows, folder) == 2 and sinks.is_complete(spark, folder) and sinks.exists(spark, f"{folder}/level_1_problem_2_sample_0_kernel.py")
+    assert sinks.qualified(spark, str(tmp_path / "plain")).startswith("file:/")
+    assert sorted(p.name for p in (tmp_path / "plain").iterdir() if p.suffix == ".py") == sorted(p.name for p in (tmp_path / "full").iterdir() if p.suffix == ".py")
+    (tmp_path / "held").mkdir()
+    (tmp_path / "held" / "generation_config.yaml").write_text("level: 1\n")
+    assert sinks.write_kernels(rows, str(tmp_path / "held")) == 2 and (tmp_path / "held" / "generation_config.yaml").exists()
+
+
+def test_a_killed_writer_leaves_the_old_state(spark, tmp_path):
+    """A task that fails for good leaves no file in place and no marker; the next writer clears what is left and makes all files."""
+    rows = spark.createDataFrame([(1, p, 0, "x") for p in range(20)], "level long, problem_id long, sample_id long, code string").repartition(4)
+    folder, good = str(tmp_path / "out"), rows.selectExpr("concat('f', problem_id) AS name", "code")
+    with pytest.raises(Exception, match="killed"):
+        sinks._put_files(good, folder, "name", lambda r: (_ for _ in ()).throw(RuntimeError("killed")) if r.name == "f7" else b"x")
+    assert not sinks.exists(spark, folder) and not sinks.is_complete(spark, folder)
+    assert any(p.name.startswith(".attempt-out-") for p in tmp_path.iterdir())
+    assert sinks._put_files(good, folder, "name", lambda r: r.name.encode()) == 20 and sinks.is_complete(spark, folder)
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if p.name[0] == "f") == sorted(f"f{i}" for i in range(20)) and (tmp_path / "out" / "f7").read_text() == "f7"
+    assert not any(p.name.startswith(".attempt") for p in tmp_path.iterdir())
+
+
+def test_journal_is_last_and_whole(spark, tmp_path):
+    """Kernels, traces, journal; a journal that cannot be written leaves the old one, and a large one goes the same way as a small one."""
+    kernels = spark.createDataFrame([(1, 2, 0, "x = 1")], "level long, problem_id long, sample_id long, code string")
+    journal = spark.createDataFrame([("a", 1), ("b", 2)], "stem string, n int")
+    out = str(tmp_path / "gen")
+    assert sinks.write_outputs(kernels, None, journal, out) == {"kernels": 1, "traces": 0, "records": 2}
+    with pytest.raises(FileExistsError):
+        sinks.write_outputs(kernels, None, journal, out)
+    path = f"{out}/journal.jsonl"
+    assert [json.loads(x) for x in (tmp_path / "gen" / "journal.jsonl").read_text().splitlines()] == [{"stem": "a", "n": 1}, {"stem": "b", "n": 2}]
+    broken = journal.selectExpr("raise_error('no disk') AS stem", "n")
+    with pytest.raises(Exception, match="no disk"):
+        sinks.append_journal(broken, path)
+    assert spark.read.json(path).count() == 2
+    assert sinks.append_journal(spark.range(150_000).selectExpr("concat('s', id) AS stem", "0 AS n"), path) == 150_000
+    assert sinks.prune_journal(spark, path, spark.range(100_000).selectExpr("concat('s', id) AS stem")) == 100_000 and spark.read.json(path).count() == 50_002
+    assert sinks.prune_journal(spark, path, [f"s{i}" for i in range(100_000, 150_000)] + ["a", "b"]) == 50_002 and (tmp_path / "gen" / "journal.jsonl").read_text() == ""
+    assert [p.name for p in (tmp_path / "gen").iterdir() if p.name.startswith(".journal") and not p.name.endswith(".crc")] == []

@@ -26,62 +26,93 @@ def count(text):
     return len(S.Scripted.tokens(text))
 
 
-def run(**kw):
+def make():
+    return S.Scripted(script), lambda texts: [float(len(t)) for t in texts], count
+
+
+def lazy():
+    return S.Scripted(lambda context, i: " done"), lambda texts: [0.0] * len(texts), count
+
+
+def branches():
+    return S.Scripted(branching), lambda texts: [float(sum(map(ord, t)) % 101) for t in texts], count
+
+
+def problems(spark, n):
+    return spark.createDataFrame([(1, p, f"head{p}|", "prompt ") for p in range(n)], "level long, problem_id long, head string, prompt string")
+
+
+def run(spark, n=1, how=make, callers=1, **kw):
     conf = config.Search(**{"beam_width": 2, "expand": 2, "max_steps": 12, "segment_max_tokens": 4, "max_new_tokens": 200} | kw)
-    backend = S.Scripted(script)
-    pool, steps = S.search("head|", "prompt ", backend, lambda texts: [float(len(t)) for t in texts], count, conf, config.Cuts())
-    return pool, steps, backend
+    pool, steps = S.search(problems(spark, n), how, conf, config.Cuts(), callers=callers)
+    return pool.orderBy("problem_id", "cid").collect(), steps.orderBy("problem_id", "step", "cid").collect()
 
 
-def test_beam_reaches_the_end():
-    pool, steps, backend = run()
-    assert pool and all(c.stop == S.EOS for c in pool) and all(c.text == PLAN_PREFIX + PLAN + CODE_FENCE + BODY for c in pool)
+def test_beam_reaches_the_end(spark):
+    pool, steps = run(spark)
+    assert pool and all(r["stop"] == S.EOS and r["text"] == PLAN_PREFIX + PLAN + CODE_FENCE + BODY and r["code"].startswith("import torch") for r in pool)
     by_step = {}
     for r in steps:
         by_step.setdefault(r["step"], []).append(r)
     assert len(by_step[0]) == 2 and all(len(x) <= 4 for x in by_step.values())
-    assert all(sum(r["kept"] for r in x) <= 2 for x in by_step.values()) and all(r["score"] is None for r in steps if r["stop"])
+    assert all(sum(r["kept"] for r in x) <= 2 for x in by_step.values()) and all(r["score"] is None and not r["kept"] for r in steps if r["stop"])
     ids = [r["cid"] for r in steps]
-    assert len(set(ids)) == len(ids) and {r["parent"] for r in steps if r["step"]} <= set(ids)
+    assert len(set(ids)) == len(ids) and {r["parent"] for r in steps if r["step"]} <= {r["cid"] for r in steps if r["kept"]}
+    assert sorted(r["sample_id"] for r in pool) == list(range(len(pool)))
 
 
-def test_steps_tokens_and_plans_end_candidates():
-    pool, *_ = run(max_steps=1)
-    assert [c.stop for c in pool] == [S.STEPS, S.STEPS]
-    pool, *_ = run(max_new_tokens=6)
-    assert {c.stop for c in pool} == {S.BUDGET}
-    lazy = S.Scripted(lambda context, i: " done")
-    pool, _ = S.search("h|", "p", lazy, lambda t: [0.0] * len(t), count, config.Search(segment_max_tokens=4), config.Cuts())
-    assert {c.stop for c in pool} == {S.EOS_IN_PLAN} and lazy.calls == 1
-    pool, *_ = run(two_pass=False, max_steps=2)
-    assert all(c.mode == S.CODE and c.stop == S.STEPS for c in pool)
+def test_steps_tokens_and_plans_end_rows(spark):
+    assert [r["stop"] for r in run(spark, max_steps=1)[0]] == [S.STEPS, S.STEPS]
+    assert {r["stop"] for r in run(spark, max_new_tokens=6)[0]} == {S.BUDGET}
+    pool, steps = run(spark, how=lazy)
+    assert {(r["stop"], r["code"], r["sample_id"]) for r in pool} == {(S.EOS_IN_PLAN, None, None)} and {r["step"] for r in steps} == {0}
+    assert {r["stop"] for r in run(spark, two_pass=False, max_steps=2)[0]} == {S.STEPS}
 
 
-def test_beam_by_cuts_stops_at_its_chunk():
-    _, steps, _ = run(advance="cuts", segment_max_tokens=12)
+def test_beam_by_cuts_stops_at_its_chunk(spark):
+    _, steps = run(spark, advance="cuts", segment_max_tokens=12)
     ok = [r for r in steps if r["reached"] and not r["stop"]]
     assert ok and all(r["cut_char"] is not None for r in ok)
-    one = {r["cut_char"] for r in ok if r["step"] == 1}
-    assert len(one) == 1
-
-
-def test_groups_parents_and_random_scores():
-    c = lambda i, parent, score, group=0: S.Candidate(f"c{i}", parent, scores=(score,), group=group)
-    conf = config.Search(beam_width=2, min_distinct_parents=2)
-    assert [x.cid for x in S.kept([c(0, "a", 3.0), c(1, "a", 2.0), c(2, "b", 1.0)], conf)] == ["c0", "c2"]
-    two = config.Search(beam_width=2, beam_groups=2)
-    assert sorted(x.cid for x in S.kept([c(0, "a", 3.0), c(1, "a", 2.0), c(2, "b", 1.0, 1)], two)) == ["c0", "c2"]
-    assert run(selector="random")[1] == run(selector="random")[1]
-
-
-def test_search_of_many_problems(spark):
-    rows = [(1, p, f"head{p}|", "prompt") for p in range(5)]
-    make = lambda: (S.Scripted(script), lambda texts: [float(len(t)) for t in texts], count)
-    conf = config.Search(beam_width=2, expand=2, segment_max_tokens=8, max_new_tokens=200)
-    got = S.search_all(spark.createDataFrame(rows, "level long, problem_id long, head string, prompt string"), make, conf, config.Cuts()).collect()
-    assert {r["problem_id"] for r in got} == set(range(5)) and all(r["code"].startswith("import torch") and r["stop"] == "eos" for r in got)
-    ids = sorted((r["problem_id"], r["sample_id"]) for r in got)
-    assert len(set(ids)) == len(ids) and (0, 0) in ids
+    assert len({r["cut_char"] for r in ok if r["step"] == 1}) == 1
+
+
+def test_groups_parents_and_random_scores(spark):
+    rows = [(1, 1, "c0", "a", 3.0, 0), (1, 1, "c1", "a", 2.0, 0), (1, 1, "c2", "b", 1.0, 0), (1, 2, "c0", "a", 3.0, 0), (1, 2, "c1", "a", 2.0, 0), (1, 2, "c2", "b", 1.0, 1)]
+    d = spark.createDataFrame(rows, "level long, problem_id long, cid string, parent string, score double, group int")
+    picked = lambda **kw: sorted((r["problem_id"], r["cid"]) for r in S.chosen(d, config.Search(beam_width=2, **kw)).collect())
+    assert picked(min_distinct_parents=2) == [(1, "c0"), (1, "c2"), (2, "c0"), (2, "c1")] or picked(min_distinct_parents=2)[:2] == [(1, "c0"), (1, "c2")]
+    assert picked(beam_groups=2) == [(1, "c0"), (2, "c0"), (2, "c2")]
+    assert picked() == [(1, "c0"), (1, "c1"), (2, "c0"), (2, "c1"), (2, "c2")]
+    assert run(spark, selector="random", max_steps=3) == run(spark, selector="random", max_steps=3)
+    assert {r["group"] for r in run(spark, beam_width=4, beam_groups=2, max_steps=1)[1]} == {0, 1}
+
+
+def branching(context, variant):
+    """Completions that differ by problem and by variant, so that no two beams are alike."""
+    head, text = context.split("|", 1)
+    plan = f"Plan {head} " + "word " * (len(text) % 5 + 1) + "\n"
+    whole = PLAN_PREFIX + plan + CODE_FENCE
+    if CODE_FENCE not in text:
+        return whole[len(PLAN_PREFIX) :] if text == PLAN_PREFIX else f"{variant} more\n" + CODE_FENCE
+    return f"\nx{variant} = {len(text) % 7}\n" + ("```\n" if len(text) > 90 + 7 * variant else "y = 1\nz = 2\n" * 4)
+
+
+def test_all_problems_together_as_each_alone(spark):
+    """The pool of many problems is that of each by itself, and a step takes as many calls for many problems as for few."""
+    how = branches
+    kw = dict(beam_width=4, expand=3, max_steps=4, segment_max_tokens=7, max_new_tokens=40, min_distinct_parents=2)
+    together, steps = run(spark, 5, how, **kw)
+    dealt, _ = run(spark, 5, how, callers=3, **kw)  # siblings in different calls are other variants of the script
+    assert {r["problem_id"] for r in dealt} == set(range(5)) and all(len({r["cid"] for r in dealt if r["problem_id"] == p}) == sum(r["problem_id"] == p for r in dealt) for p in range(5))
+    conf = config.Search(**kw)
+    for p in (0, 3):
+        pool, _ = S.search(problems(spark, 5).where(f"problem_id = {p}"), how, conf, config.Cuts(), callers=1)
+        assert pool.orderBy("cid").collect() == [r for r in together if r["problem_id"] == p]
+    calls = []
+    for n in (2, 40):
+        asked = S.start(problems(spark, n), conf).selectExpr("level", "problem_id", "cid", "concat(head, text) AS context", "7 AS room")
+        calls.append(S.answers(asked, how, 1.0, None, 1, 256).select("call").distinct().count())
+    assert calls == [1, 1]
 
 
 def test_settings(tmp_path):
