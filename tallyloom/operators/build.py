@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from ..sources.scratch import written
 
 PROBLEM = ["level", "problem_id"]
 
@@ -240,49 +241,52 @@ def require_unique(df: DataFrame, key: list[str], what: str) -> DataFrame:
     return df
 
 
-def quantiles(df: DataFrame, column: str, qs: list[float], limit: int = 10_000) -> list[float]:
-    """Exact quantiles with linear interpolation; [] without values. Counts of equal ranges find the range of each place, which is divided again until few distinct values are left to fetch: no task, and not the driver, holds them all."""
+def quantiles(df: DataFrame, column: str, qs: list[float], buckets: int = 1024) -> list[float]:
+    """Exact quantiles with linear interpolation; [] without values.
+
+    The column is written once. Then all places are looked for together: a round counts equal ranges of each open
+    range and keeps those that hold a place, until a range holds one value. A round is one scan of one column, a few
+    rounds are enough, and no task, and not the driver, holds the values.
+    """
     v = F.col(column).cast("double")
-    rows = df.select(v.alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
-    n, lo, hi = rows.agg(F.count(F.lit(1)), F.min("v"), F.max("v")).first()
+    rows = written(df.select(v.alias("v")).where("v IS NOT NULL AND NOT isnan(v)"), "values")
+    finite = F.when(F.abs("v") < float("inf"), F.col("v"))
+    n, least, most = rows.agg(F.count(F.lit(1)), F.coalesce(F.min(finite), F.lit(0.0)), F.coalesce(F.max(finite), F.lit(0.0))).first()
     if not n:
         return []
-
-    def at(place: int, lo: float, hi: float, before: int) -> float:
-        """The value at a place of the sorted rows, which is in [lo, hi] after ``before`` smaller ones."""
-        while True:
-            inside = rows.where(F.col("v").between(lo, hi))
-            few = inside.groupBy("v").agg(F.count(F.lit(1)).alias("c")).limit(limit + 1).collect() if lo < hi else []
-            if lo == hi:
-                return lo
-            if len(few) <= limit:
-                seen = before
-                for r in sorted(few):
-                    seen += r["c"]
-                    if place < seen:
-                        return r["v"]
-            step = F.least(F.floor((F.col("v") - lo) / (hi - lo) * 1024), F.lit(1023))
-            cut = sorted(inside.groupBy(step.alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect())  # 1024 ranges at most
-            for r in cut:
-                if place < before + r["c"]:
-                    lo, hi = r["lo"], r["hi"]
+    open_ = {(float("-inf"), float("inf")): (least, most, 0)}  # range to its finite ends and the rows before it
+    at = {p: (float("-inf"), float("inf")) for q in qs for p in (int(q * (n - 1)), min(int(q * (n - 1)) + 1, n - 1))}
+    value: dict[int, float] = {}
+    while at:
+        ranges = sorted({r for p, r in at.items()})
+        which = F.lit(None).cast("int")
+        bucket = F.lit(None).cast("int")
+        for i, (lo, hi) in enumerate(ranges):
+            a, b, _ = open_[lo, hi]
+            inside = F.col("v").between(lo, hi)
+            place = F.when(F.col("v") < a, -1).when(F.col("v") > b, buckets).otherwise(F.least(F.floor((F.col("v") - a) / (b - a or 1.0) * buckets), F.lit(buckets - 1)).cast("int"))
+            which, bucket = F.when(inside, i).otherwise(which), F.when(inside, place).otherwise(bucket)
+        found = rows.select(which.alias("i"), bucket.alias("b"), "v").where("i IS NOT NULL").groupBy("i", "b").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()  # buckets + 2 a range at most
+        cut: dict[int, list] = {}
+        for r in sorted(found):
+            cut.setdefault(r["i"], []).append(r)
+        for p in list(at):
+            i = ranges.index(at[p])
+            before = open_[at[p]][2]
+            for r in cut[i]:
+                if p < before + r["c"]:
                     break
                 before += r["c"]
-
-    places = {p for q in qs for p in (int(q * (n - 1)), min(int(q * (n - 1)) + 1, n - 1))}
-    small = rows.groupBy("v").agg(F.count(F.lit(1)).alias("c")).limit(limit + 1).collect()
-    value = {}
-    if len(small) <= limit:
-        seen, wanted = 0, sorted(places)
-        for r in sorted(small):
-            seen += r["c"]
-            while wanted and wanted[0] < seen:
-                value[wanted.pop(0)] = r["v"]
-    else:
-        value = {p: at(p, lo, hi, 0) for p in sorted(places)}
+            if r["lo"] == r["hi"]:
+                value[p] = r["lo"]
+                del at[p]
+            else:
+                at[p] = r["lo"], r["hi"]
+                open_[at[p]] = r["lo"], r["hi"], before
     out = []
     for q in qs:
         i = int(q * (n - 1))
         a, b = value[i], value[min(i + 1, n - 1)]
-        out.append(a + (b - a) * (q * (n - 1) - i))
+        part = q * (n - 1) - i
+        out.append(a + (b - a) * part if part and a != b else a)
     return out

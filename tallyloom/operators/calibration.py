@@ -5,7 +5,7 @@ from __future__ import annotations
 import bisect
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .build import quantiles
@@ -77,38 +77,29 @@ def fit_curve(anchors: DataFrame, score: str = "score", target: str = "target",
     return Curve([r["x"] for r in rows], fit, [fill if v is None else v for v in var], [r["n"] for r in rows])
 
 
-def _solve(x: list[float], y: list[float], clamp: float, steps: int = 60):
-    """Bisection of all problems of a batch at once, as arrays; see ``solve_offsets``."""
-
-    def run(frames):
-        import numpy as np
-
-        for pdf in frames:
-            size = np.array([len(s) for s in pdf["s"]], np.int64)
-            s = np.concatenate([np.asarray(v, float) for v in pdf["s"]]) if len(pdf) else np.zeros(0)
-            of, want = np.repeat(np.arange(len(pdf)), size), pdf["t"].to_numpy(float)
-            curve = lambda c: np.interp(s + c[of], x, y)  # noqa: E731, B023
-            off = lambda c: np.bincount(of, curve(c), len(pdf)) - want  # noqa: E731, B023
-            lo, hi = np.full(len(pdf), -clamp), np.full(len(pdf), clamp)
-            low, high = off(lo) >= 0, off(hi) <= 0
-            for _ in range(steps):
-                mid = (lo + hi) / 2
-                under = off(mid) < 0
-                lo, hi = np.where(under, mid, lo), np.where(under, hi, mid)
-            raw = np.where(low, -clamp, np.where(high, clamp, (lo + hi) / 2))
-            q = curve(raw)
-            info = np.bincount(of, q * (1 - q), len(pdf))
-            var = np.where(info > 0, 1 / np.where(info > 0, info, 1.0), NO_INFO)
-            yield pdf.assign(raw=raw, var=var, clamped=low | high).drop(columns=["s", "t"])
-
-    return run
-
-
 def solve_offsets(anchors: DataFrame, curve: Curve, clamp: float = 3.0) -> DataFrame:
-    """(problem, n, raw, var, clamped): the shift that makes a problem's curve values sum to its targets (an end of +-clamp where none does), and the variance that the curve's slope there leaves it."""
-    # anchors of a problem are its samples: tens
-    g = anchors.groupBy(*PROBLEM).agg(F.collect_list(F.col("score").cast("double")).alias("s"), F.sum("target").alias("t"), F.count(F.lit(1)).alias("n"))
-    return g.mapInPandas(_solve(curve.x, curve.y, clamp), "level long, problem_id long, n long, raw double, var double, clamped boolean")
+    """(problem, n, raw, var, clamped): the least shift within +-clamp that makes a problem's curve values sum to its targets (an end where none does), and the variance that the curve's slope there leaves it.
+
+    The sum is linear between the shifts that bring a score onto a knot. Running sums of the changes of slope, in order of these shifts, give its value at each, so the shift is read off the one stretch in which the sum passes the targets.
+    """
+    x, y = curve.x, curve.y
+    slope = [(d - c) / (b - a) if b > a else 0.0 for a, b, c, d in zip(x, x[1:], y, y[1:], strict=False)]
+    turns = [(k, m - l) for k, l, m in zip(x, [0.0, *slope], [*slope, 0.0], strict=True)]
+    s = F.col("score").cast("double")
+    a = anchors.select(*PROBLEM, s.alias("score"), F.col("target").cast("double").alias("target"))
+    whole = a.groupBy(*PROBLEM).agg(F.count(F.lit(1)).alias("n"), F.sum("target").alias("t"), F.sum(curve.column(F.col("score") - clamp)).alias("low"), F.sum(curve.column(F.col("score") + clamp)).alias("high"))
+    # a problem's turns are its anchors by the curve's knots: tens by ten
+    b = a.select(*PROBLEM, F.col("score").alias("s"), F.explode(F.array(*(F.struct(F.lit(k).alias("x"), F.lit(m).alias("turn")) for k, m in turns))).alias("k")).select(*PROBLEM, (F.col("k.x") - F.col("s")).alias("c"), F.col("k.turn").alias("turn"))
+    before = Window.partitionBy(*PROBLEM).orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
+    b = b.withColumns({"m": F.coalesce(F.sum("turn").over(before), F.lit(0.0)), "o": F.coalesce(F.sum(F.col("turn") * F.col("c")).over(before), F.lit(0.0)), "from": F.coalesce(F.max("c").over(before), F.col("c"))})
+    passed = b.join(whole, PROBLEM).withColumn("base", F.col("n") * F.lit(y[0])).where(F.col("base") + F.col("m") * F.col("c") - F.col("o") >= F.col("t"))
+    first = passed.groupBy(*PROBLEM).agg(F.min_by(F.struct("m", "o", "from", "base", "c", "t"), "c").alias("f"))
+    at = F.least(F.greatest(F.try_divide(F.col("f.t") - F.col("f.base") + F.col("f.o"), F.col("f.m")), F.col("f.from")), F.col("f.c"))
+    ends = F.when(F.col("low") >= F.col("t"), -clamp).when(F.col("high") <= F.col("t"), clamp)
+    raw = whole.join(first, PROBLEM, "left").select(*PROBLEM, "n", F.coalesce(ends, at, F.col("f.c"), F.lit(float(clamp))).alias("raw"), ends.isNotNull().alias("clamped"))
+    q = curve.column(F.col("score") + F.col("raw"))
+    info = a.join(raw, PROBLEM).groupBy(*PROBLEM, "n", "raw", "clamped").agg(F.sum(q * (1 - q)).alias("info"))
+    return info.select(*PROBLEM, "n", "raw", F.when(F.col("info") > 0, 1 / F.col("info")).otherwise(NO_INFO).alias("var"), "clamped")
 
 
 def spread(o: DataFrame) -> float | None:

@@ -12,6 +12,7 @@ from ..operators import calibration as C
 from ..operators import ranking as R
 from ..operators import traces as T
 from ..sources.adapters import CANDIDATES_SQL, candidates, table, target_sql
+from ..sources.scratch import written
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -30,6 +31,12 @@ def query(sql: str | None = None):
     return add
 
 
+def _interp(v: str) -> str:
+    """SQL of a curve (arrays xs, ys) at a value: linear between knots, flat outside."""
+    at = f"greatest(1, len(list_filter(xs, lambda z: z <= {v})))"
+    return f"(CASE WHEN {v} <= xs[1] THEN ys[1] WHEN {v} >= xs[len(xs)] THEN ys[len(ys)] ELSE ys[{at}] + (ys[{at} + 1] - ys[{at}]) * ({v} - xs[{at}]) / (xs[{at} + 1] - xs[{at}]) END)"
+
+
 def _graded(c: DataFrame, **scale: float) -> DataFrame:
     return c.withColumn("target", L.target(F.col("label"), F.col("speedup"), **scale))
 
@@ -253,10 +260,15 @@ def _anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _graded(candidates(spark, sf_dir)).where("target IS NOT NULL").select(*P, "sample_id", F.col("orm").alias("score"), "target")
 
 
+def _kept_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, written once: fits read them several times."""
+    return written(_anchors(spark, sf_dir), "anchors")
+
+
 @query(f"""{WITH}, a AS (SELECT orm AS score, {target_sql()} AS target FROM candidates), f AS (SELECT * FROM a WHERE target IS NOT NULL), q AS (SELECT quantile_cont(score, [0.2, 0.4, 0.6, 0.8]) AS e FROM f)
  SELECT band::INT AS band, count(*) AS n, avg(score) AS x, avg(target) AS y FROM (SELECT score, target, len(list_filter(e, lambda v: score >= v)) AS band FROM f, q) GROUP BY band""")
 def calibration_bands(spark, sf_dir):
-    return C.bands(_anchors(spark, sf_dir), "score", 5).groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("x"), F.avg("target").alias("y"))
+    return C.bands(_kept_anchors(spark, sf_dir), "score", 5).groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("x"), F.avg("target").alias("y"))
 
 
 @query(f"""{WITH}, a AS (SELECT orm AS score, {target_sql()} AS target FROM candidates), f AS (SELECT * FROM a WHERE target IS NOT NULL), q AS (SELECT quantile_cont(score, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM f),
@@ -267,19 +279,39 @@ def calibration_bands(spark, sf_dir):
  v AS (SELECT m.band, x, fit, CASE WHEN n >= 2 THEN greatest(0.0::DOUBLE, yy - 2 * fit * y + fit * fit) END AS var, n FROM m JOIN y USING (band))
  SELECT band::INT AS band, x, fit AS y, coalesce(var, (SELECT avg(var) FROM v), 0) AS var, n FROM v""")
 def isotonic_curve(spark, sf_dir):
-    c = C.fit_curve(_anchors(spark, sf_dir), n_bands=10)
+    c = C.fit_curve(_kept_anchors(spark, sf_dir), n_bands=10)
     return spark.createDataFrame([(i, *map(float, r), n) for i, (*r, n) in enumerate(zip(c.x, c.y, c.var, c.n, strict=True))], "band int, x double, y double, var double, n long")
 
 
-@query()
+#: The curve of ten bands, each problem's offset by the turns of its sum, and the shrunken offsets.
+OFFSETS_SQL = f"""{ORACLES["isotonic_curve"].rsplit("SELECT band::INT AS band, x, fit AS y", 1)[0].rstrip()},
+ cv AS (SELECT band, x, fit AS y, coalesce(var, (SELECT avg(var) FROM v), 0) AS var, row_number() OVER (ORDER BY band) AS k FROM v),
+ kn AS (SELECT list(x ORDER BY k) AS xs, list(y ORDER BY k) AS ys, list(var ORDER BY k) AS vs FROM cv),
+ sl AS (SELECT x, y, coalesce((lead(y) OVER (ORDER BY k) - y) / (lead(x) OVER (ORDER BY k) - x), 0) AS m, k FROM cv),
+ tn AS (SELECT x, m - coalesce(lag(m) OVER (ORDER BY k), 0) AS turn FROM sl),
+ an AS (SELECT level, problem_id, orm AS score, {target_sql()} AS target FROM candidates), ao AS (SELECT * FROM an WHERE target IS NOT NULL),
+ wh AS (SELECT level, problem_id, count(*) AS n, sum(target) AS t, sum({_interp("score - 3")}) AS low, sum({_interp("score + 3")}) AS high FROM ao, kn GROUP BY ALL),
+ br AS (SELECT level, problem_id, x - score AS c, turn FROM ao, tn),
+ cu AS (SELECT *, coalesce(sum(turn) OVER w, 0) AS m, coalesce(sum(turn * c) OVER w, 0) AS o, coalesce(max(c) OVER w, c) AS start FROM br WINDOW w AS (PARTITION BY level, problem_id ORDER BY c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ fi AS (SELECT level, problem_id, min_by({{'m': m, 'o': o, 's': start, 'c': c, 'b': n * ys[1]}}, c) AS f FROM cu JOIN wh USING (level, problem_id), kn WHERE n * ys[1] + m * c - o >= t GROUP BY ALL),
+ ra AS (SELECT level, problem_id, n, low >= t OR high <= t AS clamped, CASE WHEN low >= t THEN -3.0::DOUBLE WHEN high <= t THEN 3.0::DOUBLE ELSE least(greatest((t - f.b + f.o) / f.m, f.s), f.c) END AS raw FROM wh LEFT JOIN fi USING (level, problem_id)),
+ iq AS (SELECT level, problem_id, {_interp("score + raw")} AS q FROM ao JOIN ra USING (level, problem_id), kn),
+ inf AS (SELECT level, problem_id, sum(q * (1 - q)) AS info FROM iq GROUP BY ALL),
+ so AS (SELECT level, problem_id, n, raw, clamped, CASE WHEN info > 0 THEN 1 / info ELSE 1e6 END AS var FROM ra JOIN inf USING (level, problem_id)),
+ ta AS (SELECT greatest(0, var_pop(raw) - avg(var)) AS tau2 FROM so WHERE NOT clamped AND var < 1e6),
+ os AS (SELECT level, problem_id, n, raw, var, CASE WHEN tau2 + var > 0 THEN tau2 / (tau2 + var) ELSE 0 END AS shrink FROM so, ta)"""
+
+
+@query(f"{OFFSETS_SQL} SELECT level, problem_id, n, raw, var, shrink, raw * shrink AS c FROM os")
 def problem_offsets(spark, sf_dir):
-    a = _anchors(spark, sf_dir)
+    a = _kept_anchors(spark, sf_dir)
     return C.fit_offsets(a, C.fit_curve(a, n_bands=10)).drop("clamped")
 
 
-@query()
+@query(f"""{OFFSETS_SQL}, im AS (SELECT level, problem_id, {_interp("score + raw * shrink")} AS v, vs[least(greatest(len(list_filter(xs, lambda z: score + raw * shrink >= z)), 1), len(xs))] AS var FROM ao JOIN (SELECT level, problem_id, raw, shrink FROM os) USING (level, problem_id), kn)
+SELECT level, problem_id, avg(v) AS v, sqrt(var_pop(v) / count(*) + avg(var)) AS se, count(*) AS n FROM im GROUP BY ALL""")
 def imputed_values(spark, sf_dir):
-    a = _anchors(spark, sf_dir)
+    a = _kept_anchors(spark, sf_dir)
     curve = C.fit_curve(a, n_bands=10)
     return C.impute(a, curve, C.fit_offsets(a, curve), P)
 
