@@ -152,3 +152,44 @@ def prompts(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.parquet(f"{out}/{PROMPTS}").select("system_prompt_sha1", "system_prompt").distinct()
 
 
+
+
+#: Truncated attempts that a sound corpus has at most, and points by which keeping rows may move the rate of correct ones.
+MAX_TRUNCATED, MAX_SHIFT_POINTS = 100, 0.5
+
+
+def corpus_checks(spark: SparkSession, out: str, roots: list[str], labels: Labels | None = None, cuts: Cuts | None = None, splits: DataFrame | None = None, max_shards: int | None = None) -> DataFrame:
+    """(check, ok, detail): whether a built corpus may be used. What the manifest says is held against the rows on disk and against the run folders: one pass over the rows, one over the verdicts, small joins for prompts and splits."""
+    m = json.loads(sinks.read_text(spark, f"{out}/{MANIFEST}") or "{}")
+    counts, was = m.get("counts", {}), m.get("config", {})
+    knobs = {**asdict(labels or Labels()), **asdict(cuts or Cuts())}
+    moved = sorted(k for k, v in knobs.items() if was.get(k) != v)
+    rows = corpus_rows(spark, out)
+    t = F.col("target")
+    on_scale = F.when(F.col("label") == 1, t.between(0.5, 1.0)).otherwise(t == 0.0)
+    one = rows.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size("cuts")), F.lit(0)).alias("cuts"), F.count_if("correct").alias("correct"), F.count_if(~on_scale).alias("off_scale"), F.count_if((t > 0) & (t < 0.5)).alias("band")).first()
+    units = runs.units(spark, roots, max_shards).where("skipped IS NULL")
+    found = units.count()
+    every = labelled(spark, units).agg(F.count(F.lit(1)).alias("attempts"), F.count_if("matched").alias("graded"), F.count_if(F.col("matched") & F.col("correct")).alias("correct")).first()
+    percent = lambda n, d: 100.0 * n / d if d else 0.0
+    shift = percent(one["correct"], one["rows"]) - percent(every["correct"], every["graded"])
+    lost = rows.select("system_prompt_sha1").distinct().join(prompts(spark, out), "system_prompt_sha1", "left_anti").count()
+    problems = rows.select("level", "problem_id").distinct()
+    unsplit = problems.join(splits.select("level", "problem_id"), ["level", "problem_id"], "left_anti").count() if splits is not None else None
+    unjoined = counts.get("no_eval_entry", 0)
+    checks = [
+        ("report config matches the build's", not moved, f"moved: {', '.join(moved) or 'none'}"),
+        ("rows on disk match the manifest", one["rows"] == counts.get("rows", 0), f"{one['rows']} on disk, {counts.get('rows', 0)} in the manifest"),
+        ("cuts on disk match the manifest", one["cuts"] == counts.get("cuts", 0), f"{one['cuts']} on disk, {counts.get('cuts', 0)} in the manifest"),
+        ("provenance recorded", bool(m.get("baseline_sha1")), f"baseline {m.get('baseline_sha1')}"),
+        ("one part per unit the config resolves", m.get("parts") == found, f"{m.get('parts')} parts, {found} units"),
+        ("every target on the graded scale", one["off_scale"] == 0, f"{one['off_scale']} rows"),
+        ("nothing in the empty (0, 0.5) band", one["band"] == 0, f"{one['band']} rows"),
+        (f"truncated under {MAX_TRUNCATED}", counts.get("truncated", 0) <= MAX_TRUNCATED, f"{counts.get('truncated', 0)} attempts"),
+        (f"base-rate shift under {MAX_SHIFT_POINTS} points", abs(shift) < MAX_SHIFT_POINTS, f"{shift:+.3f} points"),
+        ("every attempt reconciles with a verdict", every["graded"] == m.get("attempts", 0) - unjoined, f"{every['graded']} verdicts, {m.get('attempts', 0) - unjoined} attempts joined"),
+        ("no attempt is missing its verdict", unjoined == 0, f"{unjoined} attempts"),
+        ("every system prompt resolves", lost == 0, f"{lost} hashes without a text"),
+        ("every problem has a split", unsplit == 0, "no splits" if unsplit is None else f"{unsplit} problems without one"),
+    ]
+    return spark.createDataFrame(checks, "check string, ok boolean, detail string")

@@ -93,3 +93,28 @@ def test_a_killed_build_is_built_anew(spark, run, monkeypatch):
             build(spark, run)
     assert sinks.exists(spark, str(tmp / "corpus" / "parts")) and not sinks.exists(spark, str(tmp / "corpus" / "records"))
     assert build(spark, run)["counts"]["rows"] == 2 and corpus.corpus_rows(spark, str(tmp / "corpus")).count() == 2
+
+
+def test_gates_of_a_built_corpus(spark, run):
+    """Each gate by what it is there to catch."""
+    root, tmp = run
+    out = str(tmp / "corpus")
+    build(spark, run)
+    splits = spark.createDataFrame([(1, 3, "train")], "level int, problem_id long, split string")
+    gates = lambda **kw: {r["check"]: r["ok"] for r in corpus.corpus_checks(spark, out, [str(root)], **{"cuts": Cuts(max_length=300), "splits": splits} | kw).collect()}
+    first = gates()
+    failed = {k for k, ok in first.items() if not ok}
+    assert len(first) == 13 and failed == {"base-rate shift under 0.5 points", "no attempt is missing its verdict"}
+    assert not gates(cuts=Cuts())["report config matches the build's"] and not gates(splits=None)["every problem has a split"] and not gates(splits=splits.limit(0))["every problem has a split"]
+    (root / "shard_01" / "eval_results.json").write_text(json.dumps({"3": [ok(0)]}))
+    assert not gates()["one part per unit the config resolves"] and not gates()["every attempt reconciles with a verdict"]
+    build(spark, run)
+    manifest = tmp / "corpus" / "manifest.json"
+    m = json.loads(manifest.read_text())
+    m["counts"]["rows"] += 1
+    m["counts"]["cuts"] -= 1
+    m["counts"]["truncated"] = 500
+    manifest.write_text(json.dumps(m))
+    (tmp / "corpus" / ".manifest.json.crc").unlink(missing_ok=True)
+    now = gates()
+    assert not any(now[k] for k in ("rows on disk match the manifest", "cuts on disk match the manifest", "truncated under 100"))

@@ -138,3 +138,15 @@ def test_two_level_ranks(spark):
         mine = sorted(v for x, v in rows if x == k)
         got = sorted((r["r"], r["v"], r["n"]) for r in d.collect() if r["k"] == k)
         assert got == [(i + 1, v, len(mine)) for i, v in enumerate(mine)]
+
+
+def test_rank_report_whatever_the_partitions(spark, sf):
+    """Lists near a band's edge stay in their band, however the members of a list are dealt out."""
+    from tallyloom.operators import campaign as C
+
+    rows = [(i, "l" + str(i % 7), x) for i, x in enumerate([k / 97 for k in range(1, 97)] * 3)]
+    d = spark.createDataFrame(rows, "i long, list_key string, rel_depth double")
+    means = [sorted(map(tuple, d.repartition(n, "i").groupBy("list_key").agg(C.exact_mean("rel_depth").alias("m")).collect())) for n in (1, 4, 200)]
+    assert means[0] == means[1] == means[2]
+    halves = spark.createDataFrame([("a", x) for x in (0.1, 0.2, 0.7, 1.0)], "list_key string, rel_depth double")
+    assert halves.groupBy("list_key").agg(C.exact_mean("rel_depth").alias("m")).first()["m"] == 0.5
