@@ -18,7 +18,6 @@ vec_id fall by that place too. Other columns are ignored, whatever their names;
 
 from __future__ import annotations
 
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
