@@ -1,6 +1,6 @@
 """Command line: list queries, run one over a folder of tables, scan programs, show settings, and print reports.
 
-python -m tallyloom list | run QUERY SF_DIR [--out DIR] [--rows N] | explain QUERY SF_DIR | scan DIR --out DIR | settings [--file F] [KEY=VALUE ...]
+python -m tallyloom list | run QUERY SF_DIR [--out DIR] [--rows N] | explain QUERY SF_DIR | scan DIR --out DIR | report DIR [--references DIR] [--baseline F] | build OUT RUN ... --baseline F [--exclude F] [--set KEY=VALUE ...] | gates OUT RUN ... [--set KEY=VALUE ...] | settings [--file F] [KEY=VALUE ...]
 """
 
 from __future__ import annotations
@@ -35,6 +35,17 @@ def parser() -> argparse.ArgumentParser:
     s = sub.add_parser("scan", help="static checks over the *_kernel.py files of a folder")
     s.add_argument("folder")
     s.add_argument("--out", required=True)
+    r = sub.add_parser("report", help="static checks of a run folder against its verdicts")
+    r.add_argument("folder")
+    r.add_argument("--references")
+    r.add_argument("--baseline")
+    for name, text in (("build", "parts of labelled attempts from run folders"), ("gates", "whether a built corpus may be used")):
+        b = sub.add_parser(name, help=text)
+        b.add_argument("out")
+        b.add_argument("runs", nargs="+")
+        b.add_argument("--set", nargs="*", default=[], metavar="KEY=VALUE")
+    sub.choices["build"].add_argument("--baseline", required=True)
+    sub.choices["build"].add_argument("--exclude")
     c = sub.add_parser("settings", help="settings after a file and overrides")
     c.add_argument("--file")
     c.add_argument("overrides", nargs="*")
@@ -59,6 +70,21 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> st
 
         scan(kernel_files(spark, a.folder), "source").write.mode("overwrite").json(a.out)
         return text_table(spark.read.json(a.out).groupBy("report.parse_status").count())
+    if a.command == "report":
+        from .sources import readers, scans
+
+        base = readers.baseline_times(spark, a.baseline) if a.baseline else None
+        rows = scans.outcome_rows(spark, a.folder, scans.scan_run(spark, a.folder, a.references), base)
+        return text_table(scans.outcome_report(rows).orderBy("check_id"))
+    if a.command in ("build", "gates"):
+        from .config import load
+        from .sources import corpus
+
+        conf = load(overrides=a.set)
+        if a.command == "gates":
+            return text_table(corpus.corpus_checks(spark, a.out, a.runs, conf.labels, conf.cuts))
+        m = corpus.build_corpus(spark, a.runs, a.out, a.baseline, a.exclude, conf.labels, conf.cuts)
+        return json.dumps({k: m[k] for k in ("attempts", "counts", "units_built", "units_reused", "skipped_units")}, indent=1)
     if a.query not in registry.QUERIES:
         raise SystemExit(f"no query {a.query!r}; see list")
     df = registry.QUERIES[a.query](spark, a.sf_dir)

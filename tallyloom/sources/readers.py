@@ -78,7 +78,7 @@ def scores(spark: SparkSession, path: str, anchors: bool = False) -> DataFrame:
 def kernel_files(spark: SparkSession, path: str) -> DataFrame:
     """(level, problem_id, sample_id, source) of level_L_problem_P_sample_S_kernel.py files; other names drop out."""
     name = r"level_(\d+)_problem_(\d+)_sample_(\d+)_kernel\.py$"
-    f = spark.read.option("wholetext", True).option("pathGlobFilter", "*_kernel.py").text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("source")).where(F.col("file").rlike(name))
+    f = spark.read.text(path, wholetext=True, pathGlobFilter="*_kernel.py").select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("source")).where(F.col("file").rlike(name))
     return f.select(*(F.regexp_extract("file", name, i).cast("long").alias(c) for i, c in enumerate(("level", "problem_id", "sample_id"), 1)), "file", "source")
 
 

@@ -165,7 +165,7 @@ def references(spark: SparkSession, root: str) -> DataFrame:
 def local_problems(spark: SparkSession, root: str, level: int, spec: str | None = None, max_chars: int = 24_000) -> DataFrame:
     """(level, problem_id, name, source, fate) of the references asked for by id (all without ``spec``): read, missing, or too_long (source null)."""
     ref = references(spark, root)
-    text = spark.read.option("wholetext", True).text(root, pathGlobFilter="*.py").select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("source"))
+    text = spark.read.text(root, wholetext=True, pathGlobFilter="*.py").select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("source"))
     d = ref.select("problem_id", "name").join(text, "name")
     if spec is not None:
         wanted = spark.createDataFrame([(i,) for i in dict.fromkeys(parse_int_spec(spec))], "problem_id long")

@@ -4,8 +4,9 @@ import json
 
 import pytest
 
+from tallyloom import cli
 from tallyloom.config import Cuts, Labels
-from tallyloom.sources import corpus, runs, sinks
+from tallyloom.sources import corpus, readers, runs, scans, sinks
 
 STOP = {"passes": 1, "code_finish_reason": "stop"}
 TEXT = "Plan\n```python\nimport torch\nx = 1\n```\n"
@@ -118,3 +119,35 @@ def test_gates_of_a_built_corpus(spark, run):
     (tmp / "corpus" / ".manifest.json.crc").unlink(missing_ok=True)
     now = gates()
     assert not any(now[k] for k in ("rows on disk match the manifest", "cuts on disk match the manifest", "truncated under 100"))
+
+
+GOOD = "import torch\nimport torch.nn as nn\nimport triton\nimport triton.language as tl\n@triton.jit\ndef k(x, y, n, B: tl.constexpr):\n    i = tl.program_id(0) * B + tl.arange(0, B)\n    tl.store(y + i, tl.load(x + i, mask=i < n) * 2.0, mask=i < n)\nclass ModelNew(nn.Module):\n    def forward(self, x):\n        y = torch.zeros_like(x)\n        k[(1,)](x, y, x.numel(), B=64)\n        return y\n"
+
+
+def test_scan_report_of_a_run(spark, tmp_path):
+    """Kernels meet their verdicts and their problems' sources; a sample without a kernel or a verdict has no row."""
+    root, ref = tmp_path / "m_level1", tmp_path / "problems"
+    root.mkdir()
+    ref.mkdir()
+    (ref / "3_Relu.py").write_text("import torch\ndef get_inputs():\n    return [torch.rand(8)]\n")
+    for (p, s), text in {(3, 0): GOOD, (3, 1): GOOD.replace("return y", "return torch.relu(y)"), (4, 0): "def (", (9, 9): GOOD}.items():
+        (root / f"level_1_problem_{p}_sample_{s}_kernel.py").write_text(text)
+    (root / "eval_results.json").write_text(json.dumps({"3": [ok(0), ok(1, 1.0), ok(5)], "4": [{"sample_id": 0, "compiled": False}]}))
+    (tmp_path / "base.json").write_text(json.dumps({"level1": {"3_Relu.py": {"mean": 4.0}}}))
+    scanned = scans.scan_run(spark, str(root), str(ref))
+    rows = {(r["problem_id"], r["sample_id"]): r for r in scans.outcome_rows(spark, str(root), scanned, readers.baseline_times(spark, str(tmp_path / "base.json"))).collect()}
+    assert set(rows) == {(3, 0), (3, 1), (4, 0)} and [rows[3, s]["speedup"] for s in (0, 1)] == [2.0, 4.0]
+    assert rows[3, 0]["wasted_bytes"] == 32 and rows[3, 0]["F2_4"] and rows[3, 1]["F1_4"] and not rows[3, 1]["F2_4"] and rows[4, 0]["parse_status"] == "syntax_error" and rows[4, 0]["S1_0"]
+    whole = {r["problem_id"]: r["source"] for r in runs.local_problems(spark, str(ref), 1).collect()}
+    assert whole == {3: (ref / "3_Relu.py").read_text()} and {r["source"] for r in readers.kernel_files(spark, str(root)).where("problem_id = 9").collect()} == {GOOD}
+    said = cli.main(["report", str(root), "--references", str(ref), "--baseline", str(tmp_path / "base.json")], spark)
+    line = next(x for x in said.split("\n") if x.startswith("F1.4")).split()
+    assert line[1:] == ["3", "0.3333", "1.0000", "0.5000", "4.0000", "2.0000"]
+
+
+def test_corpus_commands(spark, run):
+    root, tmp = run
+    out = str(tmp / "c")
+    built = json.loads(cli.main(["build", out, str(root), "--baseline", str(tmp / "base.json"), "--exclude", str(tmp / "out.json"), "--set", "cuts.max_length=300"], spark))
+    assert built["attempts"] == 11 and built["units_built"] == 1
+    assert "rows on disk match the manifest" in cli.main(["gates", out, str(root), "--set", "cuts.max_length=300"], spark)
