@@ -371,7 +371,11 @@ def extract_code(spark, sf_dir):
     return d.select("conv_id", F.size(X.fence_spans_udf("text")).alias("fences"), F.length(X.extract_code_udf("text")).alias("code_chars"), F.size(X.cut_points_udf("text")).alias("cuts"))
 
 
-@query()
+@query(f"""{WITH}, r AS (SELECT level, problem_id, sample_id::VARCHAR AS sample_id, run_name, row_number() OVER (PARTITION BY level, problem_id ORDER BY prm DESC, sample_id::VARCHAR) AS k FROM candidates),
+g AS (SELECT level, problem_id, count(DISTINCT run_name) FILTER (k <= 3) AS parents, max(run_name) FILTER (k = 1) AS parent FROM r GROUP BY ALL),
+-- with two parents asked for, one exchange is enough: the third of one parent's three for the best of another
+o AS (SELECT level, problem_id, min(k) AS other FROM r JOIN g USING (level, problem_id) WHERE parents = 1 AND k > 3 AND run_name <> parent GROUP BY ALL)
+SELECT level, problem_id, sample_id FROM r LEFT JOIN o USING (level, problem_id) WHERE k <= 2 OR (k = 3 AND other IS NULL) OR k = other""")
 def diverse_beam(spark, sf_dir):
     """Beams of three with at least two parents (runs) where a problem has them."""
     return R.diverse_beam(candidates(spark, sf_dir), P, "prm", "sample_id", "run_name", 3, 2)
