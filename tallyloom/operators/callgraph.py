@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .calibration import _cut
+from ..sources.scratch import written
 from .kernelflow import dotted, walk
 
 #: What calling a module or an autograd function runs.
@@ -143,13 +143,13 @@ GRAPH = T.StructType(
 
 def reach(starts: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     """(key, node): ``starts`` (key, node) and all that edges (key, src, dst) lead to from them. Cycles end: a round keeps only what no round has met."""
-    met = fresh = _cut(starts.select(key, "node").where("node IS NOT NULL").distinct())
+    met = fresh = written(starts.select(key, "node").where("node IS NOT NULL").distinct(), "reach")
     while True:
         onward = fresh.join(edges, [fresh[key] == edges[key], fresh["node"] == edges["src"]]).select(fresh[key].alias(key), F.col("dst").alias("node")).distinct()
-        fresh = _cut(onward.join(met, [key, "node"], "left_anti"))
+        fresh = written(onward.join(met, [key, "node"], "left_anti"), "reach")
         if fresh.isEmpty():
             return met
-        met = _cut(met.unionByName(fresh))
+        met = met.unionByName(fresh)
 
 
 def closures(g: DataFrame, key: str) -> DataFrame:
@@ -162,6 +162,7 @@ def closures(g: DataFrame, key: str) -> DataFrame:
 
 def kernel_uses(g: DataFrame, key: str) -> DataFrame:
     """(key, kernel, launched, live, timed, dead): whether a launch of the kernel may run, whether it is live (launched, or called by kernels that are), how many of its launches a forward call runs, and the severity of its being dead: fail, or info where there is a class whose forward is not known; null if live."""
+    g = written(g, "graphs")  # read for edges, launches and calls; programs are parsed once
     c = closures(g, key)
     launches = g.select(key, F.explode("launches").alias("x")).select(key, "x.*")
     run = launches.join(c.withColumnRenamed("node", "scope"), [key, "scope"])
