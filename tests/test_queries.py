@@ -150,3 +150,18 @@ def test_rank_report_whatever_the_partitions(spark, sf):
     assert means[0] == means[1] == means[2]
     halves = spark.createDataFrame([("a", x) for x in (0.1, 0.2, 0.7, 1.0)], "list_key string, rel_depth double")
     assert halves.groupBy("list_key").agg(C.exact_mean("rel_depth").alias("m")).first()["m"] == 0.5
+
+
+def test_null_draws_are_no_rows(spark):
+    """Draws stay in arrays: no plan unfolds and regroups them, which spilled; many lists at a time give what each gives alone."""
+    rows = [(p, f"i{i}", (p * 7 + i * 3 + j) % 11 / 11) for p in range(40) for i in range(1 + p % 5) for j in range(1 + (p + i) % 4)] + [(99, "a", None)]
+    null = B.null_spreads(spark.createDataFrame(rows, "p long, i string, v double"), ["p"], "i", "v", 50, 3)
+    plan = null._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "sequence" not in plan
+    got = {r["p"]: r["spreads"] for r in null.collect()}
+    lists = {}
+    for p, i, v in rows[:-1]:
+        lists.setdefault(p, {}).setdefault(i, []).append(v)
+    assert got.pop(99) == [] and got.keys() == lists.keys()
+    for p, items in lists.items():
+        assert got[p] == pytest.approx(null_of((p,), items, 50, 3))
