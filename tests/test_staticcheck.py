@@ -140,3 +140,22 @@ def test_nothing_breaks_the_checks():
     src = module(RUN + "return y", "self.l = nn.Linear(2, 2)")
     for i in range(0, len(src), 7):
         assert S.analyze(src[:i])["notes"] == []
+
+
+def test_outcomes_repeat_no_row_for_each_check(spark):
+    """Exact medians without a group that holds all its values: no percentile and no row a check; ties, nulls, odd and even counts, a check that nothing meets."""
+    rows = [(i % 3 == 0, False, None if i % 5 == 0 else i % 2 == 0, i % 2, None if i % 7 == 0 else (i * 37 % 101) / 8 if i % 4 else 2.5) for i in range(400)]
+    d = spark.createDataFrame(rows, "a boolean, b boolean, c boolean, y int, v double")
+    out = S.outcomes(d, ["a", "b", "c"], "y", "v")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan and "percentile" not in plan.lower() and "median(" not in plan
+    got = {r["check_id"]: r for r in out.collect()}
+    mean = lambda xs: round(sum(xs) / len(xs), 4) if xs else None
+    for k, name in enumerate("abc"):
+        r, known = got[name], [x for x in rows if x[k] is not None]
+        assert r["n"] == 400 and r["rate"] == pytest.approx(mean([x[k] for x in known]))
+        for flag, share, speed in ((True, "correct_flagged", "speedup_flagged"), (False, "correct_clean", "speedup_clean")):
+            mine = [x for x in known if x[k] is flag]
+            vs = sorted(x[4] for x in mine if x[4] is not None)
+            assert r[share] == (pytest.approx(mean([x[3] for x in mine])) if mine else None)
+            assert r[speed] == (pytest.approx(round((vs[(len(vs) - 1) // 2] + vs[len(vs) // 2]) / 2, 4)) if vs else None)
