@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import callgraph as G
 from ..operators import staticcheck as S
 from ..sources.adapters import candidates, table
 from .queries import WITH, query
@@ -71,7 +70,9 @@ def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
     cls = F.concat(F.lit("class "), F.when(fault == 1, "Net").otherwise("ModelNew"), F.lit("(nn.Module):\n"), made, F.lit("    def "), F.when(fault == 2, "run").otherwise("forward"), F.lit("(self, x):\n"), forward)
     given = _pick(inputs, "", "def get_inputs():\n    return [torch.rand(16, 16)]\n", "N = 2 ** 12\ndef get_inputs():\n    return [torch.rand(N, N)]\n")
     text = F.concat(head, device, kernel, before, cls, given, F.when(fault == 0, "def (\n").otherwise(""), F.lit("# part "), key.cast("string"), F.lit("\n"))
-    return table(spark, sf_dir, "part").select(key.alias("part"), F.col("p_size").alias("size"), text.alias("source"))
+    # by number: the parts of a small file would all be one task's
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    return parts.select(key.alias("part"), F.col("p_size").alias("size"), text.alias("source"))
 
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +130,7 @@ def lint_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT part, kernel, launched, live, timed::BIGINT AS timed, CASE WHEN NOT live THEN deadly END AS dead FROM u""")
 def kernel_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which kernels may be launched, which are in the timed path and which are dead: all programs' call graphs closed together."""
-    return G.kernel_uses(S.graphs(programs(spark, sf_dir), "part"), "part")
+    return S.kernel_uses(programs(spark, sf_dir), "part")
 
 
 _IDS = sorted(S.CHECKS)
