@@ -165,3 +165,11 @@ def test_null_draws_are_no_rows(spark):
     assert got.pop(99) == [] and got.keys() == lists.keys()
     for p, items in lists.items():
         assert got[p] == pytest.approx(null_of((p,), items, 50, 3))
+
+
+def test_slots_read_their_rows_once(spark):
+    """What makes the rows is not run again for the owners and for all rows."""
+    d = spark.range(12).selectExpr("id % 2 AS p", "id AS rid", "'t' || id % 3 AS code")
+    slots = B.dense_slots(d, ["p"], "code", "rid")
+    assert "Range" not in slots._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["rid"]: (r["owner"], r["slot"]) for r in slots.where("p = 0").collect()} == {0: (0, 0), 2: (2, 1), 4: (4, 2), 6: (0, 0), 8: (2, 1), 10: (4, 2)}
