@@ -5,9 +5,12 @@ from __future__ import annotations
 import bisect
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from .build import quantiles
 
 PROBLEM = ["level", "problem_id"]
@@ -33,6 +36,16 @@ class Curve:
         a, b = self.x[i - 1], self.x[i]
         return self.y[i - 1] + (self.y[i] - self.y[i - 1]) * (v - a) / (b - a)
 
+    def values(self, v: np.ndarray) -> np.ndarray:
+        """The same for an array; nan stays."""
+        x, y = np.array(self.x), np.array(self.y)
+        i = np.searchsorted(x, v)  # the first knot that is not below
+        k = np.clip(i, 1, max(1, len(x) - 1))
+        a, b = np.minimum(k - 1, len(x) - 1), np.minimum(k, len(x) - 1)
+        run = x[b] - x[a]
+        on = y[a] + (y[b] - y[a]) * np.divide(v - x[a], run, out=np.zeros(np.shape(v)), where=run > 0)
+        return np.where(np.isnan(v), np.nan, np.where(i == 0, y[0], np.where(i == len(x), y[-1], on)))
+
     def column(self, v: Column) -> Column:
         """The same as a column: linear between knots, flat outside."""
         out = F.when(v <= self.x[0], F.lit(self.y[0]))
@@ -77,29 +90,63 @@ def fit_curve(anchors: DataFrame, score: str = "score", target: str = "target",
     return Curve([r["x"] for r in rows], fit, [fill if v is None else v for v in var], [r["n"] for r in rows])
 
 
-def solve_offsets(anchors: DataFrame, curve: Curve, clamp: float = 3.0) -> DataFrame:
-    """(problem, n, raw, var, clamped): the least shift within +-clamp that makes a problem's curve values sum to its targets (an end where none does), and the variance that the curve's slope there leaves it.
+def by_problem(anchors: DataFrame) -> DataFrame:
+    """(problem, anchors): each problem's anchors, tens, in one row, so that what is worked out for a problem needs one shuffle."""
+    return anchors.groupBy(*PROBLEM).agg(F.collect_list(F.struct(F.col("score").cast("double").alias("score"), F.col("target").cast("double").alias("target"))).alias("anchors"))
+
+
+def solve_offsets(grouped: DataFrame, curve: Curve, clamp: float = 3.0) -> DataFrame:
+    """``by_problem`` with n, raw, var, clamped: the least shift within +-clamp that makes a problem's curve values sum to its targets (an end where none does), and the variance that the curve's slope there leaves it.
 
     The sum is linear between the shifts that bring a score onto a knot. Running sums of the changes of slope, in order of these shifts, give its value at each, so the shift is read off the one stretch in which the sum passes the targets.
     """
-    x, y = curve.x, curve.y
-    slope = [(d - c) / (b - a) if b > a else 0.0 for a, b, c, d in zip(x, x[1:], y, y[1:], strict=False)]
-    turns = [(k, m - l) for k, l, m in zip(x, [0.0, *slope], [*slope, 0.0], strict=True)]
-    s = F.col("score").cast("double")
-    a = anchors.select(*PROBLEM, s.alias("score"), F.col("target").cast("double").alias("target"))
-    whole = a.groupBy(*PROBLEM).agg(F.count(F.lit(1)).alias("n"), F.sum("target").alias("t"), F.sum(curve.column(F.col("score") - clamp)).alias("low"), F.sum(curve.column(F.col("score") + clamp)).alias("high"))
-    # a problem's turns are its anchors by the curve's knots: tens by ten
-    b = a.select(*PROBLEM, F.col("score").alias("s"), F.explode(F.array(*(F.struct(F.lit(k).alias("x"), F.lit(m).alias("turn")) for k, m in turns))).alias("k")).select(*PROBLEM, (F.col("k.x") - F.col("s")).alias("c"), F.col("k.turn").alias("turn"))
-    before = Window.partitionBy(*PROBLEM).orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
-    b = b.withColumns({"m": F.coalesce(F.sum("turn").over(before), F.lit(0.0)), "o": F.coalesce(F.sum(F.col("turn") * F.col("c")).over(before), F.lit(0.0)), "from": F.coalesce(F.max("c").over(before), F.col("c"))})
-    passed = b.join(whole, PROBLEM).withColumn("base", F.col("n") * F.lit(y[0])).where(F.col("base") + F.col("m") * F.col("c") - F.col("o") >= F.col("t"))
-    first = passed.groupBy(*PROBLEM).agg(F.min_by(F.struct("m", "o", "from", "base", "c", "t"), "c").alias("f"))
-    at = F.least(F.greatest(F.try_divide(F.col("f.t") - F.col("f.base") + F.col("f.o"), F.col("f.m")), F.col("f.from")), F.col("f.c"))
-    ends = F.when(F.col("low") >= F.col("t"), -clamp).when(F.col("high") <= F.col("t"), clamp)
-    raw = whole.join(first, PROBLEM, "left").select(*PROBLEM, "n", F.coalesce(ends, at, F.col("f.c"), F.lit(float(clamp))).alias("raw"), ends.isNotNull().alias("clamped"))
-    q = curve.column(F.col("score") + F.col("raw"))
-    info = a.join(raw, PROBLEM).groupBy(*PROBLEM, "n", "raw", "clamped").agg(F.sum(q * (1 - q)).alias("info"))
-    return info.select(*PROBLEM, "n", "raw", F.when(F.col("info") > 0, 1 / F.col("info")).otherwise(NO_INFO).alias("var"), "clamped")
+
+    @F.pandas_udf("raw double, var double, clamped boolean")
+    def solved(score: pd.Series, target: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(_by_width(lambda s, t: _solve(s, t, curve, clamp), score, target), columns=["raw", "var", "clamped"]).astype({"clamped": "bool"})
+
+    d = grouped.withColumns({"n": F.size("anchors").cast("long"), "_o": solved("anchors.score", "anchors.target")})
+    return d.select(*PROBLEM, "n", "_o.raw", "_o.var", "_o.clamped", "anchors")
+
+
+#: Anchors whose turns a task holds at once, beside a single problem's.
+MAX_ANCHORS = 1 << 16
+
+
+def _by_width(fn, *columns: pd.Series) -> np.ndarray:
+    """Rows of three numbers that ``fn`` gives for problems of as many anchors each: a matrix for a column of arrays, a single column for one of numbers."""
+    width, columns = np.array([len(x) for x in columns[0]]), [c.to_numpy() for c in columns]
+    out = np.empty((len(width), 3))
+    for k in np.unique(width):
+        who = np.flatnonzero(width == k)
+        for part in np.array_split(who, -(-len(who) * max(1, k) // MAX_ANCHORS)):
+            out[part] = np.column_stack(fn(*(np.array(list(c[part]), dtype="float64").reshape(len(part), -1) for c in columns)))
+    return out
+
+
+def _solve(s: np.ndarray, t: np.ndarray, curve: Curve, clamp: float) -> tuple[np.ndarray, ...]:
+    """(raw, var, clamped) of problems, a row of scores and of targets each. An anchor without a score (nan) counts, but moves no sum."""
+    x, y = np.array(curve.x), np.array(curve.y)
+    rise, run = np.diff(y), np.diff(x)
+    slope = np.divide(rise, run, out=np.zeros(len(run)), where=run > 0)
+    total = lambda v: np.where(np.isnan(v).all(1), np.nan, np.nansum(v, 1))
+    sums, base, rows = np.nansum(t, 1), s.shape[1] * y[0], np.arange(len(s))
+    low, high = total(curve.values(s - clamp)), total(curve.values(s + clamp))
+    c = (x - s[:, :, None]).reshape(len(s), -1)
+    order = np.argsort(c, axis=1, kind="stable")  # nan last
+    c, turn = np.take_along_axis(c, order, 1), np.tile(np.diff([0.0, *slope, 0.0]), s.shape[1])[order]
+    m, o = np.zeros_like(c), np.zeros_like(c)  # before each turn
+    m[:, 1:], o[:, 1:] = np.cumsum(turn, 1)[:, :-1], np.cumsum(turn * c, 1)[:, :-1]
+    passed = base + m * c - o >= sums[:, None]
+    j = passed.argmax(1)
+    m, o, start, end = m[rows, j], o[rows, j], c[rows, np.maximum(j - 1, 0)], c[rows, j]
+    at = np.divide(sums - base + o, m, out=start.copy(), where=m != 0)
+    at = np.where(passed.any(1), np.minimum(np.maximum(at, start), end), clamp)
+    ends = (low >= sums) | (high <= sums)
+    raw = np.where(low >= sums, -clamp, np.where(high <= sums, clamp, at))
+    q = curve.values(s + raw[:, None])
+    info = np.nansum(q * (1 - q), 1)
+    return raw, np.divide(1.0, info, out=np.full(len(s), NO_INFO), where=info > 0), ends
 
 
 def spread(o: DataFrame) -> float | None:
@@ -121,8 +168,13 @@ def shrunk(o: DataFrame, tau2: float | None, kappa: float | None = None) -> Data
 
 def fit_offsets(anchors: DataFrame, curve: Curve, clamp: float = 3.0, kappa: float | None = None, tau2: float | None = None) -> DataFrame:
     """(problem, n, raw, var, clamped, shrink, c) of every problem with anchors, memorised ones included. ``tau2``: use this spread instead of estimating it."""
+    return fit_grouped(by_problem(anchors), curve, clamp, kappa, tau2).drop("anchors")
+
+
+def fit_grouped(grouped: DataFrame, curve: Curve, clamp: float = 3.0, kappa: float | None = None, tau2: float | None = None) -> DataFrame:
+    """``fit_offsets`` of ``by_problem``, each problem with its anchors."""
     # one row a problem; read twice, for the spread and for the result
-    o = _cut(solve_offsets(anchors, curve, clamp))
+    o = written(solve_offsets(grouped, curve, clamp), "offsets")
     if kappa is None and tau2 is None:
         tau2 = spread(o)
     return shrunk(o, tau2, kappa)
@@ -166,10 +218,11 @@ def fit_joint(anchors: DataFrame, rounds: int = 16, n_bands: int = 10, clamp: fl
     are one row a problem; each round writes them to the checkpoint folder.
     """
     state, tau2 = None, None
+    grouped = written(by_problem(anchors), "anchors")  # read in each round
     for k in range(max(1, rounds)):
         a = anchors if state is None else anchors.join(state.select(*PROBLEM, "c"), PROBLEM, "left").withColumn("score", F.col("score") + F.coalesce("c", F.lit(0.0))).drop("c")
         curve = fit_curve(a, n_bands=n_bands, orm_seen=orm_seen)
-        solved = _cut(solve_offsets(anchors, curve, clamp))
+        solved = _cut(solve_offsets(grouped, curve, clamp).drop("anchors"))
         if tau2 is None and kappa is None:
             tau2 = spread(solved)
         new = shrunk(solved, tau2, kappa)
@@ -193,6 +246,25 @@ def impute(scores: DataFrame, curve: Curve, offsets: DataFrame | None, by: list[
     return s.groupBy(*by).agg(F.avg("_v").alias("v"), F.sqrt(F.var_pop("_v") / F.count(F.lit(1)) + F.avg("_var")).alias("se"), F.count(F.lit(1)).alias("n"))
 
 
+def impute_problems(o: DataFrame, curve: Curve) -> DataFrame:
+    """``impute`` of the anchors that stand in the rows of their problems, by problem, at the offsets c beside them: nothing is joined or grouped."""
+
+    @F.pandas_udf("v double, se double, n double")
+    def imputed(score: pd.Series, c: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(_by_width(lambda s, k: _mean(s + k, curve), score, c), columns=["v", "se", "n"])
+
+    return o.withColumn("_v", imputed("anchors.score", "c")).select(*PROBLEM, "_v.v", "_v.se", F.col("_v.n").cast("long").alias("n"))
+
+
+def _mean(x: np.ndarray, curve: Curve) -> tuple[np.ndarray, ...]:
+    """(v, se, n) of problems, a row of shifted scores each; nan where no score is."""
+    v, some = curve.values(x), np.maximum((~np.isnan(x)).sum(1), 1)
+    band = np.where(np.isnan(x), 0, np.clip(np.searchsorted(curve.x, x, side="right") - 1, 0, len(curve.x) - 1))
+    mean = np.where(np.isnan(x).all(1), np.nan, np.nansum(v, 1) / some)
+    var = np.nansum((v - mean[:, None]) ** 2, 1) / some
+    return mean, np.sqrt(np.where(np.isnan(mean), np.nan, var) / x.shape[1] + np.array(curve.var)[band].mean(1)), np.full(len(x), x.shape[1])
+
+
 def curve_flags(curve: Curve) -> list[str]:
     """What is wrong with a curve, for a report that must stay legible; ``usable`` refuses the same."""
     out = []

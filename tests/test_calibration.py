@@ -133,3 +133,25 @@ def test_validation_against_measured_values(spark):
     assert overall.first()["n_pairs"] == len(pairs) and np.isclose(overall.first()["agreement"], np.mean([(i[3] > j[3]) == (got[i[0]] > got[j[0]]) for i, j in pairs]))
     out = C.summary(curve, offsets, a.select("level", (a.problem_id + 1).alias("problem_id")))
     assert out["flags"] == [] and len(out["bands"]) == 5 and out["offsets"]["n_problems"] == 16 and out["offsets"]["no_anchor_rate"] == 100 / 16
+
+
+def test_problems_stay_in_their_rows(spark):
+    """Offsets and imputed values are worked out in a problem's row: no turn is a row, nothing is sorted in a window, and the values are those of rows."""
+    rng = np.random.RandomState(3)
+    rows = [(1, p, float(s), float(rng.rand() < 0.5)) for p in range(30) for s in rng.randn(1 + p % 7)] + [(2, 1, None, 1.0), (2, 1, 0.3, 0.0), (2, 2, None, 1.0)]
+    a = anchors(spark, rows)
+    curve = C.Curve([-1.0, -0.2, 0.4, 1.5], [0.1, 0.3, 0.3, 0.9], [0.1, 0.2, 0.3, 0.4], [5] * 4)
+    g = C.by_problem(a)
+    plan = C.solve_offsets(g, curve)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Generate" not in plan and "Join" not in plan
+    o = C.fit_grouped(g, curve)
+    got = {(r["level"], r["problem_id"]): r for r in o.collect()}
+    for p in range(30):
+        s, t = (np.array([r[i] for r in rows if r[:2] == (1, p)]) for i in (2, 3))
+        raw, hit = plain_solve(s, t, curve.x, curve.y, 3.0)
+        q = np.interp(s + got[1, p]["raw"], curve.x, curve.y)
+        assert got[1, p]["clamped"] == hit and np.isclose(np.interp(s + got[1, p]["raw"], curve.x, curve.y).sum(), np.interp(s + raw, curve.x, curve.y).sum()) and np.isclose(got[1, p]["var"], 1 / (q * (1 - q)).sum())
+    assert got[2, 1]["n"] == 2 and got[2, 2]["n"] == 1 and got[2, 2]["var"] == 1e6
+    one, two = (sorted(map(tuple, d.collect())) for d in (C.impute(a, curve, o, C.PROBLEM), C.impute_problems(o, curve)))
+    assert len(one) == len(two) == 32 and all(x[:2] == y[:2] and x[4] == y[4] for x, y in zip(one, two, strict=True))
+    assert all((x[2] is None) == (y[2] is None) and (x[2] is None or np.allclose(x[2:4], y[2:4])) for x, y in zip(one, two, strict=True))
