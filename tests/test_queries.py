@@ -193,3 +193,34 @@ def test_rank_report_reads_lists_once(spark, sf):
     assert [tuple(r)[1:] for r in C.rank_report(d.limit(0).withColumn("depth", F.lit(0.2)), "depth", [0.1, 0.9]).collect()] == [(0, 0, 0, None, None, 0, 0)] * 2
     plan = QUERIES["rank_report"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "lineitem" not in plan and "Union" not in plan and plan.count("Relation") == 2
+
+
+@pytest.mark.parametrize("name", ["ranking_metrics"])
+def test_tasks_do_not_grow_with_attempts(spark, sf, monkeypatch, name):
+    """More attempts come over more partitions, each problem in one of them; the rows and metrics stay the same."""
+    from tallyloom.sources import adapters as A
+
+    few = A.candidates(spark, sf)
+    want = sorted(map(repr, few.collect()))
+    n = len(want)
+    monkeypatch.setattr(A, "TASK_ROWS", 100)
+    many = A.candidates(spark, sf)
+    assert few.rdd.getNumPartitions() <= 8 and many.rdd.getNumPartitions() == -(-n // 100)
+    assert sorted(map(repr, many.collect())) == want
+    assert many.select("problem_id", F.spark_partition_id().alias("p")).distinct().count() == many.select("problem_id").distinct().count()
+    assert_same(QUERIES[name](spark, sf), ORACLES[name], sf)
+
+
+def test_repeated_parts_are_numbered_as_in_sql(spark, tmp_path, sf):
+    """Attempts are numbered over the rows joined with baselines: a part that stands twice makes two attempts, one without a price or a row makes one."""
+    from oracle import duck
+
+    from tallyloom.sources import adapters as A
+
+    Q.table(spark, sf, "lineitem").where("l_orderkey < 60").write.parquet(str(tmp_path / "lineitem.parquet"))
+    p = Q.table(spark, sf, "part").where("p_partkey % 5 > 0").select("p_partkey", F.when(F.col("p_partkey") % 7 > 0, F.col("p_retailprice")).alias("p_retailprice"))
+    p.unionByName(p.where("p_partkey % 3 = 0")).write.parquet(str(tmp_path / "part.parquet"))
+    cols = ["problem_id", "sample_id", "line", "base_mean"]
+    got = sorted(map(repr, (tuple(r) for r in A.candidates(spark, str(tmp_path)).select(*cols).collect())))
+    want = duck(str(tmp_path)).sql(f"WITH {A.CANDIDATES_SQL} SELECT {', '.join(cols)} FROM candidates").fetchall()
+    assert len({(r[0], r[2]) for r in want}) < len(want) and any(r[3] is None for r in want) and got == sorted(map(repr, want))
