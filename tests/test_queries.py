@@ -195,7 +195,7 @@ def test_rank_report_reads_lists_once(spark, sf):
     assert "lineitem" not in plan and "Union" not in plan and plan.count("Relation") == 2
 
 
-@pytest.mark.parametrize("name", ["ranking_metrics"])
+@pytest.mark.parametrize("name", ["ranking_metrics", "graded_ndcg"])
 def test_tasks_do_not_grow_with_attempts(spark, sf, monkeypatch, name):
     """More attempts come over more partitions, each problem in one of them; the rows and metrics stay the same."""
     from tallyloom.sources import adapters as A
