@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import os
+import re
 
 import pytest
 from oracle import assert_same
@@ -211,6 +212,35 @@ def test_tasks_do_not_grow_with_attempts(spark, sf, monkeypatch, name):
     assert_same(QUERIES[name](spark, sf), ORACLES[name], sf)
 
 
+def test_merged_partitions_stay_bounded(spark, sf, monkeypatch):
+    """Where Spark has more partitions than the attempts need, it merges them by bytes; a task still gets no more attempts than it should sort."""
+    from tallyloom.sources import adapters as A
+
+    want = sorted(map(repr, A.candidates(spark, sf).collect()))
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(A, "TASK_ROWS", 500)
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        many = A.candidates(spark, sf)
+        assert sorted(map(repr, many.collect())) == want
+        assert max(r["count"] for r in many.groupBy(F.spark_partition_id().alias("p")).count().collect()) < 1000
+        assert_same(QUERIES["graded_ndcg"](spark, sf), ORACLES["graded_ndcg"], sf)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+
+
+def test_files_are_read_without_sorting(spark, sf, monkeypatch):
+    """Over 200 partitions Spark sorts all rows of a task that reads a file; attempts meet their baselines in fewer, then come over as many as they need."""
+    from tallyloom.sources import adapters as A
+
+    monkeypatch.setattr(A, "TASK_ROWS", 14)
+    c = A.candidates(spark, sf)
+    plan = c._jdf.queryExecution().optimizedPlan().toString()
+    dealt = {k: {int(n) for n in re.findall(rf"RepartitionByExpression \[{k}#\d+L?\], (\d+)", plan)} for k in ("l_partkey", "problem_id")}
+    assert min(dealt["problem_id"]) > 400 and dealt["l_partkey"] and max(dealt["l_partkey"]) <= 200
+    assert_same(QUERIES["graded_ndcg"](spark, sf), ORACLES["graded_ndcg"], sf)
+
+
 def test_repeated_parts_are_numbered_as_in_sql(spark, tmp_path, sf):
     """Attempts are numbered over the rows joined with baselines: a part that stands twice makes two attempts, one without a price or a row makes one."""
     from oracle import duck
