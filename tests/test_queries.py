@@ -254,3 +254,57 @@ def test_repeated_parts_are_numbered_as_in_sql(spark, tmp_path, sf):
     got = sorted(map(repr, (tuple(r) for r in A.candidates(spark, str(tmp_path)).select(*cols).collect())))
     want = duck(str(tmp_path)).sql(f"WITH {A.CANDIDATES_SQL} SELECT {', '.join(cols)} FROM candidates").fetchall()
     assert len({(r[0], r[2]) for r in want}) < len(want) and any(r[3] is None for r in want) and got == sorted(map(repr, want))
+
+
+def _moved(spark, run):
+    """Records that stages shuffled or wrote to files while ``run`` ran."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty()
+        none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+        seq = sc.statusStore().stageList(None, False, False, none, None)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() + s.outputRecords() for s in (seq.apply(i) for i in range(seq.size()))}
+
+    before = stages()
+    run()
+    return sum(n for k, n in stages().items() if k not in before)
+
+
+@pytest.mark.parametrize("name", ["rollout_verdicts", "stage_counts"])
+def test_rollouts_move_once(spark, sf, name):
+    """A rollout is shuffled to its prefix and neither shuffled again nor written."""
+    n = Q.table(spark, sf, "lineitem").count()
+    assert n < _moved(spark, lambda: QUERIES[name](spark, sf).collect()) < 1.5 * n
+
+
+@pytest.mark.parametrize("most", [0, 250])
+def test_rollout_verdicts_of_odd_orders(spark, tmp_path, sf, most):
+    """Repeated parts, missing keys, and an order of so many lines that its rollouts' ids run on into the next order's, as in SQL."""
+    li = Q.table(spark, sf, "lineitem").where("l_orderkey < 60")
+    odd = [li.where("l_orderkey % 9 = 0").withColumn("l_orderkey", F.lit(None).cast("long")), li.where("l_orderkey % 4 = 0").withColumn("l_partkey", F.lit(None).cast("long"))]
+    if most:
+        odd.append(spark.range(most).crossJoin(li.limit(1)).withColumns({"l_orderkey": F.lit(7).cast("long"), "l_partkey": F.col("id") % 90, "l_extendedprice": F.col("id") * 1.5}).select(li.columns))
+    for d in odd:
+        li = li.unionByName(d)
+    li.write.parquet(str(tmp_path / "lineitem.parquet"))
+    p = Q.table(spark, sf, "part").where("p_partkey % 5 > 0")
+    p.unionByName(p.where("p_partkey % 3 = 0")).write.parquet(str(tmp_path / "part.parquet"))
+    Q.table(spark, sf, "orders").write.parquet(str(tmp_path / "orders.parquet"))
+    assert_same(QUERIES["rollout_verdicts"](spark, str(tmp_path)), ORACLES["rollout_verdicts"], str(tmp_path))
+
+
+def test_shared_verdicts_are_those_of_the_join(spark):
+    """Rollouts in one table get what the join of rollouts, slots and verdicts gives them; a rollout that was not staged is an error there."""
+    from tallyloom.operators import campaign as C
+
+    rows = [(1, 1, 10, "a", 1.0), (1, 1, 11, "b", 2.0), (1, 1, 12, "a", 3.0), (1, 2, 20, None, None), (1, 2, 21, None, 5.0), (2, 1, 30, "a", 6.0)]
+    r = spark.createDataFrame(rows, "level int, problem_id int, rollout_id int, code string, runtime double")
+    placed = B.problem_slots(r, Q.P, "code", "rollout_id")
+    got = {x["rollout_id"]: (x["owner"], x["slot"], x["shared"], x["runtime"]) for x in C.shared_verdicts(placed, ["runtime"]).collect()}
+    assert got == {10: (10, 0, False, 1.0), 11: (11, 1, False, 2.0), 12: (10, 0, True, 1.0), 20: (20, 0, False, None), 21: (20, 0, True, None), 30: (30, 0, False, 6.0)}
+    slots = placed.select("rollout_id", "owner", "slot", "shared")
+    joined = C.measured_rollouts(r.drop("runtime"), slots, placed.where("NOT shared").select(*Q.P, "slot", "runtime"))
+    assert {x["rollout_id"]: (x["owner"], x["slot"], x["shared"], x["runtime"]) for x in joined.collect()} == got
+    with pytest.raises(KeyError, match="never staged"):
+        C.measured_rollouts(r.drop("runtime"), slots.where("rollout_id <> 12"), placed.select(*Q.P, "slot", "runtime"))
